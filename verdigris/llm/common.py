@@ -61,7 +61,8 @@ def located(df: DataFrame, columns: Iterable[str]) -> DataFrame:
             return df.select(*columns, *place)
         except AnalysisException:
             pass
-    return shared_table(df.select(*columns), "input").select(*columns, *place)
+    written = shared_table(df.select(*columns), "input")
+    return written.select(*written.columns, *place)
 
 
 def row_bitmaps(marks: DataFrame) -> DataFrame:
