@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding
+from . import exact_dedup, packing, sharding, syncmers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,41 @@ def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(table(spark, sf_dir, "documents"), sharding.document_dimensions(), n_shards=40)
 
 
-QUERIES = {"op1_kd_shards": op1_kd_shards}
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public tokenizers lie on every machine."""
+    import public_tokenizers
 
-ORACLE_SQL: dict[str, str] = {}
+    return str(public_tokenizers.path(name))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup_report(table(spark, sf_dir, "documents"))
+
+
+def op10_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints_with_neighbours(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_kd_shards": op1_kd_shards,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op9_exact_dedup": op9_exact_dedup,
+    "op10_closed_syncmers": op10_closed_syncmers,
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op9_exact_dedup": """
+        WITH n AS (
+            SELECT doc_id, length(coalesce(text, '')) AS c, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS s
+            FROM documents
+        ), k AS (
+            SELECT doc_id, s, first_value(doc_id) OVER (PARTITION BY s ORDER BY c DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY s) AS group_size
+            FROM n
+        )
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, s AS text_sha256 FROM k
+    """,
+}
