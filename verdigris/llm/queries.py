@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, sharding, syncmers
+from . import exact_dedup, packing, quality, sharding, syncmers, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -36,6 +44,8 @@ def op10_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_kd_shards": op1_kd_shards,
+    "op3_toxicity": op3_toxicity,
+    "op4_quality": op4_quality,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_closed_syncmers": op10_closed_syncmers,
