@@ -24,48 +24,56 @@ from .common import ranked, shared_table, small_batches
 
 CAPACITY = 1024
 END = 2
-#: Words whose ids a worker remembers.
-MEMORY = 300_000
+#: Pre-tokens whose ids a worker remembers.
+MEMORY = 500_000
 RANK_ROWS = 50_000
 
-_LOOSE_SPACE = re.compile(r"\s | \s|\A | \Z")
+#: Pre-tokens of the byte-level BPE (a fixed value of the format).
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+#: The same for texts of ASCII and Latin letters only, where the standard module needs no character properties.
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_IS_LATIN = re.compile(f"[\t\n\r -~{_LATIN}]*").fullmatch
+_CUT_LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^\s{_LATIN}0-9]+|\s+(?!\S)|\s+").findall
+
+
+class _Known(dict):
+    """Ids of pre-tokens, worked out by the tokenizer's model when they are first asked for."""
+
+    def __init__(self, model):
+        self.model = model
+        # The alphabet of a byte-level BPE: printable Latin-1 characters stand for their bytes, others are moved up.
+        printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        self.alphabet = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in printable)}
+
+    def __missing__(self, token: str) -> bytes:
+        seen = token.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet)
+        found = self[token] = np.array([t.id for t in self.model.tokenize(seen)], "<u4").tobytes()
+        return found
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes, remembering the ids of words.
+    """Ids of whole texts as little-endian unsigned 32-bit bytes, remembering the ids of pre-tokens.
 
-    A space between two characters that aren't white space begins a new pre-token of a byte-level BPE, so a text is
-    cut there and each part is encoded alone. Texts with other white space about a space are encoded whole.
+    A BPE merges within pre-tokens only, so the ids of a text are those of its pre-tokens. Texts that hold the string
+    of a special token are left to the tokenizer as they are.
     """
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        many = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in many]
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cut = regex.compile(PRE_TOKEN).findall
+        self.known = _Known(self.tokenizer.model)
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def __call__(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self.known) > MEMORY:
             self.known.clear()
-        known, cut, new = self.known, [], set()
-        for t in texts:
-            if not t or _LOOSE_SPACE.search(t):
-                cut.append(None)
-                continue
-            words = t.split(" ")
-            words[0] = "\0" + words[0]  # the first has no space before it
-            cut.append(words)
-            new.update(words)
-        new = [w for w in new if w not in known]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            known.update(zip(part, self.encode([w[1:] if w[0] == "\0" else " " + w for w in part])))
-        whole = iter(self.encode([t for t, c in zip(texts, cut) if c is None]))
-        return [next(whole) if c is None else b"".join(map(known.__getitem__, c)) for c in cut]
+        return b"".join(map(self.known.__getitem__, (_CUT_LATIN if _IS_LATIN(text) else self.cut)(text)))
 
 
 def worker_encoder(path: str) -> Encoder:
@@ -87,19 +95,18 @@ def _pieces(path: str, capacity: int, keep_ids: bool, batches) -> Iterator:
 
     encoder = worker_encoder(path)
     for b in batches:
-        texts, rows, numbers, starts, lengths, crcs, ids = b.column(1).to_pylist(), [], [], [], [], [], []
-        for lo in range(0, len(texts), 250):
-            for i, raw in enumerate(encoder([t or "" for t in texts[lo : lo + 250]]), lo):
-                raw += END.to_bytes(4, "little")
-                for number, (start, length) in enumerate(pieces_of(len(raw) // 4, capacity)):
-                    part = raw[4 * start : 4 * (start + length)]
-                    rows.append(i)
-                    numbers.append(number)
-                    starts.append(start)
-                    lengths.append(length)
-                    crcs.append(zlib.crc32(part))
-                    if keep_ids:
-                        ids.append(np.frombuffer(part, "<u4").astype(np.int32))
+        rows, numbers, starts, lengths, crcs, ids = [], [], [], [], [], []
+        for i, text in enumerate(b.column(1).to_pylist()):
+            raw = encoder(text or "") + END.to_bytes(4, "little")
+            for number, (start, length) in enumerate(pieces_of(len(raw) // 4, capacity)):
+                part = raw[4 * start : 4 * (start + length)]
+                rows.append(i)
+                numbers.append(number)
+                starts.append(start)
+                lengths.append(length)
+                crcs.append(zlib.crc32(part))
+                if keep_ids:
+                    ids.append(np.frombuffer(part, "<u4").astype(np.int32))
         columns = [b.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), *(pa.array(x, pa.int64()) for x in (starts, lengths, crcs))]
         names = ["id", "piece", "start", "length", "ids_crc32"]
         if keep_ids:
