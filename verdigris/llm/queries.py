@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, packing, pii, quality, sharding, syncmers, toxicity
+from . import exact_dedup, jaccard_join, packing, pieces, pii, quality, sharding, syncmers, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives_of_pages(table(spark, sf_dir, "pages")).drop("record").withColumnRenamed("id", "page_id")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -48,6 +52,10 @@ def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", *[F.col("found")[k].alias(f"n_{k}") for k in pii.KINDS])
 
 
+def op8_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoding_report(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), rate=0.1, seed=1)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_report(table(spark, sf_dir, "documents"))
 
@@ -61,8 +69,10 @@ QUERIES = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
+    "op5_warc_derivatives": op5_warc_derivatives,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_feistel_pseudonyms": op7_feistel_pseudonyms,
+    "op8_merge_dropout": op8_merge_dropout,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_closed_syncmers": op10_closed_syncmers,
 }
