@@ -78,8 +78,8 @@ def nearest(points: DataFrame, nodes: DataFrame, point_id: str, node_id: str, ce
     while True:
         last = rings * cell > reach
         offsets = F.explode(F.sequence(F.lit(-rings), F.lit(rings)))
-        cells = left.withColumn("cx", F.floor(F.col("x") / cell) + offsets)
-        cells = cells.withColumn("cy", F.floor(F.col("y") / cell) + offsets)
+        cells = left.withColumn("dx", offsets).withColumn("dy", offsets)
+        cells = cells.withColumns({"cx": F.floor(F.col("x") / cell) + F.col("dx"), "cy": F.floor(F.col("y") / cell) + F.col("dy")}).drop("dx", "dy")
         dealt = nodes.select(F.col(node_id), "nx", "ny", F.floor(F.col("nx") / cell).alias("cx"), F.floor(F.col("ny") / cell).alias("cy"))
         dist = F.hypot(F.col("x") - F.col("nx"), F.col("y") - F.col("ny"))
         best = cells.join(dealt, ["cx", "cy"]).groupBy(point_id).agg(F.min(F.struct(dist.alias("dist"), F.col(node_id))).alias("m"))

@@ -108,9 +108,9 @@ def danger_lookup(spark, sf):
     return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", S.danger_impact(level).alias("impact"), S.danger_fading(level).cast("double").alias("fading"))
 
 
-@query("""SELECT p_partkey FROM part WHERE regexp_matches(upper(p_type), 'STEEL|BRASS') """)
+@query("""SELECT p_partkey FROM part WHERE regexp_matches(upper(p_name), 'RING|BOLT')""")
 def keyword_filter(spark, sf):
-    return spark.read.parquet(f"{sf}/part.parquet").filter(S.is_dangerous_name(F.col("p_type"), "STEEL|BRASS")).select("p_partkey")
+    return spark.read.parquet(f"{sf}/part.parquet").filter(S.is_dangerous_name(F.col("p_name"), "RING|BOLT")).select("p_partkey")
 
 
 # Rings and overlay ----------------------------------------------------------------------------------------------
@@ -394,7 +394,7 @@ _CHAIN = """od AS (SELECT src node, count(*) o FROM fx_edges GROUP BY 1), idg AS
     reach AS (SELECT start, list(cum) cums FROM walk GROUP BY start)"""
 
 
-@query(f"WITH RECURSIVE {_CHAIN} SELECT start, $6(list_avg(list_filter(cums, c -> c<=20))) mean FROM reach")
+@query(f"WITH RECURSIVE {_CHAIN} SELECT start, $6(list_avg([c for c in cums if c<=20])) mean FROM reach")
 def chain_average(spark, sf):
     return V.chain_average(V.chains(fixture(spark, sf, "fx_edges")), 20.0).select("start", r6("mean").alias("mean"))
 
@@ -402,7 +402,7 @@ def chain_average(spark, sf):
 _SPILL = f"""{_CHAIN}, kid AS (SELECT e.src, e.dst, e.cost, coalesce(r.cums, [CAST(0 AS DOUBLE)]) cums, o FROM fx_edges e JOIN od ON od.node=e.src LEFT JOIN reach r ON r.start=e.dst),
     kids AS (SELECT k.*, sib FROM kid k JOIN (SELECT src, list(cums) sib FROM kid GROUP BY src) USING (src)),
     sp AS (SELECT source_id, CAST(node AS BIGINT) node, pollution r FROM fx_spill_sources UNION ALL
-    SELECT * FROM (SELECT s.source_id, k.dst, CASE WHEN k.o=1 THEN s.r ELSE s.r*list_avg(list_filter(k.cums, c -> c<=s.r))/nullif(list_sum(list_transform(k.sib, q -> list_avg(list_filter(q, c -> c<=s.r)))),0) END - k.cost r
+    SELECT * FROM (SELECT s.source_id, k.dst, CASE WHEN k.o=1 THEN s.r ELSE s.r*list_avg([c for c in k.cums if c<=s.r])/nullif(list_sum([list_avg([c for c in q if c<=s.r]) for q in k.sib]),0) END - k.cost r
     FROM sp s JOIN kids k ON k.src=s.node) WHERE r>=0),
     tot AS (SELECT node, sum(r) remain FROM sp GROUP BY node)"""
 
