@@ -6,9 +6,6 @@ the folder named by ``spark.checkpoint.dir``, so a lost executor costs only the
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -16,6 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..operators.components import components  # noqa: F401
+from ..tables import shared_dir, shared_table  # noqa: F401
+
 #: Rows per Arrow batch where texts go to Python, and bytes of text that one numpy pass handles at once.
 BATCH_ROWS = 2000
 SLICE_BYTES = 4_000_000
@@ -25,44 +25,34 @@ BROADCAST_BYTES = 64_000_000
 BLOCK = 4096
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in local tests."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="verdigris-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` in the shared folder and read it again: its lineage ends there. The folder goes when Spark ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Keep Arrow batches of texts small enough for a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def located(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """The named columns with ``_file`` and ``_row``, which name a row of a file and are the same in every scan.
+_PLACE = (("file_path", "_file"), ("row_index", "_row"))
 
-    A DataFrame that isn't a plain scan of files is first written to the shared folder.
-    """
-    columns = list(columns)
-    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+
+def as_scan(df: DataFrame) -> DataFrame:
+    """``df`` if it is a plain scan of files, else a copy in the shared folder that is one."""
     if "_metadata" not in df.columns:
         try:
-            return df.select(*columns, *place)
+            df.select("_metadata.file_path", "_metadata.row_index")
+            return df
         except AnalysisException:
             pass
-    written = shared_table(df.select(*columns), "input")
-    return written.select(*written.columns, *place)
+    return shared_table(df, "input")
+
+
+def located(df: DataFrame, columns: Iterable[Column]) -> DataFrame:
+    """Columns of a scan (see ``as_scan``) with ``_file`` and ``_row``, which name a row of a file in every scan."""
+    return df.select(*columns, *[F.col(f"_metadata.{a}").alias(b) for a, b in _PLACE])
+
+
+def without_marked(df: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """The rows of a scan that aren't marked, with all its columns, whatever their names."""
+    rows = located(df, [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_whole")])
+    return with_marks(rows, bitmaps).filter(~F.col("_marked")).select("_whole.*")
 
 
 def row_bitmaps(marks: DataFrame) -> DataFrame:
@@ -105,32 +95,6 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], spread: Column,
     return numbered.join(starts, [*keys, "_part"]).withColumn(rank, F.col("_start") + F.col("_i") - 1).drop("_part", "_i", "_start")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of the undirected ``edges`` (src, dst long): (node, component), the least node's id.
-
-    Large-star and small-star steps by turns (Kiveris et al. 2014) until nothing changes; each round is a written
-    table. The hub of a large component is a skewed join key that adaptive execution splits.
-    """
-    def star(pairs: DataFrame) -> DataFrame:
-        least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-        return pairs.join(least, "u")
-
-    def state(t: DataFrame):
-        return t.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-
-    now = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u <> v").distinct()
-    now, was = shared_table(now, "edges"), None
-    while (is_ := state(now)) != was:
-        was = is_
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = star(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        joined = star(large)
-        small = joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
-        now = shared_table(small, "edges")
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
-
-
 # Numpy helpers, used inside tasks.
 
 _RNG = np.random.default_rng(20240501)

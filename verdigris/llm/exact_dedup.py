@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import located, row_bitmaps, shared_table, small_batches, with_marks
+from .common import as_scan, located, row_bitmaps, shared_table, small_batches, with_marks, without_marked
 
 #: The white space that equality ignores.
 SPACES = " \t\n\x0b\x0c\r"
@@ -130,7 +130,7 @@ def exact_duplicates(df: DataFrame, text: str = "text", row_id: str = "doc_id")
     """
     spark = df.sparkSession
     small_batches(spark, 8192)
-    rows = located(df, [F.col(row_id).alias("id"), F.col(text).alias("text")])
+    rows = located(as_scan(df), [F.col(row_id).alias("id"), F.col(text).alias("text")])
     bare = without_spaces(F.col("text"))
     facts = [F.col("_file"), F.col("_row"), F.col("id"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), F.unhex(F.sha2(F.encode(bare, "UTF-8"), 256)).alias("sha")]
     all_rows = shared_table(rows.select(*facts), "hashes")
@@ -163,6 +163,6 @@ def dedup_report(df: DataFrame, text: str = "text", row_id: str = "doc_id") -> D
 
 def drop_exact_duplicates(df: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """``df`` without the rows that a judged group doesn't keep; the other rows stay where they are."""
+    df = as_scan(df)
     _, judged = exact_duplicates(df, text, row_id)
-    bitmaps = shared_table(row_bitmaps(judged.filter(~F.col("kept"))), "dropped")
-    return with_marks(located(df, df.columns), bitmaps).filter(~F.col("_marked")).select(*df.columns)
+    return without_marked(df, shared_table(row_bitmaps(judged.filter(~F.col("kept"))), "dropped"))

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forest, grouped, located, mix, powers, row_bitmaps, shared_table, slices, small_batches, with_marks, words_of
+from .common import as_scan, components, forest, grouped, located, mix, powers, row_bitmaps, shared_table, slices, small_batches, with_marks, without_marked, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -213,7 +213,7 @@ def jaccard_groups(df: DataFrame, text: str = "text", row_id: str = "doc_id", th
     of their own. Equal rows are in one class. An empty table gives no rows. Other columns are ignored.
     """
     small_batches(df.sparkSession)
-    rows = located(df, [F.col(row_id).cast("long").alias("id"), F.col(text).alias("text")])
+    rows = located(as_scan(df), [F.col(row_id).cast("long").alias("id"), F.col(text).alias("text")])
     signed = rows.select("_file", "_row", "id", "text").mapInArrow(_signatures, "_file string, _row long, id long, k1 long, k2 long, n int, sig binary")
     signed = shared_table(signed.withColumn("uid", F.monotonically_increasing_id()), "signatures")
     classes = signed.filter("n > 0").groupBy("k1", "k2", "n", "sig").agg(F.min("uid").alias("cid"), F.count(F.lit(1)).alias("copies"))
@@ -263,9 +263,9 @@ def jaccard_report(df: DataFrame, text: str = "text", row_id: str = "doc_id", th
 
 def keep_one_of_each(df: DataFrame, text: str = "text", row_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """``df`` with one row of each group of similar texts: the one of least id (nulls last), then first in the scan."""
+    df = as_scan(df)
     found = shared_table(jaccard_groups(df, text, row_id, threshold), "groups")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("keep")
     keep = found.groupBy("root").agg(best).select(F.col("keep.uid").alias("uid"))
     dropped = found.select("_file", "_row", "uid").join(keep, "uid", "left_anti")
-    bitmaps = shared_table(row_bitmaps(dropped), "dropped")
-    return with_marks(located(df, df.columns), bitmaps).filter(~F.col("_marked")).select(*df.columns)
+    return without_marked(df, shared_table(row_bitmaps(dropped), "dropped"))

@@ -24,7 +24,8 @@ from .common import Words, joined_bytes, slices, small_batches
 BUCKETS = 1 << 18
 DIM = 8
 WINDOW = 8
-EPOCHS = 6
+#: Passes over the sample: at least 6, and up to 40 until so many windows were seen.
+EPOCHS, MOST_EPOCHS, SEEN = 6, 40, 400_000
 #: At most so many labelled rows of each kind are trained on.
 MOST_TOXIC, MOST_CLEAN = 800, 1200
 GRAMS = (3, 4, 5)
@@ -106,7 +107,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> tuple[np.ndarra
     window_at, window_doc = np.array(window_at, np.int64), np.array(window_doc, np.int64)
     window_end = np.minimum(window_at + WINDOW, words.bounds[window_doc + 1]) if n else window_at
     label = toxic[window_doc].astype(np.int64) if len(window_doc) else window_doc
-    for epoch in range(EPOCHS if n else 0):
+    for epoch in range(min(MOST_EPOCHS, max(EPOCHS, SEEN // len(window_at))) if n else 0):
         value = word_values(distinct, table @ (weight[:, 1] - weight[:, 0]))[which]
         sums = np.append(0, np.cumsum(value))
         score = (sums[window_end] - sums[window_at]) / (window_end - window_at)
@@ -129,7 +130,9 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> tuple[np.ndarra
             grams = np.repeat(begin[local] - np.append(0, np.cumsum(size[local])[:-1]), size[local]) + np.arange(size[local].sum())
             grams, of = bucket[grams], np.repeat(np.arange(len(local)), size[local])
             starts = np.append(0, np.cumsum(size[local])[:-1])
-            vectors = np.add.reduceat(table[grams], starts, axis=0) / size[local][:, None]
+            # half of the subwords are left out at random, so that none of a word's is relied upon alone
+            kept = ((rng.random(len(grams)) < 0.5) * 2).astype(np.float32)
+            vectors = np.add.reduceat(table[grams] * kept[:, None], starts, axis=0) / size[local][:, None]
             hidden = np.stack([np.bincount(owner, vectors[token, k], len(w)) for k in range(DIM)], 1) / length[:, None]
             logits = hidden @ weight + bias
             logits -= logits.max(1, keepdims=True)
@@ -141,7 +144,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> tuple[np.ndarra
             g_weight, g_bias = hidden.T @ p / len(w), p.mean(0)
             g_words = np.stack([np.bincount(token, g_hidden[owner, k], len(local)) for k in range(DIM)], 1) / size[local][:, None]
             touched, of_gram = np.unique(grams, return_inverse=True)
-            g_table = np.stack([np.bincount(of_gram, g_words[of, k], len(touched)) for k in range(DIM)], 1)
+            g_table = np.stack([np.bincount(of_gram, g_words[of, k] * kept, len(touched)) for k in range(DIM)], 1)
             seen[touched] += (g_table**2).mean(1)
             table[touched] -= 0.3 * g_table / np.sqrt(seen[touched])[:, None]
             seen_w += g_weight**2
