@@ -17,7 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
     table. The hub of a large component is a skewed join key that adaptive execution splits.
     """
     def star(pairs: DataFrame) -> DataFrame:
-        least = pairs.groupBy("u").agg(F.min("v").alias("m"))
+        # Written first, so the join has plain shuffles on both sides and a hub's rows can be split.
+        least = shared_table(pairs.groupBy("u").agg(F.min("v").alias("m")), "least")
         return pairs.join(least, "u")
 
     def state(t: DataFrame):
