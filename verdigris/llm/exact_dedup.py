@@ -148,7 +148,8 @@ def exact_duplicates(df: DataFrame, text: str = "text", row_id: str = "doc_id")
     best = F.struct((-F.col("n_chars")).alias("n"), F.col("id").isNull().alias("none"), "id", "uid")
     groups = suspects.groupBy("sha").agg(F.count(F.lit(1)).alias("group_size"), F.min(best).alias("keep"), (F.min("bare") == F.max("bare")).alias("same"))
     groups = groups.filter(F.when(F.col("same"), True).otherwise(F.raise_error(F.lit("different texts have one SHA-256"))).cast("boolean"))
-    judged = suspects.drop("bare").join(groups, "sha")
+    # Written first, so the join has plain shuffles on both sides and adaptive execution can split a hot group's rows.
+    judged = suspects.drop("bare").join(shared_table(groups, "groups"), "sha")
     judged = judged.select("_file", "_row", "id", "n_chars", "sha", "group_size", F.col("keep.id").alias("keep_id"), (F.col("uid") == F.col("keep.uid")).alias("kept"))
     return own, judged
 
