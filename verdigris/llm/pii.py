@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for personal data, by keyed Feistel permutations, with DataFrame functions only.
 
 Candidates are found by one regular expression and then validated: card numbers by their check digit, telephone
-numbers by the rules of the North American plan, addresses by the range of their parts, dates by the calendar. Each
+numbers by their ten digits in the usual groups, addresses by the range of their parts, dates by the calendar. Each
 value is then permuted within its format: a number below a * b is two halves, and each round adds to one half, in
 turn, a hash of key, kind, round and the other half. As this is a permutation, different values keep different
 pseudonyms, and equal values get the same pseudonym in every document, so links stay while the values go. A card
@@ -18,7 +18,7 @@ OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 KEY = r"\bAKIA[0-9A-Z]{16}\b"
 SECRET = r"""(?<=password=)[0-9a-f]{8,64}|(?<==\s{0,3}")[0-9a-f]{32,64}(?=")"""
-PHONE = r"(?<![\w+.(])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?![\w-])"
+PHONE = r"(?<![\w+.(])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])"
 CARD = r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"
 IP = rf"(?<![\w.]){OCTET}(?:\.{OCTET}){{3}}(?!\w|\.\d)"
 DATE = r"(?<![\w.-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d([./])\d\d\1(?:19|20)\d\d)(?![\w-]|\.\d)"
@@ -105,18 +105,32 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    d = _digits(m)
-    area, exchange, line = (F.substring(d, F.length(d) - 9 + s, F.lit(n)).cast("long") for s, n in ((0, 3), (3, 3), (6, 4)))
-    x = ((area - 200) * 800 + exchange - 200) * 10000 + line
-    half = F.lit(80000)
+    """Numbers of the North American plan (area and exchange from 200 on) stay such numbers; of the others, those
+    with an area below 200 and those with an exchange below 200 stay among themselves, so no two values meet."""
+    def number(d: Column) -> Column:
+        area, exchange, line = (F.substring(d, F.length(d) - 9 + s, F.lit(n)).cast("long") for s, n in ((0, 3), (3, 3), (6, 4)))
 
-    def text(h: Column) -> Column:
-        y = h["l"] * 80000 + h["r"]
-        front = F.call_function("div", y, F.lit(10000))
-        return F.concat((F.call_function("div", front, F.lit(800)) + 200).cast("string"), (front % 800 + 200).cast("string"), F.lpad((y % 10000).cast("string"), 4, "0"))
+        def choose(low_area: Column | int, low_exchange: Column | int, valid: Column | int) -> Column:
+            return F.when(area < 200, low_area).when(exchange < 200, low_exchange).otherwise(valid)
+
+        parts = F.struct(
+            choose(F.lit("phone1"), F.lit("phone2"), F.lit("phone")).alias("tag"), choose(0, 200, 200).alias("area0"), choose(0, 0, 200).alias("exchange0"), choose(1000, 200, 800).alias("span"),
+            choose(40000, 40000, 80000).alias("a"), choose(50000, 40000, 80000).alias("b"), area.alias("area"), exchange.alias("exchange"), line.alias("line"),
+        )
+
+        def permute(p: Column) -> Column:
+            x = ((p["area"] - p["area0"]) * p["span"] + p["exchange"] - p["exchange0"]) * 10000 + p["line"]
 
-    new = let(feistel(F.call_function("div", x, half), x % half, half, half, key, F.lit("phone")), text)
-    return refill(m, "0-9", F.concat(F.substring(d, F.lit(1), F.length(d) - 10), new))
+            def text(h: Column) -> Column:
+                y = h["l"] * p["b"] + h["r"]
+                front = F.call_function("div", y, F.lit(10000))
+                return F.concat(F.lpad((F.call_function("div", front, p["span"]) + p["area0"]).cast("string"), 3, "0"), F.lpad((front % p["span"] + p["exchange0"]).cast("string"), 3, "0"), F.lpad((y % 10000).cast("string"), 4, "0"))
+
+            return let(feistel(F.call_function("div", x, p["b"]), x % p["b"], p["a"], p["b"], key, p["tag"]), text)
+
+        return F.concat(F.substring(d, F.lit(1), F.length(d) - 10), let(parts, permute))
+
+    return refill(m, "0-9", let(_digits(m), number))
 
 
 def _ip(m: Column, key: str) -> Column:
