@@ -556,3 +556,56 @@ def resume_anti_join(spark, sf):
     tiles = fixture(spark, sf, "fx_tiles").select("tile_id")
     done = tiles.filter("tile_id%2=0").select("tile_id", F.lit("slope").alias("layer")).union(tiles.filter("tile_id%5=0").select("tile_id", F.explode(F.array(*map(F.lit, ("height", "slope", "aspect")))).alias("layer")))
     return pending(tiles, ["height", "slope", "aspect"], done, "tile_id")
+
+
+# Shapes that aren't boxes ---------------------------------------------------------------------------------------
+
+
+@query("SELECT source_id, z.zone_id, $6((least(b.x1,z.x1)-greatest(b.x0,z.x0))*(least(b.y1,z.y1)-greatest(b.y0,z.y0))) area FROM fx_boxes b JOIN fx_zones z ON b.x0<z.x1 AND z.x0<b.x1 AND b.y0<z.y1 AND z.y0<b.y1")
+def polygon_overlay(spark, sf):
+    from ..functions import shapes
+
+    pairs = box_join(fixture(spark, sf, "fx_boxes").drop("zone_id"), zones_of(spark, sf), TILE, predicate="overlaps")
+    a, b = (shapes.box(*map(F.col, c)) for c in (("x0", "y0", "x1", "y1"), ("bx0", "by0", "bx1", "by1")))
+    pairs = pairs.select("source_id", "zone_id", a.alias("a"), b.alias("b"))
+    return pairs.select("source_id", "zone_id", shapes.intersection(F.col("a"), F.col("b")).alias("g")).select("source_id", "zone_id", r6(shapes.area(F.col("g"))).alias("area"))
+
+
+@query()
+def buffer_area(spark, sf):
+    from ..functions import shapes
+
+    d = fixture(spark, sf, "fx_boxes").select("source_id", shapes.box(*map(F.col, ("x0", "y0", "x1", "y1"))).alias("g"))
+    wide = d.select("source_id", shapes.area(F.col("g")).alias("area"), shapes.buffer(F.col("g"), 25.0).alias("w"), shapes.buffer(F.col("g"), -25.0).alias("n"))
+    return wide.select("source_id", "area", S.rint(shapes.area(F.col("w")), 1).alias("wider"), S.rint(shapes.area(F.col("n")), 1).alias("narrower"))
+
+
+@query("SELECT point_id, $6(30.0+x/300.0) lon, $6(y/20.0) lat FROM fx_points")
+def utm_roundtrip(spark, sf):
+    from ..functions import shapes
+
+    @F.pandas_udf("binary")
+    def point(lon, lat):
+        import numpy as np
+        import pandas as pd
+
+        from ..geometry import wkb
+
+        return pd.Series([wkb.dumps(wkb.POINT, [np.array([[a, b]])]) for a, b in zip(lon, lat)])
+
+    d = fixture(spark, sf, "fx_points").select("point_id", point(30.0 + F.col("x") / 300.0, F.col("y") / 20.0).alias("g"))
+    back = d.select("point_id", shapes.reproject(shapes.reproject(F.col("g"), 4326, 32636), 32636, 4326).alias("g"))
+    b = shapes.with_bounds(back, "g")
+    return b.select("point_id", r6("x0").alias("lon"), r6("y0").alias("lat"))
+
+
+@query()
+def contour_lines(spark, sf):
+    from ..functions import shapes
+    from ..operators import vectorise
+
+    d = R.gradient(fixture(spark, sf, "fx_raster"), 30.0, 30.0)  # missing cells are filled in
+    span = d.groupBy("tile").agg((F.max("row") - F.min("row") + 1).alias("height"), (F.max("col") - F.min("col") + 1).alias("width"), F.array_sort(F.collect_list(F.struct("row", "col", F.struct("value").alias("v")))).alias("p"))
+    tiles = span.select("tile", F.lit(0.0).alias("x_min"), F.lit(960.0).alias("y_max"), F.lit(30.0).alias("size_x"), F.lit(30.0).alias("size_y"), "height", "width", F.transform("p", lambda p: p["v"]["value"]).alias("values"), F.lit(None).cast("string").alias("error"))
+    lines = vectorise.height_isolines(tiles, 100.0)
+    return lines.groupBy("tile", F.col("value").alias("level")).agg(F.count(F.lit(1)).alias("lines"), r6(F.sum(shapes.length(F.col("geom")))).alias("length"))
