@@ -17,6 +17,8 @@ from .fixtures import fixture, with_views
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 TILE = 250.0
+#: Small tiles hold few edges each, so few faces: in a dense plane that is what the overlay costs.
+FACE_TILE = 50.0
 B = {"x0": "bx0", "y0": "by0", "x1": "bx1", "y1": "by1"}
 
 
@@ -143,14 +145,14 @@ _BY_ZONE = "bx AS (SELECT zone_id k, x0, y0, x1, y1, impact, TRUE is_source FROM
 @query(f"WITH {_BY_ZONE}, {_FACES}, {_FACE} SELECT layer_impact, is_source, sum(area) area FROM face GROUP BY 1, 2")
 def overlay_combine(spark, sf):
     boxes = fixture(spark, sf, "fx_boxes").withColumns({"impact": F.col("impact").cast("double"), "is_source": F.lit(True)})
-    return O.dissolved(O.overlay(boxes, ["zone_id"], TILE), ["layer_impact", "is_source"])
+    return O.dissolved(O.overlay(boxes, ["zone_id"], FACE_TILE), ["layer_impact", "is_source"])
 
 
 @query(f"""WITH {_BY_ZONE}, {_FACES}, face AS (SELECT x, x2, y, y2, coalesce(max(CASE WHEN impact<0 THEN impact END), max(impact)) layer_impact, (x2-x)*(y2-y) area FROM cov GROUP BY k, x, x2, y, y2)
     SELECT layer_impact, sum(area) area FROM face GROUP BY 1""")
 def impact_udaf_custom(spark, sf):
     boxes = fixture(spark, sf, "fx_boxes").withColumns({"impact": F.col("impact").cast("double"), "is_source": F.lit(True)})
-    return O.dissolved(O.overlay(boxes, ["zone_id"], TILE, combine=O.custom_smallest_negative), ["layer_impact"])
+    return O.dissolved(O.overlay(boxes, ["zone_id"], FACE_TILE, combine=O.custom_smallest_negative), ["layer_impact"])
 
 
 def _box_frame(spark, sf) -> DataFrame:
@@ -158,7 +160,7 @@ def _box_frame(spark, sf) -> DataFrame:
     boxes = fixture(spark, sf, "fx_boxes").select(F.col("impact").cast("double").alias("impact"), F.lit(True).alias("is_source"), "x0", "y0", "x1", "y1")
     cut = O.clipped(box_join(boxes, zones_of(spark, sf), TILE, predicate="overlaps"), F.col("bx0"), F.col("by0"), F.col("bx1"), F.col("by1"))
     caps = boxes.agg(F.max("impact").alias("most"), F.min("impact").alias("least"))
-    return O.overlay(cut.select("zone_id", "impact", "is_source", "x0", "y0", "x1", "y1"), ["zone_id"], TILE, caps)
+    return O.overlay(cut.select("zone_id", "impact", "is_source", "x0", "y0", "x1", "y1"), ["zone_id"], FACE_TILE, caps)
 
 
 _CUT = """bx AS (SELECT z.zone_id k, greatest(b.x0,z.x0) x0, greatest(b.y0,z.y0) y0, least(b.x1,z.x1) x1, least(b.y1,z.y1) y1, impact, TRUE is_source
