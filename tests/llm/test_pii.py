@@ -74,6 +74,42 @@ def test_texts(spark):
     assert card[1] == card[2].replace("-", "") and luhn(card[1])
 
 
+def pseudonyms(spark, texts):
+    return [(r["text"], {k: v for k, v in r["n"].items() if v}) for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), KEY, counts="n").orderBy("i").collect()]
+
+
+def test_cards_beside_other_numbers(spark):
+    card = "4111 1111 1111 1111"
+    alone = pseudonyms(spark, [card, card.replace(" ", ""), "378282246310005", "555-123-4567", "2024-05-01"])
+    spaced, bare, amex, phone, date = (t for t, _ in alone)
+    assert spaced != card and spaced.replace(" ", "") == bare
+    texts = ["card 4111111111111111 12/25", f"{card} 123", f"2024 {card}", f"order 77 12 {card} 12 25 123", f"{card} 378282246310005", f"{card} 2024-05-01", f"{card} 555-123-4567", f"555-123-4567 {card}", f"{card} 12th", "+4111 1111 1111 1111"]
+    wanted = [f"card {bare} 12/25", f"{spaced} 123", f"2024 {spaced}", f"order 77 12 {spaced} 12 25 123", f"{spaced} {amex}", f"{spaced} {date}", f"{spaced} {phone}", f"{phone} {spaced}", f"{spaced} 12th", f"+{spaced}"]
+    assert [t for t, _ in pseudonyms(spark, texts)] == wanted
+    odd = "41 11 11 11 11 11 11 11"
+    [(new, n), (plain, none)] = pseudonyms(spark, [f"7 {odd}", "1234 5678 9012 3456 and 1234567890123456789012345"])
+    assert n == {"card": 1} and odd not in new and plain == "1234 5678 9012 3456 and 1234567890123456789012345" and not none
+    numbers = " ".join(str(10 + i * i % 89) for i in range(5000))
+    [(new, n)] = pseudonyms(spark, [numbers])
+    assert len(new) == len(numbers) and n["card"] > 50
+
+
+def test_wider_shapes(spark):
+    phones = ["(555-123-4567)", "5551234567", "15551234567", "+15551234567", "+44 20 7946 0958", "+44 (0)20 7946 0958", "0044 20 7946 0958", "+49 1512 3456789", "020 7946 0958", "06 12 34 56 78", "(020) 7946 0958", "555-123-4567x89", "555-123-4567 - call"]
+    dates = ["2024-05-01T10:00:00Z", "5/3/2020", "15/3/2020", "1.5.2020"]
+    secrets = ["password=Hunter2!x", "pwd: 'tr0ub4dor&3'", '"api_key": "sk_live_4eC39HqLyjWDarjtT1"', "password=E3B3ED3CC8548923D6", "k = '" + "0a" * 40 + "'", "password=correcthorse"]
+    for kind, texts in (("phone", phones), ("date", dates), ("secret", secrets)):
+        for old, (new, n) in zip(texts, pseudonyms(spark, texts)):
+            assert n == {kind: 1} and new != old, (old, new, n)
+            if kind != "date":
+                assert re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "9", new))) == re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "9", old))) or "0a0a" in old
+    out = [t for t, _ in pseudonyms(spark, phones + dates)]
+    assert {re.sub(r"\D", "", t)[-10:] for t in out[:4]} == {re.sub(r"\D", "", out[0])}
+    assert out[4].startswith("+44 ") and out[6].startswith("0044 ") and out[8].startswith("0") and out[len(phones)].endswith("T10:00:00Z")
+    same = pseudonyms(spark, ["1234567 and 20201231, 2020-02-30, 31/2/2020, 12.5, 010 20", "the secret: understanding", "token of thanks"])
+    assert [n for _, n in same] == [{}] * 3
+
+
 def test_odd_rows(odd, odd_rows, empty):
     assert pii.pseudonymise(odd, KEY).columns == odd.columns
     assert pii.pseudonymise(odd, KEY).count() == len(odd_rows) and pii.pseudonymise(empty, KEY).count() == 0

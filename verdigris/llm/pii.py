@@ -1,7 +1,9 @@
 """Format-preserving pseudonyms for personal data, by keyed Feistel permutations, with DataFrame functions only.
 
-Candidates are found by one regular expression and then validated: card numbers by their check digit, telephone
-numbers by their ten digits in the usual groups, addresses by the range of their parts, dates by the calendar. Each
+Candidates are found by regular expressions, in passes over what is left of a text, and then validated: addresses by the
+range of their parts, dates by the calendar, telephone numbers by their number of digits. Card numbers are sought in
+whole runs of digits: every part of 13 to 19 digits between separators is held against its check digit, those in usual
+groups before and all others after the telephone numbers, so a number beside a card hides neither. Each
 value is then permuted within its format: a number below a * b is two halves, and each round adds to one half, in
 turn, a hash of key, kind, round and the other half. As this is a permutation, different values keep different
 pseudonyms, and equal values get the same pseudonym in every document, so links stay while the values go. A card
@@ -17,12 +19,35 @@ ROUNDS = 8
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 KEY = r"\bAKIA[0-9A-Z]{16}\b"
-SECRET = r"""(?<=password=)[0-9a-f]{8,64}|(?<==\s{0,3}")[0-9a-f]{32,64}(?=")"""
-PHONE = r"(?<![\w+.(])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])"
-CARD = r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"
+VALUE = r"""[^\s"'<>,;&]{5,}[^\s"'<>,;&.:!?)\]]"""
+SECRET = "|".join(
+    (
+        rf"""(?<=[="'])(?<=(?i:passw(?:or)?d|pwd)["']?=["']?){VALUE}""",
+        rf"""(?<=[=:"'\s])(?<=(?i:passw(?:or)?d|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key)["']?\s{{0,3}}[=:]\s{{0,3}}["']?)(?=[^\s"'<>,;&]*\d){VALUE}""",
+        r"""(?<=[=:]\s{0,3}["'])(?=[^"']*\d)(?:[0-9a-f]{32,}|(?=[^"']*[A-Za-z])[A-Za-z0-9+/_=-]{32,})(?=["'])""",
+    )
+)
 IP = rf"(?<![\w.]){OCTET}(?:\.{OCTET}){{3}}(?!\w|\.\d)"
-DATE = r"(?<![\w.-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d([./])\d\d\1(?:19|20)\d\d)(?![\w-]|\.\d)"
-ANY = "|".join((EMAIL, KEY, SECRET, DATE, PHONE, IP, CARD))
+DATE = r"(?<![\w.-])(?<!\d/)(?:(?:19|20)\d\d-\d\d-\d\d(?:(?=[Tt]\d)|(?![\w-]|\.\d))|\d\d?([./])\d\d?\1(?:19|20)\d\d(?![\w-]|\.\d))"
+#: Numbers in groups of 3, 3 and 4; with a country code; with a leading 0 and other groups; of ten bare digits.
+PHONE = "|".join(
+    (
+        r"(?:(?=\()|(?<![\w+.]))(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?:(?!\w|-\w)|(?= ?x\d))",
+        r"(?<![\w+.])(?:\+|00)[1-9](?:[ ./()-]{0,3}\d){6,14}(?!\w|-\w)",
+        r"(?<![\w+.-])\(?0[1-9]\d{0,3}\)?(?:[ /-]{1,2}\d{2,8}){1,5}(?!\w|-\w|[./]\d)",
+        r"(?<![\w+.-])1?\d{10}(?!\w|[.-]\w)",
+    )
+)
+#: A run of digits with single separators, not behind a + unless it's too long for a telephone number; the possessive
+#: loop takes no stack, however long the run.
+WHOLE = r"(?=\d++(?![^\W\d]|-[^\W\d]))"
+RUN = rf"(?:(?<![\w.+-])|(?<=\+)(?=\d{{4}}[ -]?\d{{4}}[ -]?\d{{4}}[ -]?\d{{4}})){WHOLE}\d(?:(?:[ -]{WHOLE})?\d){{12,}}+"
+CARD_DIGITS = range(13, 20)
+USUAL = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{3})?|\d{4}([ -])\d{6}\2\d{4,5})$"
+ISSUER = r"^(?:4|5[1-5]|22[2-9]|2[3-6]|27[012]|3[0-9]|6)"
+COUNTRY = r"^(?:7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+MARKED, PARTED = "|".join((EMAIL, KEY, SECRET)), "|".join((DATE, IP))
+PIECES = "array<struct<text:string,kind:string>>"
 KINDS = ("email", "key", "secret", "phone", "card", "ip", "date")
 LETTERS, LETTER_DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"
 FIRST_DAY, DAYS, DAY_HALVES = "1900-01-01", 73049, (17, 4297)
@@ -105,8 +130,9 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """Numbers of the North American plan (area and exchange from 200 on) stay such numbers; of the others, those
-    with an area below 200 and those with an exchange below 200 stay among themselves, so no two values meet."""
+    """Ten digits, with or without a 1 before, are area, exchange and line. Numbers of the North American plan (area
+    and exchange from 200 on) stay such numbers; of the others, those with an area below 200 and those with an exchange
+    below 200 stay among themselves, so no two values meet. Other numbers keep leading zeros and country code."""
     def number(d: Column) -> Column:
         area, exchange, line = (F.substring(d, F.length(d) - 9 + s, F.lit(n)).cast("long") for s, n in ((0, 3), (3, 3), (6, 4)))
 
@@ -130,7 +156,18 @@ def _phone(m: Column, key: str) -> Column:
 
         return F.concat(F.substring(d, F.lit(1), F.length(d) - 10), let(parts, permute))
 
-    return refill(m, "0-9", let(_digits(m), number))
+    def other(d: Column) -> Column:
+        zeros = F.regexp_extract(d, "^0*", 0)
+        national = F.substring(d, F.length(zeros) + 1, F.length(d))
+        front = F.when(m.startswith("+") | m.startswith("00"), F.concat(zeros, F.regexp_extract(national, COUNTRY, 0))).otherwise(zeros)
+        return let(front, lambda f: F.concat(f, permuted(F.substring(d, F.length(f) + 1, F.length(d)), 10, key, F.concat(F.lit("phone+"), F.ltrim(f, F.lit("0"))))))
+
+    def either(d: Column) -> Column:
+        abroad = m.startswith("+") | m.startswith("00")
+        ten = (~abroad & (F.length(d) == 10)) | (~m.startswith("00") & (F.length(d) == 11) & d.startswith("1"))
+        return F.when(ten, number(d)).otherwise(other(d))
+
+    return refill(m, "0-9", let(_digits(m), either))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -145,19 +182,23 @@ def _ip(m: Column, key: str) -> Column:
 
 def _as_date(m: Column) -> Column:
     """The date, or null; 05/06/2020 is read month first and 05.06.2020 day first."""
-    day_first = F.coalesce(F.try_to_timestamp(F.regexp_replace(m, "/", "."), F.lit("dd.MM.yyyy")), F.lit(None).cast("timestamp"))
-    return F.when(m.contains("-"), F.try_to_timestamp(m, F.lit("yyyy-MM-dd"))).when(m.contains("/"), F.coalesce(F.try_to_timestamp(m, F.lit("MM/dd/yyyy")), day_first)).otherwise(day_first).cast("date")
+    day_first = F.coalesce(F.try_to_timestamp(F.regexp_replace(m, "/", "."), F.lit("d.M.yyyy")), F.lit(None).cast("timestamp"))
+    return F.when(m.contains("-"), F.try_to_timestamp(m, F.lit("yyyy-MM-dd"))).when(m.contains("/"), F.coalesce(F.try_to_timestamp(m, F.lit("M/d/yyyy")), day_first)).otherwise(day_first).cast("date")
 
 
 def _date(m: Column, key: str) -> Column:
     a, b = DAY_HALVES
     x = F.date_diff(_as_date(m), F.lit(FIRST_DAY).cast("date")).cast("long")
-    month_first = m.contains("/") & F.try_to_timestamp(m, F.lit("MM/dd/yyyy")).isNotNull()
+    month_first = m.contains("/") & F.try_to_timestamp(m, F.lit("M/d/yyyy")).isNotNull()
 
     def text(h: Column) -> Column:
         day = F.date_add(F.lit(FIRST_DAY).cast("date"), (h["l"] * b + h["r"]).cast("int"))
-        dotted = F.when(m.contains("/"), F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "dd.MM.yyyy"))
-        return F.when(m.contains("-"), F.date_format(day, "yyyy-MM-dd")).when(month_first, F.date_format(day, "MM/dd/yyyy")).otherwise(dotted)
+
+        def written(month: str, of_day: str) -> Column:
+            dotted = F.when(m.contains("/"), F.date_format(day, f"{of_day}/{month}/yyyy")).otherwise(F.date_format(day, f"{of_day}.{month}.yyyy"))
+            return F.when(month_first, F.date_format(day, f"{month}/{of_day}/yyyy")).otherwise(dotted)
+
+        return F.when(m.contains("-"), F.date_format(day, "yyyy-MM-dd")).when(F.length(m) < 10, written("M", "d")).otherwise(written("MM", "dd"))
 
     return let(feistel(F.call_function("div", x, F.lit(b)), x % b, F.lit(a), F.lit(b), key, F.lit("date")), text)
 
@@ -170,25 +211,97 @@ def _email(m: Column, key: str) -> Column:
     return F.concat(refill(refill(local, "a-z", new), "0-9", digits), F.lit("@"), domain)
 
 
-def _judge(m: Column, key: str) -> Column:
-    """struct(kind, out): what a candidate is and its pseudonym; a null kind leaves it as it is."""
-    plain = _digits(m)
+def _secret(m: Column, key: str) -> Column:
+    """Hexadecimal values stay such; of others, lower and upper letters and digits are permuted each among themselves."""
+    lower, upper, digits = (F.regexp_replace(m, f"[^{c}]", "") for c in ("a-z", "A-Z", "0-9"))
+
+    def letters(text: Column, tag: str) -> Column:
+        return F.translate(permuted(F.translate(F.lower(text), LETTERS, LETTER_DIGITS), 26, key, F.lit(tag)), LETTER_DIGITS, LETTERS)
+
+    mixed = refill(refill(refill(m, "a-z", letters(lower, "secret a")), "A-Z", F.upper(letters(upper, "secret A"))), "0-9", permuted(digits, 10, key, F.lit("secret 0")))
+    return F.when(m.rlike("^[0-9a-f]+$"), permuted(m, 16, key, F.lit("secret"))).otherwise(mixed)
 
-    def case(kind: str, out: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), out.alias("out"))
 
-    return (
-        F.when(m.contains("@"), case("email", _email(m, key)))
-        .when(m.startswith("AKIA"), case("key", F.concat(F.lit("AKIA"), F.upper(permuted(F.lower(F.substring(m, 5, 16)), 36, key, F.lit("key"))))))
-        .when(m.rlike(rf"^{IP}$"), case("ip", _ip(m, key)))
-        .when(m.rlike(rf"^{DATE}$") & _as_date(m).isNotNull(), case("date", _date(m, key)))
-        .when(m.rlike(rf"^{PHONE}$"), case("phone", _phone(m, key)))
-        .when(m.rlike(rf"^{CARD}$") & (luhn_sum(plain) % 10 == 0) & ~m.rlike(r"^[0 -]+$"), case("card", _card(m, key)))
-        .when(m.rlike(r"^[0-9a-f]{8,64}$") & ~m.rlike(rf"^{CARD}$"), case("secret", permuted(m, 16, key, F.lit("secret"))))
-        .otherwise(F.struct(F.lit(None).cast("string").alias("kind"), m.alias("out")))
+def _piece(text: Column, kind: str | None = None) -> Column:
+    return F.struct(text.alias("text"), F.lit(kind).cast("string").alias("kind"))
+
+
+def _marked(m: Column, key: str) -> Column:
+    return F.array(
+        F.when(m.rlike(rf"^(?:{EMAIL})$"), _piece(_email(m, key), "email"))
+        .when(m.rlike(rf"^(?:{KEY})$"), _piece(F.concat(F.lit("AKIA"), F.upper(permuted(F.lower(F.substring(m, 5, 16)), 36, key, F.lit("key")))), "key"))
+        .otherwise(_piece(_secret(m, key), "secret"))
     )
 
 
+def _parted(m: Column, key: str) -> Column:
+    date = F.when(_as_date(m).isNotNull(), _piece(_date(m, key), "date")).otherwise(_piece(m))
+    return F.array(F.when(m.rlike(rf"^{IP}$"), _piece(_ip(m, key), "ip")).otherwise(date))
+
+
+def _phones(m: Column, key: str) -> Column:
+    """A leading 0 without a country code takes 9 to 11 digits."""
+    short = m.rlike(r"^\(?0[1-9]") & ~F.length(_digits(m)).between(9, 11)
+    return F.array(F.when(short, _piece(m)).otherwise(_piece(_phone(m, key), "phone")))
+
+
+def _cards(m: Column, key: str, usual: bool) -> Column:
+    """The pieces of a run of digits: its card numbers and what is between them. Of valid parts that overlap, one that
+    begins like an issuer's goes before others, then a longer one, then the first."""
+    tokens = F.regexp_extract_all(m, F.lit(r"\d+[ -]?"), F.lit(0))
+
+    def in_tokens(t: Column) -> Column:
+        def parts(i: Column) -> Column:
+            window = F.array_join(F.slice(t, i, F.lit(CARD_DIGITS[-1] + 1)), "")
+
+            def heads(w: Column) -> Column:
+                texts = F.array(*[F.regexp_extract(w, rf"^\d(?:[ -]?\d){{{n - 1}}}(?!\d)", 0) for n in CARD_DIGITS])
+                right = F.filter(texts, lambda x: (x != "") & (x.rlike(USUAL) if usual else F.lit(True)) & ~x.rlike("^[0 -]+$") & (luhn_sum(_digits(x)) % 10 == 0))
+                return F.transform(right, lambda x: F.struct((~_digits(x).rlike(ISSUER)).cast("int").alias("rank"), (-F.length(_digits(x))).alias("less"), i.alias("at"), F.size(F.split(x, "[ -]")).alias("n"), x.alias("text")))
+
+            return let(window, heads)
+
+        valid = F.array_sort(F.flatten(F.transform(F.sequence(F.lit(1), F.size(t)), parts)))
+
+        def take(acc: Column, c: Column) -> Column:
+            meets = F.exists(acc, lambda p: (p["at"] < c["at"] + c["n"]) & (c["at"] < p["at"] + p["n"]))
+            return F.when(meets, acc).otherwise(F.concat(acc, F.array(F.struct(c["at"].alias("at"), c["n"].alias("n"), c["text"].alias("text")))))
+
+        taken = F.array_sort(F.aggregate(valid, F.array().cast("array<struct<at:int,n:int,text:string>>"), take))
+
+        def in_taken(c: Column) -> Column:
+            def around(k: Column) -> Column:
+                start = F.coalesce(F.get(c, k)["at"], F.size(t) + 1)
+                before = F.when(k > 0, F.get(c, k - 1)["at"] + F.get(c, k - 1)["n"]).otherwise(F.lit(1))
+                mark = F.when(k > 0, F.regexp_extract(F.get(t, before - 2), "[ -]?$", 0)).otherwise("")
+                gap = _piece(F.concat(mark, F.array_join(F.slice(t, before, start - before), "")))
+                return F.when(k < F.size(c), F.array(gap, _piece(_card(F.get(c, k)["text"], key), "card"))).otherwise(F.array(gap))
+
+            return F.flatten(F.transform(F.sequence(F.lit(0), F.size(c)), around))
+
+        return let(taken, in_taken)
+
+    return let(tokens, in_tokens)
+
+
+def _usual_cards(m: Column, key: str) -> Column:
+    return _cards(m, key, True)
+
+
+def _other_cards(m: Column, key: str) -> Column:
+    return _cards(m, key, False)
+
+
+def _scan(pieces: Column, pattern: str, judge, key: str) -> Column:
+    """``pieces``, where those without a kind are cut at the finds of a pattern, and ``judge`` gives the pieces of a find."""
+    def cut(p: Column) -> Column:
+        finds = F.transform(F.regexp_extract_all(p["text"], F.lit(pattern), F.lit(0)), lambda m: judge(m, key))
+        parts = F.zip_with(F.split(p["text"], pattern, -1), finds, lambda gap, f: F.concat(F.array(_piece(gap)), F.coalesce(f, F.array().cast(PIECES))))
+        return F.when(p["kind"].isNull() & p["text"].rlike(pattern), F.flatten(parts)).otherwise(F.array(p))
+
+    return F.flatten(F.transform(pieces, cut))
+
+
 def _is(kind: str):
     return lambda f: f["kind"] == kind
 
@@ -199,16 +312,16 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text", counts: str | None
     Null and empty texts stay as they are, and so does everything that fails validation. Rows are independent of each
     other, so ties, repeated rows, empty tables and further columns need no rule.
     """
-    # Only texts with a digit or an @ can hold a candidate.
-    some = F.col(text).rlike("[0-9@]")
-    found = F.when(some, F.transform(F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)), lambda m: _judge(m, key)))
-    found = F.coalesce(found, F.array().cast("array<struct<kind:string,out:string>>"))
+    # Only texts with a digit, an @ or a password can hold a candidate.
+    some = F.col(text).rlike(r"[0-9@]|(?i:passw(?:or)?d|pwd)")
     name = "_found"
     while name in df.columns:
         name += "_"
-    out = df.withColumn(name, found)
-    between = F.zip_with(F.split(F.col(text), ANY, -1), F.array_append(F.transform(name, lambda f: f["out"]), F.lit("")), lambda a, b: F.concat(a, b))
-    out = out.withColumn(text, F.when(F.size(name) > 0, F.array_join(between, "")).otherwise(F.col(text)))
+    out = df.withColumn(name, F.coalesce(F.when(some, F.array(_piece(F.col(text)))), F.array().cast(PIECES)))
+    # One column after the other, as the analyzer goes through one level of lambdas at a time and not through more than a hundred.
+    for pattern, judge in ((MARKED, _marked), (PARTED, _parted), (RUN, _usual_cards), (PHONE, _phones), (RUN, _other_cards)):
+        out = out.withColumn(name, _scan(F.col(name), pattern, judge, key))
+    out = out.withColumn(text, F.when(F.size(name) > 0, F.array_join(F.transform(name, lambda p: p["text"]), "")).otherwise(F.col(text)))
     if counts is not None:
         out = out.withColumn(counts, F.map_from_arrays(F.array(*map(F.lit, KINDS)), F.array(*[F.size(F.filter(name, _is(k))) for k in KINDS])))
     return out.drop(name)
