@@ -21,6 +21,22 @@ def brute_syncmers(text, k=syncmers.K, s=syncmers.S):
     return [i for i in range(len(text) - k + 1) if min(small[i : i + w]) in (small[i], small[i + w - 1])]
 
 
+def test_likeness_of_long_texts_with_edits():
+    rng = np.random.default_rng(5)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, n)) for n in rng.integers(2, 12, 5000)]
+    text = [words[i] for i in rng.integers(0, 5000, 20000)]
+    edited = [words[rng.integers(5000)] if rng.random() < 0.02 else w for w in text]
+    a, b = syncmers.anchors([" ".join(text), " ".join(edited)])
+    common = len(np.intersect1d(a[0], b[0]))
+    assert syncmers.likeness(a, b) > 0.6 and common > 30
+    inserted = " ".join(text[:300] + words[:20] + text[300:600])
+    a, b, c = syncmers.anchors([" ".join(text[:600]), inserted, " ".join(text[300:600] + text[:300])])
+    assert syncmers.likeness(a, b) > 0.85 and 0.3 < syncmers.likeness(a, c) < 0.75
+    h = np.arange(4, dtype=np.uint64)
+    assert syncmers.likeness((h, np.array([0, 10, 20, 30])), (h, np.array([10, 0, 30, 20]))) == 1.0
+    assert syncmers.likeness((h, np.array([0, 100, 200, 300])), (h, np.array([300, 200, 100, 0]))) == 0.25
+
+
 def test_closed_syncmers_are_found():
     text = sentence(3, 120)
     h, at = syncmers.anchors([text[:10] * 9, text], keep=10**6)[1]
