@@ -37,6 +37,17 @@ def test_likeness_of_long_texts_with_edits():
     assert syncmers.likeness((h, np.array([0, 100, 200, 300])), (h, np.array([300, 200, 100, 0]))) == 0.25
 
 
+def test_pairs_across_the_short_length(spark):
+    text = "the quick brown fox jumps over a lazy dog and runs away fr"
+    assert len(text) == syncmers.SHORT + 2
+    rows = [(5, text[:57]), (4, text[:54]), (3, text[:56]), (2, "abc"), (1, "abcdefgh"), (0, "")]
+    got = {r["doc_id"]: r for r in syncmers.fingerprints_with_neighbours(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[5]["near_next"] > 0.8 and got[4]["near_next"] > 0.8
+    assert got[3]["near_edited"] > 0.5  # the edited text has 41 characters
+    assert got[2]["near_next"] > 0.2 and got[1]["near_next"] == 0.0
+    assert got[5]["fingerprint"] == syncmers.as_text(syncmers.anchors([text[:57]])[0])
+
+
 def test_closed_syncmers_are_found():
     text = sentence(3, 120)
     h, at = syncmers.anchors([text[:10] * 9, text], keep=10**6)[1]
