@@ -103,6 +103,22 @@ def test_dropout_is_lossless_and_seeded(odd, odd_rows, empty):
     assert sorted(r["text"] or "" for r in back) == sorted(r[1] or "" for r in odd_rows)
 
 
+def test_dropout_varies_by_occurrence():
+    coder, plain = pieces.Coder(MODEL, 0.2, 1), pieces.Coder(MODEL, 0.0, 0)
+    whole = plain.encode("information").tolist()
+    got = coder.encode(" ".join(["information"] * 400)).tolist()
+    words, word, text = [], [], ""
+    for x in got:
+        word.append(x)
+        text += coder.pieces.raw[x].decode()
+        if text == " information":
+            words.append(tuple(word))
+            word, text = [], ""
+    assert len(words) == 400 and len(set(words)) > 3 and tuple(whole) in words
+    direct = [tuple(coder.pieces.encode_word("▁information", 0.2, pieces.xxhash.xxh64_intdigest(b"%d" % r, coder.text_seed))) for r in range(400)]
+    assert words == direct
+
+
 PAGE = '<!DOCTYPE html><html lang="de"><head><title>A &amp; B</title><style>p{}</style><script>var t="</p>";</script></head><body><!-- <p>no</p> --><nav><a href="/x">x</a></nav><h1>Hi</h1><p>One <b>two</b><br>three&nbsp;&lt;4</p><script>open'
 
 

@@ -2,11 +2,13 @@
 
 A BPE model merges, again and again, the adjacent pair whose piece scores best. An agenda (a heap of candidate
 merges) gives that order. With dropout, a candidate that comes up is skipped when a hash, keyed by the seed, of the
-word, the place and the piece falls below the rate. So a word gets other segmentations for other seeds and the same
-for the same seed, on any machine and after any retry, and every segmentation decodes to the text.
+text, the word and its rank in the text, the place and the piece falls below the rate. So each occurrence of a word is
+segmented anew, a text gets the same ids for the same seed, on any machine and after any retry, and every segmentation
+decodes to the text.
 
 No piece of the model holds a space mark after another character, or a line break, so words are encoded apart and a
-worker remembers them. Characters without a piece become byte pieces; so does a space mark that stands in the text
+worker remembers them undropped, with the candidates that came up: where an occurrence skips none of these, its ids are
+the remembered ones. Characters without a piece become byte pieces; so does a space mark that stands in the text
 itself, which plain SentencePiece would turn into a space.
 """
 
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 SPACE = "▁"
-MEMORY = 300_000
+MEMORY = 100_000
 _PARTS = re.compile(r"\n+|[^\n]+")
 
 
@@ -53,13 +55,13 @@ class Pieces:
         for b, i in self.byte.items():
             self.raw[i] = bytes([b])
 
-    def encode_word(self, word: str, rate: float, seed: int) -> list[int]:
-        """Ids of a word that begins with its space marks."""
+    def encode_word(self, word: str, rate: float, seed: int, came_up: list[bytes] | None = None) -> list[int]:
+        """Ids of a word that begins with its space marks; ``came_up`` takes the hashed keys of its candidates."""
         ids, scores = self.ids, self.scores
         symbols: list = list(word)
         n = len(symbols)
         after, before, agenda = list(range(1, n + 1)), list(range(-1, n - 1)), []
-        key = word.encode("utf-8", "surrogatepass") if rate else b""
+        key = word.encode("utf-8", "surrogatepass") if rate or came_up is not None else b""
 
         def offer(left: int) -> None:
             right = after[left]
@@ -74,6 +76,8 @@ class Pieces:
                 continue
             if rate and xxhash.xxh64_intdigest(key + b"%d,%d" % (left, i), seed) < rate * 2**64:
                 continue
+            if came_up is not None:
+                came_up.append(key + b"%d,%d" % (left, i))
             symbols[left], symbols[right] = piece, None
             after[left] = after[right]
             if after[left] < n:
@@ -95,18 +99,34 @@ class Pieces:
 class Coder:
     def __init__(self, path: str, rate: float, seed: int):
         self.pieces, self.rate, self.seed = Pieces(path), rate, seed
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, tuple[bytes, list[bytes]]] = {}
+        self.text_seed, self.rank = 0, 0
 
     def word(self, word: str) -> bytes:
         found = self.known.get(word)
         if found is None:
             if len(self.known) > MEMORY:
                 self.known.clear()
-            found = self.known[word] = np.array(self.pieces.encode_word(word, self.rate, self.seed), "<u4").tobytes()
-        return found
+            came_up: list[bytes] | None = [] if self.rate else None
+            ids = self.pieces.encode_word(word, 0.0, 0, came_up)
+            found = self.known[word] = np.array(ids, "<u4").tobytes(), came_up or []
+        if not self.rate:
+            return found[0]
+        occurrence = xxhash.xxh64_intdigest(b"%d" % self.rank, self.text_seed)
+        self.rank += 1
+        bound, digest = self.rate * 2**64, xxhash.xxh64_intdigest
+        for key in found[1]:
+            if digest(key, occurrence) < bound:
+                return np.array(self.pieces.encode_word(word, self.rate, occurrence), "<u4").tobytes()
+        return found[0]
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text; none for an empty one. The text gets a space before it, as the model asks for."""
+        if self.rate:
+            self.text_seed, self.rank = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed), 0
+        return self._ids(text)
+
+    def _ids(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, "<u4")
         if SPACE in text:
@@ -137,7 +157,7 @@ class Coder:
                 out.append(np.array([byte[b] for b in part.encode()], "<u4"))
                 first = False
             elif part:
-                ids = self.encode(part) if first else self._continued(part)
+                ids = self._ids(part) if first else self._continued(part)
                 out.append(ids)
                 first = False
         return np.concatenate(out).astype("<u4")
@@ -147,7 +167,7 @@ class Coder:
         head, blank, rest = text.partition(" ")
         ids = [self.word(x) for x in _PARTS.findall(head)]
         if blank:
-            ids.append(self.encode(rest).tobytes() if rest else self.word(SPACE))
+            ids.append(self._ids(rest).tobytes() if rest else self.word(SPACE))
         return np.frombuffer(b"".join(ids), "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
