@@ -16,8 +16,7 @@ from pyspark.sql.utils import AnalysisException
 from ..operators.components import components  # noqa: F401
 from ..tables import shared_dir, shared_table  # noqa: F401
 
-#: Rows per Arrow batch where texts go to Python, and bytes of text that one numpy pass handles at once.
-BATCH_ROWS = 2000
+#: Bytes of text that one numpy pass handles at once.
 SLICE_BYTES = 4_000_000
 #: A broadcast is made only of a table of at most so many bytes; beyond it the same join shuffles.
 BROADCAST_BYTES = 64_000_000
@@ -25,17 +24,43 @@ BROADCAST_BYTES = 64_000_000
 BLOCK = 4096
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches of texts small enough for a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def text_batches(batches, column: int, limit: int = SLICE_BYTES) -> Iterator:
+    """Arrow batches cut so that each holds about ``limit`` bytes of a text column; a longer text is one of its own.
+
+    Spark bounds the bytes of the batches that it sends; these cuts bound what Python makes of them.
+    """
+    import pyarrow.compute as pc
+
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        start = size = 0
+        for i, n in enumerate(sizes.tolist()):
+            if i > start and size + n > limit:
+                yield b.slice(start, i - start)
+                start, size = i, 0
+            size += n
+        if start < b.num_rows:
+            yield b.slice(start)
 
 
 _PLACE = (("file_path", "_file"), ("row_index", "_row"))
 
 
+def _is_scan(df: DataFrame) -> bool:
+    """Whether each row of ``df`` is a row of one file relation, chosen in the same way each time it is read."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias", "View") and plan.deterministic():
+        plan = plan.children().apply(0)
+    return plan.getClass().getSimpleName() == "LogicalRelation" and plan.children().size() == 0
+
+
 def as_scan(df: DataFrame) -> DataFrame:
-    """``df`` if it is a plain scan of files, else a copy in the shared folder that is one."""
-    if "_metadata" not in df.columns:
+    """``df`` if it is a plain scan of files, else a copy in the shared folder that is one.
+
+    Plain are columns and filters that give the same each time over one file relation. Joins, explodes, unions and
+    samples are written: they name a file's row several times, or not the same rows in each scan.
+    """
+    if "_metadata" not in df.columns and _is_scan(df):
         try:
             df.select("_metadata.file_path", "_metadata.row_index")
             return df

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_scan, located, row_bitmaps, shared_table, small_batches, with_marks, without_marked
+from .common import as_scan, located, row_bitmaps, shared_table, with_marks, without_marked
 
 #: The white space that equality ignores.
 SPACES = " \t\n\x0b\x0c\r"
@@ -128,8 +128,6 @@ def exact_duplicates(df: DataFrame, text: str = "text", row_id: str = "doc_id")
     In each group the row with the most code points stays, then the least id (null ids last), then the first in the
     scan, so exactly one of several equal rows stays. Other columns are ignored. An empty table gives no rows.
     """
-    spark = df.sparkSession
-    small_batches(spark, 8192)
     rows = located(as_scan(df), [F.col(row_id).alias("id"), F.col(text).alias("text")])
     bare = without_spaces(F.col("text"))
     facts = [F.col("_file"), F.col("_row"), F.col("id"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), F.unhex(F.sha2(F.encode(bare, "UTF-8"), 256)).alias("sha")]

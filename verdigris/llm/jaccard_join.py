@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_scan, components, forest, grouped, located, mix, powers, row_bitmaps, shared_table, slices, small_batches, with_marks, without_marked, words_of
+from .common import as_scan, components, forest, grouped, located, mix, powers, row_bitmaps, shared_table, slices, text_batches, with_marks, without_marked, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -130,7 +130,7 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 def _signatures(batches) -> Iterator:
     import pyarrow as pa
 
-    for b in batches:
+    for b in text_batches(batches, 3):
         texts = [t or "" for t in b.column(3).to_pylist()]
         k1, k2, n, sig = [], [], [], []
         for s in shingle_sets(texts):
@@ -164,7 +164,7 @@ def _prune(threshold: float, batches) -> Iterator:
 def _shingles(batches) -> Iterator:
     import pyarrow as pa
 
-    for b in batches:
+    for b in text_batches(batches, 2):
         sets = [s.tobytes() for s in shingle_sets([t or "" for t in b.column(2).to_pylist()])]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], names=["_file", "_row", "sets"])
 
@@ -212,7 +212,6 @@ def jaccard_groups(df: DataFrame, text: str = "text", row_id: str = "doc_id", th
     four words have one shingle of all their words; null texts and texts without words have no links and are groups
     of their own. Equal rows are in one class. An empty table gives no rows. Other columns are ignored.
     """
-    small_batches(df.sparkSession)
     rows = located(as_scan(df), [F.col(row_id).cast("long").alias("id"), F.col(text).alias("text")])
     signed = rows.select("_file", "_row", "id", "text").mapInArrow(_signatures, "_file string, _row long, id long, k1 long, k2 long, n int, sig binary")
     signed = shared_table(signed.withColumn("uid", F.monotonically_increasing_id()), "signatures")

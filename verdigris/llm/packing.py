@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, shared_table, small_batches
+from .common import ranked, shared_table, text_batches
 
 CAPACITY = 1024
 END = 2
@@ -94,7 +94,7 @@ def _pieces(path: str, capacity: int, keep_ids: bool, batches) -> Iterator:
     import pyarrow as pa
 
     encoder = worker_encoder(path)
-    for b in batches:
+    for b in text_batches(batches, 1):
         rows, numbers, starts, lengths, crcs, ids = [], [], [], [], [], []
         for i, text in enumerate(b.column(1).to_pylist()):
             raw = encoder(text or "") + END.to_bytes(4, "little")
@@ -212,7 +212,6 @@ def pack(df: DataFrame, tokenizer: str, text: str = "text", row_id: str = "doc_i
     hash of id, piece and content.
     """
     spark = df.sparkSession
-    small_batches(spark, 1000)
     kind = df.schema[row_id].dataType.simpleString()
     columns = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
     pieces = df.select(F.col(row_id).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(partial(_pieces, tokenizer, capacity, keep_ids), columns)

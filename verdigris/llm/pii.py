@@ -1,13 +1,22 @@
 """Format-preserving pseudonyms for personal data, by keyed Feistel permutations, with DataFrame functions only.
 
 Candidates are found by regular expressions, in passes over what is left of a text, and then validated: addresses by the
-range of their parts, dates by the calendar, telephone numbers by their number of digits. Card numbers are sought in
-whole runs of digits: every part of 13 to 19 digits between separators is held against its check digit, those in usual
-groups before and all others after the telephone numbers, so a number beside a card hides neither. Each
-value is then permuted within its format: a number below a * b is two halves, and each round adds to one half, in
-turn, a hash of key, kind, round and the other half. As this is a permutation, different values keep different
-pseudonyms, and equal values get the same pseudonym in every document, so links stay while the values go. A card
-number keeps its first digit and gets a fitting check digit; separators stay where they are.
+range of their parts, dates by the calendar, account numbers (IBAN) by their check digits, social security numbers by
+their parts, telephone numbers by their number of digits. Card numbers are sought in whole runs of digits: every part of
+13 to 19 digits between separators is held against its check digit, those in usual groups before and all others after
+the telephone numbers, so a number beside a card hides neither.
+
+Each value is then permuted within its format. A value with a number (addresses, dates, telephone and social security
+numbers) is two halves below a and b, and each round adds to one half, in turn, a hash of key, kind, round and the
+other half. Any other value is one network too, however long it is: its halves are its first and last characters, and a
+round shifts each letter and digit of one half within its alphabet, by a hash of key, kind, round and the whole other
+half. As these are permutations of each format, different values keep different pseudonyms, and equal values get the
+same pseudonym in every document, so links stay while the values go. A card number keeps its first digit and gets a
+fitting check digit; separators stay where they are.
+
+Dates of one format are permuted among themselves: 13/5/2020, which can only have the day first, stays such a date, so
+it never meets one that is read month first. Mail addresses that differ in case only keep their case and are otherwise
+equal; their domains stay.
 """
 
 from __future__ import annotations
@@ -17,7 +26,8 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
+#: A local part has 64 characters at most. Loops are possessive or bounded, so a long run of letters is read once.
+EMAIL = r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]++\.){1,31}[A-Za-z]{2,}"
 KEY = r"\bAKIA[0-9A-Z]{16}\b"
 VALUE = r"""[^\s"'<>,;&]{5,}[^\s"'<>,;&.:!?)\]]"""
 SECRET = "|".join(
@@ -29,6 +39,8 @@ SECRET = "|".join(
 )
 IP = rf"(?<![\w.]){OCTET}(?:\.{OCTET}){{3}}(?!\w|\.\d)"
 DATE = r"(?<![\w.-])(?<!\d/)(?:(?:19|20)\d\d-\d\d-\d\d(?:(?=[Tt]\d)|(?![\w-]|\.\d))|\d\d?([./])\d\d?\1(?:19|20)\d\d(?![\w-]|\.\d))"
+SSN = r"(?<![\w.-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w-]|\.\d)"
+IBAN = r"(?<!\w)[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
 #: Numbers in groups of 3, 3 and 4; with a country code; with a leading 0 and other groups; of ten bare digits.
 PHONE = "|".join(
     (
@@ -43,14 +55,19 @@ PHONE = "|".join(
 WHOLE = r"(?=\d++(?![^\W\d]|-[^\W\d]))"
 RUN = rf"(?:(?<![\w.+-])|(?<=\+)(?=\d{{4}}[ -]?\d{{4}}[ -]?\d{{4}}[ -]?\d{{4}})){WHOLE}\d(?:(?:[ -]{WHOLE})?\d){{12,}}+"
 CARD_DIGITS = range(13, 20)
+#: Numbers of a run among which cards are chosen at once; cards that begin among earlier ones go first.
+RUN_PART = 512
 USUAL = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{3})?|\d{4}([ -])\d{6}\2\d{4,5})$"
 ISSUER = r"^(?:4|5[1-5]|22[2-9]|2[3-6]|27[012]|3[0-9]|6)"
 COUNTRY = r"^(?:7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
-MARKED, PARTED = "|".join((EMAIL, KEY, SECRET)), "|".join((DATE, IP))
+MARKED, PARTED = "|".join((EMAIL, KEY, SECRET)), "|".join((IBAN, SSN, DATE, IP))
 PIECES = "array<struct<text:string,kind:string>>"
-KINDS = ("email", "key", "secret", "phone", "card", "ip", "date")
-LETTERS, LETTER_DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"
+KINDS = ("email", "key", "secret", "phone", "card", "ip", "date", "ssn", "iban")
+DIGITS, LOWER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
+UPPER = LOWER.upper()
+#: Days of 1900 to 2099, and those after the 12th of their month, with halves whose product isn't much above.
 FIRST_DAY, DAYS, DAY_HALVES = "1900-01-01", 73049, (17, 4297)
+LATE_DAYS, LATE_HALVES = DAYS - 12 * 2400, (210, 211)
 
 
 def let(value: Column, body) -> Column:
@@ -72,27 +89,57 @@ def feistel(left: Column, right: Column, a: Column, b: Column, key: str, tag: Co
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(left.cast("long").alias("l"), right.cast("long").alias("r")), turn)
 
 
-def permuted(text: Column, radix: int, key: str, tag: Column) -> Column:
-    """A string of digits of a radix up to 36, permuted in blocks of up to ten; lower case."""
-    block = 10
+def _shifted(c: Column, by: Column, alphabets: tuple[str, ...]) -> Column:
+    """A character moved within its alphabet; one of none stays."""
+    out = c
+    for a in alphabets:
+        at = F.call_function("instr", F.lit(a), c)
+        out = F.when(at > 0, F.substring(F.lit(a), (F.pmod(at - 1 + by, F.lit(len(a))) + 1).cast("int"), F.lit(1))).otherwise(out)
+    return out
 
-    def whole(text: Column) -> Column:
-        def one(i: Column) -> Column:
-            s = F.substring(text, i * block + 1, F.lit(block))
-            n = F.length(s)
-            half = F.floor(n / 2)
-            parts = F.struct(n.alias("n"), F.pow(F.lit(radix), half).cast("long").alias("a"), F.pow(F.lit(radix), n - half).cast("long").alias("b"), F.conv(s, radix, 10).cast("long").alias("x"), F.concat_ws("|", tag, F.length(text).cast("string"), i.cast("string")).alias("tag"))
 
-            def permute(p: Column) -> Column:
-                mixed = feistel(F.call_function("div", p["x"], p["b"]), F.pmod(p["x"], p["b"]), p["a"], p["b"], key, p["tag"])
-                return let(mixed, lambda h: F.lpad(F.lower(F.conv((h["l"] * p["b"] + h["r"]).cast("string"), 10, radix)), p["n"], F.lit("0")))
+def enciphered(text: Column, alphabets: tuple[str, ...], key: str, tag: Column, fold: bool = False) -> Column:
+    """``text`` with its characters permuted, each within its alphabet, by one network over all of them.
 
-            return let(parts, permute)
+    With ``fold``, texts that differ in case only give such texts again.
+    """
+    def moved(half: Column, other: Column, i: Column) -> Column:
+        whole = F.array_join(other, "")
+        first = F.sha2(F.concat_ws("|", F.lit(key), tag, i.cast("string"), F.size(half).cast("string"), F.lower(whole) if fold else whole), 256)
+
+        def blocks(d: Column) -> Column:
+            return F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(half) - 1) / 8).cast("int"), F.lit(0))), lambda j: F.when(j == 0, d).otherwise(F.sha2(F.concat_ws("|", d, j.cast("string")), 256)))
+
+        def all_moved(hashes: Column) -> Column:
+            def one(c: Column, p: Column) -> Column:
+                by = F.conv(F.substring(F.get(hashes, F.floor(p / 8).cast("int")), (p % 8) * 8 + 1, F.lit(8)), 16, 10).cast("long")
+                return _shifted(c, by, alphabets)
+
+            return F.transform(half, one)
+
+        return let(let(first, blocks), all_moved)
+
+    def turn(acc: Column, i: Column) -> Column:
+        left = F.struct(moved(acc["l"], acc["r"], i).alias("l"), acc["r"].alias("r"))
+        right = F.struct(acc["l"].alias("l"), moved(acc["r"], acc["l"], i).alias("r"))
+        return F.when(i % 2 == 0, left).otherwise(right)
+
+    def network(chars: Column) -> Column:
+        half = F.floor(F.size(chars) / 2).cast("int")
+        start = F.struct(F.slice(chars, F.lit(1), half).alias("l"), F.slice(chars, half + 1, F.size(chars)).alias("r"))
+        return let(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn), lambda h: F.concat(F.array_join(h["l"], ""), F.array_join(h["r"], "")))
 
-        blocks = F.ceil(F.length(text) / block).cast("int")
-        return F.when(blocks > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(blocks, F.lit(1)) - 1), one), "")).otherwise("")
+    def alone(c: Column) -> Column:
+        """A single character has no other half; its alphabet is put in the order of a keyed hash."""
+        out = c
+        for a in alphabets:
+            order = F.array_sort(F.transform(F.array(*map(F.lit, a)), lambda x: F.struct(F.sha2(F.concat_ws("|", F.lit(key), tag, F.lower(x) if fold else x), 256).alias("h"), x.alias("c"))))
+            at = F.call_function("instr", F.lit(a), c)
+            out = F.when(at > 0, F.get(order, at - 1)["c"]).otherwise(out)
+        return out
 
-    return let(text, whole)
+    characters = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    return F.when(F.length(text) > 1, let(characters, network)).when(F.length(text) == 1, alone(text)).otherwise(text)
 
 
 def refill(shape: Column, wanted: str, new: Column) -> Column:
@@ -110,11 +157,14 @@ def refill(shape: Column, wanted: str, new: Column) -> Column:
 
 def luhn_sum(digits: Column) -> Column:
     """Sum of a number's digits with every second, from the one before the last, doubled (and 9 taken off above 9)."""
-    def value(i: Column) -> Column:
-        d = F.coalesce(F.substring(digits, F.length(digits) - i, F.lit(1)).try_cast("int"), F.lit(0))
-        return F.when(i % 2 == 1, d * 2 - F.when(d > 4, 9).otherwise(0)).otherwise(d)
+    def total(d: Column) -> Column:
+        def value(i: Column) -> Column:
+            x = F.greatest(F.ascii(F.substring(d, i, F.lit(1))) - 48, F.lit(0))
+            return F.when(i % 2 == 0, (x * 2) % 10 + F.floor(x / 5).cast("int")).otherwise(x)
 
-    return F.aggregate(F.transform(F.sequence(F.lit(0), F.greatest(F.length(digits), F.lit(1)) - 1), value), F.lit(0), lambda a, x: a + x)
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(d), F.lit(1))), F.lit(0), lambda a, i: a + value(i))
+
+    return let(F.reverse(digits), total)
 
 
 def _digits(m: Column) -> Column:
@@ -123,7 +173,7 @@ def _digits(m: Column) -> Column:
 
 def _card(m: Column, key: str) -> Column:
     def number(d: Column) -> Column:
-        payload = F.concat(F.substring(d, 1, 1), permuted(F.substring(d, F.lit(2), F.length(d) - 2), 10, key, F.concat(F.lit("card"), F.substring(d, 1, 1))))
+        payload = F.concat(F.substring(d, 1, 1), enciphered(F.substring(d, F.lit(2), F.length(d) - 2), (DIGITS,), key, F.concat(F.lit("card"), F.substring(d, 1, 1))))
         return let(payload, lambda p: F.concat(p, F.pmod(F.lit(10) - luhn_sum(F.concat(p, F.lit("0"))) % 10, F.lit(10)).cast("string")))
 
     return refill(m, "0-9", let(_digits(m), number))
@@ -160,7 +210,7 @@ def _phone(m: Column, key: str) -> Column:
         zeros = F.regexp_extract(d, "^0*", 0)
         national = F.substring(d, F.length(zeros) + 1, F.length(d))
         front = F.when(m.startswith("+") | m.startswith("00"), F.concat(zeros, F.regexp_extract(national, COUNTRY, 0))).otherwise(zeros)
-        return let(front, lambda f: F.concat(f, permuted(F.substring(d, F.length(f) + 1, F.length(d)), 10, key, F.concat(F.lit("phone+"), F.ltrim(f, F.lit("0"))))))
+        return let(front, lambda f: F.concat(f, enciphered(F.substring(d, F.length(f) + 1, F.length(d)), (DIGITS,), key, F.concat(F.lit("phone+"), F.ltrim(f, F.lit("0"))))))
 
     def either(d: Column) -> Column:
         abroad = m.startswith("+") | m.startswith("00")
@@ -186,40 +236,99 @@ def _as_date(m: Column) -> Column:
     return F.when(m.contains("-"), F.try_to_timestamp(m, F.lit("yyyy-MM-dd"))).when(m.contains("/"), F.coalesce(F.try_to_timestamp(m, F.lit("M/d/yyyy")), day_first)).otherwise(day_first).cast("date")
 
 
+def _late_day(x: Column) -> Column:
+    """The date with number x among those after the 12th of their month."""
+    first = F.lit(FIRST_DAY).cast("date")
+
+    def among(x: Column) -> Column:
+        guess = F.floor(x * 2400 / LATE_DAYS).cast("int")
+        months = F.filter(F.sequence(guess - 2, guess + 2), lambda k: F.date_diff(F.add_months(first, k), first) - 12 * k <= x)
+        return F.date_add(first, (x + 12 * (F.array_max(months) + 1)).cast("int"))
+
+    return let(x, among)
+
+
 def _date(m: Column, key: str) -> Column:
+    """A date in its own format; of those with slashes, only a first number above 12 is read as the day."""
     a, b = DAY_HALVES
-    x = F.date_diff(_as_date(m), F.lit(FIRST_DAY).cast("date")).cast("long")
+    late_a, late_b = LATE_HALVES
+    day = _as_date(m)
     month_first = m.contains("/") & F.try_to_timestamp(m, F.lit("M/d/yyyy")).isNotNull()
+    x = F.date_diff(day, F.lit(FIRST_DAY).cast("date")).cast("long")
+    months = (F.year(day) - 1900) * 12 + F.month(day)
+
+    def any_day(x: Column) -> Column:
+        mixed = feistel(F.call_function("div", x, F.lit(b)), x % b, F.lit(a), F.lit(b), key, F.lit("date"))
+        return let(mixed, lambda h: F.date_add(F.lit(FIRST_DAY).cast("date"), (h["l"] * b + h["r"]).cast("int")))
+
+    def late_day(x: Column) -> Column:
+        """The halves hold a few numbers more: one of these is permuted again."""
+        def again(x: Column, i: Column) -> Column:
+            mixed = feistel(F.call_function("div", x, F.lit(late_b)), x % late_b, F.lit(late_a), F.lit(late_b), key, F.lit("date after the 12th"))
+            return F.when((i == 1) | (x >= LATE_DAYS), let(mixed, lambda h: h["l"] * late_b + h["r"])).otherwise(x)
+
+        return _late_day(F.aggregate(F.sequence(F.lit(1), F.lit(8)), x, again))
+
+    def written(new: Column) -> Column:
+        def parts(month: str, of_day: str) -> Column:
+            dotted = F.when(m.contains("/"), F.date_format(new, f"{of_day}/{month}/yyyy")).otherwise(F.date_format(new, f"{of_day}.{month}.yyyy"))
+            return F.when(month_first, F.date_format(new, f"{month}/{of_day}/yyyy")).otherwise(dotted)
+
+        return F.when(m.contains("-"), F.date_format(new, "yyyy-MM-dd")).when(F.length(m) < 10, parts("M", "d")).otherwise(parts("MM", "dd"))
+
+    late = m.contains("/") & ~month_first
+    return let(F.when(late, late_day((x - 12 * months).cast("long"))).otherwise(any_day(x)), written)
+
+
+def _ssn(m: Column, key: str) -> Column:
+    area, group, serial = (F.split_part(m, F.lit("-"), F.lit(i)).cast("long") for i in (1, 2, 3))
+    a, b = 898, 99 * 9999
 
     def text(h: Column) -> Column:
-        day = F.date_add(F.lit(FIRST_DAY).cast("date"), (h["l"] * b + h["r"]).cast("int"))
+        new = h["l"] + 1 + F.when(h["l"] >= 665, 1).otherwise(0)
+        return F.concat_ws("-", F.lpad(new.cast("string"), 3, "0"), F.lpad((F.call_function("div", h["r"], F.lit(9999)) + 1).cast("string"), 2, "0"), F.lpad((h["r"] % 9999 + 1).cast("string"), 4, "0"))
+
+    return let(feistel(area - 1 - F.when(area > 666, 1).otherwise(0), (group - 1) * 9999 + serial - 1, F.lit(a), F.lit(b), key, F.lit("ssn")), text)
+
+
+def _mod_97(text: Column) -> Column:
+    """The remainder of the number that digits, and letters from A = 10 on, write."""
+    def add(acc: Column, c: Column) -> Column:
+        letter = F.call_function("instr", F.lit(UPPER), c)
+        return F.when(letter > 0, (acc * 100 + 9 + letter) % 97).otherwise((acc * 10 + F.coalesce(c.try_cast("int"), F.lit(0))) % 97)
 
-        def written(month: str, of_day: str) -> Column:
-            dotted = F.when(m.contains("/"), F.date_format(day, f"{of_day}/{month}/yyyy")).otherwise(F.date_format(day, f"{of_day}.{month}.yyyy"))
-            return F.when(month_first, F.date_format(day, f"{month}/{of_day}/yyyy")).otherwise(dotted)
+    return F.aggregate(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), F.lit(0), add)
 
-        return F.when(m.contains("-"), F.date_format(day, "yyyy-MM-dd")).when(F.length(m) < 10, written("M", "d")).otherwise(written("MM", "dd"))
 
-    return let(feistel(F.call_function("div", x, F.lit(b)), x % b, F.lit(a), F.lit(b), key, F.lit("date")), text)
+def _is_iban(m: Column) -> Column:
+    bare = F.replace(m, F.lit(" "), F.lit(""))
+    return m.rlike(rf"^(?:{IBAN})$") & (_mod_97(F.concat(F.substring(bare, F.lit(5), F.length(bare)), F.substring(bare, 1, 4))) == 1)
+
+
+def _iban(m: Column, key: str) -> Column:
+    """The country stays, and the check digits fit."""
+    bare = F.replace(m, F.lit(" "), F.lit(""))
+    land = F.substring(bare, 1, 2)
+
+    def number(account: Column) -> Column:
+        check = F.lpad((98 - _mod_97(F.concat(account, land, F.lit("00")))).cast("string"), 2, "0")
+        return F.concat(land, check, account)
+
+    return refill(m, "A-Z0-9", let(enciphered(F.substring(bare, F.lit(5), F.length(bare)), (UPPER, DIGITS), key, F.concat(F.lit("iban"), land)), number))
 
 
 def _email(m: Column, key: str) -> Column:
-    local, domain = F.lower(F.substring_index(m, "@", 1)), F.substring_index(m, "@", -1)
-    letters = F.translate(F.regexp_replace(local, "[^a-z]", ""), LETTERS, LETTER_DIGITS)
-    new = F.translate(permuted(letters, 26, key, F.lit("letters")), LETTER_DIGITS, LETTERS)
-    digits = permuted(F.regexp_replace(local, "[^0-9]", ""), 10, key, F.lit("digits"))
-    return F.concat(refill(refill(local, "a-z", new), "0-9", digits), F.lit("@"), domain)
+    return F.concat(enciphered(F.substring_index(m, "@", 1), (LOWER, UPPER, DIGITS), key, F.lit("email"), fold=True), F.lit("@"), F.substring_index(m, "@", -1))
 
 
 def _secret(m: Column, key: str) -> Column:
-    """Hexadecimal values stay such; of others, lower and upper letters and digits are permuted each among themselves."""
-    lower, upper, digits = (F.regexp_replace(m, f"[^{c}]", "") for c in ("a-z", "A-Z", "0-9"))
+    """Hexadecimal values stay such; of others, small and capital letters and digits stay such. One of these that
+    comes out hexadecimal is permuted again, so it doesn't meet a hexadecimal one."""
+    def mixed(value: Column) -> Column:
+        return enciphered(value, (LOWER, UPPER, DIGITS), key, F.lit("secret"))
 
-    def letters(text: Column, tag: str) -> Column:
-        return F.translate(permuted(F.translate(F.lower(text), LETTERS, LETTER_DIGITS), 26, key, F.lit(tag)), LETTER_DIGITS, LETTERS)
-
-    mixed = refill(refill(refill(m, "a-z", letters(lower, "secret a")), "A-Z", F.upper(letters(upper, "secret A"))), "0-9", permuted(digits, 10, key, F.lit("secret 0")))
-    return F.when(m.rlike("^[0-9a-f]+$"), permuted(m, 16, key, F.lit("secret"))).otherwise(mixed)
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(6)), m, lambda v, i: F.when((i == 1) | v.rlike("^[0-9a-f]+$"), mixed(v)).otherwise(v))
+    return F.when(m.rlike("^[0-9a-f]+$"), enciphered(m, (HEX,), key, F.lit("hexadecimal"))).otherwise(walked)
 
 
 def _piece(text: Column, kind: str | None = None) -> Column:
@@ -229,14 +338,15 @@ def _piece(text: Column, kind: str | None = None) -> Column:
 def _marked(m: Column, key: str) -> Column:
     return F.array(
         F.when(m.rlike(rf"^(?:{EMAIL})$"), _piece(_email(m, key), "email"))
-        .when(m.rlike(rf"^(?:{KEY})$"), _piece(F.concat(F.lit("AKIA"), F.upper(permuted(F.lower(F.substring(m, 5, 16)), 36, key, F.lit("key")))), "key"))
+        .when(m.rlike(rf"^(?:{KEY})$"), _piece(F.concat(F.lit("AKIA"), enciphered(F.substring(m, 5, 16), (DIGITS + UPPER,), key, F.lit("key"))), "key"))
         .otherwise(_piece(_secret(m, key), "secret"))
     )
 
 
 def _parted(m: Column, key: str) -> Column:
     date = F.when(_as_date(m).isNotNull(), _piece(_date(m, key), "date")).otherwise(_piece(m))
-    return F.array(F.when(m.rlike(rf"^{IP}$"), _piece(_ip(m, key), "ip")).otherwise(date))
+    ssn = F.when(m.rlike(rf"^{SSN}$"), _piece(_ssn(m, key), "ssn")).otherwise(date)
+    return F.array(F.when(m.rlike(rf"^{IP}$"), _piece(_ip(m, key), "ip")).when(_is_iban(m), _piece(_iban(m, key), "iban")).otherwise(ssn))
 
 
 def _phones(m: Column, key: str) -> Column:
@@ -261,13 +371,24 @@ def _cards(m: Column, key: str, usual: bool) -> Column:
 
             return let(window, heads)
 
-        valid = F.array_sort(F.flatten(F.transform(F.sequence(F.lit(1), F.size(t)), parts)))
+        spot = "array<struct<at:int,n:int,text:string>>"
+
+        def choose(state: Column, first: Column) -> Column:
+            """Cards that begin among ``RUN_PART`` numbers; the state has what was chosen before and where that ends."""
+            valid = F.array_sort(F.flatten(F.transform(F.sequence(first, F.least(first + RUN_PART - 1, F.size(t))), parts)))
+
+            def take(acc: Column, c: Column) -> Column:
+                meets = (c["at"] < state["end"]) | F.exists(acc, lambda p: (p["at"] < c["at"] + c["n"]) & (c["at"] < p["at"] + p["n"]))
+                return F.when(meets, acc).otherwise(F.concat(acc, F.array(F.struct(c["at"].alias("at"), c["n"].alias("n"), c["text"].alias("text")))))
+
+            def added(new: Column) -> Column:
+                end = F.coalesce(F.array_max(F.transform(new, lambda p: p["at"] + p["n"])), state["end"])
+                return F.struct(end.alias("end"), F.concat(state["cards"], new).alias("cards"))
 
-        def take(acc: Column, c: Column) -> Column:
-            meets = F.exists(acc, lambda p: (p["at"] < c["at"] + c["n"]) & (c["at"] < p["at"] + p["n"]))
-            return F.when(meets, acc).otherwise(F.concat(acc, F.array(F.struct(c["at"].alias("at"), c["n"].alias("n"), c["text"].alias("text")))))
+            return let(F.array_sort(F.aggregate(valid, F.array().cast(spot), take)), added)
 
-        taken = F.array_sort(F.aggregate(valid, F.array().cast("array<struct<at:int,n:int,text:string>>"), take))
+        start = F.struct(F.lit(1).alias("end"), F.array().cast(spot).alias("cards"))
+        taken = F.aggregate(F.sequence(F.lit(1), F.size(t), F.lit(RUN_PART)), start, choose)["cards"]
 
         def in_taken(c: Column) -> Column:
             def around(k: Column) -> Column:
@@ -309,8 +430,9 @@ def _is(kind: str):
 def pseudonymise(df: DataFrame, key: str, text: str = "text", counts: str | None = None) -> DataFrame:
     """``df`` with pseudonyms in its text; ``counts`` names a further column, a map from kind to number of values.
 
-    Null and empty texts stay as they are, and so does everything that fails validation. Rows are independent of each
-    other, so ties, repeated rows, empty tables and further columns need no rule.
+    Null and empty texts stay as they are, and so does everything that fails validation. Very long texts are read whole,
+    in linear time. Rows are independent of each other, so ties, repeated rows, empty tables and further columns need
+    no rule.
     """
     # Only texts with a digit, an @ or a password can hold a candidate.
     some = F.col(text).rlike(r"[0-9@]|(?i:passw(?:or)?d|pwd)")

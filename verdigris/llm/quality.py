@@ -7,8 +7,9 @@ A small network (one hidden layer) minimises the non-negative risk of Kiryo et a
 
 from trusted positives P and unlabelled web text U; no negative label is used. The share of positives in U is
 estimated from the scores of a first classifier of P against U: for the best top part of the scores, the share of U
-in it divided by the share of P (Garg et al. 2021). Both samples are bounded and taken by a hash of the id; tasks
-send their statistics only, and scoring covers every whole text.
+in it divided by the share of P (Garg et al. 2021). As that is too high while the classifier is poor, it is estimated
+again from the scores of networks trained with the estimates so far. Both samples are bounded and taken by a hash of
+the id; tasks send their statistics only, and scoring covers every whole text.
 """
 
 from __future__ import annotations
@@ -20,12 +21,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, joined_bytes, slices, small_batches
+from .common import Words, joined_bytes, slices, text_batches
 from .toxicity import held_out, labelled_sample
 
 MOST_POSITIVE, MOST_UNLABELLED = 3000, 6000
 HIDDEN = 24
-STEPS = 900
+STEPS, RATE, DECAY = 500, 0.02, 1e-4
+#: Times that the share of positives is estimated again.
+AGAIN = 2
 KEEP = 0.3
 
 _UPPER = np.array([65 <= b <= 90 for b in range(256)])
@@ -98,52 +101,59 @@ def _features(texts: list[str]) -> np.ndarray:
 
 
 class Network:
-    """One hidden layer of tanh units over standardised and squared statistics."""
+    """One hidden layer of leaky units. A statistic is read near its middle as it is and far from it, on either side,
+    by its logarithm, so that texts far from all others differ still."""
 
     def __init__(self, mean: np.ndarray, scale: np.ndarray, seed: int):
         rng = np.random.default_rng(seed)
         self.mean, self.scale = mean, scale
-        n = 2 * len(mean)
+        n = 3 * len(mean)
         self.p = [rng.normal(0, n**-0.5, (n, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
 
     def inputs(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -6, 6)
-        return np.concatenate([z, z**2 / 4], 1)
+        z = (x - self.mean) / self.scale
+        tails = [np.minimum(np.log1p(np.maximum(s * z, 0)), 8) / 2 for s in (1, -1)]
+        return np.concatenate([np.clip(z, -2, 2) / 2, *tails], 1)
 
     def forward(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = np.tanh(z @ self.p[0] + self.p[1])
+        h = z @ self.p[0] + self.p[1]
+        h = np.maximum(h, 0.1 * h)
         return h, h @ self.p[2] + self.p[3][0]
 
     def gradient(self, z: np.ndarray, h: np.ndarray, g: np.ndarray) -> list[np.ndarray]:
-        back = np.outer(g, self.p[2]) * (1 - h**2)
+        back = np.outer(g, self.p[2]) * np.where(h > 0, 1.0, 0.1)
         return [z.T @ back, back.sum(0), h.T @ g, np.array([g.sum()])]
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.forward(self.inputs(x))[1], -40, 40)))
+        return _sigmoid(self.forward(self.inputs(x))[1])
 
 
-def _fit(net: Network, pos: np.ndarray, unl: np.ndarray, prior: float | None, steps: int, seed: int) -> Network:
-    """Adam on the non-negative risk; without a prior, on plain P against U."""
-    rng = np.random.default_rng(seed)
+def _sigmoid(g: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(g, -40, 40)))
+
+
+def _fit(net: Network, pos: np.ndarray, unl: np.ndarray, prior: float | None, steps: int) -> Network:
+    """Adam on the non-negative risk of both whole samples; without a prior, on plain P against U.
+
+    The sign of the risk of negatives decides each step, so it is taken over all rows: over a part it is mostly noise.
+    """
     zp, zu = net.inputs(pos), net.inputs(unl)
     m, v = [np.zeros_like(p) for p in net.p], [np.zeros_like(p) for p in net.p]
     for step in range(1, steps + 1):
-        bp, bu = zp[rng.integers(0, len(zp), 512)], zu[rng.integers(0, len(zu), 512)]
-        (hp, gp), (hu, gu) = net.forward(bp), net.forward(bu)
-        sp, su = 1 / (1 + np.exp(-np.clip(gp, -40, 40))), 1 / (1 + np.exp(-np.clip(gu, -40, 40)))
+        (hp, gp), (hu, gu) = net.forward(zp), net.forward(zu)
+        sp, su = _sigmoid(gp), _sigmoid(gu)
         if prior is None:
             dp, du = (sp - 1) / len(sp), su / len(su)
-        else:
-            negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-            if negative >= 0:
-                dp, du = (prior * (sp - 1) - prior * sp) / len(sp), su / len(su)
-            else:  # the risk of negatives went below zero: step back from it
-                dp, du = prior * sp / len(sp), -su / len(su)
-        grads = [a + b + 1e-4 * p for a, b, p in zip(net.gradient(bp, hp, dp), net.gradient(bu, hu, du), net.p)]
+        elif np.logaddexp(0, gu).mean() >= prior * np.logaddexp(0, gp).mean():
+            dp, du = (prior * (sp - 1) - prior * sp) / len(sp), su / len(su)
+        else:  # the risk of negatives went below zero: step back from it
+            dp, du = prior * sp / len(sp), -su / len(su)
+        grads = [a + b + DECAY * p for a, b, p in zip(net.gradient(zp, hp, dp), net.gradient(zu, hu, du), net.p)]
+        rate = RATE * min(1.0, 2 * (1 - step / steps) + 0.02)
         for i, g in enumerate(grads):
             m[i] = 0.9 * m[i] + 0.1 * g
-            v[i] = 0.999 * v[i] + 0.001 * g * g
-            net.p[i] = net.p[i] - 0.01 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
+            v[i] = 0.99 * v[i] + 0.01 * g * g
+            net.p[i] = net.p[i] - rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-8)
     return net
 
 
@@ -158,20 +168,28 @@ def class_prior(score_p: np.ndarray, score_u: np.ndarray) -> float:
 
 
 def train(pos: np.ndarray, unl: np.ndarray, seed: int = 11) -> tuple[Network, float]:
-    both = np.concatenate([pos, unl])
-    mean, scale = np.median(both, 0), both.std(0) + 1e-6
+    """The network and the share of positives in ``unl``; half of either sample is kept from the estimates' networks."""
+    low, mean, high = np.quantile(pos, [0.1, 0.5, 0.9], 0)
+    scale = (high - low) / 2.56 + 0.02 * np.concatenate([pos, unl]).std(0) + 1e-4
     rng = np.random.default_rng(seed)
     fold_p, fold_u = rng.random(len(pos)) < 0.5, rng.random(len(unl)) < 0.5
-    first = _fit(Network(mean, scale, seed), pos[fold_p], unl[fold_u], None, STEPS // 2, seed) if fold_p.any() and fold_u.any() else Network(mean, scale, seed)
-    test_p, test_u = (pos[~fold_p], unl[~fold_u]) if (~fold_p).any() and (~fold_u).any() else (pos, unl)
-    prior = class_prior(first.score(test_p), first.score(test_u))
-    return _fit(Network(mean, scale, seed + 1), pos, unl, prior, STEPS, seed + 1), prior
+    if fold_p.all() or not fold_p.any():
+        fold_p = np.arange(len(pos)) % 2 == 0
+    if fold_u.all() or not fold_u.any():
+        fold_u = np.arange(len(unl)) % 2 == 0
+    test_p, test_u = pos[~fold_p] if len(pos) > 1 else pos, unl[~fold_u] if len(unl) > 1 else unl
+    prior = None
+    for _ in range(1 + AGAIN):
+        net = _fit(Network(mean, scale, seed), pos[fold_p], unl[fold_u], prior, STEPS // 2)
+        found = class_prior(net.score(test_p), net.score(test_u))
+        prior = found if prior is None else min(prior, found)
+    return _fit(Network(mean, scale, seed + 1), pos, unl, prior, STEPS), prior
 
 
 def _describe(batches) -> Iterator:
     import pyarrow as pa
 
-    for b in batches:
+    for b in text_batches(batches, 1):
         x = features([t or "" for t in b.column(1).to_pylist()])
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
 
@@ -180,7 +198,7 @@ def _score(shared, batches) -> Iterator:
     import pyarrow as pa
 
     net = shared.value
-    for b in batches:
+    for b in text_batches(batches, 1):
         texts = [t or "" for t in b.column(1).to_pylist()]
         s = net.score(features(texts)) if net is not None else np.full(len(texts), 0.5)
         s = np.where([bool(t) for t in texts], s, 0.0)
@@ -189,14 +207,13 @@ def _score(shared, batches) -> Iterator:
 
 def quality_model(df: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "doc_id", label: str = "quality", most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> tuple[Network | None, float]:
     """The network and the estimated prior; None without positives or text. Only labels of 1 are read."""
-    small_batches(df.sparkSession)
     trusted = labelled_sample(labels, row_id, label, 1, most_positive)
     some = df.select(F.col(row_id).alias("id")).dropna().distinct().orderBy(F.xxhash64("id", F.lit(3)), "id").limit(most_unlabelled).withColumn("y", F.lit(0))
-    # Both samples have a bounded number of ids, so they are safe to broadcast.
+    # Both samples have a bounded number of ids, so they are safe to broadcast. Only statistics are sorted and
+    # collected; ids that many rows share cannot bring more than twice the bound.
     sample = F.broadcast(trusted.union(some))
-    rows = df.select(F.col(row_id).alias("id"), F.col(text).alias("text")).join(sample, "id").select("y", "text").limit(2 * (most_positive + most_unlabelled))
-    found = rows.mapInArrow(_describe, "y int, x array<double>").collect()
-    found.sort(key=lambda r: (r["y"], r["x"]))
+    rows = df.select(F.col(row_id).alias("id"), F.col(text).alias("text")).join(sample, "id").select("y", "text")
+    found = rows.mapInArrow(_describe, "y int, x array<double>").orderBy("y", "x").limit(2 * (most_positive + most_unlabelled)).collect()
     pos, unl = ([r["x"] for r in found if r["y"] == y] for y in (1, 0))
     if not pos or not unl:
         return None, 0.5
@@ -216,7 +233,10 @@ def quality_scores(df: DataFrame, labels: DataFrame, text: str = "text", row_id:
 
 
 def quality_report(df: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """(row_id, held_out, score, predicted): labels are learnt from rows that aren't held out; 0.3 or more is kept."""
+    """(row_id, held_out, score, predicted): labels are learnt from rows that aren't held out; 0.3 or more is kept.
+
+    Rows are treated as by ``quality_scores``; a null id is not held out.
+    """
     out = held_out(F.col(row_id), 5, 0)
     scores = quality_scores(df, labels.filter(~out), text, row_id)
     return scores.select(row_id, out.alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted"))
@@ -226,14 +246,18 @@ def _keep(shared, text_at: int, batches) -> Iterator:
     import pyarrow as pa
 
     net = shared.value
-    for b in batches:
+    for b in text_batches(batches, text_at):
         texts = [t or "" for t in b.column(text_at).to_pylist()]
         keep = (net.score(features(texts)) >= KEEP) if net is not None else np.ones(len(texts), bool)
         yield b.filter(pa.array(keep & np.array([bool(t) for t in texts])))
 
 
 def keep_quality(df: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` whose text scores 0.3 or more; labels are learnt from rows that aren't held out."""
+    """The rows of ``df`` whose text scores 0.3 or more; labels are learnt from rows that aren't held out.
+
+    Null and empty texts score 0 and go. Equal rows stay or go together; columns of any name stay; very long texts are
+    read whole; an empty table gives no rows. Without positives or text to learn from, all texts but empty ones stay.
+    """
     net, _ = quality_model(df, labels.filter(~held_out(F.col(row_id), 5, 0)), text, row_id)
     shared = df.sparkSession.sparkContext.broadcast(net)
     return df.mapInArrow(partial(_keep, shared, df.columns.index(text)), df.schema)

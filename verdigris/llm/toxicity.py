@@ -16,18 +16,19 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, joined_bytes, slices, small_batches
+from .common import Words, joined_bytes, slices, text_batches
 
 BUCKETS = 1 << 18
 DIM = 8
-WINDOW = 8
+WINDOW = 2
 #: Passes over the sample: at least 6, and up to 40 until so many windows were seen.
 EPOCHS, MOST_EPOCHS, SEEN = 6, 40, 400_000
-#: At most so many labelled rows of each kind are trained on.
+#: At most so many labelled rows of each kind are trained on, of at most so many bytes each and together.
 MOST_TOXIC, MOST_CLEAN = 800, 1200
+LONGEST_BYTES, MOST_BYTES = 1_000_000, 12_000_000
 GRAMS = (3, 4, 5)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _K = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -181,7 +182,7 @@ def _score(shared, kind: str, batches) -> Iterator:
     import pyarrow as pa
 
     table, bias = shared.value
-    for b in batches:
+    for b in text_batches(batches, 1):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score_texts([t or "" for t in b.column(1).to_pylist()], table, bias))], names=["id", "score"])
 
 
@@ -196,17 +197,29 @@ def labelled_sample(labels: DataFrame, row_id: str, label: str, value: int, most
     return ids.orderBy(F.xxhash64("id"), "id").limit(most).withColumn("y", F.lit(value))
 
 
+def training_rows(df: DataFrame, sample: DataFrame, text: str, row_id: str, most_rows: int) -> DataFrame:
+    """(text, y) of the rows of ``df`` whose ids ``sample`` (id, y) has, within the bounds of rows and bytes.
+
+    Rows go in order of a hash of their text, so the same rows are taken each time, also where many share an id.
+    """
+    rows = df.select(F.col(row_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).filter(F.octet_length("text") <= LONGEST_BYTES)
+    # The sample has a bounded number of ids, so it is safe to broadcast.
+    rows = rows.join(F.broadcast(sample), "id").select("y", "text", F.xxhash64("text").alias("h")).orderBy("h", "y", "text").limit(most_rows)
+    # These are a bounded number of rows of bounded size.
+    bytes_up_to = F.sum(F.octet_length("text")).over(Window.partitionBy("y").orderBy("h", "text").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("up_to", bytes_up_to).filter(F.col("up_to") <= MOST_BYTES // 2).select("text", "y")
+
+
 def toxicity_scores(df: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "doc_id", label: str = "toxic", most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> DataFrame:
-    """(row_id, score) of every row of ``df``, trained on at most ``most_toxic + most_clean`` labelled rows.
+    """(row_id, score) of every row of ``df``, trained on at most ``most_toxic + most_clean`` labelled ids.
 
     Pass only the labels that may be learnt. Null texts are empty; a text without words scores 0. Equal rows get equal
-    scores. Without labels of both kinds nothing can be learnt, and every text with words scores 0.5.
+    scores. Without labels of both kinds nothing can be learnt, and every text with words scores 0.5. Texts of more
+    than ``LONGEST_BYTES`` aren't trained on but scored whole. Other columns are ignored; an empty table gives no rows.
     """
     spark = df.sparkSession
-    small_batches(spark)
     sample = labelled_sample(labels, row_id, label, 1, most_toxic).union(labelled_sample(labels, row_id, label, 0, most_clean))
-    # The sample has a bounded number of ids, so it is safe to broadcast; repeated ids cannot exceed twice its bound.
-    rows = df.select(F.col(row_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(sample), "id").limit(2 * (most_toxic + most_clean)).select("text", "y").collect()
+    rows = training_rows(df, sample, text, row_id, 2 * (most_toxic + most_clean)).collect()
     rows.sort(key=lambda r: (r["y"], r["text"]))
     toxic = np.array([r["y"] for r in rows], np.int64)
     if len(set(toxic.tolist())) < 2:
@@ -220,7 +233,10 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, text: str = "text", row_id
 
 
 def toxicity_report(df: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """(row_id, held_out, score, predicted): labels are learnt from rows that aren't held out; 0.7 or more is toxic."""
+    """(row_id, held_out, score, predicted): labels are learnt from rows that aren't held out; 0.7 or more is toxic.
+
+    Rows are treated as by ``toxicity_scores``; a null id is not held out.
+    """
     learn = labels.filter(~held_out(F.col(row_id), 3, 1))
     scores = toxicity_scores(df, learn, text, row_id)
     return scores.select(row_id, held_out(F.col(row_id), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

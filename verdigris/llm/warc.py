@@ -22,7 +22,7 @@ from urllib.parse import urljoin
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import text_batches
 
 VERSION = b"WARC/1.1"
 #: Pages carry no time of capture; their records have this one.
@@ -132,7 +132,7 @@ def _table(rows: list[dict]):
 
 
 def _from_pages(batches) -> Iterator:
-    for b in batches:
+    for b in text_batches(batches, 2):
         ids, urls, pages = (b.column(i).to_pylist() for i in range(3))
         for lo in range(0, len(ids), 200):
             rows = [r | {"id": i} for i, u, p in zip(ids[lo : lo + 200], urls[lo : lo + 200], pages[lo : lo + 200]) for r in derive(*response_of(i, u, p))]
@@ -160,13 +160,11 @@ def derivatives_of_pages(df: DataFrame, page_id: str = "page_id", url: str = "ur
     A null url is empty and a null page an empty payload: both still give two records. Equal rows give equal records.
     An empty table gives no rows; other columns are ignored.
     """
-    small_batches(df.sparkSession, 1000)
     return df.select(F.col(page_id).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("page")).mapInArrow(_from_pages, SCHEMA)
 
 
 def derivatives_of_files(spark: SparkSession, path: str) -> DataFrame:
     """The same from WARC files (.warc, .warc.gz); ``id`` is the record's number in its file. A task reads a file at
     a time, so files should be of the size that crawls give them, up to about 1 GB."""
-    small_batches(spark, 1)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("content").mapInArrow(_from_files, SCHEMA)
