@@ -42,3 +42,48 @@ def test_target_bytes_and_empty(odd, empty):
     assert kd_shards(empty, document_dimensions(), n_shards=4).count() == 0
     total = odd.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0]
     assert kd_shards(odd, document_dimensions(), target_bytes=total // 3 + 1).agg(F.max("shard")).first()[0] <= 2
+
+
+def test_strings_of_one_prefix_are_told_apart(spark):
+    rows = [(i, f"text {i}", f"https://www.example.org/{'a' if i % 4 else 'b'}/{i % 4}", "en") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = kd_shards(df, {"source": F.col("source")}, n_shards=4).collect()
+    shards = {}
+    for r in got:
+        shards.setdefault(r["doc_id"] % 4, set()).add(r["shard"])
+    assert all(len(v) <= 2 for v in shards.values()) and len({r["shard"] for r in got}) == 4
+
+
+def test_equal_texts_stay_together(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = kd_shards(docs, document_dimensions(), n_shards=8).join(docs.select("doc_id", "text"), "doc_id").collect()
+    shards, weight = {}, {}
+    for r in rows:
+        shards.setdefault(r["text"], set()).add(r["shard"])
+        weight[r["text"]] = weight.get(r["text"], 0) + r["size"]
+    leaf = sum(weight.values()) / 8
+    several = [t for t in shards if weight[t] <= 0.01 * leaf]
+    assert several and all(len(shards[t]) == 1 for t in several)
+
+
+def test_against_a_tree_on_the_driver(spark):
+    """Weighted medians along the widest dimension, recursively, as plain Python."""
+    rows = [(i, "x" * (1 + i * 7919 % 50), float(i * 104729 % 1000), float(i * 15485863 % 300)) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, a double, b double")
+    got = {r["doc_id"]: r["shard"] for r in kd_shards(df, {"a": F.col("a"), "b": F.col("b")}, n_shards=4).collect()}
+    lo, width = [min(r[2 + d] for r in rows) for d in (0, 1)], [max(r[2 + d] for r in rows) - min(r[2 + d] for r in rows) for d in (0, 1)]
+
+    def split(part, n):
+        if n == 1:
+            return [[r[0] for r in part]]
+        spread = [(max(r[2 + d] for r in part) - min(r[2 + d] for r in part)) / width[d] for d in (0, 1)]
+        d = spread.index(max(spread))
+        part = sorted(part, key=lambda r: r[2 + d])
+        total, up_to, i = sum(len(r[1]) + 16 for r in part), 0, 0
+        while up_to + (len(part[i][1]) + 16) / 2 < total / 2:
+            up_to += len(part[i][1]) + 16
+            i += 1
+        return split(part[:i], n // 2) + split(part[i:], n - n // 2)
+
+    want = {i: s for s, ids in enumerate(split(rows, 4)) for i in ids}
+    assert sum(got[i] != want[i] for i in got) <= 10  # equal coordinates at a cut may go either way

@@ -8,17 +8,22 @@ for each node, and only the bin that holds the median goes on to the next pass.
 node; the texts are read once, to take their sizes, and the passes read a narrow table of sizes and coordinates.
 
 A coordinate is a 20-bit code of the dimension followed by 43 bits that break ties, so a hot source or any other
-value that most rows share can be cut anywhere; rows of equal texts stay together where a cut allows it.
+value that most rows share can be cut anywhere. Numbers are scaled to the code; strings are ranked among the distinct
+ones, so it doesn't matter how they begin. Rows of equal texts are a group: its members take the coordinates of its
+first row and stay in one shard, unless the group weighs more than a hundredth of a shard and may have to be cut.
+
+The tree is known to the driver, one entry a node, and goes to the rows as a table of nodes that is joined to them.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ranked, shared_table
+from .common import BROADCAST_BYTES, ranked, shared_table
 
 #: Bytes that each row counts besides its text.
 ROW_BYTES = 16
@@ -27,12 +32,14 @@ CODES = 1 << 20
 TIES = 1 << 43
 #: The cut of a node that stays whole.
 WHOLE = (1 << 63) - 1
-#: Levels whose splits are one expression.
+#: Levels that rows descend at once, before they are written with the node that they are in.
 TREE_LEVELS = 6
 #: A median is exact enough when the bin that holds it weighs less than this part of a shard.
 EXACT = 1e-4
-#: Rows of a shard that one task numbers.
-SLOT_ROWS = 50_000
+#: A group of equal texts stays whole when it weighs at most this part of a shard.
+GROUP = 0.01
+#: Rows of a shard, and distinct strings of a dimension, that one task numbers.
+SLOT_ROWS, RANK_ROWS = 50_000, 500_000
 
 
 def text_size(text: Column) -> Column:
@@ -40,9 +47,31 @@ def text_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + ROW_BYTES
 
 
-def prefix_number(value: Column) -> Column:
-    """The first six UTF-8 bytes as a number in the order of the strings; null sorts as the empty string."""
-    return F.conv(F.rpad(F.substring(F.hex(F.encode(F.coalesce(value.cast("string"), F.lit("")), "UTF-8")), 1, 12), 12, "0"), 16, 10).cast("double")
+def ranks(values: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """The distinct strings of a column with their rank, from 0, and their number.
+
+    They are dealt to ranges, numbered in each, and moved by the counts of the ranges before."""
+    distinct = shared_table(values.select(name).distinct(), "values")
+    n = distinct.count()
+    parts = max(1, n // RANK_ROWS)
+    ranged = shared_table(distinct.repartitionByRange(parts, name).withColumn("part", F.spark_partition_id()), "ranges")
+    before = F.sum("n").over(Window.orderBy("part")) - F.col("n")  # one row a range
+    starts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", before.alias("start"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(name))
+    return ranged.withColumn("i", within).join(starts, "part").select(name, (F.col("start") + F.col("i") - 1).alias("rank")), n
+
+
+def table_of(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of rows that the driver knows, as a constant of the plan."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    fields = ", ".join(c.replace(" ", ": ", 1) for c in schema.split(", "))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{fields}>>")))
+
+
+def with_table(rows: DataFrame, table: DataFrame, on: str, n_bytes: int) -> DataFrame:
+    """Rows joined to a table of nodes, which is broadcast while its known size allows it."""
+    return rows.join(F.broadcast(table) if n_bytes <= BROADCAST_BYTES else table, on)
 
 
 def shard_count(sizes: DataFrame, target_bytes: int) -> int:
@@ -53,75 +82,100 @@ def shard_count(sizes: DataFrame, target_bytes: int) -> int:
 def kd_shards(df: DataFrame, dimensions: dict[str, Column], n_shards: int | None = None, target_bytes: int | None = None, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """Shards of ``df``: (row_id, size, text_crc32, law, shard, slot, grown_shard), one row for each of its rows.
 
-    Give the number of shards, or the bytes that a shard should have at most on average. ``dimensions`` are numeric
-    columns or expressions by name. Sizes of shards differ by about one row, as a row is never split.
+    Give the number of shards, or the bytes that a shard should have at most on average. ``dimensions`` are columns or
+    expressions by name, numbers or strings. Sizes of shards differ by about one row, or one group of equal texts.
 
     Null texts count 16 bytes and have the CRC of the empty text; null coordinates sort first. Equal rows are told
-    apart by their place in the scan, so they are cut like any others. An empty table gives no rows, and shards stay
-    empty when there are fewer rows than shards. Other columns of ``df`` are ignored.
+    apart by their place in the scan, so a large group of them is cut like any others. A very long text is one row,
+    which is never split. An empty table gives no rows, and shards stay empty when there are fewer rows than shards.
+    Other columns of ``df`` are ignored.
     """
     if (n_shards is None) == (target_bytes is None):
         raise ValueError("give n_shards or target_bytes")
+    kinds = [f.dataType.simpleString() for f in df.select(*dimensions.values()).schema]
     # Columns are chosen by position below, so names in df cannot clash with the names used here.
-    base = df.select(F.col(row_id).alias("id"), text_size(F.col(text)).alias("size"), F.crc32(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")).alias("crc"), *[c.cast("double").alias(f"d{i}") for i, c in enumerate(dimensions.values())])
+    whole = F.coalesce(F.col(text), F.lit(""))
+    values = [F.coalesce(c, F.lit("")).alias(f"d{i}") if kind == "string" else c.cast("double").alias(f"d{i}") for i, (c, kind) in enumerate(zip(dimensions.values(), kinds))]
+    base = df.select(F.col(row_id).alias("id"), text_size(F.col(text)).alias("size"), F.crc32(F.encode(whole, "UTF-8")).alias("crc"), F.xxhash64(whole).alias("hash"), *values)
     base = shared_table(base.withColumn("row", F.monotonically_increasing_id()), "sizes")
     if n_shards is None:
         n_shards = shard_count(base, target_bytes)
 
     ndim = len(dimensions)
-    span = base.agg(*[f(F.nanvl(f"d{i}", F.lit(None).cast("double"))).alias(f"{n}{i}") for i in range(ndim) for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    tie = F.pmod(F.xxhash64("crc", "size"), F.lit(1 << 33)) * 1024 + F.pmod(F.xxhash64("id", "row"), F.lit(1024))
-    coordinates = []
+    numeric = [i for i in range(ndim) if kinds[i] != "string"]
+    span = base.agg(F.sum("size").alias("bytes"), *[f(F.nanvl(f"d{i}", F.lit(None).cast("double"))).alias(f"{n}{i}") for i in numeric for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    rows = base
     for i in range(ndim):
-        lo, hi = span[f"lo{i}"], span[f"hi{i}"]
-        scaled = (F.col(f"d{i}") - lo) / (hi - lo) * (CODES - 1) if hi is not None and hi > lo else F.lit(0.0)
-        code = F.coalesce(F.floor(F.nanvl(scaled, F.lit(0.0))), F.lit(0).cast("long"))
-        coordinates.append((F.least(F.greatest(code, F.lit(0)), F.lit(CODES - 1)) * TIES + tie).alias(f"k{i}"))
-    rows = base.select("id", "size", "crc", "row", *coordinates)
-
-    # A node is known by its path; every level doubles the numbers. wanted[node] is its number of shards. The splits
-    # of some levels are one expression of comparisons; then the rows are written with the node that they are in.
+        if i in numeric:
+            low, width = span[f"lo{i}"], (span[f"hi{i}"] or 0.0) - (span[f"lo{i}"] or 0.0)
+            code = F.floor(F.nanvl((F.col(f"d{i}") - low) / width * (CODES - 1), F.lit(0.0))) if width > 0 else F.lit(0)
+        else:
+            ranking, n = ranks(base, f"d{i}")
+            rows = rows.join(ranking.withColumnRenamed("rank", f"r{i}"), f"d{i}")
+            code = F.floor(F.col(f"r{i}") / max(1, n - 1) * (CODES - 1))
+        rows = rows.withColumn(f"c{i}", F.least(F.greatest(F.coalesce(code.cast("long"), F.lit(0).cast("long")), F.lit(0)), F.lit(CODES - 1)))
+    codes = [f"c{i}" for i in range(ndim)]
+    rows = shared_table(rows.select("id", "size", "crc", "hash", "row", *codes), "codes")
+    group = ["hash", "crc", "size"]
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", *codes)).alias("first")
+    groups = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), first).filter("n > 1")
+    groups = groups.filter(F.col("n") * F.col("size") <= GROUP * (span["bytes"] or 0) / n_shards)
+    # Written first, so the rows of a hot group can be split in the join.
+    rows = rows.join(shared_table(groups, "groups"), group, "left")
+    alone = F.pmod(F.xxhash64("id", "row"), F.lit(1024))
+    tie = F.pmod(F.xxhash64(*group), F.lit(1 << 33)) * 1024 + F.when(F.col("first").isNull(), alone).otherwise(0)
+    rows = rows.select("id", "size", "crc", "row", *[(F.coalesce(F.col(f"first.{c}"), F.col(c)) * TIES + tie).alias(f"k{c[1:]}") for c in codes], F.lit(0).cast("int").alias("base"))
+    rows = shared_table(rows, "coordinates")
+
+    # A node is known by its path; every level doubles the numbers. wanted[node] is its number of shards.
     wanted, splits, base_nodes = [n_shards], [], 1
-    rows = rows.withColumn("base", F.lit(0).cast("int"))
     while max(wanted) > 1:
         splits.append(_cut_level(rows, splits, base_nodes, wanted, ndim))
         wanted = [w for n in wanted for w in ((n, 0) if n <= 1 else (n // 2, n - n // 2))]
         if len(splits) == TREE_LEVELS:
-            rows, splits, base_nodes = shared_table(rows.withColumn("base", _descend(splits, base_nodes)), "nodes"), [], len(wanted)
-    shard_of, shards = [], 0
-    for n in wanted:
-        shard_of.append(shards)
+            down = _descend(rows, splits, base_nodes, ndim)
+            rows, splits, base_nodes = shared_table(down.drop("base").withColumnRenamed("node", "base"), "nodes"), [], len(wanted)
+    shards, shard_of = 0, []
+    for node, n in enumerate(wanted):
+        if n:
+            shard_of.append((node, shards))
         shards += n
-    placed = rows.select(F.col("id"), "size", F.col("crc").alias("text_crc32"), "row", _descend(splits, base_nodes, lambda n: str(shard_of[n])).cast("int").alias("shard"))
+    numbers = table_of(df.sparkSession, shard_of, "node int, shard int")
+    placed = with_table(_descend(rows, splits, base_nodes, ndim), numbers, "node", 16 * len(shard_of))
+    placed = placed.select("id", "size", F.col("crc").alias("text_crc32"), "row", "shard")
     buckets = max(8, math.ceil(base.count() / n_shards / SLOT_ROWS))
     order = F.xxhash64("text_crc32", "id", "row")
     slots = ranked(placed, ["shard"], [order, F.col("row")], F.xxhash64("row", F.lit(7)), buckets, "slot")
     return slots.select(F.col("id").alias(row_id), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def _descend(splits: list[tuple[list[int], list[int]]], base_nodes: int, leaf=str) -> Column:
-    """``leaf(node)``, as SQL, of the node that a row is in: one comparison for each level below its base node."""
-    def down(level: int, node: int) -> str:
-        if level == len(splits):
-            return leaf(node)
-        dims, cuts = splits[level]
-        if cuts[node] == WHOLE:
-            return down(level + 1, 2 * node)
-        return f"CASE WHEN k{dims[node]} <= {cuts[node]}L THEN {down(level + 1, 2 * node)} ELSE {down(level + 1, 2 * node + 1)} END"
+def _descend(rows: DataFrame, splits: list[tuple[list[int], list[int]]], base_nodes: int, ndim: int) -> DataFrame:
+    """``rows`` with the node that each is in, by the splits of the levels below its base node.
+
+    A base node's subtree is two arrays in the order of levels, so a step down is one comparison."""
+    if not splits:
+        return rows.withColumn("node", F.col("base"))
+    levels = len(splits)
+    trees = []
+    for b in range(base_nodes):
+        dims, cuts = ([x for level, side in enumerate(splits) for x in side[k][b << level : (b + 1) << level]] for k in (0, 1))
+        trees.append((b, dims, cuts))
+    table = table_of(rows.sparkSession, trees, "base int, dims array<int>, cuts array<bigint>")
+    keys = F.array(*[F.col(f"k{i}") for i in range(ndim)])
 
-    def among(first: int, last: int) -> str:
-        if first == last:
-            return down(0, first)
-        mid = (first + last) // 2
-        return f"CASE WHEN base <= {mid} THEN {among(first, mid)} ELSE {among(mid + 1, last)} END"
+    def step(i: Column, _: Column) -> Column:
+        return 2 * i + 1 + F.when(F.get(keys, F.get("dims", i)) > F.get("cuts", i), 1).otherwise(0)
 
-    return F.expr(among(0, base_nodes - 1))
+    local = F.aggregate(F.sequence(F.lit(1), F.lit(levels)), F.lit(0), step) - ((1 << levels) - 1)
+    joined = with_table(rows, table, "base", base_nodes * (1 << levels) * 12)
+    return joined.withColumn("node", (F.col("base") * (1 << levels) + local).cast("int")).drop("dims", "cuts")
 
 
 def _cut_level(rows: DataFrame, splits: list, base_nodes: int, wanted: list[int], ndim: int) -> tuple[list[int], list[int]]:
     """For each node of a level, the dimension along which it is cut and the last coordinate of its left part."""
-    nodes = len(wanted)
-    wide = rows.groupBy(_descend(splits, base_nodes).alias("node")).agg(F.sum("size").alias("w"), *[f(f"k{i}").alias(f"{n}{i}") for i in range(ndim) for n, f in (("lo", F.min), ("hi", F.max))]).collect()
+    spark, nodes = rows.sparkSession, len(wanted)
+    rows = _descend(rows, splits, base_nodes, ndim)
+    wide = rows.groupBy("node").agg(F.sum("size").alias("w"), *[f(f"k{i}").alias(f"{n}{i}") for i in range(ndim) for n, f in (("lo", F.min), ("hi", F.max))]).collect()
     dims, lo, hi, target, leaf, before = [0] * nodes, [0] * nodes, [0] * nodes, [0.0] * nodes, [0.0] * nodes, [0] * nodes
     cuts = [WHOLE] * nodes
     live = set()
@@ -134,22 +188,15 @@ def _cut_level(rows: DataFrame, splits: list, base_nodes: int, wanted: list[int]
         lo[n], hi[n] = r[f"lo{d}"], r[f"hi{d}"]
         target[n], leaf[n] = r["w"] * (wanted[n] // 2) / wanted[n], r["w"] / wanted[n]
         live.add(n)
+    key = F.get(F.array(*[F.col(f"k{i}") for i in range(ndim)]), F.col("dim"))
     while live:
-        step = [max(1, -(-(h - x + 1) // BINS)) for x, h in zip(lo, hi)]
-
-        def bin_of(n: int) -> str:
-            if n not in live:
-                return "CAST(NULL AS BIGINT)"
-            key = f"k{dims[n]}"
-            return f"CASE WHEN {key} BETWEEN {lo[n]}L AND {hi[n]}L THEN ({key} - {lo[n]}L) DIV {step[n]}L + {n * BINS}L END"
-
-        bins = rows.groupBy(_descend(splits, base_nodes, bin_of).alias("b")).agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n"))
-        bins = bins.select(F.expr(f"CAST(b DIV {BINS} AS INT)").alias("node"), F.pmod("b", F.lit(BINS)).alias("bin"), "w", "n")
-        needs = ", ".join(f"{target[n] - before[n]!r}D" for n in range(nodes))
-        need = F.expr(f"get(array({needs}), node)")
+        step = {n: max(1, -(-(hi[n] - lo[n] + 1) // BINS)) for n in live}
+        searched = table_of(spark, [(n, dims[n], lo[n], hi[n], step[n], target[n] - before[n]) for n in sorted(live)], "node int, dim int, lo bigint, hi bigint, step bigint, need double")
+        inside = with_table(rows, searched, "node", 64 * len(live)).withColumn("key", key).filter("key BETWEEN lo AND hi")
+        bins = inside.groupBy("node", F.expr("(key - lo) DIV step").alias("bin")).agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
         up_to = F.sum("w").over(Window.partitionBy("node").orderBy("bin"))
-        first = bins.withColumn("cum", up_to).filter(F.col("cum") >= need).groupBy("node").agg(F.min_by(F.struct("bin", "cum", "w", "n"), "bin").alias("b"))
-        for r in first.select("node", "b.*").collect():
+        found = bins.withColumn("cum", up_to).filter("cum >= need").groupBy("node").agg(F.min_by(F.struct("bin", "cum", "w", "n"), "bin").alias("b"))
+        for r in found.select("node", "b.*").collect():
             n = r["node"]
             left = before[n] + r["cum"] - r["w"]
             edge = lo[n] + r["bin"] * step[n]
@@ -164,4 +211,4 @@ def _cut_level(rows: DataFrame, splits: list, base_nodes: int, wanted: list[int]
 
 def document_dimensions() -> dict[str, Column]:
     """Metadata of documents: where they come from, their language, their length (as a power of two) and their id."""
-    return {"source": prefix_number(F.col("source")), "lang": prefix_number(F.col("lang")), "length": F.log2(text_size(F.col("text"))), "doc_id": F.col("doc_id")}
+    return {"source": F.col("source"), "lang": F.col("lang"), "length": F.log2(text_size(F.col("text"))), "doc_id": F.col("doc_id")}
