@@ -10,12 +10,12 @@ UUIDs derived from the source's id, so a task that runs again writes the same re
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -29,13 +29,14 @@ VERSION = b"WARC/1.1"
 NO_DATE = "1970-01-01T00:00:00Z"
 SCHEMA = "id long, warc_type string, record_id string, refers_to string, concurrent_to string, target_uri string, warc_date string, block_digest string, payload_digest string, source_digest string, content_length long, block string, record binary"
 
-_HIDDEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)|<!doctype[^>]*>")
-_TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title\s*>")
-_HEAD = re.compile(r"(?is)<head\b.*?</head\s*>")
-_BREAK = re.compile(r"(?i)<(?:/?(?:p|div|article|section|nav|header|footer|aside|main|ul|ol|li|table|tr|td|th|h[1-6]|pre|blockquote|form|figure|dl|dt|dd|hr)|br)\b[^>]*>")
-_TAG = re.compile(r"(?s)<[a-zA-Z/!?][^>]*>")
-_LINK = re.compile(r"""(?is)<(a|link|img|script|iframe)\b[^>]*?\b(?:href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
-_LANG = re.compile(r"""(?is)<html\b[^>]*\blang\s*=\s*["']?([A-Za-z-]+)""")
+# Every pattern takes what it began up to its end or that of the page, so a page is read once, whatever isn't closed.
+_HIDDEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\b[^>]*(?:>|\Z)|\Z)|<!doctype[^>]*(?:>|\Z)")
+_BREAK = re.compile(r"(?i)<(?:/?(?:p|div|article|section|nav|header|footer|aside|main|ul|ol|li|table|tr|td|th|h[1-6]|pre|blockquote|form|figure|dl|dt|dd|hr)|br)\b[^>]*(?:>|\Z)")
+_TAG = re.compile(r"<[a-zA-Z/!?][^>]*(?:>|\Z)")
+_LINK_TAG = re.compile(r"(?i)<(a|link|img|script|iframe)\b[^>]*(?:>|\Z)")
+_TARGET = re.compile(r"""(?is)\b(?:href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+_LANG = re.compile(r"""(?i)\blang\s*=\s*["']?([A-Za-z-]+)""")
+_HTML, _HEAD, _HEAD_END, _TITLE, _TITLE_END = (re.compile(f"(?i){p}") for p in (r"<html\b[^>]*", r"<head\b", r"</head\b[^>]*(?:>|\Z)|(?=<body\b)", r"<title\b[^>]*>", r"</title\b[^>]*(?:>|\Z)"))
 _SPACE = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[ \n]*")
 
@@ -53,25 +54,117 @@ def write_record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def _inflated(data: bytes) -> Iterator[bytes]:
+    """The bytes of a file in pieces of about 1 MB; gzip members are inflated one after the other."""
+    piece = 1 << 20
+    if data[:2] != b"\x1f\x8b":
+        for at in range(0, len(data), piece):
+            yield data[at : at + piece]
+        return
+    at, member = 0, zlib.decompressobj(31)
+    try:
+        while at < len(data):
+            chunk = data[at : at + piece]
+            at += len(chunk)
+            while chunk:
+                out = member.decompress(chunk, piece)
+                if out:
+                    yield out
+                chunk = member.unconsumed_tail
+                if member.eof:
+                    chunk, member = member.unused_data.lstrip(b"\0"), zlib.decompressobj(31)
+    except zlib.error:
+        return  # a broken member ends the file; the records before it count
+
+
 def read_records(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
-    """(header fields in order, block) of each record of a WARC file's bytes, gzipped or not."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (at := data.find(b"WARC/1.", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        fields = [line.split(":", 1) for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:] if ":" in line]
+    """(header fields in order, block) of each record of a WARC file's bytes, gzipped or not.
+
+    Records are read one after the other, so only one is held inflated. A record that is cut off is left out."""
+    pieces, buffer = _inflated(data), bytearray()
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        buffer.extend(piece or b"")
+        return piece is not None
+
+    while True:
+        while (at := buffer.find(b"WARC/1.")) < 0:
+            del buffer[:-6]
+            if not more():
+                return
+        del buffer[:at]
+        while (end := buffer.find(b"\r\n\r\n")) < 0 and len(buffer) < 1 << 22:
+            if not more():
+                return
+        if end < 0:  # no header is so long
+            del buffer[:7]
+            continue
+        fields = [line.split(":", 1) for line in buffer[:end].decode("utf-8", "replace").split("\r\n")[1:] if ":" in line]
         headers = [(k.strip(), v.strip()) for k, v in fields]
         size = next((int(v) for k, v in headers if k.lower() == "content-length" and v.isdigit()), 0)
-        yield [h for h in headers if h[0].lower() != "content-length"], data[end + 4 : end + 4 + size]
+        while len(buffer) < end + 4 + size:
+            if not more():
+                return
+        yield [h for h in headers if h[0].lower() != "content-length"], bytes(buffer[end + 4 : end + 4 + size])
+        del buffer[: end + 4 + size]
+
+
+def _dechunked(body: bytes) -> bytes:
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(body[at:end].split(b";")[0].strip() or b"0", 16)
+        except ValueError:
+            return body if not out else b"".join(out)  # it isn't chunked after all, or broken from here on
+        if size <= 0:
+            break
+        out.append(body[end + 2 : end + 2 + size])
         at = end + 4 + size
+    return b"".join(out)
+
+
+def decoded(http: list[list[str]], payload: bytes) -> bytes:
+    """The body without its transfer and content encodings: chunks, gzip, deflate. What is broken is read as far as it
+    goes; with any other encoding there is no text, so it is empty."""
+    fields: dict[str, str] = {}
+    for k, v in http:
+        fields[k.lower()] = v.lower()
+    if "chunked" in fields.get("transfer-encoding", ""):
+        payload = _dechunked(payload)
+    for coding in reversed([c.strip() for c in fields.get("content-encoding", "").split(",") if c.strip() and c.strip() != "identity"]):
+        if coding in ("gzip", "x-gzip") and payload[:2] != b"\x1f\x8b":
+            continue  # kept inflated, as some crawls do
+        if coding not in ("gzip", "x-gzip", "deflate"):
+            return b""
+        out = b""
+        for bits in (31,) if coding != "deflate" else (15, -15):
+            reader = zlib.decompressobj(bits)
+            parts = []
+            try:
+                for at in range(0, len(payload), 65536):
+                    parts.append(reader.decompress(payload[at : at + 65536]))
+            except zlib.error:
+                pass
+            out = b"".join(parts)
+            if out:
+                break
+        payload = out
+    return payload
 
 
 def plain_text(page: str) -> str:
-    """The visible text: blocks on lines of their own, white space collapsed, no scripts, styles, comments or head."""
-    body = _HEAD.sub("\n", _HIDDEN.sub(" ", page))
+    """The visible text: blocks on lines of their own, white space collapsed, no scripts, styles, comments or head.
+
+    The first head ends at its end tag or where the body begins; without either only its title is left out."""
+    body = _HIDDEN.sub(" ", page)
+    head = _HEAD.search(body)
+    end = _HEAD_END.search(body, head.end()) if head else None
+    if end:
+        body = f"{body[: head.start()]}\n{body[end.end() :]}"
+    elif title := _TITLE.search(body):
+        end = _TITLE_END.search(body, title.end())
+        body = f"{body[: title.start()]} {body[end.end() if end else title.end() :]}"
     body = html.unescape(_TAG.sub("", _BREAK.sub("\n", body)))
     return _LINES.sub("\n", _SPACE.sub(" ", body)).strip()
 
@@ -83,26 +176,33 @@ def derive(headers: list[tuple[str, str]], block: bytes) -> list[dict]:
     lines = head.decode("latin-1").split("\r\n")
     http = [[k.strip(), v.strip()] for k, _, v in (line.partition(":") for line in lines[1:]) if k]
     kind = next((v for k, v in http if k.lower() == "content-type"), "")
-    charset = re.search(r"charset=([\w-]+)", kind)
+    charset = re.search(r"charset=\"?([\w-]+)", kind)
+    body = decoded(http, payload)
     try:
-        page = payload.decode(charset[1] if charset else "utf-8", "replace")
+        page = body.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
-        page = payload.decode("utf-8", "replace")
-    uri, own = source.get("warc-target-uri", ""), source.get("warc-record-id", "")
-    date, of_payload = source.get("warc-date", NO_DATE), source.get("warc-payload-digest") or digest(payload)
+        page = body.decode("utf-8", "replace")
+    uri, date = source.get("warc-target-uri", ""), source.get("warc-date", NO_DATE)
+    own = source.get("warc-record-id") or record_id("unnamed", uri, date, digest(block))
+    of_payload = source.get("warc-payload-digest") or digest(payload)
     ids = {kind: record_id(own, kind) for kind in ("metadata", "conversion")}
     visible = _HIDDEN.sub(" ", page)
-    title, lang = _TITLE.search(visible), _LANG.search(page)
+    title, root = _TITLE.search(visible), _HTML.search(visible)
+    title_end = _TITLE_END.search(visible, title.end()) if title else None
+    lang = _LANG.search(root[0]) if root else None
     links = []
-    for m in _LINK.finditer(visible):
-        target = html.unescape(m[2] or m[3] or m[4] or "").strip()
+    for tag in _LINK_TAG.finditer(visible):
+        m = _TARGET.search(tag[0])
+        if not m:
+            continue
+        target = html.unescape(m[1] or m[2] or m[3] or "").strip()
         try:
-            links.append({"path": m[1].lower(), "url": urljoin(uri, target)})
+            links.append({"path": tag[1].lower(), "url": urljoin(uri, target)})
         except ValueError:
-            links.append({"path": m[1].lower(), "url": target})
+            links.append({"path": tag[1].lower(), "url": target})
     meta = {
         "WARC-Header": [list(h) for h in headers], "HTTP-Status": lines[0], "HTTP-Header": http, "Payload-Digest": of_payload, "Payload-Length": len(payload),
-        "Conversion": ids["conversion"], "Title": html.unescape(title[1]).strip() if title else None, "Lang": lang[1].lower() if lang else None, "Links": links,
+        "Conversion": ids["conversion"], "Title": html.unescape(visible[title.end() : title_end.start()]).strip() if title_end else None, "Lang": lang[1].lower() if lang else None, "Links": links,
     }
     blocks = {"metadata": ("application/json", json.dumps(meta, ensure_ascii=False)), "conversion": ("text/plain; charset=utf-8", plain_text(page))}
     out = []
@@ -123,11 +223,12 @@ def response_of(page_id: int | None, url: str | None, page: str | None) -> tuple
     return headers, block
 
 
-def _table(rows: list[dict]):
+def _table(rows: list[dict], kind=None):
     import pyarrow as pa
 
+    kind = kind or pa.int64()
     names = [c.split()[0] for c in SCHEMA.split(", ")]
-    kinds = {"id": pa.int64(), "content_length": pa.int64(), "record": pa.binary()}
+    kinds = {"id": kind, "content_length": pa.int64(), "record": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds.get(n, pa.string())) for n in names], names=names)
 
 
@@ -137,7 +238,7 @@ def _from_pages(batches) -> Iterator:
         for lo in range(0, len(ids), 200):
             rows = [r | {"id": i} for i, u, p in zip(ids[lo : lo + 200], urls[lo : lo + 200], pages[lo : lo + 200]) for r in derive(*response_of(i, u, p))]
             if rows:
-                yield _table(rows)
+                yield _table(rows, b.column(0).type)
 
 
 def _from_files(batches) -> Iterator:
@@ -158,13 +259,18 @@ def derivatives_of_pages(df: DataFrame, page_id: str = "page_id", url: str = "ur
     """Two rows for each page, its metadata and its conversion record, with their fields and bytes (``SCHEMA``).
 
     A null url is empty and a null page an empty payload: both still give two records. Equal rows give equal records.
-    An empty table gives no rows; other columns are ignored.
+    Very long pages are read whole, in linear time. An empty table gives no rows; other columns are ignored.
     """
-    return df.select(F.col(page_id).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("page")).mapInArrow(_from_pages, SCHEMA)
+    kind = df.schema[page_id].dataType.simpleString()
+    return df.select(F.col(page_id).alias("id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("page")).mapInArrow(_from_pages, SCHEMA.replace("id long", f"id {kind}", 1))
 
 
 def derivatives_of_files(spark: SparkSession, path: str) -> DataFrame:
-    """The same from WARC files (.warc, .warc.gz); ``id`` is the record's number in its file. A task reads a file at
-    a time, so files should be of the size that crawls give them, up to about 1 GB."""
+    """The same from WARC files (.warc, .warc.gz); ``id`` is the record's number in its file.
+
+    A task holds one file as it is stored and one record inflated, so files may have up to 1 GB, as crawls make them.
+    Records that aren't responses, cut off or behind a broken gzip member give no rows; missing header fields are
+    empty, and a response without an id is known by the hash of its block. An empty folder gives no rows.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("content").mapInArrow(_from_files, SCHEMA)
