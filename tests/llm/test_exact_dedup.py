@@ -50,3 +50,24 @@ def test_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = sorted(map(key, [tuple(r) for r in dedup_report(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()]))
     assert got == sorted(map(key, brute([(r["doc_id"], r["text"]) for r in docs.collect()])))
+
+
+def test_inputs_that_repeat_a_row_of_a_file(spark, sf, tmp_path):
+    """Exploded, joined, sampled and united rows are told apart, and each scan sees the same ones."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    twice = spark.createDataFrame([(0,), (1,)], "n int")
+    inputs = {
+        "exploded": docs.select("doc_id", F.explode(F.split("text", r"[.\n]")).alias("text")).filter("doc_id < 40"),
+        "joined": docs.filter("doc_id < 100").join(F.broadcast(twice), F.col("n") >= 0).drop("n"),
+        "united": docs.filter("doc_id < 50").union(docs.filter("doc_id < 80")),
+        "sampled": docs.sample(0.5, seed=3),
+        "filtered": docs.filter("doc_id % 2 = 0").withColumnRenamed("text", "t").select("doc_id", F.upper("t").alias("text")),
+    }
+    for name, df in inputs.items():
+        want = {"".join(c for c in r["text"] or "" if c not in " \t\n\x0b\x0c\r") for r in df.collect()}
+        left = [r["text"] for r in drop_exact_duplicates(df).collect()]
+        assert len(left) == len(want), name
+    random = drop_exact_duplicates(docs.filter(F.rand() < 0.5)).collect()
+    assert len({r["text"] for r in random}) == len(random)

@@ -1,3 +1,4 @@
+import math
 from collections import Counter
 
 import numpy as np
@@ -84,3 +85,40 @@ def test_intersections_and_forest():
     linked = np.zeros((6, 6), bool)
     linked[0, 1] = linked[1, 0] = linked[1, 2] = linked[2, 1] = linked[4, 5] = linked[5, 4] = True
     assert len(forest(linked)) == 3
+
+
+def test_chance_of_losing_a_pair():
+    """Of pairs of exactly the threshold, over all ten steps, as many equal values as a binomial gives."""
+    needed, at, lost = J.least_matches(), {0: 1.0}, 0.0
+    for n in range(J.STEP, J.HASHES + 1, J.STEP):
+        after = {}
+        for m, p in at.items():
+            for k in range(J.STEP + 1):
+                after[m + k] = after.get(m + k, 0) + p * math.comb(J.STEP, k) * 0.8**k * 0.2 ** (J.STEP - k)
+        lost += sum(p for m, p in after.items() if m < needed[n])
+        at = {m: p for m, p in after.items() if m >= needed[n]}
+    assert lost < 1e-5
+
+
+def test_dropped_pairs_are_not_verified():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**40, 300).astype(np.uint64)) for _ in range(2)]
+    sets += [sets[0][:-5], sets[1][:-5], sets[0]]
+    left = np.zeros((5, 5), bool)
+    left[0, 2] = left[2, 0] = left[0, 1] = left[1, 0] = True
+    found = J.reaching(sets, left, 0.8)
+    assert found[0, 2] and found.sum() == 2
+    assert J.reaching(sets, ~np.eye(5, dtype=bool), 0.8).sum() == 8
+
+
+def test_recall_near_the_threshold(spark):
+    """All pairs of similarity 0.8 to 0.85 are found, among string ids."""
+    rows = []
+    for i in range(150):
+        words = [f"{c}{i}w{j}" for j, c in enumerate("ab" * 60)]
+        rows.append((f"a{i:03d}", " ".join(words)))
+        rows.append((f"b{i:03d}", " ".join([*words[:-6], *[f"new{i}x{j}" for j in range(6 + i % 4)]])))
+    sets = list(J.shingle_sets([t for _, t in rows]))
+    near = {i for i in range(150) if 0.8 <= len(np.intersect1d(sets[2 * i], sets[2 * i + 1])) / len(np.union1d(sets[2 * i], sets[2 * i + 1])) < 0.9}
+    got = {r["doc_id"]: r["class_id"] for r in J.jaccard_report(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert len(near) > 50 and all(got[f"b{i:03d}"] == f"a{i:03d}" for i in near)

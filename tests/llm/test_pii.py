@@ -115,3 +115,45 @@ def test_odd_rows(odd, odd_rows, empty):
     assert pii.pseudonymise(odd, KEY).count() == len(odd_rows) and pii.pseudonymise(empty, KEY).count() == 0
     plan = pii.pseudonymise(odd, KEY)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_dates_of_all_formats_stay_apart(spark):
+    days = "SELECT date_add(date'1900-01-01', cast(id as int)) d FROM range(73049)"
+    texts = spark.sql(f"SELECT date_format(d, 'MM/dd/yyyy') text FROM ({days}) UNION ALL SELECT date_format(d, 'dd/MM/yyyy') FROM ({days}) WHERE day(d) > 12")
+    out = [r["text"] for r in pii.pseudonymise(texts.repartition(8), KEY).collect()]
+    assert len(out) == len(set(out)) == 73049 + 44249
+    assert all(re.fullmatch(r"\d\d/\d\d/(19|20)\d\d", t) for t in out)
+
+
+def test_values_stay_apart(spark):
+    mails = [f"john{i}@x.org" for i in range(3000)] + [f"a{c}{i}@x.org" for c in "bcd" for i in range(100)] + [f"{c}@x.org" for c in "abcdefgh"]
+    cards = ["4111111111123454", "4222222222223459", "4333333333323454"]
+    secrets = [f"password=ab{i:05d}" for i in range(3000)] + [f"password=zy{i:05d}" for i in range(3000)]
+    for texts in (mails, cards, secrets):
+        out = [t for t, _ in pseudonyms(spark, texts)]
+        assert len(set(out)) == len(texts) and not set(out) & set(texts)
+    one, two, three, mixed = (t for t, _ in pseudonyms(spark, ["john1@x.org", "john2@x.org", "JOHN1@x.org", "...john1@x.org"]))
+    assert one[:4] != two[:4] and three.lower() == one and three != one and mixed == "..." + one
+    tails = [t[12:15] for t, _ in pseudonyms(spark, cards)]
+    assert len(set(tails)) == 3
+
+
+def test_account_and_social_security_numbers(spark):
+    ibans = ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "FR1420041010050500013M02606"]
+    for old, (new, n) in zip(ibans, pseudonyms(spark, ibans)):
+        bare = new.replace(" ", "")
+        assert n == {"iban": 1} and new != old and new[:2] == old[:2] and len(new) == len(old)
+        assert int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+    numbers = [f"{a:03d}-{g:02d}-{s:04d}" for a in (1, 665, 667, 899) for g in (1, 99) for s in (1, 9999, 1234)]
+    out = [t for t, _ in pseudonyms(spark, numbers)]
+    assert len(set(out)) == len(numbers) and all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", t) for t in out)
+    assert [n for _, n in pseudonyms(spark, ["GB83 WEST 1234 5698 7654 32", "000-12-3456 and 666-12-3456"])] == [{}, {}]
+
+
+def test_long_runs_are_read_once(spark):
+    import time
+
+    texts = ["a" * 2_000_000, "a." * 500_000, "<a" * 1_000_000, "1 " * 20_000, 'k = "' + "aB3+" * 10_000 + '"']
+    began = time.time()
+    out = pseudonyms(spark, texts)
+    assert time.time() - began < 120 and [len(t) for t, _ in out] == [len(t) for t in texts]
