@@ -7,7 +7,7 @@ import __spark_entry__ as E
 from verdigris.functions import scalars as S
 from verdigris.functions import shapes
 from verdigris.geometry import plane, wkb
-from verdigris.operators import frame, river, vectorise
+from verdigris.operators import frame, raster, river, vectorise
 from verdigris.operators.components import components
 from verdigris.operators.spatial import nearest
 from verdigris.plans import queries as Q
@@ -76,14 +76,62 @@ def spill_graph(spark):
     return spark.createDataFrame([(1, 2, 10.0), (2, 3, 5.0), (3, 4, 20.0), (2, 5, 5.0), (5, 6, 10.0)], "src long, dst long, cost double")
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
-def test_golden_spill(spark, monkeypatch, limit):
-    monkeypatch.setattr(river, "BROADCAST_EDGES", limit)
+def test_golden_spill(spark):
     sources = spark.createDataFrame([(0, 1, 100.0)], "source_id long, node long, pollution double")
     got = {r["node"]: round(r["remain"], 6) for r in river.remain_by_node(river.propagate(spill_graph(spark), sources)).collect()}
     assert got == {1: 100, 2: 90, 3: 55, 4: 35, 5: 25, 6: 15}
 
 
+def walked(edges, sources):
+    """Portions followed one by one."""
+    out, into = {}, {}
+    cheapest = {}
+    for u, v, c in edges:
+        cheapest[u, v] = min(c, cheapest.get((u, v), c))
+    for (u, v), c in cheapest.items():
+        out.setdefault(u, []).append((v, c))
+        into.setdefault(v, []).append(u)
+
+    def distances(start):
+        found, node, total = [0.0], start, 0.0
+        while len(out.get(node, [])) == 1 and len(into.get(node, [])) <= 1:
+            node, total = out[node][0][0], total + out[node][0][1]
+            found.append(total)
+        return found
+
+    remain, todo = {}, [(n, p) for _, n, p in sources]
+    while todo:
+        node, rest = todo.pop()
+        remain[node] = remain.get(node, 0) + rest
+        kids = out.get(node, [])
+        means = [sum(near) / len(near) for v, _ in kids for near in [[d for d in distances(v) if d <= rest]]]
+        shares = [rest] if len(kids) == 1 else [rest * m / sum(means) for m in means] if sum(means) else []
+        todo += [(v, s - c) for (v, c), s in zip(kids, shares) if s - c >= 0]
+    return {n: round(r, 6) for n, r in remain.items()}
+
+
+def test_spill_with_confluences_and_sources_anywhere(spark):
+    edges = [(1, 2, 3.0), (2, 3, 2.0), (3, 4, 1.0), (3, 5, 2.0), (4, 6, 1.0), (5, 6, 1.0), (6, 7, 2.0), (7, 8, 4.0), (8, 9, 1.0), (8, 10, 3.0), (10, 11, 2.0), (12, 7, 1.0), (1, 2, 9.0)]
+    sources = [(0, 1, 60.0), (1, 2, 20.0), (2, 5, 15.0), (3, 6, 8.0), (4, 99, 5.0), (5, 12, 30.0), (6, 10, 1.0), (7, 9, 7.0)]
+    e = spark.createDataFrame(edges, "src long, dst long, cost double")
+    s = spark.createDataFrame(sources, "source_id long, node long, pollution double")
+    got = {r["node"]: round(r["remain"], 6) for r in river.remain_by_node(river.propagate(e, s)).collect()}
+    assert got == walked(edges, sources)
+
+
+def test_small_zones_take_the_pixel_they_lie_in(spark):
+    pixels = spark.createDataFrame([("t", 0.0, 10.0, 1.0), ("t", 10.0, 10.0, 2.0), ("t", 0.0, 20.0, 3.0), ("t", 10.0, 20.0, 4.0)], "tile string, x double, y double, value double")
+    zones = spark.createDataFrame([(1, 4.9, 4.9, 5.0, 5.0), (2, -1.0, 9.0, 11.0, 11.0), (3, 900.0, 900.0, 901.0, 901.0), (4, 14.0, 3.0, 14.2, 3.2)], "zone_id long, bx0 double, by0 double, bx1 double, by1 double")
+    got = {r["zone_id"]: (r["value"], r["n"]) for r in raster.zonal_mode(pixels, zones, 50.0, 10.0).collect()}
+    assert got == {1: (1.0, 1), 2: (1.0, 1), 3: (None, 0), 4: (2.0, 1)}
+
+
+def test_water_lines_are_widened_and_areas_are_not(spark):
+    d = spark.createDataFrame([(1, "a", 0.0, 0.0, 10.0, 0.0), (2, "b", 0.0, 0.0, 10.0, 10.0)], "source_id long, name string, x0 double, y0 double, x1 double, y1 double")
+    got = {r["source_id"]: (r["x0"], r["y0"], r["x1"], r["y1"]) for r in frame.prepare_layer(d, "water", frame.RULES["water"]).collect()}
+    assert got == {1: (-5, -5, 15, 5), 2: (0, 0, 10, 10)}
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5)], "src long, dst long")
     got = {r["node"]: r["component"] for r in components(edges).collect()}

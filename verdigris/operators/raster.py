@@ -48,17 +48,33 @@ def gradient(pixels: DataFrame, dx: float, dy: float) -> DataFrame:
     return full.withColumn("gx", along("col", "row", dx)).withColumn("gy", along("row", "col", dy)).select("tile", "row", "col", "value", "gx", "gy")
 
 
-def zonal_mode(pixels: DataFrame, zones: DataFrame, cell: float) -> DataFrame:
+def zonal_mode(pixels: DataFrame, zones: DataFrame, cell: float, size: float | None = None) -> DataFrame:
     """(tile, zone_id, value, n): the most frequent pixel value in each zone, the least of equals.
 
     Pixels need x and y; zones bx0 .. by1. Counts are made per value before the choice, so a large zone is no single
-    task's list.
+    task's list. With ``size``, the side of a pixel, every zone has a row for each tile: one without a pixel in it is
+    widened by half a pixel's diagonal, one that has none even then takes the pixel that its middle lies in (x and y
+    are a pixel's upper left corner), and one off the tile has nulls and no pixels.
     """
     at = pixels.filter("value IS NOT NULL").withColumns({"px0": F.col("x"), "py0": F.col("y"), "px1": F.col("x"), "py1": F.col("y")})
-    inside = box_join(at, zones, cell, predicate="within", left_box=("px0", "py0", "px1", "py1"))
-    counts = inside.groupBy("tile", "zone_id", "value").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("tile", "zone_id").agg(F.min(F.struct((-F.col("n")).alias("less"), "value")).alias("m"))
-    return best.select("tile", "zone_id", F.col("m.value").alias("value"), (-F.col("m.less")).alias("n"))
+
+    def mode(zones: DataFrame, step: int) -> DataFrame:
+        inside = box_join(at, zones, cell, predicate="within", left_box=("px0", "py0", "px1", "py1"))
+        counts = inside.groupBy("tile", "zone_id", "value").agg(F.count(F.lit(1)).alias("n"))
+        best = counts.groupBy("tile", "zone_id").agg(F.min(F.struct((-F.col("n")).alias("less"), "value")).alias("m"))
+        return best.select("tile", "zone_id", F.lit(step).alias("step"), F.col("m.value").alias("value"), (-F.col("m.less")).alias("n"))
+
+    if size is None:
+        return mode(zones, 0).drop("step")
+    grow = size * 2**0.5 / 2
+    wide = zones.withColumns({c: F.col(c) + s * grow for c, s in (("bx0", -1), ("by0", -1), ("bx1", 1), ("by1", 1))})
+    x, y = (F.col("bx0") + F.col("bx1")) / 2, (F.col("by0") + F.col("by1")) / 2
+    middle = zones.withColumns({"bx0": x - size, "by0": y, "bx1": x, "by1": y + size})
+    found = mode(zones, 0).union(mode(wide, 1)).union(mode(middle, 2))
+    best = found.groupBy("tile", "zone_id").agg(F.min_by(F.struct("value", "n"), "step").alias("m"))
+    every = zones.select("zone_id").crossJoin(F.broadcast(pixels.select("tile").distinct()))  # a row for each tile
+    out = every.join(best, ["tile", "zone_id"], "left")
+    return out.select("tile", "zone_id", F.col("m.value").alias("value"), F.coalesce("m.n", F.lit(0).cast("long")).alias("n"))
 
 
 def gaussian_kernel(sigma: float, truncate: float = 4.0):

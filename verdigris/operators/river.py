@@ -2,25 +2,25 @@
 
 A portion of pollution is (source, node, rest). It loses the cost of each edge it flows along. Where a river splits,
 it divides by the mean distance of the reach that each branch offers within the rest, so what a path carries depends
-on its own history: portions are followed apart and only summed by node at the end.
+on its own history: portions are followed apart and only summed by node at the end. A step follows all portions through
+a whole unbranched reach, by joins, so there are as many steps as splits and confluences on a path.
 """
 
 from __future__ import annotations
 
 import math
-from collections import deque
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import rint
 from ..tables import shared_table
+from .spatial import nearest
 
-#: Graphs of more edges are not sent to the tasks but joined level by level.
-BROADCAST_EDGES = 2_000_000
-#: Paths of one source, beyond which a cycle or braid is reported as an error.
-MOST_PATHS = 5_000_000
+#: Steps after which a graph is taken to run in circles without cost.
+MOST_STEPS = 10_000
+#: Lines that one task numbers, about.
+LINES_OF_RANGE = 100_000
 
 
 def vertex_pairs(lines: DataFrame, line: str = "line_id", pos: str = "pos") -> DataFrame:
@@ -45,11 +45,17 @@ def segmentised(pairs: DataFrame, most: float) -> DataFrame:
 def interned(lines: DataFrame, line: str = "line_id", pos: str = "pos") -> DataFrame:
     """Nodes (node, x, y) of the distinct vertices; a node's number is the rank of its first vertex.
 
-    The rank counts in two steps, by line and within it, so no window holds all vertices.
+    Lines are dealt to ranges; a vertex counts those of the ranges, then of the lines, then of the vertices before it,
+    so no window holds all lines.
     """
     first = lines.groupBy("x", "y").agg(F.min(F.struct(F.col(line).alias("l"), F.col(pos).alias("p"))).alias("f")).select("x", "y", "f.l", "f.p")
+    first = shared_table(first, "vertices")
     per_line = first.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
-    starts = per_line.select("l", (F.sum("n").over(Window.orderBy("l")) - F.col("n")).alias("start"))  # one row a line
+    ranged = shared_table(per_line.repartitionByRange(max(1, per_line.count() // LINES_OF_RANGE), "l").withColumn("part", F.spark_partition_id()), "lines")
+    parts = ranged.groupBy("part").agg(F.sum("n").alias("n"))
+    before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # one row a range
+    within = F.sum("n").over(Window.partitionBy("part").orderBy("l")) - F.col("n")
+    starts = ranged.withColumn("within", within).join(before, "part").select("l", (F.col("before") + F.col("within")).alias("start"))
     return first.join(starts, "l").select((F.col("start") + F.row_number().over(Window.partitionBy("l").orderBy("p")) - 1).alias("node"), "x", "y")
 
 
@@ -89,31 +95,39 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both.groupBy("node").agg(F.sum("o").alias("outs"), F.sum("i").alias("ins"))
 
 
-def chains(edges: DataFrame) -> DataFrame:
-    """(start, step, node, cum): from each child of a split, the unbranched reach below it with its distances.
+def reaches(edges: DataFrame) -> DataFrame:
+    """(head, step, node, cum): the nodes of each unbranched reach, with their distance from its head.
 
-    A node goes on when it has one way out and at most one in; the reach ends with, and includes, the first that
-    doesn't. The places within reaches are found by pointer doubling, so a reach of n nodes takes log2(n) joins.
+    A node goes on when it has one way out at most and one in; a reach ends with, and includes, the first that doesn't.
+    Heads are nodes that don't go on (each a reach of its own), their children, and springs. The places within reaches
+    are found by pointer doubling, so a reach of n nodes takes log2(n) joins.
     """
-    deg = degrees(edges)
+    deg = shared_table(degrees(edges), "degrees")
     plain = deg.filter("outs <= 1 AND ins <= 1").select(F.col("node").alias("p"))
-    hops = shared_table(edges.join(plain, edges["src"] == F.col("p"), "left_semi").select("src", "dst", F.col("cost").cast("double").alias("cost")), "hops")
+    goes_on = edges.join(plain, edges["src"] == F.col("p"), "left_semi")
     # up[node] = the node before it in the reach, while that one goes on
-    up = hops.select(F.col("dst").alias("node"), F.col("src").alias("anc"), F.col("cost").alias("dist"), F.lit(1).cast("long").alias("steps"))
+    up = goes_on.select(F.col("dst").alias("node"), F.col("src").alias("anc"), F.col("cost").cast("double").alias("dist"), F.lit(1).cast("long").alias("steps"))
     up = shared_table(up, "up")
-    while True:
+    for _ in range(64):
         above = up.select(F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("dist").alias("dist2"), F.col("steps").alias("steps2"))
         # a confluence may be the end of several reaches, so each of its rows is followed apart
         joined = up.join(above, "anc", "left")
-        moved = joined.filter("anc2 IS NOT NULL").limit(1).count()
-        if not moved:
+        if not joined.filter("anc2 IS NOT NULL").limit(1).count():
             break
+        if up.agg(F.max("steps")).first()[0] > 2 * up.count():
+            raise ValueError("a reach runs in a circle")
         up = shared_table(joined.select("node", F.coalesce("anc2", "anc").alias("anc"), (F.col("dist") + F.coalesce("dist2", F.lit(0.0))).alias("dist"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps")), "up")
-    splits = deg.filter("outs >= 2").select(F.col("node").alias("src"))
-    starts = edges.join(splits, "src", "left_semi").select(F.col("dst").alias("start")).distinct()
-    own = starts.select("start", F.lit(0).cast("long").alias("step"), F.col("start").alias("node"), F.lit(0.0).alias("cum"))
-    below = up.join(starts, F.col("anc") == F.col("start")).select("start", F.col("steps").alias("step"), "node", F.col("dist").alias("cum"))
-    return own.union(below)
+    below_others = edges.join(plain, edges["src"] == F.col("p"), "left_anti").select(F.col("dst").alias("head"))
+    heads = deg.filter("outs > 1 OR ins <> 1").select(F.col("node").alias("head")).union(below_others).distinct()
+    own = heads.select("head", F.lit(0).cast("long").alias("step"), F.col("head").alias("node"), F.lit(0.0).alias("cum"))
+    return own.union(up.select(F.col("anc").alias("head"), F.col("steps").alias("step"), "node", F.col("dist").alias("cum")))
+
+
+def chains(edges: DataFrame) -> DataFrame:
+    """(start, step, node, cum): the reach that begins with each child of a split."""
+    splits = degrees(edges).filter("outs >= 2").select(F.col("node").alias("src"))
+    starts = edges.join(splits, "src", "left_semi").select(F.col("dst").alias("head")).distinct()
+    return reaches(edges).join(starts, "head", "left_semi").withColumnRenamed("head", "start")
 
 
 def chain_average(chain: DataFrame, rest: float) -> DataFrame:
@@ -121,85 +135,68 @@ def chain_average(chain: DataFrame, rest: float) -> DataFrame:
     return chain.groupBy("start").agg(F.avg(F.when(F.col("cum") <= rest, F.col("cum"))).alias("mean"))
 
 
-def _adjacency(edges: DataFrame) -> dict:
-    """node -> [(child, cost, distances of its reach)], for graphs of a checked size."""
-    reach = chains(edges).groupBy("start").agg(F.array_sort(F.collect_list("cum")).alias("cums"))
-    rows = edges.join(reach, edges["dst"] == F.col("start"), "left").select("src", "dst", "cost", "cums").collect()
-    out: dict = {}
-    for r in rows:
-        out.setdefault(r["src"], []).append((r["dst"], r["cost"], r["cums"] or [0.0]))
-    return out
-
-
 def propagate(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """(source_id, node, remain): every portion that reaches a node, one row for each path.
+    """(source_id, node, remain): every portion that reaches a node; paths that carry the same there are one row.
 
     ``edges`` (src, dst, cost >= 0; loops are dropped, of parallel edges the cheapest stays), ``sources`` (source_id,
-    node, pollution). A graph of up to ``BROADCAST_EDGES`` edges goes to all tasks, which follow the sources apart; a
-    larger one is joined level by level, with a written table for each.
+    node, pollution). Each step joins the portions to the reaches that they enter and divides them at the ends; a
+    source of many paths is many rows, so it is no single task's work. A source outside the graph keeps its own node.
     """
     edges = edges.filter("src <> dst AND cost IS NOT NULL").groupBy("src", "dst").agg(F.min("cost").cast("double").alias("cost"))
     edges = shared_table(edges, "edges")
-    sources = sources.select("source_id", F.col("node").cast("long").alias("node"), F.col("pollution").cast("double").alias("remain"))
-    if edges.count() > BROADCAST_EDGES:
-        return _by_levels(edges, sources)
-    shared = edges.sparkSession.sparkContext.broadcast(_adjacency(edges))
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        graph, out = shared.value, []
-        todo = deque(zip(group["source_id"], group["node"], group["remain"]))
-        while todo:
-            source, node, rest = todo.popleft()
-            out.append((source, node, rest))
-            if len(out) > MOST_PATHS:
-                raise ValueError(f"more than {MOST_PATHS} paths from source {source}")
-            children = graph.get(node, ())
-            if len(children) == 1:
-                shares = [rest]
-            else:
-                means = [sum(near) / len(near) for _, _, cums in children if (near := [c for c in cums if c <= rest])]
-                total = sum(means)
-                shares = [rest * m / total for m in means] if total else []
-            todo.extend((source, child, share - cost) for (child, cost, _), share in zip(children, shares) if share - cost >= 0)
-        return pd.DataFrame(out, columns=["source_id", "node", "remain"])
-
-    kind = sources.schema["source_id"].dataType.simpleString()
-    return sources.groupBy("source_id").applyInPandas(walk, f"source_id {kind}, node long, remain double")
-
-
-def _by_levels(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    reach = chains(edges).groupBy("start").agg(F.array_sort(F.collect_list("cum")).alias("cums"))
-    full = edges.join(reach, edges["dst"] == F.col("start"), "left").withColumn("cums", F.coalesce("cums", F.array(F.lit(0.0))))
-    grouped = full.groupBy("src").agg(F.collect_list(F.struct("dst", "cost", "cums")).alias("children"))
-    grouped = shared_table(grouped, "children")
-
-    def mean(cums: Column) -> Column:
-        near = F.filter(cums, lambda c: c <= F.col("remain"))
-        return F.aggregate(near, F.lit(0.0), lambda a, c: a + c) / F.size(near)
-
-    level, levels = shared_table(sources, "level"), []
-    while level.limit(1).count():
-        levels.append(level)
-        out = level.join(grouped, level["node"] == grouped["src"]).withColumn("means", F.transform("children", lambda c: mean(c["cums"])))
-        out = out.withColumn("total", F.aggregate("means", F.lit(0.0), lambda a, m: a + m))
-        share = F.when(F.size("children") == 1, F.col("remain")).otherwise(F.col("remain") * F.col("c.mean") / F.nullif("total", F.lit(0.0)))
-        out = out.select("source_id", "remain", "children", "total", F.explode(F.arrays_zip(F.col("children"), F.col("means").alias("mean"))).alias("c"))
-        out = out.select("source_id", F.col("c.children.dst").alias("node"), (share - F.col("c.children.cost")).alias("remain")).filter("remain >= 0")
-        level = shared_table(out, "level")
-    total = levels[0] if levels else level
-    for t in levels[1:]:
-        total = total.union(t)
-    return total
+    reach = shared_table(reaches(edges), "reaches")
+    deg = degrees(edges)
+    ends = shared_table(edges.join(deg.filter("outs > 1 OR ins > 1").select(F.col("node").alias("src"), "outs"), "src"), "ends")
+    # A source within a reach is a portion that entered at the head with so much more, and counts from its own step on.
+    own = sources.select("source_id", F.col("node").cast("long").alias("node"), F.col("pollution").cast("double").alias("rest"))
+    whole = deg.filter("outs <= 1 AND ins <= 1").select("node", F.lit(True).alias("plain"))
+    place = reach.join(whole, "node", "left").filter("plain OR head = node").dropDuplicates(["node"]).select("node", "head", "step", "cum")
+    placed = own.join(place, "node", "left").withColumns({"n": F.lit(1).cast("long")})
+    outside = placed.filter("head IS NULL").select("source_id", "node", F.col("rest").alias("remain"), "n")
+    level = placed.filter("head IS NOT NULL").select("source_id", "head", F.col("step").alias("from"), (F.col("rest") + F.col("cum")).alias("rest"), "n")
+    found = [outside]
+    for _ in range(MOST_STEPS):
+        hits = level.join(reach, "head").filter("step >= from AND cum <= rest").select("source_id", "node", (F.col("rest") - F.col("cum")).alias("remain"), "n")
+        hits = shared_table(hits.groupBy("source_id", "node", "remain").agg(F.sum("n").alias("n")), "portions")
+        if not hits.limit(1).count():
+            break
+        found.append(hits)
+        branches = hits.join(ends.withColumnRenamed("src", "node"), "node")
+        offers = branches.join(reach.select(F.col("head").alias("dst"), "cum"), "dst").filter("cum <= remain")
+        offers = offers.groupBy("source_id", "node", "remain", "n", "dst", "cost", "outs").agg(F.avg("cum").alias("mean"))
+        total = F.sum("mean").over(Window.partitionBy("source_id", "node", "remain"))
+        share = F.when(F.col("outs") == 1, F.col("remain")).otherwise(F.col("remain") * F.col("mean") / F.nullif(total, F.lit(0.0)))
+        level = offers.select("source_id", F.col("dst").alias("head"), F.lit(0).cast("long").alias("from"), (share - F.col("cost")).alias("rest"), "n").filter("rest >= 0")
+    else:
+        raise ValueError(f"more than {MOST_STEPS} steps: the graph runs in circles without cost")
+    out = found[0]
+    for t in found[1:]:
+        out = out.union(t)
+    return out.select("source_id", "node", (F.col("remain") * F.col("n")).alias("remain"))
+
+
+def simulate_spill(edges: DataFrame, nodes: DataFrame, sources: DataFrame, least_distance: float = 100.0, only_polluted: bool = True, cell: float | None = None) -> DataFrame:
+    """(src, dst, remain) of the edges that pollution reaches; with ``only_polluted`` off, of all, 0 for the others.
+
+    ``edges`` (src, dst, cost), ``nodes`` (node, x, y), ``sources`` (source_id, x, y, pollution). A source flows from
+    its nearest node when that is at most ``least_distance`` away; an edge has the mean of its ends.
+    """
+    spots = nearest(sources, nodes.select("node", F.col("x").alias("nx"), F.col("y").alias("ny")), "source_id", "node", cell or least_distance)
+    at = sources.join(spots.filter(F.col("dist") <= least_distance).select("source_id", "node"), "source_id").select("source_id", "node", "pollution")
+    polluted = shared_table(remain_by_node(propagate(edges, at)), "remain")
+    return edge_remain(edges, polluted, only_polluted)
 
 
 def remain_by_node(portions: DataFrame) -> DataFrame:
     return portions.groupBy("node").agg(F.sum("remain").alias("remain"))
 
 
-def edge_remain(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges whose ends are both polluted: (src, dst, remain), the mean of the ends."""
+def edge_remain(edges: DataFrame, nodes: DataFrame, only_polluted: bool = True) -> DataFrame:
+    """(src, dst, remain): the mean of the ends of edges that are both polluted; of others 0, or no row."""
     u, v = (nodes.select(F.col("node").alias(n), F.col("remain").alias(r)) for n, r in (("src", "ru"), ("dst", "rv")))
-    return edges.select("src", "dst").distinct().join(u, "src").join(v, "dst").select("src", "dst", ((F.col("ru") + F.col("rv")) / 2).alias("remain"))
+    how = "inner" if only_polluted else "left"
+    both = edges.select("src", "dst").distinct().join(u, "src", how).join(v, "dst", how)
+    return both.select("src", "dst", F.coalesce((F.col("ru") + F.col("rv")) / 2, F.lit(0.0)).alias("remain"))
 
 
 def conditional_mean(value: Column) -> Column:

@@ -133,3 +133,7 @@ def soil_classes(pixels: DataFrame, step: float = 5.0, russian: bool = False) ->
     return out.withColumn("usda_texture", S.lookup(F.col("usda_texture"), S.TEXTURE_RU).cast("string")) if russian else out
 
 
+def soil_areas(classes: DataFrame, *keys: str) -> DataFrame:
+    """Soil classes with their number of pixels and mean coarse fragments, in whole per mille; by ``keys``, too."""
+    by = [*keys, "clay_pct", "silt_pct", "sand_pct", "usda_texture"]
+    return classes.groupBy(*by).agg(F.rint(F.avg("cfvo")).cast("int").alias("coarse"), F.count(F.lit(1)).alias("n"))

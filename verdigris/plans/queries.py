@@ -198,17 +198,22 @@ def sjoin_intersects_inner(spark, sf):
     return box_join(_small(spark, sf), zones_of(spark, sf), TILE).select("source_id", "zone_id")
 
 
-_FAR = "(SELECT * FROM fx_zones WHERE zone_id%3=0)"
+#: The middle third of each zone, so that some sources touch none.
+_FAR = "(SELECT zone_id, x0+100 x0, y0+100 y0, x1-100 x1, y1-100 y1 FROM fx_zones)"
+
+
+def _far(spark, sf) -> DataFrame:
+    return zones_of(spark, sf).withColumns({c: F.col(c) + s * 100 for c, s in (("bx0", 1), ("by0", 1), ("bx1", -1), ("by1", -1))})
 
 
 @query(f"SELECT source_id, zone_id FROM {_SMALL} b LEFT JOIN {_FAR} z ON {_HIT}")
 def sjoin_intersects_left(spark, sf):
-    return box_join(_small(spark, sf), zones_of(spark, sf).filter("zone_id%3=0"), TILE, "left", left_id="source_id").select("source_id", "zone_id")
+    return box_join(_small(spark, sf), _far(spark, sf), TILE, "left", left_id="source_id").select("source_id", "zone_id")
 
 
 @query(f"SELECT source_id FROM {_SMALL} b WHERE EXISTS (SELECT 1 FROM {_FAR} z WHERE {_HIT})")
 def sjoin_intersects_semi(spark, sf):
-    return box_join(_small(spark, sf), zones_of(spark, sf).filter("zone_id%3=0"), TILE, "left_semi", left_id="source_id").select("source_id")
+    return box_join(_small(spark, sf), _far(spark, sf), TILE, "left_semi", left_id="source_id").select("source_id")
 
 
 @query("SELECT point_id, source_id FROM fx_points p JOIN fx_boxes b ON p.x>=b.x0 AND p.x<=b.x1 AND p.y>=b.y0 AND p.y<=b.y1")
@@ -237,10 +242,12 @@ def name_anti_join(spark, sf):
     return d.join(d.filter("impact = 3").select("name"), "name", "left_anti").select("source_id")
 
 
-@query("SELECT point_id FROM fx_points WHERE type IN (SELECT type FROM fx_points WHERE point_id%7=0 AND point_id<40)")
+@query("SELECT point_id FROM fx_points WHERE type IN (SELECT type FROM fx_points GROUP BY type HAVING avg(x) > (SELECT avg(x) FROM fx_points))")
 def type_semi_join(spark, sf):
     d = fixture(spark, sf, "fx_points")
-    return d.join(d.filter("point_id%7=0 AND point_id<40").select("type"), "type", "left_semi").select("point_id")
+    mean = d.agg(F.avg("x").alias("mean"))  # one row
+    east = d.groupBy("type").agg(F.avg("x").alias("x")).crossJoin(F.broadcast(mean)).filter("x > mean").select("type")
+    return d.join(east, "type", "left_semi").select("point_id")
 
 
 @query(f"SELECT zone_id, source_id, name, impact FROM (SELECT z.zone_id, source_id FROM {_SMALL} b JOIN fx_zones z ON {_HIT}) JOIN (SELECT source_id, name, impact FROM fx_boxes) USING (source_id)", "index_lookup")
@@ -287,7 +294,7 @@ def zone_report_text(spark, sf):
 
 
 @query(f"""WITH {_RS}, {_RB}, {_LB}, pt AS (SELECT point_id, x-5 x0, y-5 y0, x+5 x1, y+5 y1 FROM fx_points),
-    hit AS (SELECT z.point_id, source_id, 'source' kind FROM rs b JOIN pt z ON {_HIT} UNION ALL SELECT z.point_id, source_id, 'effect' FROM rb b JOIN pt z ON {_HIT})
+    hit AS (SELECT z.point_id, source_id, 'source' kind FROM rs b JOIN pt z ON {_HIT} UNION ALL SELECT z.point_id, b.source_id, 'effect' FROM rb b JOIN pt z ON {_HIT} JOIN rs s ON s.source_id=b.source_id WHERE NOT (z.x0>=s.x0 AND z.y0>=s.y0 AND z.x1<=s.x1 AND z.y1<=s.y1))
     SELECT DISTINCT point_id, kind, CASE WHEN impact>0 THEN 'positive' ELSE 'negative' END sign, name, label type, CAST(reach AS DOUBLE) radius
     FROM hit JOIN rs USING (source_id) LEFT JOIN lb USING (type)""")
 def point_influencers(spark, sf):
@@ -316,10 +323,10 @@ def points_into_polygons(spark, sf):
     return FR.points_into_boxes(points, boxes, 10.0, TILE)
 
 
-@query("""SELECT name, impact, x0, y0, x1, y1 FROM fx_boxes WHERE source_id%2=0 UNION SELECT name, impact, x0, y0, x1, y1 FROM fx_boxes WHERE source_id%3=0""")
+@query("""SELECT name, impact, x0, y0, x1, y1 FROM fx_boxes WHERE impact<0 UNION SELECT name, impact, x0, y0, x1, y1 FROM fx_boxes WHERE impact>-5""")
 def frame_merge_union(spark, sf):
     d = fixture(spark, sf, "fx_boxes").drop("zone_id")
-    return FR.merge_sources(d.filter("source_id%2=0"), d.filter("source_id%3=0")).select("name", "impact", "x0", "y0", "x1", "y1")
+    return FR.merge_sources(d.filter("impact<0"), d.filter("impact>-5")).select("name", "impact", "x0", "y0", "x1", "y1")
 
 
 @query(f"WITH {_SOURCES} SELECT zone_id, impact, max(layers_count) layers_count, sum((x1-x0)*(y1-y0)) area FROM src GROUP BY 1, 2")
@@ -424,6 +431,21 @@ def edge_remain(spark, sf):
     return V.edge_remain(fixture(spark, sf, "fx_edges"), nodes).select("src", "dst", r6("remain").alias("remain"))
 
 
+_SPOTS = """np AS (SELECT node, CAST((node*7919)%1350 AS DOUBLE) x, CAST((node*104729)%1350 AS DOUBLE) y FROM (SELECT src node FROM fx_edges UNION SELECT dst FROM fx_edges)),
+    near AS (SELECT source_id, node, pollution FROM (SELECT b.source_id, n.node, 60.0::DOUBLE+b.source_id%50 pollution, sqrt((b.x0-n.x)*(b.x0-n.x)+(b.y0-n.y)*(b.y0-n.y)) d,
+    row_number() OVER (PARTITION BY b.source_id ORDER BY (b.x0-n.x)*(b.x0-n.x)+(b.y0-n.y)*(b.y0-n.y), n.node) k FROM fx_boxes b, np n) WHERE k=1 AND d<=60)"""
+
+
+@query(f"""WITH RECURSIVE {_SPOTS}, {_SPILL.replace("FROM fx_spill_sources UNION", "FROM near UNION")}
+    SELECT e.src, e.dst, $6(coalesce((a.remain+b.remain)/2, 0)) remain FROM (SELECT DISTINCT src, dst FROM fx_edges) e LEFT JOIN tot a ON a.node=e.src LEFT JOIN tot b ON b.node=e.dst""")
+def simulated_spill(spark, sf):
+    edges = fixture(spark, sf, "fx_edges")
+    nodes = edges.selectExpr("explode(array(src, dst)) AS node").distinct()
+    nodes = nodes.withColumns({"x": (F.col("node") * 7919 % 1350).cast("double"), "y": (F.col("node") * 104729 % 1350).cast("double")})
+    sources = fixture(spark, sf, "fx_boxes").select("source_id", F.col("x0").alias("x"), F.col("y0").alias("y"), (60.0 + F.col("source_id") % 50).alias("pollution"))
+    return V.simulate_spill(edges, nodes, sources, 60.0, only_polluted=False).select("src", "dst", r6("remain").alias("remain"))
+
+
 @query("SELECT user_id, $6(coalesce(avg(CASE WHEN value>0 THEN value END), 0)) mean FROM events GROUP BY user_id")
 def conditional_mean(spark, sf):
     return spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").agg(r6(V.conditional_mean(F.col("value"))).alias("mean"))
@@ -467,25 +489,43 @@ def terrain_aspect(spark, sf):
     return g.select("tile", "row", "col", r6("d").alias("aspect"), S.aspect_label(F.col("d"), 45.0).alias("label"))
 
 
-@query("""WITH c AS (SELECT tile, zone_id, value, count(*) n FROM fx_raster v JOIN fx_zones z ON "col"*45.0>=z.x0 AND "col"*45.0<=z.x1 AND "row"*45.0>=z.y0 AND "row"*45.0<=z.y1 GROUP BY 1,2,3)
-    SELECT tile, zone_id, value, n FROM (SELECT *, row_number() OVER (PARTITION BY tile, zone_id ORDER BY n DESC, value) k FROM c) WHERE k=1""")
+_ZONAL = """SELECT tile, zone_id, value, n FROM (SELECT *, row_number() OVER (PARTITION BY tile, zone_id ORDER BY n DESC, value) k FROM
+    (SELECT tile, zone_id, value, count(*) n FROM fx_raster v JOIN {zones} z ON "col"*45.0>=z.x0 AND "col"*45.0<=z.x1 AND "row"*45.0>=z.y0 AND "row"*45.0<=z.y1 GROUP BY 1,2,3)) WHERE k=1"""
+
+
+@query(_ZONAL.format(zones="fx_zones"))
 def zonal_mode(spark, sf):
     d = fixture(spark, sf, "fx_raster").withColumns({"x": F.col("col") * 45.0, "y": F.col("row") * 45.0})
     return R.zonal_mode(d, zones_of(spark, sf), TILE)
 
 
+#: A corner of each zone, some smaller than a pixel and some beyond the raster.
+_TINY = "(SELECT zone_id, x0*1.2+7 x0, y0*1.2+11 y0, x0*1.2+7+(zone_id%4)*15.0 x1, y0*1.2+11+(zone_id%4)*15.0 y1 FROM fx_zones)"
+_GROWN, _MIDDLE = "(SELECT zone_id, x0-45*sqrt(2.0::DOUBLE)/2 x0, y0-45*sqrt(2.0::DOUBLE)/2 y0, x1+45*sqrt(2.0::DOUBLE)/2 x1, y1+45*sqrt(2.0::DOUBLE)/2 y1 FROM tiny)", "(SELECT zone_id, (x0+x1)/2-45 x0, (y0+y1)/2 y0, (x0+x1)/2 x1, (y0+y1)/2+45 y1 FROM tiny)"
+
+
+@query(f"""WITH tiny AS {_TINY}, a AS ({_ZONAL.format(zones="tiny")}), b AS ({_ZONAL.format(zones=_GROWN)}), c AS ({_ZONAL.format(zones=_MIDDLE)}), ts AS (SELECT DISTINCT tile FROM fx_raster)
+    SELECT ts.tile, tiny.zone_id, coalesce(a.value, b.value, c.value) value, coalesce(a.n, b.n, c.n, 0) n FROM ts CROSS JOIN tiny LEFT JOIN a ON a.tile=ts.tile AND a.zone_id=tiny.zone_id
+    LEFT JOIN b ON b.tile=ts.tile AND b.zone_id=tiny.zone_id LEFT JOIN c ON c.tile=ts.tile AND c.zone_id=tiny.zone_id""")
+def zonal_mode_small_zones(spark, sf):
+    d = fixture(spark, sf, "fx_raster").withColumns({"x": F.col("col") * 45.0, "y": F.col("row") * 45.0})
+    side = (F.col("zone_id") % 4) * 15.0
+    z = fixture(spark, sf, "fx_zones").select("zone_id", (F.col("x0") * 1.2 + 7).alias("bx0"), (F.col("y0") * 1.2 + 11).alias("by0"))
+    return R.zonal_mode(d, z.withColumns({"bx1": F.col("bx0") + side, "by1": F.col("by0") + side}), TILE, 45.0)
+
+
 def _gauss_sql() -> str:
     w = ",".join(f"({d},{x!r}::DOUBLE)" for d, x in zip(range(-4, 5), R.gaussian_kernel(1.0).tolist()))
-    return f"""WITH full_ AS (SELECT tile FROM fx_raster GROUP BY tile HAVING count(*)=1024), v AS (SELECT * FROM fx_raster WHERE tile IN (SELECT tile FROM full_)), w(d, k) AS (VALUES {w}),
-    a AS (SELECT v.tile, v."row", v."col", sum(k*u.value) value FROM v, w JOIN v u ON u.tile=v.tile AND u."col"=v."col" AND u."row"=greatest(0, least(31, v."row"+d)) GROUP BY 1,2,3)
-    SELECT a.tile, a."row", a."col", $6(sum(k*u.value)) value FROM a, w JOIN a u ON u.tile=a.tile AND u."row"=a."row" AND u."col"=greatest(0, least(31, a."col"+d)) GROUP BY 1,2,3"""
+    return f"""WITH sp AS (SELECT tile, min("row") lr, max("row") hr, min("col") lc, max("col") hc FROM fx_raster GROUP BY 1),
+    g AS (SELECT tile, lr, hr, lc, hc, r, unnest(range(lc, hc+1)) c FROM (SELECT *, unnest(range(lr, hr+1)) r FROM sp)),
+    f AS (SELECT g.*, v.value FROM g LEFT JOIN fx_raster v ON v.tile=g.tile AND v."row"=g.r AND v."col"=g.c), w(d, k) AS (VALUES {w}),
+    a AS (SELECT v.tile, v.r, v.c, v.lc, v.hc, CASE WHEN count(u.value)=9 THEN sum(k*u.value) END av FROM f v CROSS JOIN w JOIN f u ON u.tile=v.tile AND u.c=v.c AND u.r=greatest(v.lr, least(v.hr, v.r+d)) GROUP BY 1,2,3,4,5)
+    SELECT a.tile, CAST(a.r AS INT) AS "row", CAST(a.c AS INT) AS "col", $6(CASE WHEN count(u.av)=9 THEN sum(k*u.av) END) value FROM a CROSS JOIN w JOIN a u ON u.tile=a.tile AND u.r=a.r AND u.c=greatest(a.lc, least(a.hc, a.c+d)) GROUP BY 1,2,3"""
 
 
-@query(_gauss_sql().replace("FROM v, w JOIN v u ON", "FROM v CROSS JOIN w JOIN v u ON").replace("FROM a, w JOIN a u ON", "FROM a CROSS JOIN w JOIN a u ON"))
+@query(_gauss_sql())
 def gaussian_smooth(spark, sf):
-    d = fixture(spark, sf, "fx_raster")
-    whole = d.groupBy("tile").agg(F.count(F.lit(1)).alias("n")).filter("n = 1024").select("tile")
-    return R.smoothed(d.join(whole, "tile", "left_semi"), 1.0).select("tile", "row", "col", r6("value").alias("value"))
+    return R.smoothed(fixture(spark, sf, "fx_raster"), 1.0).select("tile", "row", "col", r6("value").alias("value"))
 
 
 @query()
@@ -527,13 +567,16 @@ def soil_bins(spark, sf):
 @query(f"""WITH {_BINS}, tx AS (SELECT *, clay_pct/(clay_pct+silt_pct+sand_pct)*100.0::DOUBLE cl, silt_pct/(clay_pct+silt_pct+sand_pct)*100.0::DOUBLE si, sand_pct/(clay_pct+silt_pct+sand_pct)*100.0::DOUBLE sa FROM bn)
     SELECT clay_pct, silt_pct, sand_pct, usda_texture, CAST(round_even(avg(cfvo), 0) AS INT) coarse, count(*) n FROM (SELECT *, {_TEXTURE} usda_texture FROM tx) GROUP BY 1,2,3,4""")
 def soil_dissolve(spark, sf):
-    d = _bins(spark, sf).withColumn("usda_texture", S.soil_texture(F.col("clay_pct"), F.col("silt_pct"), F.col("sand_pct")))
-    return d.groupBy("clay_pct", "silt_pct", "sand_pct", "usda_texture").agg(F.rint(F.avg("cfvo")).cast("int").alias("coarse"), F.count(F.lit(1)).alias("n"))
+    from ..operators import vectorise
+
+    return vectorise.soil_areas(vectorise.soil_classes(fixture(spark, sf, "fx_soil")))
 
 
 @query("SELECT tile, depth_m, count(*) n, min(r) top, max(r) bottom FROM (SELECT tile, r, c, $1(round_even(depth/0.2::DOUBLE, 0)*0.2::DOUBLE) depth_m FROM fx_flood WHERE depth>0) GROUP BY 1, 2")
 def flood_depth(spark, sf):
-    d = fixture(spark, sf, "fx_flood").filter("depth > 0").withColumn("depth_m", S.rint(S.quantise(F.col("depth"), 0.2), 1))
+    from ..operators import vectorise
+
+    d = vectorise.flood_classes(fixture(spark, sf, "fx_flood").withColumnRenamed("depth", "value"), 0.2)
     return d.groupBy("tile", "depth_m").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("top"), F.max("r").alias("bottom"))
 
 

@@ -158,7 +158,6 @@ def listing(spark: SparkSession, folder: str, pattern: str = "*.tif") -> DataFra
 
 def read_tiles(spark: SparkSession, folder: str, pattern: str = "*.tif", band: int = 0) -> DataFrame:
     """All tiles below a folder; a file that can't be read has its error instead of values."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
     from functools import partial
 
