@@ -154,6 +154,7 @@ def layers(spark):
 def test_frame_end_to_end(spark):
     built = frame.build_frame(layers(spark), territory=(-200.0, -200.0, 1200.0, 1200.0), tile=500.0)
     sources = {r["source_id"]: r for r in built.sources.collect()}
+    assert built.sources.filter("source_id = 1").count() == 2  # one object of two boxes
     assert sources[1]["names"] == ["A", "B"] and 2 not in sources and sources[3]["names"] == ["Водный объект без названия"]
     assert sources[1]["total_impact_radius"] == -600.0 and sources[3]["total_impact_radius"] == 300.0
     faces = built.map.collect()
@@ -166,6 +167,20 @@ def test_frame_end_to_end(spark):
     assert twice.sources.count() == built.sources.count()
 
 
+def test_the_boxes_of_an_object_are_one(spark):
+    """The map of an object of two boxes that overlap is that of their union, and the space between isn't taken."""
+    d = spark.createDataFrame([(1, "A", 0.0, 0.0, 100.0, 10.0), (2, "B", 90.0, 0.0, 100.0, 100.0)], "source_id long, name string, x0 double, y0 double, x1 double, y1 double")
+    rule = frame.LayerRule(-4, 0.15, "x", merge_radius=10)
+    built = frame.build_frame({"k": d}, {"k": rule}, tile=500.0)
+    own = built.map.filter("is_source").collect()
+    assert sum((f["fx1"] - f["fx0"]) * (f["fy1"] - f["fy0"]) for f in own) == pytest.approx(1900)
+    assert {f["layer_impact"] for f in own} == {-4.0} and {r["total_impact_radius"] for r in built.sources.collect()} == {-600.0}
+    points = spark.createDataFrame([(1, 50.0, 5.0), (2, 50.0, 50.0)], "point_id long, x double, y double")
+    labels = spark.createDataFrame([("k", "x")], "type string, label string")
+    found = {(r["point_id"], r["kind"]) for r in frame.influencers(built.sources, built.buffers, points, labels, 500.0).collect()}
+    assert found == {(1, "source"), (2, "effect")}
+
+
 def test_industrial_sources(spark):
     points = spark.createDataFrame([("Завод 1", 2, 5.0, 5.0), ("кафе", 1, 5.0, 5.0), (None, 1, 5.0, 5.0)], "name string, level int, x double, y double")
     boxes = spark.createDataFrame([(1, "X", 0.0, 0.0, 10.0, 10.0), (2, None, 100.0, 0.0, 110.0, 10.0), (3, "X", 0.0, 0.0, 10.0, 10.0)], "box_id long, name string, x0 double, y0 double, x1 double, y1 double")

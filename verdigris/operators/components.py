@@ -51,5 +51,10 @@ def buffer_components(boxes: DataFrame, buffer: float, cell: float, keys: list[s
 
 
 def merged_by_buffer(boxes: DataFrame, buffer: float, cell: float, keys: list[str] | None = None) -> DataFrame:
-    """One row for each component: sorted distinct names, the impact its members agree on, and how many they are."""
-    return boxes.join(buffer_components(boxes, buffer, cell, keys), "source_id").groupBy(*(keys or []), "component").agg(F.array_sort(F.collect_set("name")).alias("names"), sign_collapse(F.col("impact")).alias("impact"), F.count(F.lit(1)).alias("n"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    """The boxes of each component, a row for each place: component, sorted distinct names, the impact that its members
+    agree on, how many they are, and x0 .. y1 of the place. An object of several boxes is as large as they are together.
+    """
+    keys = keys or []
+    of = boxes.join(buffer_components(boxes, buffer, cell, keys), "source_id")
+    facts = of.groupBy(*keys, "component").agg(F.array_sort(F.collect_set("name")).alias("names"), sign_collapse(F.col("impact")).alias("impact"), F.count(F.lit(1)).alias("n"))
+    return of.select(*keys, "component", "x0", "y0", "x1", "y1").distinct().join(facts, [*keys, "component"]).select(*keys, "component", "names", "impact", "n", "x0", "y0", "x1", "y1")

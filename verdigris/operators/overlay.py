@@ -42,16 +42,20 @@ def faces(boxes: DataFrame, keys: list[str], tile: float) -> DataFrame:
     return across.join(steps("y"), where).filter((F.col("fy0") >= F.col("y0")) & (F.col("fy1") <= F.col("y1")))
 
 
-def overlay(boxes: DataFrame, keys: list[str], tile: float, caps: DataFrame | None = None, combine: Callable[[Column], Column] | None = None) -> DataFrame:
+def overlay(boxes: DataFrame, keys: list[str], tile: float, caps: DataFrame | None = None, combine: Callable[[Column], Column] | None = None, source: str | None = None) -> DataFrame:
     """Faces with their combined impact: keys, fx0 .. fy1, layer_impact, is_source.
 
     ``boxes`` has x0 .. y1, impact and is_source. ``caps`` is one row (most, least); without it the extremes of
-    ``boxes`` are taken. ``combine`` may be an aggregate of its own over the impacts.
+    ``boxes`` are taken. ``combine`` may be an aggregate of its own over the impacts. ``source`` names a column that
+    boxes of one object share; over a face, only its box of least ``level`` counts then.
     """
     if caps is None:
         caps = boxes.agg(F.max("impact").alias("most"), F.min("impact").alias("least"))
     covered = faces(boxes, keys, tile).crossJoin(F.broadcast(caps))  # one row
     face = [*keys, "fx0", "fy0", "fx1", "fy1"]
+    if source is not None:
+        nearest = F.min_by(F.struct("impact", "is_source", "most", "least"), "level").alias("one")
+        covered = covered.groupBy(*face, source).agg(nearest).select(*face, "one.*")
     value = combine(F.col("impact")) if combine else combined_impact(F.col("impact"), F.first("most"), F.first("least"))
     return covered.groupBy(*face).agg(value.alias("layer_impact"), F.bool_or("is_source").alias("is_source"))
 
@@ -62,6 +66,12 @@ def dissolved(frame: DataFrame, keys: list[str]) -> DataFrame:
     return frame.groupBy(*keys).agg(F.sum(area).alias("area"))
 
 
+def union_area(boxes: DataFrame, keys: list[str], tile: float) -> DataFrame:
+    """(keys, area): the area that the boxes of each key cover together."""
+    one = faces(boxes.select(*keys, "x0", "y0", "x1", "y1"), keys, tile).select(*keys, "fx0", "fy0", "fx1", "fy1").distinct()
+    return dissolved(one, keys)
+
+
 def custom_smallest_negative(impact: Column) -> Column:
     """A combiner of one's own: the negative impact of least size, else the largest positive one."""
     return F.coalesce(F.max(F.when(impact < 0, impact)), F.max(impact))

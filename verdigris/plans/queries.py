@@ -306,9 +306,10 @@ _BASE = "bb AS (SELECT source_id, zone_id, name, impact, x0, y0, x0+30 x1, y0+30
 
 
 @query(f"""WITH {_BASE}, pr AS (SELECT a.source_id s, b.source_id t FROM bb a JOIN bb b ON a.zone_id=b.zone_id AND a.x0-40<=b.x1+40 AND b.x0-40<=a.x1+40 AND a.y0-40<=b.y1+40 AND b.y0-40<=a.y1+40),
-    cl AS (SELECT s, t FROM pr UNION SELECT cl.s, pr.t FROM cl JOIN pr ON cl.t=pr.s), co AS (SELECT s source_id, min(t) component FROM cl GROUP BY s)
-    SELECT zone_id, CAST(component AS BIGINT) component, list_sort(list(DISTINCT name)) names, CASE WHEN max(impact)<0 THEN min(impact) WHEN min(impact)>0 THEN max(impact)
-    ELSE arg_max(impact, abs(impact)*2+(impact>0)::INT) END impact, count(*) n, min(x0) x0, min(y0) y0, max(x1) x1, max(y1) y1 FROM bb JOIN co USING (source_id) GROUP BY zone_id, component""".replace("WITH bb", "WITH RECURSIVE bb"))
+    cl AS (SELECT s, t FROM pr UNION SELECT cl.s, pr.t FROM cl JOIN pr ON cl.t=pr.s), co AS (SELECT s source_id, min(t) component FROM cl GROUP BY s),
+    fa AS (SELECT zone_id, component, list_sort(list(DISTINCT name)) names, CASE WHEN max(impact)<0 THEN min(impact) WHEN min(impact)>0 THEN max(impact)
+    ELSE arg_max(impact, abs(impact)*2+(impact>0)::INT) END impact, count(*) n FROM bb JOIN co USING (source_id) GROUP BY zone_id, component)
+    SELECT DISTINCT zone_id, CAST(component AS BIGINT) component, names, fa.impact, n, x0, y0, x1, y1 FROM bb JOIN co USING (source_id) JOIN fa USING (zone_id, component)""".replace("WITH bb", "WITH RECURSIVE bb"))
 def merge_components(spark, sf):
     d = fixture(spark, sf, "fx_boxes").select("source_id", "zone_id", "name", "impact", "x0", "y0", (F.col("x0") + 30).alias("x1"), (F.col("y0") + 30).alias("y1"))
     return C.merged_by_buffer(d, 40.0, TILE, ["zone_id"])
