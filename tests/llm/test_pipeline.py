@@ -2,6 +2,9 @@
 
 import re
 
+import duckdb
+import pytest
+
 import corpus_pipeline as P
 from verdigris.llm import quality
 from verdigris.llm.packing import pieces_of
@@ -41,6 +44,18 @@ def test_stages(spark, sf):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(m[1]) for n in QUERIES if (m := re.match(r"op(\d+)_", n))) == list(range(1, 11))
     assert set(ORACLE_SQL) <= set(QUERIES)
     assert [n for n, _ in P.STAGES] == ["quality", "exact_dedup", "near_dedup", "pii", "packing"]
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_equals_sql(spark, sf, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got, want = QUERIES[name](spark, sf), con.sql(ORACLE_SQL[name])
+    names = sorted(got.columns)
+    assert sorted(want.columns) == names
+    at = [want.columns.index(n) for n in names]
+    assert sorted(map(repr, map(tuple, got.select(*names).collect()))) == sorted(repr(tuple(r[i] for i in at)) for r in want.fetchall())

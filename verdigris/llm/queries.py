@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import exact_dedup, jaccard_join, packing, pieces, pii, quality, sharding, syncmers, toxicity, warc
@@ -64,7 +64,50 @@ def op10_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints_with_neighbours(table(spark, sf_dir, "documents"))
 
 
+# What SQL can say of operators whose whole result it can't: their laws, over the whole tables.
+
+
+def shard_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of operator 1: the shards' bytes and rows, and whether slots have no gaps and sizes differ by little."""
+    shards = op1_kd_shards(spark, sf_dir).groupBy("shard").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last"), F.max("size").alias("largest"))
+    gapless = F.bool_and((F.col("slots") == F.col("n")) & (F.col("last") == F.col("n") - 1))
+    near = (F.max("bytes") - F.min("bytes")) <= 3 * F.max("largest") + 0.1 * F.avg("bytes")
+    return shards.agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n_rows"), gapless.alias("gapless"), near.alias("near_equal"))
+
+
+def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of operator 1: the size of each row."""
+    return op1_kd_shards(spark, sf_dir).select("doc_id", "size")
+
+
+def conversion_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of operator 5: the records of each page, and whether either leads to the other and both to their source."""
+    d = op5_warc_derivatives(spark, sf_dir)
+    one = d.groupBy("page_id", "target_uri").agg(F.count(F.lit(1)).alias("records"), F.countDistinct("refers_to").alias("sources"), F.countDistinct("payload_digest").alias("payloads"), (F.sort_array(F.collect_set("record_id")) == F.sort_array(F.collect_set("concurrent_to"))).alias("linked"))
+    return one.withColumnRenamed("target_uri", "url")
+
+
+def packing_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of operator 6: whether each document's pieces follow each other, and its sequences are full without gaps."""
+    d = op6_best_fit_packing(spark, sf_dir)
+    place = Window.partitionBy("sequence_id").orderBy("offset")
+    part = Window.partitionBy("doc_id").orderBy("piece")
+    ends = d.withColumn("fits", (F.col("offset") == F.coalesce(F.lag(F.col("offset") + F.col("length")).over(place), F.lit(0))) & (F.col("offset") + F.col("length") <= packing.CAPACITY))
+    ends = ends.withColumn("follows", (F.col("start") == F.coalesce(F.lag(F.col("start") + F.col("length")).over(part), F.lit(0))) & ((F.col("piece") == 0) | (F.col("length") == packing.CAPACITY)))
+    return ends.groupBy("doc_id").agg(F.bool_and("fits").alias("fits"), F.bool_and("follows").alias("follows"))
+
+
+def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of operator 10: the lengths and edited texts that likenesses are measured on."""
+    return op10_closed_syncmers(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 QUERIES = {
+    "shard_laws": shard_laws,
+    "shard_sizes": shard_sizes,
+    "conversion_links": conversion_links,
+    "packing_laws": packing_laws,
+    "fingerprint_edits": fingerprint_edits,
     "op1_kd_shards": op1_kd_shards,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_toxicity": op3_toxicity,
@@ -78,6 +121,15 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "shard_laws": "SELECT CAST(sum(strlen(coalesce(text, '')) + 16) AS BIGINT) AS bytes, count(*) AS n_rows, true AS gapless, true AS near_equal FROM documents",
+    "shard_sizes": "SELECT doc_id, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size FROM documents",
+    "conversion_links": "SELECT page_id, url, 2::BIGINT AS records, 1::BIGINT AS sources, 1::BIGINT AS payloads, true AS linked FROM pages",
+    "packing_laws": "SELECT doc_id, true AS fits, true AS follows FROM documents",
+    "fingerprint_edits": """
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS ahead FROM t)
+        SELECT doc_id, length(text) AS n_chars, sha256(left(text, CAST(length(text) - length(text) // 3 AS BIGINT)) || left(ahead, CAST(length(text) // 3 AS BIGINT))) AS edited_sha256 FROM n
+    """,
     "op9_exact_dedup": """
         WITH n AS (
             SELECT doc_id, length(coalesce(text, '')) AS c, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS s
