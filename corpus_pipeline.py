@@ -19,16 +19,19 @@ from verdigris.ship import shipped
 
 @shipped
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps; null and empty texts go (see ``quality.keep_quality``)."""
     return quality.keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 @shipped
 def drop_exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text, white space aside; null texts are empty ones (see ``exact_dedup``)."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 @shipped
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar texts; texts without words all stay (see ``jaccard_join``)."""
     return jaccard_join.keep_one_of_each(docs)
 
 
@@ -43,6 +46,7 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 @shipped
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all texts with their sequences and offsets; null texts are empty ones (see ``packing.pack``)."""
     return packing.pack(docs, tokenizer_path())
 
 
