@@ -11,7 +11,7 @@ from verdigris.operators import frame, raster, river, vectorise
 from verdigris.operators.components import components
 from verdigris.operators.spatial import nearest
 from verdigris.plans import queries as Q
-from verdigris.sources import geotiff, vectors
+from verdigris.sources import geotiff, rasters, vectors
 from verdigris.streaming import tiles as T
 
 
@@ -230,3 +230,41 @@ def test_tile_stream_resumes(spark, tmp_path):
     assert seen == ["a.tif", "b.tif"]
     T.append_log(spark.createDataFrame([("a", "a.tif", "slope", "p", None, "1.5")], ", ".join(f"{c} string" for c in T.LOG_COLUMNS)), str(tmp_path / "log"))
     assert T.read_log(spark, str(tmp_path / "log")).first()["elapsed_sec"] == "1.5"
+
+
+def test_folder_job_resumes_and_logs_errors(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    y, x = np.mgrid[0:16, 0:16]
+    for name in ("n59e030", "n59e031"):
+        (folder / f"{name}.tif").write_bytes(geotiff.encode(np.where(x < 8, 10.0, 30.0), 500000.0, 6000000.0, 10.0))
+    (folder / "broken.tif").write_bytes(b"nothing")
+    layers = {"height_polygons": (10.0, lambda t: vectorise.height_polygons(t, 10.0)), "slope_polygons": (5.0, lambda t: vectorise.slope_polygons(t, 5.0, 0.0, metres=True))}
+    paths = str(folder), str(tmp_path / "out"), str(tmp_path / "log")
+    T.vectorise_folder(spark, *paths, layers)
+    log = T.read_log(spark, paths[2]).collect()
+    assert len(log) == 6 and {r["tile_name"] for r in log if r["error"]} == {"broken"} and all(float(r["elapsed_sec"]) >= 0 for r in log)
+    assert {r["tile_name"] for r in vectors.read_layer(spark, paths[1], "height_polygons", 10.0).collect()} == {"n59e030", "n59e031"}
+    (folder / "broken.tif").write_bytes(geotiff.encode(np.where(x < 8, 10.0, 30.0), 0.0, 0.0, 10.0))
+    T.vectorise_folder(spark, *paths, layers)
+    again = T.read_log(spark, paths[2]).collect()
+    assert len(again) == 8 and {r["tile_name"] for r in again if r["error"] is None} == {"n59e030", "n59e031", "broken"}
+
+
+def test_raster_file_sets(spark):
+    paths = ["/r/N059E030.TIF", "/r/n60e031.tif", "/f/RP10/ID7_x_RP10_depth.tif", "/f/RP10/ID7_a_RP10_depth.tif", "/f/RP30/ID7_x_RP30_depth.tif", *[f"/s/t1/{v}/{v}_0-5cm_mean.tif" for v in rasters.SOIL_VARIABLES]]
+    files = spark.createDataFrame([(p, p.rsplit("/", 1)[1]) for p in paths], "path string, file_name string")
+    wanted = spark.createDataFrame([("n59e30.tif",), ("N60E031.tif",), ("n61e001.tif",)], "file_name string")
+    assert {r["file_name"]: r["path"] for r in rasters.find_files(wanted, files).collect()} == {"n59e30.tif": paths[0], "N60E031.tif": paths[1], "n61e001.tif": None}
+    flood = rasters.flood_files(spark.createDataFrame([(7,), (8,)], "id long"), files).collect()
+    assert [(r["id"], r["period"], r["path"]) for r in flood] == [(7, 10, paths[3])]
+    tiles = spark.createDataFrame([("t1",)], "tile_name string")
+    soil = rasters.soil_files(tiles, files, "0-5cm")
+    assert soil.count() == 4
+    with pytest.raises(Exception, match="no soil raster: t2"):
+        rasters.soil_files(spark.createDataFrame([("t2",)], "tile_name string"), files, "0-5cm").collect()
+    read = spark.createDataFrame([(p, 1, 2, 0.0, 9.0, 1.0, 1.0, [float(i), 50.0]) for i, p in enumerate(paths[5:])], "path string, height int, width int, x_min double, y_max double, size_x double, size_y double, values array<double>")
+    cells = sorted(rasters.soil_pixels(soil, read).collect(), key=lambda r: r["col"])
+    assert [(r["x"], r["clay"], r["silt"], r["sand"], r["cfvo"]) for r in cells] == [(0.0, 0.0, 1.0, 2.0, 3.0), (1.0, 50.0, 50.0, 50.0, 50.0)]
+    classes = vectorise.soil_areas(vectorise.soil_classes(rasters.soil_pixels(soil, read)), "tile_name").collect()
+    assert {(r["tile_name"], r["n"]) for r in classes} == {("t1", 1)}

@@ -77,11 +77,14 @@ def custom_smallest_negative(impact: Column) -> Column:
     return F.coalesce(F.max(F.when(impact < 0, impact)), F.max(impact))
 
 
-def rings(sources: DataFrame, layers: str = "layers_count", radius: str = "total_impact_radius", impact: str = "impact") -> DataFrame:
+def rings(sources: DataFrame, layers: str = "layers_count", radius: str = "total_impact_radius", impact: str = "impact", fading: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
     """Concentric rings of boxes: one row for each level, with outer box x0 .. y1, the inner one ix0 .. iy1, impact
-    and is_source. Level 0 is the source, each further level a width further out, with a faded impact."""
+    and is_source. Level 0 is the source, each further level a width further out, with a faded impact: a function of
+    impact, number of layers and level, which may be one's own."""
     from ..functions.scalars import ring_impact, ring_width
 
+    fading = fading or ring_impact
+
     out = sources.withColumn("level", F.explode(F.sequence(F.lit(0), F.col(layers) - 1)))
     width = ring_width(F.col(radius), F.col(layers))
     grow = F.coalesce(width, F.lit(0.0)) * F.col("level")
@@ -89,7 +92,7 @@ def rings(sources: DataFrame, layers: str = "layers_count", radius: str = "total
     has_inner = F.col("level") > 0
     signs = {"x0": -1, "y0": -1, "x1": 1, "y1": 1}
     out = out.withColumns({f"i{c}": F.when(has_inner, F.col(c) + s * inner) for c, s in signs.items()} | {c: F.col(c) + s * grow for c, s in signs.items()})
-    return out.withColumns({"impact": ring_impact(F.col(impact).cast("double"), F.col(layers).cast("double"), F.col("level").cast("double")), "is_source": F.col("level") == 0})
+    return out.withColumns({"impact": fading(F.col(impact).cast("double"), F.col(layers).cast("double"), F.col("level").cast("double")), "is_source": F.col("level") == 0})
 
 
 def area_weighted_mean(impact: Column, area: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import traceback
 from collections.abc import Callable
 
 import numpy as np
@@ -13,7 +15,7 @@ from ..functions import scalars as S
 from ..geometry import contours, wkb
 from .raster import smooth_array, smooth_directions
 
-SCHEMA = "tile string, value double, geom binary, error string"
+SCHEMA = "tile string, value double, geom binary, error string, elapsed_sec double"
 
 
 def _grid(row) -> np.ndarray:
@@ -28,13 +30,15 @@ def _vectorise(tiles: DataFrame, kernel: Callable[[np.ndarray, dict], list[tuple
     def run(batches):
         for batch in batches:
             for row in batch.to_dict("records"):
+                began = time.time()
                 try:
                     if row["error"]:
                         raise ValueError(row["error"])
                     out = [(row["tile"], v, g, None) for v, g in kernel(_grid(row), row)]
                 except Exception as e:  # one tile's failure is a row of the result, not the end of the job
-                    out = [(row["tile"], None, None, f"{type(e).__name__}: {e}")]
-                yield pd.DataFrame(out, columns=["tile", "value", "geom", "error"])
+                    out = [(row["tile"], None, None, "".join(traceback.format_exception(e)))]
+                took = round(time.time() - began, 3)
+                yield pd.DataFrame([(*r, took) for r in out], columns=["tile", "value", "geom", "error", "elapsed_sec"])
 
     return tiles.mapInPandas(run, SCHEMA)
 

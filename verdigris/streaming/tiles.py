@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import geotiff, vectors
+from ..tables import shared_table
+
 LOG_COLUMNS = ("tile_name", "file_name", "layer", "path", "error", "elapsed_sec")
 
 
@@ -34,3 +37,27 @@ def process_new_tiles(spark: SparkSession, folder: str, pattern: str, handle: Ca
     stream = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
     query = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def vectorise_folder(spark: SparkSession, folder: str, out: str, log: str, layers: dict[str, tuple[float, Callable[[DataFrame], DataFrame]]], pattern: str = "*.tif") -> None:
+    """Make the layers (name: step and kernel) of all rasters of a folder that the log doesn't have without an error.
+
+    Each layer's polygons go to the vector cache ``out``, and each tile gets a row in the log, with the seconds that it
+    took and the text of its error. A job that is started again does what is missing or failed.
+    """
+    files = geotiff.listing(spark, folder, pattern).withColumn("tile_name", F.regexp_replace("file_name", r"\.[^.]*$", ""))
+    log_path = spark._jvm.org.apache.hadoop.fs.Path(log)
+    known = log_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(log_path)
+    done = read_log(spark, log).filter("error IS NULL").select("tile_name", "layer") if known else spark.createDataFrame([], "tile_name string, layer string")
+    left = shared_table(pending(files, list(layers), done), "pending")
+    for layer, (step, kernel) in layers.items():
+        wanted = files.join(left.filter(F.col("layer") == layer).select("tile_name"), "tile_name", "left_semi")
+        if not wanted.limit(1).count():
+            continue
+        tiles = geotiff.read_tiles(spark, folder, pattern).join(wanted.select("path", "file_name", "tile_name"), "path", "left_semi")
+        made = shared_table(kernel(tiles), "made").withColumn("tile_name", F.regexp_replace("tile", r"\.[^.]*$", ""))
+        vectors.write_layer(made.filter("error IS NULL").select("tile_name", "value", "geom"), out, layer, step)
+        facts = made.groupBy("tile_name").agg(F.max("error").alias("error"), F.max("elapsed_sec").alias("elapsed_sec"))
+        # a tile without any class has no polygons but is done, too
+        rows = wanted.select("tile_name", "file_name").join(facts, "tile_name", "left")
+        append_log(rows.select("tile_name", "file_name", F.lit(layer).alias("layer"), F.lit(out).alias("path"), F.regexp_replace("error", "[\\r\\n]+", " | ").alias("error"), F.coalesce("elapsed_sec", F.lit(0.0)).alias("elapsed_sec")), log)
