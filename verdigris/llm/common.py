@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -18,12 +18,24 @@ from ..tables import shared_dir, shared_table  # noqa: F401
 
 #: Bytes of text that one numpy pass handles at once.
 SLICE_BYTES = 4_000_000
+#: Bytes of an Arrow batch of texts.
+BATCH_BYTES = 8_000_000
 #: A broadcast is made only of a table of at most so many bytes; beyond it the same join shuffles.
 BROADCAST_BYTES = 64_000_000
 #: Rows that one bitmap of row marks covers.
 BLOCK = 4096
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower Spark's own bound of the bytes of an Arrow batch to ``BATCH_BYTES``, where it is higher.
+
+    Executors hold a batch in both processes, several times. The setting stays, as results are lazy; it bounds memory
+    only and changes no result."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def text_batches(batches, column: int, limit: int = SLICE_BYTES) -> Iterator:
     """Arrow batches cut so that each holds about ``limit`` bytes of a text column; a longer text is one of its own.
 

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_scan, components, forest, grouped, located, mix, powers, row_bitmaps, shared_table, slices, text_batches, with_marks, without_marked, words_of
+from .common import as_scan, bounded_batches, components, forest, grouped, located, mix, powers, row_bitmaps, shared_table, slices, text_batches, with_marks, without_marked, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -232,6 +232,7 @@ def jaccard_groups(df: DataFrame, text: str = "text", row_id: str = "doc_id", th
     of their own. Very long texts are read whole. Equal rows are in one class. An empty table gives no rows. Other
     columns, whatever their names, are ignored; ids may be of any type that has an order.
     """
+    bounded_batches(df.sparkSession)
     rows = located(as_scan(df), [F.col(row_id).alias("id"), F.col(text).alias("text")])
     kind = df.schema[row_id].dataType.simpleString()
     signed = rows.select("_file", "_row", "id", "text").mapInArrow(_signatures, f"_file string, _row long, id {kind}, k1 long, k2 long, n int, sig binary")

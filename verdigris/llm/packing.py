@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, shared_table, text_batches
+from .common import bounded_batches, ranked, shared_table, text_batches
 
 CAPACITY = 1024
 END = 2
@@ -212,6 +212,7 @@ def pack(df: DataFrame, tokenizer: str, text: str = "text", row_id: str = "doc_i
     hash of id, piece and content.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     kind = df.schema[row_id].dataType.simpleString()
     columns = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
     pieces = df.select(F.col(row_id).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(partial(_pieces, tokenizer, capacity, keep_ids), columns)

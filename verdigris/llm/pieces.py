@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices, text_batches
+from .common import bounded_batches, mix, slices, text_batches
 
 SPACE = "▁"
 #: Words that a worker remembers, and characters of the longest that goes into a matrix.
@@ -351,6 +351,7 @@ def encode(df: DataFrame, model: str, rate: float = 0.0, seed: int = 0, text: st
     Null texts give null ids, empty ones none. Equal texts get equal ids, whatever their rows. Very long texts are
     encoded whole. Other columns, whatever their names, are ignored; an empty table gives no rows.
     """
+    bounded_batches(df.sparkSession)
     kind = df.schema[row_id].dataType.simpleString()
     rows = df.select(F.col(row_id).alias("id"), F.col(text).cast("string").alias("text"))
     out = rows.mapInArrow(partial(_encode, model, rate, seed), f"id {kind}, text string, ids array<int>")
@@ -360,6 +361,7 @@ def encode(df: DataFrame, model: str, rate: float = 0.0, seed: int = 0, text: st
 def decode(df: DataFrame, model: str, ids: str = "ids", row_id: str = "doc_id") -> DataFrame:
     """(row_id, text) from ids of this model. Null ids give null and no ids the empty text; rows are independent of
     each other, so repeated rows, an empty table and further columns need no rule."""
+    bounded_batches(df.sparkSession)
     kind = df.schema[row_id].dataType.simpleString()
     rows = df.select(F.col(row_id).alias("id"), F.col(ids).alias("ids"))
     return rows.mapInArrow(partial(_decode, model), f"id {kind}, text string").withColumnRenamed("id", row_id)
@@ -386,6 +388,7 @@ def encoding_report(df: DataFrame, model: str, rate: float, seed: int, text: str
     Null texts are empty and have no pieces; equal texts have equal ids; very long ones are encoded whole; an empty
     table gives no rows; other columns are ignored.
     """
+    bounded_batches(df.sparkSession)
     kind = df.schema[row_id].dataType.simpleString()
     rows = df.select(F.col(row_id).alias("id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(partial(_digest, model, rate, seed), f"id {kind}, n_pieces long, ids_crc32 long, lossless boolean").withColumnRenamed("id", row_id)

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, joined_bytes, slices, text_batches
+from .common import Words, bounded_batches, joined_bytes, slices, text_batches
 from .toxicity import held_out, labelled_sample
 
 MOST_POSITIVE, MOST_UNLABELLED = 3000, 6000
@@ -207,6 +207,7 @@ def _score(shared, batches) -> Iterator:
 
 def quality_model(df: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "doc_id", label: str = "quality", most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> tuple[Network | None, float]:
     """The network and the estimated prior; None without positives or text. Only labels of 1 are read."""
+    bounded_batches(df.sparkSession)
     trusted = labelled_sample(labels, row_id, label, 1, most_positive)
     some = df.select(F.col(row_id).alias("id")).dropna().distinct().orderBy(F.xxhash64("id", F.lit(3)), "id").limit(most_unlabelled).withColumn("y", F.lit(0))
     # Both samples have a bounded number of ids, so they are safe to broadcast. Only statistics are sorted and

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, joined_bytes, slices, text_batches
+from .common import Words, bounded_batches, joined_bytes, slices, text_batches
 
 BUCKETS = 1 << 18
 DIM = 8
@@ -218,6 +218,7 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, text: str = "text", row_id
     than ``LONGEST_BYTES`` aren't trained on but scored whole. Other columns are ignored; an empty table gives no rows.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     sample = labelled_sample(labels, row_id, label, 1, most_toxic).union(labelled_sample(labels, row_id, label, 0, most_clean))
     rows = training_rows(df, sample, text, row_id, 2 * (most_toxic + most_clean)).collect()
     rows.sort(key=lambda r: (r["y"], r["text"]))

@@ -22,7 +22,7 @@ from urllib.parse import urljoin
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import bounded_batches, text_batches
 
 VERSION = b"WARC/1.1"
 #: Pages carry no time of capture; their records have this one.
@@ -261,6 +261,7 @@ def derivatives_of_pages(df: DataFrame, page_id: str = "page_id", url: str = "ur
     A null url is empty and a null page an empty payload: both still give two records. Equal rows give equal records.
     Very long pages are read whole, in linear time. An empty table gives no rows; other columns are ignored.
     """
+    bounded_batches(df.sparkSession)
     kind = df.schema[page_id].dataType.simpleString()
     return df.select(F.col(page_id).alias("id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("page")).mapInArrow(_from_pages, SCHEMA.replace("id long", f"id {kind}", 1))
 
@@ -272,5 +273,6 @@ def derivatives_of_files(spark: SparkSession, path: str) -> DataFrame:
     Records that aren't responses, cut off or behind a broken gzip member give no rows; missing header fields are
     empty, and a response without an id is known by the hash of its block. An empty folder gives no rows.
     """
+    bounded_batches(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("content").mapInArrow(_from_files, SCHEMA)
