@@ -78,20 +78,38 @@ def window_scores(values: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return (sums[window:] - sums[:-window]) / window
 
 
+def _all_words(texts: list[str]) -> Words:
+    """The words of all texts, worked out for a part of them at a time."""
+    parts = [Words(*joined_bytes(texts[lo:hi])) for lo, hi in slices(texts, 500_000)]
+    out = Words.__new__(Words)
+    at = np.cumsum([0, *[len(p.data) for p in parts]])
+    before = np.cumsum([0, *[len(p.start) for p in parts]])
+    out.data = np.concatenate([np.zeros(0, np.uint8), *[p.data for p in parts]])
+    out.start = np.concatenate([np.zeros(0, np.int64), *[p.start + i for p, i in zip(parts, at)]])
+    out.length = np.concatenate([np.zeros(0, np.int64), *[p.length for p in parts]])
+    out.hash = np.concatenate([np.zeros(0, np.uint64), *[p.hash for p in parts]])
+    out.bounds = np.concatenate([np.zeros(1, np.int64), *[p.bounds[1:] + i for p, i in zip(parts, before)]])
+    return out
+
+
 def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
     """(one number for each bucket, bias) of the trained model: the log odds of a window are mean + bias."""
     rng = np.random.default_rng(seed)
-    words = Words(*joined_bytes([t.lower() for t in texts]))
+    words = _all_words([t.lower() for t in texts])
     n = len(words.start)
     values, first, which = np.unique(words.hash, return_index=True, return_inverse=True)
-    distinct = Words.__new__(Words)
-    distinct.data, distinct.start, distinct.length, distinct.hash = words.data, words.start[first], words.length[first], values
-    parts = list(subwords(distinct)) if n else []
-    number = np.concatenate([p[0] for p in parts]) if n else np.zeros(0, np.int64)
-    bucket = np.concatenate([p[1] for p in parts]) if n else np.zeros(0, np.int64)
-    order = np.argsort(number, kind="stable")
-    bucket = bucket[order]
-    begin = np.searchsorted(number[order], np.arange(len(values) + 1))
+    # The buckets of each distinct word, one word after the other, in narrow numbers: this is all that the driver holds.
+    parts = []
+    for lo in range(0, len(values), 20_000):
+        some = Words.__new__(Words)
+        some.data, some.start, some.length, some.hash = words.data, words.start[first[lo : lo + 20_000]], words.length[first[lo : lo + 20_000]], values[lo : lo + 20_000]
+        parts += [((number + lo).astype(np.int32), bucket.astype(np.int32)) for number, bucket in subwords(some)]
+    number, bucket = (np.concatenate([p[k] for p in parts]) if n else np.zeros(0, np.int32) for k in (0, 1))
+    del parts
+    order = np.argsort(number, kind="stable").astype(np.int32)
+    bucket, number = bucket[order], number[order]
+    begin = np.searchsorted(number, np.arange(len(values) + 1))
+    del order, number
     size = np.diff(begin)
 
     table = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
@@ -99,17 +117,13 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> tuple[np.ndarra
     seen = np.full(BUCKETS, 1e-8, np.float32)  # Adagrad, one number for each embedding
     seen_w, seen_b = np.full_like(weight, 1e-8), np.full_like(bias, 1e-8)
 
-    window_at, window_doc = [], []
-    for d in range(len(texts)):
-        lo, hi = words.bounds[d], words.bounds[d + 1]
-        starts = range(lo, max(lo + 1, hi - WINDOW + 1), WINDOW // 2) if hi > lo else []
-        window_at += starts
-        window_doc += [d] * len(starts)
-    window_at, window_doc = np.array(window_at, np.int64), np.array(window_doc, np.int64)
+    starts = [np.arange(lo, max(lo + 1, hi - WINDOW + 1), max(1, WINDOW // 2)) if hi > lo else np.zeros(0, np.int64) for lo, hi in zip(words.bounds[:-1], words.bounds[1:])]
+    window_at = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+    window_doc = np.repeat(np.arange(len(texts)), [len(x) for x in starts])
     window_end = np.minimum(window_at + WINDOW, words.bounds[window_doc + 1]) if n else window_at
     label = toxic[window_doc].astype(np.int64) if len(window_doc) else window_doc
     for epoch in range(min(MOST_EPOCHS, max(EPOCHS, SEEN // len(window_at))) if n else 0):
-        value = word_values(distinct, table @ (weight[:, 1] - weight[:, 0]))[which]
+        value = (np.add.reduceat((table @ (weight[:, 1] - weight[:, 0]))[bucket], begin[:-1]) / size)[which]
         sums = np.append(0, np.cumsum(value))
         score = (sums[window_end] - sums[window_at]) / (window_end - window_at)
         use = label == 0
