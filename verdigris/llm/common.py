@@ -17,7 +17,7 @@ from ..operators.components import components  # noqa: F401
 from ..tables import shared_dir, shared_table  # noqa: F401
 
 #: Bytes of text that one numpy pass handles at once.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 #: Bytes of an Arrow batch of texts.
 BATCH_BYTES = 8_000_000
 #: A broadcast is made only of a table of at most so many bytes; beyond it the same join shuffles.

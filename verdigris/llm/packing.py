@@ -25,7 +25,7 @@ from .common import bounded_batches, ranked, shared_table, text_batches
 CAPACITY = 1024
 END = 2
 #: Pre-tokens whose ids a worker remembers.
-MEMORY = 500_000
+MEMORY = 200_000
 RANK_ROWS = 50_000
 
 #: Pre-tokens of the byte-level BPE (a fixed value of the format).

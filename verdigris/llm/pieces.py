@@ -328,7 +328,7 @@ def _encode(path: str, rate: float, seed: int, batches) -> Iterator:
     import pyarrow as pa
 
     coder = worker_coder(path, rate, seed)
-    for b in text_batches(batches, 1):
+    for b in text_batches(batches, 1, PASS_CHARS):
         texts = b.column(1).to_pylist()
         ids, bounds = coder.encode_all([t or "" for t in texts])
         missing = np.array([t is None for t in texts], bool)
@@ -371,7 +371,7 @@ def _digest(path: str, rate: float, seed: int, batches) -> Iterator:
     import pyarrow as pa
 
     coder = worker_coder(path, rate, seed)
-    for b in text_batches(batches, 1):
+    for b in text_batches(batches, 1, PASS_CHARS):
         texts = [t or "" for t in b.column(1).to_pylist()]
         ids, bounds = coder.encode_all(texts)
         ends = np.append(0, np.cumsum(coder.pieces.raw_length[ids]))[bounds].tolist()
