@@ -12,7 +12,8 @@ value that most rows share can be cut anywhere. Numbers are scaled to the code;
 ones, so it doesn't matter how they begin. Rows of equal texts are a group: its members take the coordinates of its
 first row and stay in one shard, unless the group weighs more than a hundredth of a shard and may have to be cut.
 
-The tree is known to the driver, one entry a node, and goes to the rows as a table of nodes that is joined to them.
+The tree is known to the driver, one entry a node, and goes to the rows as constant arrays in which a row looks up the
+node that it is in, so no join and no expression grows with the number of nodes.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from __future__ import annotations
 import json
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, ranked, shared_table
+from .common import ranked, shared_table
 
 #: Bytes that each row counts besides its text.
 ROW_BYTES = 16
@@ -61,17 +62,9 @@ def ranks(values: DataFrame, name: str) -> tuple[DataFrame, int]:
     return ranged.withColumn("i", within).join(starts, "part").select(name, (F.col("start") + F.col("i") - 1).alias("rank")), n
 
 
-def table_of(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A table of rows that the driver knows, as a constant of the plan."""
-    names = [c.split()[0] for c in schema.split(", ")]
-    text = json.dumps([dict(zip(names, r)) for r in rows])
-    fields = ", ".join(c.replace(" ", ": ", 1) for c in schema.split(", "))
-    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{fields}>>")))
-
-
-def with_table(rows: DataFrame, table: DataFrame, on: str, n_bytes: int) -> DataFrame:
-    """Rows joined to a table of nodes, which is broadcast while its known size allows it."""
-    return rows.join(F.broadcast(table) if n_bytes <= BROADCAST_BYTES else table, on)
+def constant(values: list, kind: str) -> Column:
+    """An array that the driver knows, as one constant of the plan."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
 
 
 def shard_count(sizes: DataFrame, target_bytes: int) -> int:
@@ -136,13 +129,11 @@ def kd_shards(df: DataFrame, dimensions: dict[str, Column], n_shards: int | None
             down = _descend(rows, splits, base_nodes, ndim)
             rows, splits, base_nodes = shared_table(down.drop("base").withColumnRenamed("node", "base"), "nodes"), [], len(wanted)
     shards, shard_of = 0, []
-    for node, n in enumerate(wanted):
-        if n:
-            shard_of.append((node, shards))
+    for n in wanted:
+        shard_of.append(shards)
         shards += n
-    numbers = table_of(df.sparkSession, shard_of, "node int, shard int")
-    placed = with_table(_descend(rows, splits, base_nodes, ndim), numbers, "node", 16 * len(shard_of))
-    placed = placed.select("id", "size", F.col("crc").alias("text_crc32"), "row", "shard")
+    placed = _descend(rows, splits, base_nodes, ndim)
+    placed = placed.select("id", "size", F.col("crc").alias("text_crc32"), "row", F.get(constant(shard_of, "int"), F.col("node")).alias("shard"))
     buckets = max(8, math.ceil(base.count() / n_shards / SLOT_ROWS))
     order = F.xxhash64("text_crc32", "id", "row")
     slots = ranked(placed, ["shard"], [order, F.col("row")], F.xxhash64("row", F.lit(7)), buckets, "slot")
@@ -156,24 +147,20 @@ def _descend(rows: DataFrame, splits: list[tuple[list[int], list[int]]], base_no
     if not splits:
         return rows.withColumn("node", F.col("base"))
     levels = len(splits)
-    trees = []
-    for b in range(base_nodes):
-        dims, cuts = ([x for level, side in enumerate(splits) for x in side[k][b << level : (b + 1) << level]] for k in (0, 1))
-        trees.append((b, dims, cuts))
-    table = table_of(rows.sparkSession, trees, "base int, dims array<int>, cuts array<bigint>")
+    dims, cuts = ([[x for level, side in enumerate(splits) for x in side[k][b << level : (b + 1) << level]] for b in range(base_nodes)] for k in (0, 1))
+    found = rows.withColumns({"dims": F.get(constant(dims, "array<int>"), F.col("base")), "cuts": F.get(constant(cuts, "array<bigint>"), F.col("base"))})
     keys = F.array(*[F.col(f"k{i}") for i in range(ndim)])
 
     def step(i: Column, _: Column) -> Column:
         return 2 * i + 1 + F.when(F.get(keys, F.get("dims", i)) > F.get("cuts", i), 1).otherwise(0)
 
     local = F.aggregate(F.sequence(F.lit(1), F.lit(levels)), F.lit(0), step) - ((1 << levels) - 1)
-    joined = with_table(rows, table, "base", base_nodes * (1 << levels) * 12)
-    return joined.withColumn("node", (F.col("base") * (1 << levels) + local).cast("int")).drop("dims", "cuts")
+    return found.withColumn("node", (F.col("base") * (1 << levels) + local).cast("int")).drop("dims", "cuts")
 
 
 def _cut_level(rows: DataFrame, splits: list, base_nodes: int, wanted: list[int], ndim: int) -> tuple[list[int], list[int]]:
     """For each node of a level, the dimension along which it is cut and the last coordinate of its left part."""
-    spark, nodes = rows.sparkSession, len(wanted)
+    nodes = len(wanted)
     rows = _descend(rows, splits, base_nodes, ndim)
     wide = rows.groupBy("node").agg(F.sum("size").alias("w"), *[f(f"k{i}").alias(f"{n}{i}") for i in range(ndim) for n, f in (("lo", F.min), ("hi", F.max))]).collect()
     dims, lo, hi, target, leaf, before = [0] * nodes, [0] * nodes, [0] * nodes, [0.0] * nodes, [0.0] * nodes, [0] * nodes
@@ -191,8 +178,10 @@ def _cut_level(rows: DataFrame, splits: list, base_nodes: int, wanted: list[int]
     key = F.get(F.array(*[F.col(f"k{i}") for i in range(ndim)]), F.col("dim"))
     while live:
         step = {n: max(1, -(-(hi[n] - lo[n] + 1) // BINS)) for n in live}
-        searched = table_of(spark, [(n, dims[n], lo[n], hi[n], step[n], target[n] - before[n]) for n in sorted(live)], "node int, dim int, lo bigint, hi bigint, step bigint, need double")
-        inside = with_table(rows, searched, "node", 64 * len(live)).withColumn("key", key).filter("key BETWEEN lo AND hi")
+        facts = {"dim": ("int", dims), "lo": ("bigint", lo), "hi": ("bigint", hi), "step": ("bigint", [step.get(n, 1) for n in range(nodes)]), "need": ("double", [t - b for t, b in zip(target, before)])}
+        searched = rows.filter(F.get(constant([n in live for n in range(nodes)], "boolean"), F.col("node")))
+        searched = searched.withColumns({name: F.get(constant(values, kind), F.col("node")) for name, (kind, values) in facts.items()})
+        inside = searched.withColumn("key", key).filter("key BETWEEN lo AND hi")
         bins = inside.groupBy("node", F.expr("(key - lo) DIV step").alias("bin")).agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
         up_to = F.sum("w").over(Window.partitionBy("node").orderBy("bin"))
         found = bins.withColumn("cum", up_to).filter("cum >= need").groupBy("node").agg(F.min_by(F.struct("bin", "cum", "w", "n"), "bin").alias("b"))
