@@ -4,6 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from .conftest import sentence
 from verdigris.llm.exact_dedup import dedup_report, drop_exact_duplicates, rice_decode, rice_encode
 
 
@@ -71,3 +72,53 @@ def test_inputs_that_repeat_a_row_of_a_file(spark, sf, tmp_path):
         assert len(left) == len(want), name
     random = drop_exact_duplicates(docs.filter(F.rand() < 0.5)).collect()
     assert len({r["text"] for r in random}) == len(random)
+
+
+def uneven(spark, folder, rows):
+    """One file of row groups of unequal length, which tasks read in parts of other orders."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    path, at = f"{folder}/uneven.parquet", 0
+    table = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": [r[1] for r in rows]})
+    with pq.ParquetWriter(path, table.schema, compression="none") as w:
+        for n in (100, 200, 5000, 5000, 300):
+            w.write_table(table.slice(at, n), row_group_size=n)
+            at += n
+    return spark.read.parquet(path)
+
+
+def test_row_groups_of_unequal_length(spark, tmp_path):
+    from verdigris.llm.jaccard_join import keep_one_of_each
+
+    rows = [(i, f"row {i} " + sentence(i, 60)) for i in range(10_600)]
+    for a, b in ((5, 5400), (6, 5500), (120, 10_400), (7000, 10_599), (3, 4)):
+        rows[b] = (b, rows[a][1])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("1m", "200k", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            df = uneven(spark, tmp_path, rows)
+            got = sorted(map(key, [tuple(r) for r in dedup_report(df).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()]))
+            assert got == sorted(map(key, brute(rows)))
+            left = {r["doc_id"] for r in drop_exact_duplicates(df).collect()}
+            assert left == {i for i, _ in rows} - {5400, 5500, 10_400, 10_599, 4}
+        assert {r["doc_id"] for r in keep_one_of_each(df.filter("doc_id % 50 < 7")).collect()}.isdisjoint({5400, 5500, 10_400} & {i for i in range(10_600) if i % 50 < 7})
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_more_marks_than_one_broadcast_takes(spark, sf, tmp_path, monkeypatch):
+    """Bitmaps are dealt by file, each part to a scan of its own files, so no text is shuffled."""
+    from verdigris.llm import common
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(12).cache()
+    docs.write.parquet(f"{tmp_path}/docs")
+    files = spark.read.parquet(f"{tmp_path}/docs")
+    whole = {r["doc_id"] for r in drop_exact_duplicates(files).collect()}
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 5000)
+    found = drop_exact_duplicates(files)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["doc_id"] for r in found.collect()} == whole
+    executed = found._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan and "hashpartitioning" not in executed and "BroadcastHashJoin" in executed

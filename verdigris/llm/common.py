@@ -7,6 +7,7 @@ the folder named by ``spark.checkpoint.dir``, so a lost executor costs only the
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,8 +23,8 @@ SLICE_BYTES = 1_000_000
 BATCH_BYTES = 8_000_000
 #: A broadcast is made only of a table of at most so many bytes; beyond it the same join shuffles.
 BROADCAST_BYTES = 64_000_000
-#: Rows that one bitmap of row marks covers.
-BLOCK = 4096
+#: Rows that one bitmap of row marks covers, and the most parts that bitmaps are dealt to, each broadcast.
+BLOCK, MARK_PARTS = 4096, 16
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -100,19 +101,35 @@ def row_bitmaps(marks: DataFrame) -> DataFrame:
     return blocks.select("_file", "_block", F.transform(F.sequence(F.lit(0), F.lit(BLOCK // 64 - 1)), lambda i: F.coalesce(F.col("m")[i.cast("long")], F.lit(0).cast("long"))).alias("_words"))
 
 
-def with_marks(rows: DataFrame, bitmaps: DataFrame, name: str = "_marked") -> DataFrame:
+def with_marks(rows: DataFrame, bitmaps: DataFrame, name: str = "_marked", narrow: bool = False) -> DataFrame:
     """Add to located ``rows`` whether each is marked. ``bitmaps`` must be a written table.
 
-    The bitmaps (about 520 bytes for 4096 rows) are broadcast while they fit in ``BROADCAST_BYTES``; a larger table
-    is joined by shuffling on file and block, which gives the same rows.
+    The bitmaps (about 520 bytes for 4096 rows) are broadcast while they fit in ``BROADCAST_BYTES``. A larger table is
+    dealt by file to parts that fit, each broadcast to a scan of its own files, so no text is shuffled. Only beyond
+    ``MARK_PARTS`` parts (some 6 billion rows), or where ``narrow`` says that rows have no text, are rows shuffled on
+    file and block. All ways give the same rows.
     """
-    spread = bitmaps.withColumnsRenamed({"_file": "_f", "_block": "_b"})
-    if bitmaps.count() * (8 * BLOCK // 64 + 200) <= BROADCAST_BYTES:
-        spread = F.broadcast(spread)
-    joined = rows.join(spread, (rows["_file"] == spread["_f"]) & (F.floor(rows["_row"] / BLOCK) == spread["_b"]), "left")
+    def joined(rows: DataFrame, bitmaps: DataFrame, small: bool) -> DataFrame:
+        spread = bitmaps.withColumnsRenamed({"_file": "_f", "_block": "_b"})
+        spread = F.broadcast(spread) if small else spread
+        return rows.join(spread, (rows["_file"] == spread["_f"]) & (F.floor(rows["_row"] / BLOCK) == spread["_b"]), "left")
+
+    most = BROADCAST_BYTES // (8 * BLOCK // 64 + 200)
+    blocks, parts = bitmaps.count(), 1
+    part = F.pmod(F.xxhash64("_file"), F.lit(parts))
+    largest = blocks
+    while largest > most and parts < MARK_PARTS and not narrow:
+        parts *= 2
+        part = F.pmod(F.xxhash64("_file"), F.lit(parts))
+        largest = bitmaps.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if parts > 1 and largest <= most:
+        # The filter names only the file, so each scan opens only the files of its part.
+        found = reduce(DataFrame.unionByName, [joined(rows.filter(part == i), bitmaps.filter(part == i), True) for i in range(parts)])
+    else:
+        found = joined(rows, bitmaps, blocks <= most)
     word = F.get("_words", F.floor(F.pmod(F.col("_row"), F.lit(BLOCK)) / 64).cast("int"))
     bit = F.expr("shiftleft(1L, cast(pmod(_row, 64) as int))")
-    return joined.withColumn(name, F.coalesce(word.bitwiseAND(bit) != 0, F.lit(False))).drop("_f", "_b", "_words")
+    return found.withColumn(name, F.coalesce(word.bitwiseAND(bit) != 0, F.lit(False))).drop("_f", "_b", "_words")
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[Column], spread: Column, buckets: int, rank: str) -> DataFrame:

@@ -7,7 +7,7 @@
 4. Only rows whose fingerprint is marked are suspects. Their texts are read again and shuffled, already reduced to
    one copy per task and text, and compared byte for byte.
 
-Unique rows - most of a corpus - are never shuffled, and no text is shuffled for them.
+Unique rows - most of a corpus - are never shuffled; of their texts, none are (see ``common.with_marks`` for the bound).
 """
 
 from __future__ import annotations
@@ -62,7 +62,8 @@ def _send(owner_bits: int):
 
     def emit(file: str, rows: np.ndarray, fps: np.ndarray):
         order = np.argsort(fps, kind="stable")
-        fps, places = fps[order], (rows[order] - rows[0]).astype(np.uint32)
+        base = int(rows.min())  # a task may read the splits of a file in any order
+        fps, places = fps[order], rows[order] - base
         values, first, counts = np.unique(fps, return_index=True, return_counts=True)
         owner = values >> shift
         out = []
@@ -70,7 +71,7 @@ def _send(owner_bits: int):
             o = int(owner[lo])
             bits, unary, rest = rice_encode(values[lo:hi], o << shift, 1 << shift)
             stop = first[hi] if hi < len(values) else len(fps)
-            out.append((file, int(rows[0]), o, int(hi - lo), bits, unary, rest, counts[lo:hi].astype(np.uint32).tobytes(), places[first[lo] : stop].tobytes()))
+            out.append((file, base, o, int(hi - lo), bits, unary, rest, counts[lo:hi].astype(np.uint32).tobytes(), places[first[lo] : stop].tobytes()))
         kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["_file", "first", "owner", "n", "bits", "unary", "rest", "counts", "places"])
 
@@ -115,7 +116,7 @@ def _suspects(batches):
         for r in b.to_pylist():
             counts = np.frombuffer(r["counts"], np.uint32)
             marked = np.unpackbits(np.frombuffer(r["bitmap"], np.uint8), count=r["n"]).astype(bool) | (counts > 1)
-            places = np.frombuffer(r["places"], np.uint32)[np.repeat(marked, counts)].astype(np.int64)
+            places = np.frombuffer(r["places"], np.int64)[np.repeat(marked, counts)]
             if len(places):
                 yield pa.RecordBatch.from_arrays([pa.array([r["_file"]] * len(places)), pa.array(places + r["first"])], names=["_file", "_row"])
 
@@ -140,7 +141,7 @@ def exact_duplicates(df: DataFrame, text: str = "text", row_id: str = "doc_id")
     marks = runs.select("_file", "first", "owner", "n", "counts", "places").join(answers, ["_file", "first", "owner"]).select("_file", "first", "n", "counts", "places", "bitmap").mapInArrow(_suspects, "_file string, _row long")
     bitmaps = shared_table(row_bitmaps(marks), "marks")
 
-    own = with_marks(all_rows, bitmaps).filter(~F.col("_marked")).drop("_marked")
+    own = with_marks(all_rows, bitmaps, narrow=True).filter(~F.col("_marked")).drop("_marked")
     suspects = with_marks(rows, bitmaps).filter("_marked").select(*facts, bare.alias("bare"), F.monotonically_increasing_id().alias("uid"))
     suspects = shared_table(suspects, "suspects")
     best = F.struct((-F.col("n_chars")).alias("n"), F.col("id").isNull().alias("none"), "id", "uid")

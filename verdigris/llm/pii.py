@@ -33,10 +33,11 @@ VALUE = r"""[^\s"'<>,;&]{5,}[^\s"'<>,;&.:!?)\]]"""
 SECRET = "|".join(
     (
         rf"""(?<=[="'])(?<=(?i:passw(?:or)?d|pwd)["']?=["']?){VALUE}""",
-        rf"""(?<=[=:"'\s])(?<=(?i:passw(?:or)?d|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key)["']?\s{{0,3}}[=:]\s{{0,3}}["']?)(?=[^\s"'<>,;&]*\d){VALUE}""",
         r"""(?<=[=:]\s{0,3}["'])(?=[^"']*\d)(?:[0-9a-f]{32,}|(?=[^"']*[A-Za-z])[A-Za-z0-9+/_=-]{32,})(?=["'])""",
     )
 )
+#: A value behind a label; it must have a digit, which is judged after it is found, so that no value is read twice.
+LABELLED = rf"""(?<=[=:"'\s])(?<=(?i:passw(?:or)?d|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key)["']?\s{{0,3}}[=:]\s{{0,3}}["']?){VALUE}"""
 IP = rf"(?<![\w.]){OCTET}(?:\.{OCTET}){{3}}(?!\w|\.\d)"
 DATE = r"(?<![\w.-])(?<!\d/)(?:(?:19|20)\d\d-\d\d-\d\d(?:(?=[Tt]\d)|(?![\w-]|\.\d))|\d\d?([./])\d\d?\1(?:19|20)\d\d(?![\w-]|\.\d))"
 SSN = r"(?<![\w.-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w-]|\.\d)"
@@ -55,8 +56,6 @@ PHONE = "|".join(
 WHOLE = r"(?=\d++(?![^\W\d]|-[^\W\d]))"
 RUN = rf"(?:(?<![\w.+-])|(?<=\+)(?=\d{{4}}[ -]?\d{{4}}[ -]?\d{{4}}[ -]?\d{{4}})){WHOLE}\d(?:(?:[ -]{WHOLE})?\d){{12,}}+"
 CARD_DIGITS = range(13, 20)
-#: Numbers of a run among which cards are chosen at once; cards that begin among earlier ones go first.
-RUN_PART = 512
 USUAL = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{3})?|\d{4}([ -])\d{6}\2\d{4,5})$"
 ISSUER = r"^(?:4|5[1-5]|22[2-9]|2[3-6]|27[012]|3[0-9]|6)"
 COUNTRY = r"^(?:7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
@@ -335,6 +334,10 @@ def _piece(text: Column, kind: str | None = None) -> Column:
     return F.struct(text.alias("text"), F.lit(kind).cast("string").alias("kind"))
 
 
+def _labelled(m: Column, key: str) -> Column:
+    return F.array(F.when(m.rlike(r"\d"), _piece(_secret(m, key), "secret")).otherwise(_piece(m)))
+
+
 def _marked(m: Column, key: str) -> Column:
     return F.array(
         F.when(m.rlike(rf"^(?:{EMAIL})$"), _piece(_email(m, key), "email"))
@@ -371,24 +374,26 @@ def _cards(m: Column, key: str, usual: bool) -> Column:
 
             return let(window, heads)
 
-        spot = "array<struct<at:int,n:int,text:string>>"
-
-        def choose(state: Column, first: Column) -> Column:
-            """Cards that begin among ``RUN_PART`` numbers; the state has what was chosen before and where that ends."""
-            valid = F.array_sort(F.flatten(F.transform(F.sequence(first, F.least(first + RUN_PART - 1, F.size(t))), parts)))
+        spot, part = (f"array<struct<{x}>>" for x in ("at:int,n:int,text:string", "rank:int,less:int,at:int,n:int,text:string"))
 
+        def settled(met: Column) -> Column:
+            """The parts that stay of some that meet, in their order."""
             def take(acc: Column, c: Column) -> Column:
-                meets = (c["at"] < state["end"]) | F.exists(acc, lambda p: (p["at"] < c["at"] + c["n"]) & (c["at"] < p["at"] + p["n"]))
+                meets = F.exists(acc, lambda p: (p["at"] < c["at"] + c["n"]) & (c["at"] < p["at"] + p["n"]))
                 return F.when(meets, acc).otherwise(F.concat(acc, F.array(F.struct(c["at"].alias("at"), c["n"].alias("n"), c["text"].alias("text")))))
 
-            def added(new: Column) -> Column:
-                end = F.coalesce(F.array_max(F.transform(new, lambda p: p["at"] + p["n"])), state["end"])
-                return F.struct(end.alias("end"), F.concat(state["cards"], new).alias("cards"))
+            return F.array_sort(F.aggregate(F.array_sort(met), F.array().cast(spot), take))
 
-            return let(F.array_sort(F.aggregate(valid, F.array().cast(spot), take)), added)
+        def add(state: Column, c: Column) -> Column:
+            """``met`` has the last parts, each of which meets one before; a part behind their end settles them."""
+            end = F.greatest(state["end"], c["at"] + c["n"])
+            met = F.struct(end.alias("end"), F.concat(state["met"], F.array(c)).alias("met"), state["cards"].alias("cards"))
+            new = F.struct(end.alias("end"), F.array(c).alias("met"), F.concat(state["cards"], settled(state["met"])).alias("cards"))
+            return F.when(c["at"] < state["end"], met).otherwise(new)
 
-        start = F.struct(F.lit(1).alias("end"), F.array().cast(spot).alias("cards"))
-        taken = F.aggregate(F.sequence(F.lit(1), F.size(t), F.lit(RUN_PART)), start, choose)["cards"]
+        valid = F.flatten(F.transform(F.sequence(F.lit(1), F.size(t)), parts))
+        start = F.struct(F.lit(1).alias("end"), F.array().cast(part).alias("met"), F.array().cast(spot).alias("cards"))
+        taken = F.aggregate(valid, start, add, lambda state: F.concat(state["cards"], settled(state["met"])))
 
         def in_taken(c: Column) -> Column:
             def around(k: Column) -> Column:
@@ -431,8 +436,9 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text", counts: str | None
     """``df`` with pseudonyms in its text; ``counts`` names a further column, a map from kind to number of values.
 
     Null and empty texts stay as they are, and so does everything that fails validation. Very long texts are read whole,
-    in linear time. Rows are independent of each other, so ties, repeated rows, empty tables and further columns need
-    no rule.
+    in linear time but for clusters of overlapping card numbers, which take the square of their number. Local parts of
+    more than 64 characters, addresses with other letters than ASCII and IPv6 stay readable. Rows are independent of
+    each other, so ties, repeated rows, empty tables and further columns need no rule.
     """
     # Only texts with a digit, an @ or a password can hold a candidate.
     some = F.col(text).rlike(r"[0-9@]|(?i:passw(?:or)?d|pwd)")
@@ -441,7 +447,7 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text", counts: str | None
         name += "_"
     out = df.withColumn(name, F.coalesce(F.when(some, F.array(_piece(F.col(text)))), F.array().cast(PIECES)))
     # One column after the other, as the analyzer goes through one level of lambdas at a time and not through more than a hundred.
-    for pattern, judge in ((MARKED, _marked), (PARTED, _parted), (RUN, _usual_cards), (PHONE, _phones), (RUN, _other_cards)):
+    for pattern, judge in ((MARKED, _marked), (LABELLED, _labelled), (PARTED, _parted), (RUN, _usual_cards), (PHONE, _phones), (RUN, _other_cards)):
         out = out.withColumn(name, _scan(F.col(name), pattern, judge, key))
     out = out.withColumn(text, F.when(F.size(name) > 0, F.array_join(F.transform(name, lambda p: p["text"]), "")).otherwise(F.col(text)))
     if counts is not None:

@@ -10,7 +10,9 @@ node; the texts are read once, to take their sizes, and the passes read a narrow
 A coordinate is a 20-bit code of the dimension followed by 43 bits that break ties, so a hot source or any other
 value that most rows share can be cut anywhere. Numbers are scaled to the code; strings are ranked among the distinct
 ones, so it doesn't matter how they begin. Rows of equal texts are a group: its members take the coordinates of its
-first row and stay in one shard, unless the group weighs more than a hundredth of a shard and may have to be cut.
+first row and stay in one shard. A group that weighs more than a hundredth of a shard is a unit that the driver knows
+(there are at most a hundred of them for each shard): at each node the units are cut at their own weighted median, and
+the other rows where both sides get their share, so units cost no balance. Only a group above a whole shard is cut.
 
 The tree is known to the driver, one entry a node, and goes to the rows as constant arrays in which a row looks up the
 node that it is in, so no join and no expression grows with the number of nodes.
@@ -31,14 +33,16 @@ ROW_BYTES = 16
 BINS = 4096
 CODES = 1 << 20
 TIES = 1 << 43
+#: Ties of rows that are no group's, beside 25 bits of the text's hash.
+ALONE = 1 << 18
 #: The cut of a node that stays whole.
 WHOLE = (1 << 63) - 1
 #: Levels that rows descend at once, before they are written with the node that they are in.
 TREE_LEVELS = 6
 #: A median is exact enough when the bin that holds it weighs less than this part of a shard.
 EXACT = 1e-4
-#: A group of equal texts stays whole when it weighs at most this part of a shard.
-GROUP = 0.01
+#: A group of equal texts above this part of a shard is placed as a unit; smaller ones are cut around like rows.
+UNIT = 0.01
 #: Rows of a shard, and distinct strings of a dimension, that one task numbers.
 SLOT_ROWS, RANK_ROWS = 50_000, 500_000
 
@@ -76,7 +80,8 @@ def kd_shards(df: DataFrame, dimensions: dict[str, Column], n_shards: int | None
     """Shards of ``df``: (row_id, size, text_crc32, law, shard, slot, grown_shard), one row for each of its rows.
 
     Give the number of shards, or the bytes that a shard should have at most on average. ``dimensions`` are columns or
-    expressions by name, numbers or strings. Sizes of shards differ by about one row, or one group of equal texts.
+    expressions by name, numbers or strings. Sizes of shards differ by about one row, or one
+    group of equal texts that is no unit. Equal texts are in one shard, unless they alone are more than a shard.
 
     Null texts count 16 bytes and have the CRC of the empty text; null coordinates sort first. Equal rows are told
     apart by their place in the scan, so a large group of them is cut like any others. A very long text is one row,
@@ -112,18 +117,23 @@ def kd_shards(df: DataFrame, dimensions: dict[str, Column], n_shards: int | None
     group = ["hash", "crc", "size"]
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", *codes)).alias("first")
     groups = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), first).filter("n > 1")
-    groups = groups.filter(F.col("n") * F.col("size") <= GROUP * (span["bytes"] or 0) / n_shards)
-    # Written first, so the rows of a hot group can be split in the join.
-    rows = rows.join(shared_table(groups, "groups"), group, "left")
-    alone = F.pmod(F.xxhash64("id", "row"), F.lit(1024))
-    tie = F.pmod(F.xxhash64(*group), F.lit(1 << 33)) * 1024 + F.when(F.col("first").isNull(), alone).otherwise(0)
-    rows = rows.select("id", "size", "crc", "row", *[(F.coalesce(F.col(f"first.{c}"), F.col(c)) * TIES + tie).alias(f"k{c[1:]}") for c in codes], F.lit(0).cast("int").alias("base"))
-    rows = shared_table(rows, "coordinates")
+    leaf = (span["bytes"] or 0) / n_shards
+    tie_of_group = F.pmod(F.xxhash64(*group), F.lit(1 << 25)) * ALONE
+    weight = (F.col("n") * F.col("size")).alias("weight")
+    groups = groups.select(*group, weight, (weight > UNIT * leaf).alias("unit"), *[(F.col(f"first.{c}") * TIES + tie_of_group).alias(f"g{c[1:]}") for c in codes])
+    groups = shared_table(groups.filter(F.col("weight") <= leaf), "groups")
+    units = [(r.asDict(), 0) for r in groups.filter("unit").collect()]
+    # The groups are written, so the rows of a hot group can be split in the join.
+    rows = rows.join(groups, group, "left")
+    alone = tie_of_group + F.pmod(F.xxhash64("id", "row"), F.lit(ALONE))
+    rows = rows.select(*group, "id", "row", F.coalesce("unit", F.lit(False)).alias("unit"), *[F.coalesce(f"g{c[1:]}", F.col(c) * TIES + alone).alias(f"k{c[1:]}") for c in codes], F.lit(0).cast("int").alias("base"))
+    placed = shared_table(rows, "coordinates")
+    rows = placed.filter("NOT unit").drop("unit", "hash")
 
     # A node is known by its path; every level doubles the numbers. wanted[node] is its number of shards.
     wanted, splits, base_nodes = [n_shards], [], 1
     while max(wanted) > 1:
-        splits.append(_cut_level(rows, splits, base_nodes, wanted, ndim))
+        splits.append(_cut_level(rows, splits, base_nodes, wanted, ndim, units))
         wanted = [w for n in wanted for w in ((n, 0) if n <= 1 else (n // 2, n - n // 2))]
         if len(splits) == TREE_LEVELS:
             down = _descend(rows, splits, base_nodes, ndim)
@@ -132,8 +142,11 @@ def kd_shards(df: DataFrame, dimensions: dict[str, Column], n_shards: int | None
     for n in wanted:
         shard_of.append(shards)
         shards += n
-    placed = _descend(rows, splits, base_nodes, ndim)
-    placed = placed.select("id", "size", F.col("crc").alias("text_crc32"), "row", F.get(constant(shard_of, "int"), F.col("node")).alias("shard"))
+    facts = ["id", "size", F.col("crc").alias("text_crc32"), "row"]
+    others = _descend(rows, splits, base_nodes, ndim).select(*facts, F.get(constant(shard_of, "int"), F.col("node")).alias("shard"))
+    homes = constant([{"hash": u["hash"], "crc": u["crc"], "size": u["size"], "shard": shard_of[node]} for u, node in units], "struct<hash:bigint,crc:bigint,size:bigint,shard:int>")
+    homes = shared_table(df.sparkSession.range(1).select(F.inline(homes)), "homes")
+    placed = others.unionByName(placed.filter("unit").join(homes, group).select(*facts, "shard"))
     buckets = max(8, math.ceil(base.count() / n_shards / SLOT_ROWS))
     order = F.xxhash64("text_crc32", "id", "row")
     slots = ranked(placed, ["shard"], [order, F.col("row")], F.xxhash64("row", F.lit(7)), buckets, "slot")
@@ -158,23 +171,41 @@ def _descend(rows: DataFrame, splits: list[tuple[list[int], list[int]]], base_no
     return found.withColumn("node", (F.col("base") * (1 << levels) + local).cast("int")).drop("dims", "cuts")
 
 
-def _cut_level(rows: DataFrame, splits: list, base_nodes: int, wanted: list[int], ndim: int) -> tuple[list[int], list[int]]:
-    """For each node of a level, the dimension along which it is cut and the last coordinate of its left part."""
+def _cut_level(rows: DataFrame, splits: list, base_nodes: int, wanted: list[int], ndim: int, units: list[tuple[dict, int]]) -> tuple[list[int], list[int]]:
+    """For each node of a level, the dimension along which it is cut and the last coordinate of its left part.
+
+    ``units`` are groups with the node that each is in; they are moved to the nodes of the next level."""
     nodes = len(wanted)
     rows = _descend(rows, splits, base_nodes, ndim)
-    wide = rows.groupBy("node").agg(F.sum("size").alias("w"), *[f(f"k{i}").alias(f"{n}{i}") for i in range(ndim) for n, f in (("lo", F.min), ("hi", F.max))]).collect()
+    wide = {r["node"]: r for r in rows.groupBy("node").agg(F.sum("size").alias("w"), *[f(f"k{i}").alias(f"{n}{i}") for i in range(ndim) for n, f in (("lo", F.min), ("hi", F.max))]).collect()}
     dims, lo, hi, target, leaf, before = [0] * nodes, [0] * nodes, [0] * nodes, [0.0] * nodes, [0.0] * nodes, [0] * nodes
     cuts = [WHOLE] * nodes
-    live = set()
-    for r in wide:
-        n = r["node"]
-        if wanted[n] < 2:
+    live, own = set(), [[] for _ in range(nodes)]
+    for u, n in units:
+        own[n].append(u)
+    units.clear()
+    for n in range(nodes):
+        r = wide.get(n)
+        light, heavy = r["w"] if r else 0, sum(u["weight"] for u in own[n])
+        if wanted[n] < 2 or not light + heavy:
+            units += [(u, 2 * n) for u in own[n]]
             continue
-        spread = [r[f"hi{i}"] // TIES - r[f"lo{i}"] // TIES for i in range(ndim)]
+        ends = [[u[f"g{i}"] for u in own[n]] + ([r[f"lo{i}"], r[f"hi{i}"]] if r else []) for i in range(ndim)]
+        spread = [max(e) // TIES - min(e) // TIES for e in ends]
         dims[n] = d = spread.index(max(spread))
-        lo[n], hi[n] = r[f"lo{d}"], r[f"hi{d}"]
-        target[n], leaf[n] = r["w"] * (wanted[n] // 2) / wanted[n], r["w"] / wanted[n]
-        live.add(n)
+        share, leaf[n] = (wanted[n] // 2) / wanted[n], (light + heavy) / wanted[n]
+        left, misses = 0, heavy * share
+        for u in sorted(own[n], key=lambda u: (u[f"g{d}"], u["hash"])):
+            at_left = misses >= 0 and abs(heavy * share - left - u["weight"]) <= misses
+            misses = heavy * share - left - u["weight"] if at_left else -1
+            left += u["weight"] * at_left
+            units.append((u, 2 * n + (not at_left)))
+        target[n] = min(max((light + heavy) * share - left, 0), light)
+        if r and 0 < target[n] < light:
+            lo[n], hi[n] = r[f"lo{d}"], r[f"hi{d}"]
+            live.add(n)
+        elif r and not target[n]:
+            cuts[n] = r[f"lo{d}"] - 1
     key = F.get(F.array(*[F.col(f"k{i}") for i in range(ndim)]), F.col("dim"))
     while live:
         step = {n: max(1, -(-(hi[n] - lo[n] + 1) // BINS)) for n in live}
