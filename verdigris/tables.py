@@ -20,11 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` in the shared folder and read it again: its lineage ends there. The folder goes when Spark ends."""
+def shared_table(df: DataFrame, name: str, **options) -> DataFrame:
+    """Write ``df`` in the shared folder and read it again: its lineage ends there. The folder goes when Spark ends.
+
+    ``options`` are those of Spark's writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return spark.read.schema(df.schema).parquet(path)
