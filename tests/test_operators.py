@@ -10,7 +10,7 @@ from verdigris.geometry import plane, wkb
 from verdigris.operators import frame, raster, river, vectorise
 from verdigris.operators.components import components
 from verdigris.operators.spatial import nearest
-from verdigris.plans import queries as Q
+from verdigris.plans import composed as Q
 from verdigris.sources import geotiff, rasters, vectors
 from verdigris.streaming import tiles as T
 

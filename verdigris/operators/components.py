@@ -50,11 +50,13 @@ def buffer_components(boxes: DataFrame, buffer: float, cell: float, keys: list[s
     return boxes.select("source_id").join(found, F.col("source_id") == F.col("node"), "left").select("source_id", F.coalesce("component", F.col("source_id").cast("long")).alias("component"))
 
 
-def merged_by_buffer(boxes: DataFrame, buffer: float, cell: float, keys: list[str] | None = None) -> DataFrame:
+def merged_by_buffer(boxes: DataFrame, buffer: float, cell: float, keys: list[str] | None = None, collapsed: list[str] | None = None) -> DataFrame:
     """The boxes of each component, a row for each place: component, sorted distinct names, the impact that its members
     agree on, how many they are, and x0 .. y1 of the place. An object of several boxes is as large as they are together.
+    Columns ``collapsed`` are brought to one value as impacts are.
     """
+    collapsed = collapsed or []
     keys = keys or []
     of = boxes.join(buffer_components(boxes, buffer, cell, keys), "source_id")
-    facts = of.groupBy(*keys, "component").agg(F.array_sort(F.collect_set("name")).alias("names"), sign_collapse(F.col("impact")).alias("impact"), F.count(F.lit(1)).alias("n"))
-    return of.select(*keys, "component", "x0", "y0", "x1", "y1").distinct().join(facts, [*keys, "component"]).select(*keys, "component", "names", "impact", "n", "x0", "y0", "x1", "y1")
+    facts = of.groupBy(*keys, "component").agg(F.array_sort(F.collect_set("name")).alias("names"), sign_collapse(F.col("impact")).alias("impact"), F.count(F.lit(1)).alias("n"), *[sign_collapse(F.col(c)).alias(c) for c in collapsed])
+    return of.select(*keys, "component", "x0", "y0", "x1", "y1").distinct().join(facts, [*keys, "component"]).select(*keys, "component", "names", "impact", "n", *collapsed, "x0", "y0", "x1", "y1")

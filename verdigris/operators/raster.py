@@ -52,9 +52,10 @@ def zonal_mode(pixels: DataFrame, zones: DataFrame, cell: float, size: float | N
     """(tile, zone_id, value, n): the most frequent pixel value in each zone, the least of equals.
 
     Pixels need x and y; zones bx0 .. by1. Counts are made per value before the choice, so a large zone is no single
-    task's list. With ``size``, the side of a pixel, every zone has a row for each tile: one without a pixel in it is
-    widened by half a pixel's diagonal, one that has none even then takes the pixel that its middle lies in (x and y
-    are a pixel's upper left corner), and one off the tile has nulls and no pixels.
+    task's list. With ``size``, the side of a pixel, every zone has a row for each tile whose extent it meets, widened by half a
+    pixel's diagonal: one without a pixel in it counts those of the widened zone, one that has none even then takes the
+    pixel that its middle lies in (x and y are a pixel's upper left corner), and one that is void there has nulls and no
+    pixels. A zone that meets no tile has one row, without a tile.
     """
     at = pixels.filter("value IS NOT NULL").withColumns({"px0": F.col("x"), "py0": F.col("y"), "px1": F.col("x"), "py1": F.col("y")})
 
@@ -72,8 +73,11 @@ def zonal_mode(pixels: DataFrame, zones: DataFrame, cell: float, size: float | N
     middle = zones.withColumns({"bx0": x - size, "by0": y, "bx1": x, "by1": y + size})
     found = mode(zones, 0).union(mode(wide, 1)).union(mode(middle, 2))
     best = found.groupBy("tile", "zone_id").agg(F.min_by(F.struct("value", "n"), "step").alias("m"))
-    every = zones.select("zone_id").crossJoin(F.broadcast(pixels.select("tile").distinct()))  # a row for each tile
-    out = every.join(best, ["tile", "zone_id"], "left")
+    # A zone gets rows of the tiles whose extent it meets, and one without a tile if it meets none.
+    extent = pixels.groupBy("tile").agg(F.min("x").alias("ex0"), (F.min("y") - size).alias("ey0"), (F.max("x") + size).alias("ex1"), F.max("y").alias("ey1"))
+    met = box_join(extent, wide, max(cell, 50 * size), left_box=("ex0", "ey0", "ex1", "ey1")).select("tile", "zone_id").union(best.select("tile", "zone_id")).distinct()
+    off = zones.select("zone_id").join(met.select("zone_id"), "zone_id", "left_anti").select(F.lit(None).cast(pixels.schema["tile"].dataType).alias("tile"), "zone_id")
+    out = met.union(off).join(best, ["tile", "zone_id"], "left")
     return out.select("tile", "zone_id", F.col("m.value").alias("value"), F.coalesce("m.n", F.lit(0).cast("long")).alias("n"))
 
 

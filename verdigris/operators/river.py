@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import rint
 from ..tables import shared_table
-from .spatial import nearest
+from .components import components
+from .regions import runs
+from .spatial import first_cover, in_cells, nearest
 
 #: Steps after which a graph is taken to run in circles without cost.
 MOST_STEPS = 10_000
@@ -36,7 +38,8 @@ def segmentised(pairs: DataFrame, most: float) -> DataFrame:
     out = pairs.withColumn("_n", n).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
 
     def at(a: str, b: str, i: Column) -> Column:
-        return F.col(a) + (F.col(b) - F.col(a)) * i / F.col("_n")
+        # the ends are the given vertices to the last bit, so lines still meet there
+        return F.when(i == F.col("_n"), F.col(b)).otherwise(F.col(a) + (F.col(b) - F.col(a)) * i / F.col("_n"))
 
     cut = {"x": at("x", "x2", F.col("part")), "y": at("y", "y2", F.col("part")), "x2": at("x", "x2", F.col("part") + 1), "y2": at("y", "y2", F.col("part") + 1)}
     return out.withColumns(cut).withColumn("length", F.col("length") / F.col("_n")).drop("_n")
@@ -59,12 +62,13 @@ def interned(lines: DataFrame, line: str = "line_id", pos: str = "pos") -> DataF
     return first.join(starts, "l").select((F.col("start") + F.row_number().over(Window.partitionBy("l").orderBy("p")) - 1).alias("node"), "x", "y")
 
 
-def edges_of(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges (src, dst, x, y, x2, y2, length) in the direction of the lines; the shortest of parallel ones, no loops."""
+def edges_of(pairs: DataFrame, nodes: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Edges (src, dst, x, y, x2, y2, length) in the direction of the lines; the shortest of parallel ones, no loops.
+    Columns ``keep`` of the line come along."""
     u = nodes.select(F.col("node").alias("src"), "x", "y")
     v = nodes.select(F.col("node").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     edges = pairs.join(u, ["x", "y"]).join(v, ["x2", "y2"]).filter("src <> dst")
-    return edges.groupBy("src", "dst").agg(F.min(F.struct("length", "x", "y", "x2", "y2")).alias("e")).select("src", "dst", "e.*")
+    return edges.groupBy("src", "dst").agg(F.min(F.struct("length", "x", "y", "x2", "y2", *(keep or []))).alias("e")).select("src", "dst", "e.*")
 
 
 def cross_section(width: float | Column, dx: Column, dy: Column, x: Column, y: Column) -> list[Column]:
@@ -82,6 +86,95 @@ def node_widths(edges: DataFrame, widths: DataFrame, basic: float = 5.0) -> Data
     return nodes.join(least, "node", "left").select("node", F.coalesce("width", F.lit(float(basic))).alias("width"))
 
 
+def section_widths(edges: DataFrame, water: DataFrame, most: float = 50_000.0, basic: float = 5.0, cell: float = 1000.0) -> DataFrame:
+    """(src, dst, wu, wv): how wide the water is across each edge (x, y, x2, y2) at its ends.
+
+    ``water`` has the boxes of bodies (water_id, bx0 .. by1). A vertex lies in the first body, by id, that covers it;
+    across the edge, a line of at most ``most`` is cut by that body's boxes to intervals, those that touch are merged,
+    and the one that holds the vertex is the width. A vertex in no body, or with no width there, has ``basic``.
+
+    Lines start short and only those whose water reaches their end grow, so most meet a few cells of the grid.
+    """
+    u = F.struct(F.lit("u").alias("end"), F.col("src").alias("node"), F.col("x").alias("px"), F.col("y").alias("py"))
+    v = F.struct(F.lit("v").alias("end"), F.col("dst").alias("node"), F.col("x2").alias("px"), F.col("y2").alias("py"))
+    dx, dy = F.col("x2") - F.col("x"), F.col("y2") - F.col("y")
+    length = F.sqrt(dx * dx + dy * dy)
+    ends = edges.filter(length > 0).select("src", "dst", (-dy / length).alias("ux"), (dx / length).alias("uy"), F.explode(F.array(u, v)).alias("p")).select("src", "dst", "ux", "uy", "p.*")
+    spots = ends.groupBy("node").agg(F.first("px").alias("x"), F.first("py").alias("y"))
+    body = first_cover(spots, water, cell, "node", "water_id")
+    left = shared_table(ends.join(body, "node").drop("node"), "sections")
+    boxes = shared_table(in_cells(water.select("water_id", "bx0", "by0", "bx1", "by1"), cell, ("bx0", "by0", "bx1", "by1")), "water")
+    half, found = min(cell, most) / 2, None
+    while True:
+        across = _across(left, boxes, half, cell).withColumn("half", F.lit(half))
+        last = half >= most / 2
+        width = F.col("t1") - F.col("t0")
+        done = across if last else across.filter((F.col("t0") > -half) & (F.col("t1") < half))
+        widths = done.select("src", "dst", "end", width.alias("width"))
+        found = widths if found is None else found.unionByName(widths)
+        if last:
+            break
+        reached = across.filter((F.col("t0") <= -half) | (F.col("t1") >= half)).select("src", "dst", "end")
+        left = shared_table(left.join(reached, ["src", "dst", "end"], "left_semi"), "sections")
+        half = min(half * 4, most / 2)
+    found = found.filter("width > 0").groupBy("src", "dst").agg(*[F.max(F.when(F.col("end") == e, F.col("width"))).alias(f"w{e}") for e in "uv"])
+    return edges.select("src", "dst").join(found, ["src", "dst"], "left").select("src", "dst", *[F.coalesce(f"w{e}", F.lit(float(basic))).alias(f"w{e}") for e in "uv"])
+
+
+def _across(sections: DataFrame, boxes: DataFrame, half: float, cell: float) -> DataFrame:
+    """(src, dst, end, t0, t1): of the water along each section, the interval that holds its vertex, at 0."""
+    ax, bx = (F.col("px") + s * half * F.abs("ux") for s in (-1, 1))  # from left to right
+    rise = F.when(F.col("ux") < 0, -F.col("uy")).otherwise(F.col("uy"))
+    ay, by = (F.col("py") + s * half * rise for s in (-1, 1))
+    placed = sections.withColumns({"ax": ax, "bx": bx, "ay": ay, "by": by}).withColumn("cx", F.explode(F.sequence(F.floor(F.col("ax") / cell), F.floor(F.col("bx") / cell))))
+
+    def height(x: Column) -> Column:
+        return F.col("ay") + (x - F.col("ax")) * (F.col("by") - F.col("ay")) / (F.col("bx") - F.col("ax"))
+
+    steep = F.col("bx") - F.col("ax") < cell * 1e-6
+    y0 = F.when(steep, F.col("ay")).otherwise(height(F.greatest("ax", F.col("cx") * cell)))
+    y1 = F.when(steep, F.col("by")).otherwise(height(F.least("bx", (F.col("cx") + 1) * cell)))
+    rows = F.sequence(F.floor(F.least(y0, y1) / cell - 1e-6), F.floor(F.greatest(y0, y1) / cell + 1e-6))
+    met = placed.withColumn("cy", F.explode(rows)).drop("ax", "bx", "ay", "by").join(boxes, ["water_id", "cx", "cy"])
+
+    def span(p: str, u: str, lo: str, hi: str) -> tuple[Column, Column]:
+        inside = (F.col(p) >= F.col(lo)) & (F.col(p) <= F.col(hi))
+        a, b = ((F.col(c) - F.col(p)) / F.nullif(F.col(u), F.lit(0.0)) for c in (lo, hi))
+        level = F.col(u) == 0
+        return F.when(level, F.when(inside, -half).otherwise(2 * half)).otherwise(F.least(a, b)), F.when(level, half).otherwise(F.greatest(a, b))
+
+    (x0, x1), (y0, y1) = span("px", "ux", "bx0", "bx1"), span("py", "uy", "by0", "by1")
+    cut = met.select("src", "dst", "end", F.greatest(x0, y0, F.lit(-half)).alias("t0"), F.least(x1, y1, F.lit(half)).alias("t1")).filter("t0 <= t1").distinct()
+    return runs(cut, ["src", "dst", "end"], "t0", "t1").filter("t0 <= 0 AND t1 >= 0")
+
+
+def water_graph(lines: DataFrame, water: DataFrame, segment: float = 300.0, most: float = 50_000.0, basic: float = 5.0, speed: float = 50.0, cell: float = 1000.0) -> tuple[DataFrame, DataFrame]:
+    """A river network from lines (line_id, pos, x, y, and a name if there is one) and water (water_id, bx0 .. by1).
+
+    Edges (src, dst, name, x, y, x2, y2, length, wu, wv, width, weight) are the lines cut to ``segment``, in their
+    direction; nodes (node, x, y, width) have the least width across their edges. Lines of one vertex have no edge.
+    """
+    keep = [c for c in ("name",) if c in lines.columns]
+    parts = segmentised(vertex_pairs(lines.dropna(subset=["x", "y"])), segment)
+    parts = shared_table(parts.withColumn("at", F.struct("pos", "part")), "segments")
+    after = F.struct("pos", (F.col("part") + 1).alias("part"))
+    vertices = parts.select("line_id", "at", "x", "y").union(parts.select("line_id", after, "x2", "y2"))
+    nodes = shared_table(interned(vertices, pos="at"), "nodes")
+    edges = shared_table(edges_of(parts.select("x", "y", "x2", "y2", "length", *keep), nodes, keep), "edges")
+    widths = shared_table(node_widths(edges, section_widths(edges, water, most, basic, cell), basic), "widths")
+    return weighted(edges, widths, speed), nodes.join(widths, "node", "left").select("node", "x", "y", F.coalesce("width", F.lit(float(basic))).alias("width"))
+
+
+def dissolved_edges(edges: DataFrame) -> DataFrame:
+    """(remain, region, edges): edges (src, dst, remain) of equal remain that share a node are one region."""
+    known = shared_table(edges.withColumn("edge", F.monotonically_increasing_id()), "edges")
+    at = known.select("edge", "remain", F.explode(F.array("src", "dst")).alias("node"))
+    hub = at.groupBy("node", "remain").agg(F.min("edge").alias("least"))  # a star for each node, not all pairs
+    linked = components(at.join(hub, ["node", "remain"]).select(F.col("edge").alias("src"), F.col("least").alias("dst")))
+    of = known.join(linked.withColumnRenamed("node", "edge"), "edge", "left").withColumn("region", F.coalesce("component", "edge"))
+    return of.groupBy("remain", "region").agg(F.count(F.lit(1)).alias("edges"))
+
+
 def weighted(edges: DataFrame, widths: DataFrame, speed: float = 50.0) -> DataFrame:
     """Edges with width (mean of its ends) and weight = width * length / speed."""
     u, v = (widths.select(F.col("node").alias(n), F.col("width").alias(w)) for n, w in (("src", "wu"), ("dst", "wv")))

@@ -5,15 +5,18 @@ from __future__ import annotations
 import time
 import traceback
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..geometry import contours, wkb
+from ..tables import shared_table
 from .raster import smooth_array, smooth_directions
+from .regions import pixel_regions, zone_regions
 
 SCHEMA = "tile string, value double, geom binary, error string, elapsed_sec double"
 
@@ -141,3 +144,33 @@ def soil_areas(classes: DataFrame, *keys: str) -> DataFrame:
     """Soil classes with their number of pixels and mean coarse fragments, in whole per mille; by ``keys``, too."""
     by = [*keys, "clay_pct", "silt_pct", "sand_pct", "usda_texture"]
     return classes.groupBy(*by).agg(F.rint(F.avg("cfvo")).cast("int").alias("coarse"), F.count(F.lit(1)).alias("n"))
+
+
+SOIL_CLASS = ["clay_pct", "silt_pct", "sand_pct", "usda_texture"]
+
+
+def soil_polygons(pixels: DataFrame, zones: DataFrame | None = None, step: float = 5.0, russian: bool = False, cell: float = 1000.0) -> DataFrame:
+    """Soil classes as boxes: (zone_id, clay_pct, silt_pct, sand_pct, usda_texture, coarse, x0 .. y1).
+
+    ``pixels`` (row, col, clay, silt, sand, cfvo, x_min, y_max, size_x, size_y) may be of several rasters. A class has the
+    mean of all its pixels' coarse fragments; its pixels merge to rectangles, which are cut to ``zones`` (zone_id, bx0 ..
+    by1) if they are given. Pixels without soil, or with a missing part, are left out.
+    """
+    classes = shared_table(soil_classes(pixels, step, russian), "classes")
+    coarse = soil_areas(classes).drop("n")
+    boxes = pixel_regions(classes, SOIL_CLASS)
+    boxes = boxes if zones is None else zone_regions(boxes, zones, cell, SOIL_CLASS)
+    equal = [boxes[c].eqNullSafe(coarse[c]) for c in SOIL_CLASS]
+    kept = [boxes[c] for c in boxes.columns]
+    return boxes.join(coarse, reduce(Column.__and__, equal)).select(*kept, "coarse")
+
+
+def flood_polygons(pixels: DataFrame, zones: DataFrame | None = None, step: float = 0.1, cell: float = 1000.0, keys: list[str] | None = None) -> DataFrame:
+    """Depth classes of floods as boxes: (zone_id, keys, depth_m, x0 .. y1).
+
+    ``pixels`` (row, col, value, x_min, y_max, size_x, size_y) may be of several rasters; ``keys`` (return periods, say)
+    stay apart. Dry and missing pixels are left out; zones are as in ``soil_polygons``.
+    """
+    by = [*(keys or []), "depth_m"]
+    boxes = pixel_regions(flood_classes(pixels, step), by)
+    return boxes if zones is None else zone_regions(boxes, zones, cell, by)

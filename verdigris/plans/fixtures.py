@@ -28,6 +28,10 @@ VIEWS = {
         FROM events WHERE value>0""",
     "fx_lines": """SELECT user_id line_id, row_number() OVER (PARTITION BY user_id ORDER BY ts,event_id) pos,
         CAST(event_id%997 AS DOUBLE) x, CAST((event_id*31)%991 AS DOUBLE) y FROM events""",
+    "fx_water": """SELECT CAST(floor(s_suppkey/4) AS BIGINT) water_id, CAST((s_suppkey*7919)%900 AS DOUBLE) x0, CAST((s_suppkey*104729)%900 AS DOUBLE) y0,
+        CAST((s_suppkey*7919)%900+40+s_suppkey%170 AS DOUBLE) x1, CAST((s_suppkey*104729)%900+30+s_suppkey%190 AS DOUBLE) y1 FROM supplier""",
+    "fx_woods": """SELECT s_suppkey source_id, CAST((s_suppkey*7919)%120*10 AS DOUBLE) x0, CAST((s_suppkey*104729)%120*10 AS DOUBLE) y0,
+        CAST((s_suppkey*7919)%120*10+40+s_suppkey%9*10 AS DOUBLE) x1, CAST((s_suppkey*104729)%120*10+30+s_suppkey%11*10 AS DOUBLE) y1 FROM supplier""",
     "fx_spill_sources": """SELECT s_suppkey source_id, (s_suppkey*17)%(SELECT count(*) FROM part) node,
         CAST(60+s_suppkey%50 AS DOUBLE) pollution FROM supplier""",
     "fx_tiles": """SELECT n_nationkey tile_id, concat(CASE WHEN n_nationkey%2=0 THEN 'N' ELSE 's' END, repeat('0', CAST(n_nationkey%3 AS INT)),

@@ -506,8 +506,11 @@ _GROWN, _MIDDLE = "(SELECT zone_id, x0-45*sqrt(2.0::DOUBLE)/2 x0, y0-45*sqrt(2.0
 
 
 @query(f"""WITH tiny AS {_TINY}, a AS ({_ZONAL.format(zones="tiny")}), b AS ({_ZONAL.format(zones=_GROWN)}), c AS ({_ZONAL.format(zones=_MIDDLE)}), ts AS (SELECT DISTINCT tile FROM fx_raster)
-    SELECT ts.tile, tiny.zone_id, coalesce(a.value, b.value, c.value) value, coalesce(a.n, b.n, c.n, 0) n FROM ts CROSS JOIN tiny LEFT JOIN a ON a.tile=ts.tile AND a.zone_id=tiny.zone_id
-    LEFT JOIN b ON b.tile=ts.tile AND b.zone_id=tiny.zone_id LEFT JOIN c ON c.tile=ts.tile AND c.zone_id=tiny.zone_id""")
+    , ex AS (SELECT tile, min("col")*45.0 x0, min("row")*45.0-45 y0, max("col")*45.0+45 x1, max("row")*45.0 y1 FROM fx_raster GROUP BY 1),
+    every AS (SELECT ts.tile, tiny.zone_id, coalesce(a.value, b.value, c.value) value, coalesce(a.n, b.n, c.n, 0) n FROM ts CROSS JOIN tiny LEFT JOIN a ON a.tile=ts.tile AND a.zone_id=tiny.zone_id
+    LEFT JOIN b ON b.tile=ts.tile AND b.zone_id=tiny.zone_id LEFT JOIN c ON c.tile=ts.tile AND c.zone_id=tiny.zone_id),
+    hit AS (SELECT e.* FROM every e JOIN {_GROWN} b USING (zone_id) JOIN ex z ON z.tile=e.tile WHERE value IS NOT NULL OR ({_HIT}))
+    SELECT * FROM hit UNION ALL SELECT NULL, zone_id, NULL, 0 FROM tiny WHERE zone_id NOT IN (SELECT zone_id FROM hit)""")
 def zonal_mode_small_zones(spark, sf):
     d = fixture(spark, sf, "fx_raster").withColumns({"x": F.col("col") * 45.0, "y": F.col("row") * 45.0})
     side = (F.col("zone_id") % 4) * 15.0

@@ -40,7 +40,7 @@ def soil_files(tiles: DataFrame, files: DataFrame, depth: str) -> DataFrame:
 
 
 def soil_pixels(files: DataFrame, tiles: DataFrame) -> DataFrame:
-    """(tile_name, row, col, x, y, clay, silt, sand, cfvo) from the files of ``soil_files`` and the decoded ``tiles``
+    """(tile_name, row, col, x, y, x_min, y_max, size_x, size_y, clay, silt, sand, cfvo) from the files of ``soil_files`` and the decoded ``tiles``
     (path, height, width and values) behind them; rasters of one tile that differ in shape raise when read."""
     of = files.join(tiles, "path")
     shapes = of.groupBy("tile_name").agg(F.countDistinct("height", "width").alias("shapes"))
@@ -51,4 +51,5 @@ def soil_pixels(files: DataFrame, tiles: DataFrame) -> DataFrame:
     cells = cells.withColumns({"row": row, "col": col})
     values = [F.max(F.when(F.col("variable") == v, F.col("value"))).alias(v) for v in SOIL_VARIABLES]
     place = [F.first(F.col("x_min") + F.col("col") * F.col("size_x")).alias("x"), F.first(F.col("y_max") - F.col("row") * F.col("size_y")).alias("y")]
+    place += [F.first(c).alias(c) for c in ("x_min", "y_max", "size_x", "size_y")]
     return cells.groupBy("tile_name", "row", "col").agg(*place, *values)
