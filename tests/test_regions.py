@@ -194,3 +194,95 @@ def test_soil_and_flood_of_several_rasters(spark):
     flood = soil.select("row", "col", (F.col("cfvo") / 100).alias("value"), "x_min", "y_max", "size_x", "size_y", F.lit(10).alias("period"))
     got = {(r["period"], r["depth_m"]): r for r in vectorise.flood_polygons(flood.filter("x_min = 0"), keys=["period"]).collect()}
     assert set(got) == {(10, 0.1), (10, 0.2), (10, 0.3)} and (got[10, 0.1]["x0"], got[10, 0.1]["y0"], got[10, 0.1]["y1"]) == (10.0, 70.0, 100.0)
+
+
+def test_tiles_that_are_cut_to_quarters(spark):
+    """However tiles are cut, the map is the same; copies of one box and boxes over whole tiles cut nothing."""
+    from verdigris.operators import overlay
+
+    rng = random.Random(6)
+    rows = []
+    for i in range(300):
+        x, y = rng.random() ** 3 * 90, rng.random() ** 3 * 90  # crowded in a corner
+        rows.append((i % 3, x, y, x + rng.random() * 9, y + rng.random() * 9, -1.0 - i % 4, i % 5 == 0))
+    rows += [(0, 0.0, 0.0, 100.0, 100.0, -2.0, False)] * 40
+    df = spark.createDataFrame(rows, "k int, x0 double, y0 double, x1 double, y1 double, impact double, is_source boolean")
+    results = []
+    for tile, most in ((100.0, None), (100.0, 15), (33.0, 4)):
+        dealt = overlay.dealt_to_tiles(df, ["k"], tile, most)
+        assert most is None or dealt.agg(F.max("lvl")).first()[0] > 0
+        faces = overlay.overlay(df, ["k"], tile, most=most)
+        results.append(sorted((r["k"], r["layer_impact"], r["is_source"], round(r["area"], 6)) for r in overlay.dissolved(faces, ["k", "layer_impact", "is_source"]).collect()))
+    assert results[0] == results[1] == results[2]
+    same = df.filter("impact = -2 AND x1 = 100")
+    assert overlay.dealt_to_tiles(same, ["k"], 64.0, 1).agg(F.max("lvl")).first()[0] == 0
+    assert overlay.dealt_to_tiles(df.limit(0), ["k"], 64.0, 1).count() == 0
+
+
+def test_sources_alike_are_one_shape(spark):
+    d = layer(spark, [(1, 0.0, 0.0, 100.0, 100.0, 1, "a"), (2, 50.0, 50.0, 150.0, 150.0, 1, "b"), (3, 2000.0, 0.0, 2100.0, 100.0, 3, "c")])
+    rule = frame.LayerRule(("dangerous_level", lambda c: -3 * c), 0.01, "x")
+    built = frame.build_frame({"k": d}, {"k": rule}, tile=500.0)
+    own = built.map.filter("is_source").groupBy("layer_impact").agg(F.sum((F.col("fx1") - F.col("fx0")) * (F.col("fy1") - F.col("fy0"))).alias("a")).collect()
+    assert {(r["layer_impact"], r["a"]) for r in own} == {(-3.0, 17500.0), (-9.0, 10000.0)}
+
+
+def test_ring_counts_of_another_frame(spark):
+    rows = [(1, 0.0, 0.0, 10.0, 10.0, 1, "a"), (2, 500.0, 0.0, 510.0, 10.0, 3, "b")]
+    rule = frame.LayerRule(("dangerous_level", lambda c: -c), 0.1, "x")
+    first = frame.build_frame({"k": layer(spark, rows)}, {"k": rule}, least_layers=3, most_layers=7)
+    count = lambda f: {r["source_id"]: r["layers_count"] for r in f.sources.collect()}
+    assert count(first) == {1: 3, 2: 7}
+    d = layer(spark, [*rows, (3, 900.0, 0.0, 910.0, 10.0, 5, "c"), (4, 900.0, 500.0, 910.0, 510.0, 2, "d")])
+    assert count(frame.build_frame({"k": d}, {"k": rule}, least_layers=2, most_layers=4, settings_from=first)) == {1: 3, 2: 7, 3: 11, 4: 5}
+
+
+def test_projection_against_the_kernel(spark):
+    import numpy as np
+
+    from verdigris.functions import coordinates
+    from verdigris.geometry import projection
+
+    rng = np.random.default_rng(2)
+    places = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(-180, 180, 200), rng.uniform(-80, 84, 200)))] + [(200, 0.0, 0.0), (201, 180.0, 10.0), (202, None, 5.0)]
+    df = spark.createDataFrame(places, "i int, x double, y double").withColumn("srid", coordinates.utm_srid(F.col("x"), F.col("y")))
+    there = coordinates.reprojected(df, 4326, F.col("srid"), [("x", "y")])
+    back = {r["i"]: r for r in coordinates.reprojected(there, F.col("srid"), 4326, [("x", "y")]).collect()}
+    for r in there.collect():
+        i, lon, lat = places[r["i"]]
+        if lon is None:
+            assert r["x"] is None and back[i]["x"] is None
+            continue
+        assert r["srid"] == projection.utm_srid(lon, lat)
+        want = projection.to_utm(np.array([[lon, lat]]), r["srid"])[0]
+        assert abs(r["x"] - want[0]) < 1e-6 and abs(r["y"] - want[1]) < 1e-6
+        assert abs(back[i]["x"] - lon) < 1e-8 and abs(back[i]["y"] - lat) < 1e-8
+    nodes = spark.createDataFrame([(1, 30.0, 60.0)], "node long, x double, y double")
+    edges = spark.createDataFrame([(1, 2, 30.0, 60.0, 30.1, 60.1)], "src long, dst long, x double, y double, x2 double, y2 double")
+    n, e = coordinates.reprojected_graph(nodes, edges, 4326, 32636)
+    assert (n.first()["x"], n.first()["y"]) == (e.first()["x"], e.first()["y"]) and e.first()["x2"] > e.first()["x"]
+    with pytest.raises(ValueError, match="no coordinate system"):
+        coordinates.reprojected_graph(nodes, edges, None, 32636)
+    with pytest.raises(Exception, match="not a UTM zone: 3857"):
+        coordinates.reprojected(nodes, 3857, 4326, [("x", "y")]).collect()
+    boxes_ = spark.createDataFrame([(29.0, 59.0, 31.0, 61.0), (None, float("nan"), 33.0, 61.5)], "x0 double, y0 double, x1 double, y1 double")
+    assert tuple(coordinates.total_bounds(boxes_).first()) == (29.0, 59.0, 33.0, 61.5) and coordinates.estimated_srid(boxes_).first()[0] == 32636
+    assert coordinates.estimated_srid(boxes_.limit(0)).first()[0] is None
+
+
+def test_river_of_many_confluences(spark):
+    """Pollution goes through all confluences in one round."""
+    n = 300
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(n)] + [(1000 + i, i, 0.5) for i in range(n)], "src long, dst long, cost double")
+    sources = spark.createDataFrame([(0, 1000, 1e4), (1, 1100, 50.0), (2, 5000, 7.0)], "source_id long, node long, pollution double")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("river", "river")
+    got = {(r["source_id"], r["node"]): r["remain"] for r in river.propagate(edges, sources).collect()}
+    jobs = len(tracker.getJobIdsForGroup("river"))
+    spark.sparkContext.setJobGroup("", "")
+    want = {(0, 1000): 1e4, (1, 1100): 50.0, (2, 5000): 7.0} | {(0, i): 1e4 - 0.5 - i for i in range(n + 1)} | {(1, 100 + i): 49.5 - i for i in range(50)}
+    assert got == want and jobs < 60
+    with pytest.raises(ValueError, match="circles without cost"):
+        river.propagate(spark.createDataFrame([(1, 2, 0.0), (2, 1, 0.0)], "src long, dst long, cost double"), sources.withColumn("node", F.lit(1).cast("long")))
+    round_ = river.propagate(spark.createDataFrame([(1, 2, 3.0), (2, 1, 4.0)], "src long, dst long, cost double"), spark.createDataFrame([(0, 1, 15.0)], "source_id long, node long, pollution double"))
+    assert sorted((r["node"], r["remain"]) for r in round_.collect()) == [(1, 1.0), (1, 8.0), (1, 15.0), (2, 5.0), (2, 12.0)]

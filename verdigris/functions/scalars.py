@@ -41,10 +41,11 @@ def min_max(x: Column, low: Column, high: Column, new_low: float = 0.0, new_high
     return (x - low) / F.nullif(high - low, F.lit(0.0)) * (new_high - new_low) + new_low
 
 
-def layer_count(radius: Column, low: Column, high: Column, least: int = 2, most: int = 10) -> Column:
+def layer_count(radius: Column, low: Column, high: Column, least: int | Column = 2, most: int | Column = 10) -> Column:
     """Number of rings by the size of the radius; the middle when all radii are equal, and 2 at least."""
-    scaled = F.rint(min_max(F.abs(radius), low, high, float(least), float(most)))
-    return F.greatest(F.when(low == high, F.lit((least + most) // 2)).otherwise(scaled.cast("int")), F.lit(2))
+    least, most = (F.lit(c) for c in (least, most))
+    scaled = F.rint(min_max(F.abs(radius), low, high, least.cast("double"), most.cast("double")))
+    return F.greatest(F.when(low == high, F.floor((least + most) / 2).cast("int")).otherwise(scaled.cast("int")), F.lit(2))
 
 
 #: Impact and fading of an industrial object by its level of danger, and for all other levels (fixed values).

@@ -60,3 +60,16 @@ def merged_by_buffer(boxes: DataFrame, buffer: float, cell: float, keys: list[st
     of = boxes.join(buffer_components(boxes, buffer, cell, keys), "source_id")
     facts = of.groupBy(*keys, "component").agg(F.array_sort(F.collect_set("name")).alias("names"), sign_collapse(F.col("impact")).alias("impact"), F.count(F.lit(1)).alias("n"), *[sign_collapse(F.col(c)).alias(c) for c in collapsed])
     return of.select(*keys, "component", "x0", "y0", "x1", "y1").distinct().join(facts, [*keys, "component"]).select(*keys, "component", "names", "impact", "n", *collapsed, "x0", "y0", "x1", "y1")
+
+
+def collapsed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Every other column of ``df`` as its distinct values in order, nulls left out: one row for each of ``keys``."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in rest])
+
+
+def collected(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Every other column of ``df`` as the list of its values, nulls kept, in the order of the rows by ``order``."""
+    rest = [c for c in df.columns if c not in keys]
+    rows = F.transform(F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.struct(*rest).alias("row")))), lambda r: r["row"])
+    return df.groupBy(*keys).agg(rows.alias("_rows")).select(*keys, *[F.col("_rows")[c].alias(c) for c in rest])

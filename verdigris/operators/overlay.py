@@ -2,7 +2,8 @@
 
 The plane is cut into tiles. In a tile the edges of its boxes cut it into elementary rectangles; each that a box
 covers becomes a face, and its impact combines those of all boxes over it. Results are sums over faces by value, so
-tile borders leave no trace. A tile's work depends on what lies in it; choose the tile size for the density.
+tile borders leave no trace. A tile's work depends on what lies in it: either choose the tile size for the density, or
+have tiles that hold too many different boxes cut to quarters until they don't.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import combined_impact, rint
+from ..tables import shared_table
 from .spatial import in_cells
 
 
@@ -22,15 +24,46 @@ def clipped(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column) -> Da
     return cut.filter((F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1")))
 
 
-def faces(boxes: DataFrame, keys: list[str], tile: float) -> DataFrame:
-    """Pairs (face, box over it): keys, cx, cy, fx0, fy0, fx1, fy1 and the columns of the box.
+#: Cuts of a tile to quarters, after which it is taken as it is: where so many edges cross at one place.
+MOST_CUTS = 12
 
-    Boxes with different keys don't see each other.
+
+def dealt_to_tiles(boxes: DataFrame, keys: list[str], tile: float, most: int | None = None) -> DataFrame:
+    """Boxes cut to the tiles that they share an area with, which (lvl, cx, cy) name.
+
+    With ``most``, a tile in which more different boxes of a key end is cut to quarters, and these again; boxes that
+    cover a whole tile cost it no face, so they don't count. A round handles the boxes of hot tiles only.
+    """
+    def cut(df: DataFrame, size: float, level: int) -> DataFrame:
+        x, y = F.col("cx") * size, F.col("cy") * size
+        return clipped(in_cells(df, size), x, y, x + size, y + size).withColumn("lvl", F.lit(level))
+
+    found = cut(boxes, tile, 0)
+    if most is None:
+        return found
+    where, done = [*keys, "cx", "cy"], None
+    for level in range(MOST_CUTS + 1):
+        size = tile / 2**level
+        found = shared_table(found, "tiles")
+        x, y = F.col("cx") * size, F.col("cy") * size
+        ends = (F.col("x0") > x) | (F.col("y0") > y) | (F.col("x1") < x + size) | (F.col("y1") < y + size)
+        counts = found.filter(ends).groupBy(*where).agg(F.count_distinct("x0", "y0", "x1", "y1").alias("n"))
+        hot = shared_table(counts.filter(F.col("n") > most).select(*where), "hot")
+        last = level == MOST_CUTS or not hot.limit(1).count()
+        cold = found if last else found.join(hot, where, "left_anti")
+        done = cold if done is None else done.unionByName(cold)
+        if last:
+            return done
+        found = cut(found.join(hot, where, "left_semi").drop("cx", "cy", "lvl"), size / 2, level + 1)
+
+
+def faces(boxes: DataFrame, keys: list[str], tile: float, most: int | None = None) -> DataFrame:
+    """Pairs (face, box over it): keys, lvl, cx, cy, fx0, fy0, fx1, fy1 and the columns of the box.
+
+    Boxes with different keys don't see each other. ``most`` is as in ``dealt_to_tiles``.
     """
-    cells = in_cells(boxes, tile)
-    x, y = F.col("cx") * tile, F.col("cy") * tile
-    dealt = clipped(cells, x, y, x + tile, y + tile)
-    where = [*keys, "cx", "cy"]
+    dealt = dealt_to_tiles(boxes, keys, tile, most)
+    where = [*keys, "lvl", "cx", "cy"]
 
     def steps(axis: str) -> DataFrame:
         edges = dealt.select(*where, F.explode(F.array(f"{axis}0", f"{axis}1")).alias(f"f{axis}0")).distinct()
@@ -42,16 +75,17 @@ def faces(boxes: DataFrame, keys: list[str], tile: float) -> DataFrame:
     return across.join(steps("y"), where).filter((F.col("fy0") >= F.col("y0")) & (F.col("fy1") <= F.col("y1")))
 
 
-def overlay(boxes: DataFrame, keys: list[str], tile: float, caps: DataFrame | None = None, combine: Callable[[Column], Column] | None = None, source: str | None = None) -> DataFrame:
+def overlay(boxes: DataFrame, keys: list[str], tile: float, caps: DataFrame | None = None, combine: Callable[[Column], Column] | None = None, source: str | None = None, most: int | None = None) -> DataFrame:
     """Faces with their combined impact: keys, fx0 .. fy1, layer_impact, is_source.
 
     ``boxes`` has x0 .. y1, impact and is_source. ``caps`` is one row (most, least); without it the extremes of
     ``boxes`` are taken. ``combine`` may be an aggregate of its own over the impacts. ``source`` names a column that
-    boxes of one object share; over a face, only its box of least ``level`` counts then.
+    boxes of one object share; over a face, only its box of least ``level`` counts then. ``most`` is as in
+    ``dealt_to_tiles``.
     """
     if caps is None:
         caps = boxes.agg(F.max("impact").alias("most"), F.min("impact").alias("least"))
-    covered = faces(boxes, keys, tile).crossJoin(F.broadcast(caps))  # one row
+    covered = faces(boxes, keys, tile, most).crossJoin(F.broadcast(caps))  # one row
     face = [*keys, "fx0", "fy0", "fx1", "fy1"]
     if source is not None:
         nearest = F.min_by(F.struct("impact", "is_source", "most", "least"), "level").alias("one")

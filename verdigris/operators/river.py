@@ -2,8 +2,8 @@
 
 A portion of pollution is (source, node, rest). It loses the cost of each edge it flows along. Where a river splits,
 it divides by the mean distance of the reach that each branch offers within the rest, so what a path carries depends
-on its own history: portions are followed apart and only summed by node at the end. A step follows all portions through
-a whole unbranched reach, by joins, so there are as many steps as splits and confluences on a path.
+on its own history: portions are followed apart and only summed by node at the end. A round takes all portions on to the
+next splits of their paths, through all confluences, by one join, so there are as many rounds as splits on a path.
 """
 
 from __future__ import annotations
@@ -228,40 +228,68 @@ def chain_average(chain: DataFrame, rest: float) -> DataFrame:
     return chain.groupBy("start").agg(F.avg(F.when(F.col("cum") <= rest, F.col("cum"))).alias("mean"))
 
 
+def paths(edges: DataFrame, deg: DataFrame, heads: DataFrame, most: float) -> DataFrame:
+    """(head, step, node, cum): each of ``heads`` with the nodes downstream of it, up to and with the next split, within
+    a distance of ``most``.
+
+    A node with one way out goes on, whatever joins it. Jumps of 1 to 4, then of 4 to 16 steps and so on are tables,
+    each made of the one before; a path of n nodes takes log4(n) of them.
+    """
+    single = deg.filter("outs = 1").select(F.col("node").alias("src"))
+    base = edges.join(single, "src").select(F.col("src").alias("node"), F.col("dst").alias("to"), F.col("cost").alias("dist")).filter(F.col("dist") <= most)
+    found = heads.select("head", F.lit(0).cast("long").alias("step"), F.col("head").alias("node"), F.lit(0.0).alias("cum"))
+    n_edges = edges.count()
+    for k in range(31):
+        four = base.select("node", F.struct("to", "dist").alias("j1"))
+        for j in (2, 3, 4):
+            after, far = base.select(F.col("node").alias("at"), "to", "dist"), F.col(f"j{j - 1}.dist") + F.col("dist")
+            four = four.join(after, F.col(f"j{j - 1}.to") == F.col("at"), "left").withColumn(f"j{j}", F.when(far <= most, F.struct("to", far.alias("dist")))).drop("at", "to", "dist")
+        four = shared_table(four, "jumps")
+        places = F.array(F.struct("step", "node", "cum"), *[F.when(F.col(f"j{j}").isNotNull(), F.struct((F.col("step") + j * 4**k).alias("step"), F.col(f"j{j}.to").alias("node"), (F.col("cum") + F.col(f"j{j}.dist")).alias("cum"))) for j in (1, 2, 3)])
+        found = found.join(four, "node", "left").select("head", F.explode(F.filter(places, lambda p: p.isNotNull() & (p["cum"] <= most))).alias("p")).select("head", "p.*")
+        base = four.filter("j4 IS NOT NULL").select("node", "j4.to", "j4.dist")
+        if base.isEmpty():
+            return shared_table(found, "paths")
+        if 4 ** (k + 1) > n_edges and not base.filter("dist = 0").isEmpty():
+            break
+    raise ValueError("the graph runs in circles without cost")
+
+
 def propagate(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """(source_id, node, remain): every portion that reaches a node; paths that carry the same there are one row.
+    """(source_id, node, remain): every portion that reaches a node; portions that carry the same there are one row.
 
     ``edges`` (src, dst, cost >= 0; loops are dropped, of parallel edges the cheapest stays), ``sources`` (source_id,
-    node, pollution). Each step joins the portions to the reaches that they enter and divides them at the ends; a
+    node, pollution). Each round joins the portions to the paths that they enter and divides them at the next splits; a
     source of many paths is many rows, so it is no single task's work. A source outside the graph keeps its own node.
     """
     edges = edges.filter("src <> dst AND cost IS NOT NULL").groupBy("src", "dst").agg(F.min("cost").cast("double").alias("cost"))
     edges = shared_table(edges, "edges")
-    reach = shared_table(reaches(edges), "reaches")
-    deg = degrees(edges)
-    ends = shared_table(edges.join(deg.filter("outs > 1 OR ins > 1").select(F.col("node").alias("src"), "outs"), "src"), "ends")
-    # A source within a reach is a portion that entered at the head with so much more, and counts from its own step on.
-    own = sources.select("source_id", F.col("node").cast("long").alias("node"), F.col("pollution").cast("double").alias("rest"))
-    whole = deg.filter("outs <= 1 AND ins <= 1").select("node", F.lit(True).alias("plain"))
-    place = reach.join(whole, "node", "left").filter("plain OR head = node").dropDuplicates(["node"]).select("node", "head", "step", "cum")
-    placed = own.join(place, "node", "left").withColumns({"n": F.lit(1).cast("long")})
-    outside = placed.filter("head IS NULL").select("source_id", "node", F.col("rest").alias("remain"), "n")
-    level = placed.filter("head IS NOT NULL").select("source_id", "head", F.col("step").alias("from"), (F.col("rest") + F.col("cum")).alias("rest"), "n")
-    found = [outside]
+    deg = shared_table(degrees(edges), "degrees")
+    level = sources.select("source_id", F.col("node").cast("long").alias("head"), F.col("pollution").cast("double").alias("rest"), F.lit(1).cast("long").alias("n"))
+    level = shared_table(level, "sources")
+    most = level.agg(F.max("rest")).first()[0] or 0.0
+    ends = shared_table(edges.join(deg.filter("outs > 1").select(F.col("node").alias("src")), "src"), "ends").withColumnRenamed("src", "node")
+    children = ends.select(F.col("dst").alias("head")).distinct()
+    ways = paths(edges, deg, children.union(level.select("head")).distinct(), most)
+    # The mean distance of a branch counts its nodes up to the first that other branches join.
+    joined = ways.join(children, "head", "left_semi").join(deg.filter("ins > 1").select("node", F.lit(True).alias("joined")), "node", "left")
+    stop = F.min(F.when(F.col("joined"), F.col("step"))).over(Window.partitionBy("head"))
+    reach = shared_table(joined.withColumn("stop", stop).filter("stop IS NULL OR step <= stop").select(F.col("head").alias("dst"), "cum"), "reaches")
+    found = []
     for _ in range(MOST_STEPS):
-        hits = level.join(reach, "head").filter("step >= from AND cum <= rest").select("source_id", "node", (F.col("rest") - F.col("cum")).alias("remain"), "n")
+        hits = level.join(ways, "head").filter("cum <= rest").select("source_id", "node", (F.col("rest") - F.col("cum")).alias("remain"), "n")
         hits = shared_table(hits.groupBy("source_id", "node", "remain").agg(F.sum("n").alias("n")), "portions")
-        if not hits.limit(1).count():
-            break
         found.append(hits)
-        branches = hits.join(ends.withColumnRenamed("src", "node"), "node")
-        offers = branches.join(reach.select(F.col("head").alias("dst"), "cum"), "dst").filter("cum <= remain")
-        offers = offers.groupBy("source_id", "node", "remain", "n", "dst", "cost", "outs").agg(F.avg("cum").alias("mean"))
+        branches = hits.join(ends, "node")
+        if branches.isEmpty():
+            break
+        offers = branches.join(reach, "dst").filter("cum <= remain")
+        offers = offers.groupBy("source_id", "node", "remain", "n", "dst", "cost").agg(F.avg("cum").alias("mean"))
         total = F.sum("mean").over(Window.partitionBy("source_id", "node", "remain"))
-        share = F.when(F.col("outs") == 1, F.col("remain")).otherwise(F.col("remain") * F.col("mean") / F.nullif(total, F.lit(0.0)))
-        level = offers.select("source_id", F.col("dst").alias("head"), F.lit(0).cast("long").alias("from"), (share - F.col("cost")).alias("rest"), "n").filter("rest >= 0")
+        share = F.col("remain") * F.col("mean") / F.nullif(total, F.lit(0.0))
+        level = offers.select("source_id", F.col("dst").alias("head"), (share - F.col("cost")).alias("rest"), "n").filter("rest >= 0")
     else:
-        raise ValueError(f"more than {MOST_STEPS} steps: the graph runs in circles without cost")
+        raise ValueError(f"more than {MOST_STEPS} rounds: the graph runs in circles without cost")
     out = found[0]
     for t in found[1:]:
         out = out.union(t)

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scalars as S
+from ..functions import coordinates as K
+from ..functions.sql import register
+from ..geometry.projection import _ALPHA, _N, _R
+from ..operators import components as C
 from ..operators import frame as FR
 from ..operators import regions as G
 from ..operators import reports as T
 from ..operators import river as V
 from ..operators import vectorise as P
+from ..sources.rasters import tile_ids
 from .fixtures import fixture
 from .queries import _HIT, _LB, _PAIRS, _RB, _RS, _TEXTURE, ORACLE_SQL, QUERIES, TILE, _BINS, _report_sources, query, r6, zones_of
 
@@ -48,7 +52,7 @@ _FEW = """rad AS (SELECT source_id, impact, $1(impact*0.02::DOUBLE*1000.0) total
     span AS (SELECT CAST(trunc(min(abs(total_impact_radius))) AS DOUBLE) lo, CAST(trunc(max(abs(total_impact_radius))) AS DOUBLE) hi FROM rad),
     src AS (SELECT rad.*, CASE WHEN lo=hi THEN CAST(round_even((2+4)/2.0, 0) AS INT) ELSE greatest(2, CAST(round_even((abs(total_impact_radius)-lo)/(hi-lo)*(4.0-2.0)+2.0, 0) AS INT)) END layers_count FROM rad, span)"""
 _RINGS = """lv AS (SELECT src.*, CAST(l AS INT) AS "level", coalesce(abs(round_even(total_impact_radius/(layers_count-1), 0)), 0) w FROM src, range(0, 4) t(l) WHERE l < layers_count),
-    bx AS (SELECT source_id k, "level", {impact} impact, "level"=0 is_source, x0-w*"level" x0, y0-w*"level" y0, x1+w*"level" x1, y1+w*"level" y1 FROM lv)"""
+    bx AS (SELECT impact k, "level", {impact} impact, "level"=0 is_source, x0-w*"level" x0, y0-w*"level" y0, x1+w*"level" x1, y1+w*"level" y1 FROM lv)"""
 _OWN = "CASE WHEN \"level\"=0 THEN impact ELSE impact/(1.0+\"level\") END"
 _PLANE = """xs AS (SELECT x, lead(x) OVER (ORDER BY x) x2 FROM (SELECT x0 x FROM bx UNION SELECT x1 FROM bx)), ys AS (SELECT y, lead(y) OVER (ORDER BY y) y2 FROM (SELECT y0 y FROM bx UNION SELECT y1 FROM bx)),
     cov AS (SELECT k, x, x2, y, y2, arg_min(impact, "level") impact, arg_min(is_source, "level") is_source FROM bx JOIN xs ON x>=x0 AND x2<=x1 JOIN ys ON y>=y0 AND y2<=y1 GROUP BY k, x, x2, y, y2),
@@ -68,7 +72,8 @@ def _few(spark, sf):
 
 @query(f"WITH {_FEW}, {_RINGS.format(impact=_OWN)}, {_PLANE} SELECT layer_impact, is_source, $6(sum((x2-x)*(y2-y))) area FROM face GROUP BY 1, 2")
 def frame_map(spark, sf):
-    """A frame from its layers, with a fading of one's own, in regions of equal impact."""
+    """A frame from its layers, with a fading of one's own, in regions of equal impact; sources of equal type, impact and
+    radius are one shape."""
     layers, rules = _few(spark, sf)
     built = FR.build_frame(layers, rules, least_layers=2, most_layers=4, tile=100.0, fading=_halved)
     facts = G.region_facts(FR.dissolved_map(built), ["layer_impact", "is_source"])
@@ -159,6 +164,75 @@ def water_graph_nodes(spark, sf):
     return nodes.select("node", r6("x").alias("x"), r6("y").alias("y"), r6("width").alias("width"))
 
 
+# Coordinates and functions --------------------------------------------------------------------------------------
+
+
+@query("SELECT impact, min(x0) x0, min(y0) y0, max(x1) x1, max(y1) y1 FROM fx_boxes WHERE impact=3 GROUP BY 1")
+def layer_bounds(spark, sf):
+    d = fixture(spark, sf, "fx_boxes").filter("impact = 3")
+    return K.total_bounds(d).select(F.lit(3).alias("impact"), *G.BOX)
+
+
+#: Customers as places in degrees, all over the world.
+_PLACES = "pl AS (SELECT point_id, x/1350.0*359.0-179.5 lon, y/1350.0*160.0-80.0 lat FROM fx_points)"
+
+
+def _places(spark, sf):
+    return fixture(spark, sf, "fx_points").select("point_id", (F.col("x") / 1350.0 * 359.0 - 179.5).alias("lon"), (F.col("y") / 1350.0 * 160.0 - 80.0).alias("lat"))
+
+
+@query(f"WITH {_PLACES}, b AS (SELECT floor(lat/20) band, (min(lon)+max(lon))/2 lon, (min(lat)+max(lat))/2 lat FROM pl GROUP BY 1) SELECT CAST(band AS BIGINT) band, CAST(CASE WHEN lat>=0 THEN 32600 ELSE 32700 END+least(60, floor((lon+180)/6)+1) AS INT) srid FROM b")
+def utm_of_bounds(spark, sf):
+    d = _places(spark, sf).withColumn("band", F.floor(F.col("lat") / 20))
+    b = d.groupBy("band").agg(((F.min("lon") + F.max("lon")) / 2).alias("lon"), ((F.min("lat") + F.max("lat")) / 2).alias("lat"))
+    return b.select("band", K.utm_srid(F.col("lon"), F.col("lat")).alias("srid"))
+
+
+def _utm_sql() -> str:
+    e = 2 * _N**0.5 / (1 + _N)
+    x = "+".join(["eta", *[f"{a!r}::DOUBLE*cos({2 * j}*xi)*sinh({2 * j}*eta)" for j, a in enumerate(_ALPHA, 1)]])
+    y = "+".join(["xi", *[f"{a!r}::DOUBLE*sin({2 * j}*xi)*cosh({2 * j}*eta)" for j, a in enumerate(_ALPHA, 1)]])
+    return f"""WITH {_PLACES}, z AS (SELECT *, CAST(CASE WHEN lat>=0 THEN 32600 ELSE 32700 END+least(60, floor((lon+180)/6)+1) AS INT) srid FROM pl),
+        a AS (SELECT *, radians(lon)-radians((srid%100)*6-183) l, sinh(atanh(sin(radians(lat)))-{e!r}::DOUBLE*atanh({e!r}::DOUBLE*sin(radians(lat)))) t FROM z),
+        b AS (SELECT *, atan2(t, cos(l)) xi, atanh(sin(l)/sqrt(1+t*t)) eta FROM a)
+        SELECT point_id, srid, round(500000.0+0.9996::DOUBLE*{_R!r}::DOUBLE*({x}), 4) x, round(CASE WHEN srid<32700 THEN 0.0 ELSE 1e7 END+0.9996::DOUBLE*{_R!r}::DOUBLE*({y}), 4) y, $6(lon) lon, $6(lat) lat FROM b"""
+
+
+@query(_utm_sql())
+def reprojected_places(spark, sf):
+    """Nodes of a graph in the UTM zone of each, and back."""
+    d = _places(spark, sf).withColumn("srid", K.utm_srid(F.col("lon"), F.col("lat")))
+    there = K.reprojected(d.select("point_id", "srid", F.col("lon").alias("x"), F.col("lat").alias("y")), 4326, F.col("srid"), [("x", "y")])
+    back = K.reprojected(there.withColumns({"lon": F.col("x"), "lat": F.col("y")}), F.col("srid"), 4326, [("lon", "lat")])
+    return back.select("point_id", "srid", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), r6("lon").alias("lon"), r6("lat").alias("lat"))
+
+
+@query("""SELECT p_partkey, CASE p_size%6 WHEN 1 THEN -10 WHEN 2 THEN -8 WHEN 3 THEN -6 WHEN 4 THEN -4 ELSE -2 END impact,
+    $1((CASE p_size%6 WHEN 1 THEN -10 WHEN 2 THEN -8 WHEN 3 THEN -6 WHEN 4 THEN -4 ELSE -2 END)*CAST(CASE p_size%6 WHEN 1 THEN 0.8 WHEN 2 THEN 0.6 WHEN 3 THEN 0.4 WHEN 4 THEN 0.2 ELSE 0.1 END AS DOUBLE)*1.5::DOUBLE*1000.0::DOUBLE) radius,
+    CASE WHEN p_partkey%5=0 THEN 4.0::DOUBLE ELSE $1(exp(-(p_partkey%5-0.5::DOUBLE)*(0.7::DOUBLE*pow(exp(1.0::DOUBLE),2.0::DOUBLE))/5.0::DOUBLE)*4.0::DOUBLE) END ring, round_even(p_retailprice/25.0::DOUBLE, 0)*25.0::DOUBLE price FROM part""")
+def sql_functions(spark, sf):
+    """The rules as functions of SQL text."""
+    register(spark)
+    text = "SELECT p_partkey, vg_danger_impact(CAST(p_size % 6 AS INT)) impact, vg_impact_radius(vg_danger_impact(CAST(p_size % 6 AS INT)), vg_danger_fading(CAST(p_size % 6 AS INT)), 1.5D) radius, vg_ring_impact(4D, 5D, p_partkey % 5) ring, vg_quantised(p_retailprice, 25D) price FROM {part}"
+    return spark.sql(text, part=spark.read.parquet(f"{sf}/part.parquet"))
+
+
+@query("SELECT DISTINCT user_id id FROM events WHERE user_id IS NOT NULL ORDER BY id")
+def sorted_ids(spark, sf):
+    return tile_ids(spark.read.parquet(f"{sf}/events.parquet").withColumnRenamed("user_id", "id"))
+
+
+@query("SELECT zone_id, list_sort(list(DISTINCT source_id)) source_id, list_sort(list(DISTINCT name)) name, list_sort(list(DISTINCT impact)) impact, list_sort(list(DISTINCT x0)) x0 FROM fx_boxes GROUP BY zone_id")
+def collapsed_columns(spark, sf):
+    return C.collapsed(fixture(spark, sf, "fx_boxes").select("zone_id", "source_id", "name", "impact", "x0"), ["zone_id"])
+
+
+@query("SELECT zone_id, list(name ORDER BY source_id) name, list(CASE WHEN impact>0 THEN impact END ORDER BY source_id) impact, list(source_id ORDER BY source_id) source_id FROM fx_boxes GROUP BY zone_id")
+def collected_columns(spark, sf):
+    d = fixture(spark, sf, "fx_boxes").select("zone_id", "source_id", "name", F.when(F.col("impact") > 0, F.col("impact")).alias("impact"))
+    return C.collected(d, ["zone_id"], ["source_id"])
+
+
 # Texts ----------------------------------------------------------------------------------------------------------
 
 _INFLUENCE = f"""WITH {_RS}, {_RB}, {_LB}, pt AS (SELECT point_id, x-5 x0, y-5 y0, x+5 x1, y+5 y1 FROM fx_points),

@@ -53,3 +53,8 @@ def soil_pixels(files: DataFrame, tiles: DataFrame) -> DataFrame:
     place = [F.first(F.col("x_min") + F.col("col") * F.col("size_x")).alias("x"), F.first(F.col("y_max") - F.col("row") * F.col("size_y")).alias("y")]
     place += [F.first(c).alias(c) for c in ("x_min", "y_max", "size_x", "size_y")]
     return cells.groupBy("tile_name", "row", "col").agg(*place, *values)
+
+
+def tile_ids(tiles: DataFrame, name: str = "id") -> DataFrame:
+    """The distinct ids of tiles, rising; null ids are none."""
+    return tiles.select(name).dropna().distinct().orderBy(name)
