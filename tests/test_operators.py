@@ -132,7 +132,11 @@ def test_water_lines_are_widened_and_areas_are_not(spark):
     assert got == {1: (-5, -5, 15, 5), 2: (0, 0, 10, 10)}
 
 
-def test_components_of_a_path(spark):
+@pytest.mark.parametrize("one_task", [0, 200_000])
+def test_components_of_a_path(spark, monkeypatch, one_task):
+    from verdigris.operators import components as module
+
+    monkeypatch.setattr(module, "ONE_TASK", one_task)
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5)], "src long, dst long")
     got = {r["node"]: r["component"] for r in components(edges).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}

@@ -302,7 +302,7 @@ def simulate_spill(edges: DataFrame, nodes: DataFrame, sources: DataFrame, least
     ``edges`` (src, dst, cost), ``nodes`` (node, x, y), ``sources`` (source_id, x, y, pollution). A source flows from
     its nearest node when that is at most ``least_distance`` away; an edge has the mean of its ends.
     """
-    spots = nearest(sources, nodes.select("node", F.col("x").alias("nx"), F.col("y").alias("ny")), "source_id", "node", cell or least_distance)
+    spots = nearest(sources, nodes.select("node", F.col("x").alias("nx"), F.col("y").alias("ny")), "source_id", "node", cell)
     at = sources.join(spots.filter(F.col("dist") <= least_distance).select("source_id", "node"), "source_id").select("source_id", "node", "pollution")
     polluted = shared_table(remain_by_node(propagate(edges, at)), "remain")
     return edge_remain(edges, polluted, only_polluted)

@@ -233,7 +233,7 @@ def sjoin_covers_first(spark, sf):
 def knn_nearest_node(spark, sf):
     p = fixture(spark, sf, "fx_points").select("point_id", "x", "y")
     n = fixture(spark, sf, "fx_boxes").select(F.col("source_id").alias("node"), F.col("x0").alias("nx"), F.col("y0").alias("ny"))
-    return nearest(p, n, "point_id", "node", 50.0).filter("dist <= 100").select("point_id", "node", r6("dist").alias("dist"))
+    return nearest(p, n, "point_id", "node").filter("dist <= 100").select("point_id", "node", r6("dist").alias("dist"))
 
 
 @query("SELECT source_id FROM fx_boxes a WHERE NOT EXISTS (SELECT 1 FROM fx_boxes b WHERE b.impact=3 AND b.name=a.name)")
