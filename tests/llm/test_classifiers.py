@@ -66,3 +66,35 @@ def test_subwords_of_any_word(word):
 
     parts = list(T.subwords(words_of([word])))
     assert all((b >= 0).all() and (b < T.BUCKETS).all() for _, b in parts)
+
+
+def test_toxicity_scores_against_loops():
+    """Every word, subword and window by itself, with numbers that a model could have."""
+    from verdigris.llm.common import words_of
+
+    rng = np.random.default_rng(1)
+    table = rng.normal(0, 1, T.BUCKETS).astype(np.float32)
+    full, shift = 1 << 64, 64 - (T.BUCKETS.bit_length() - 1)
+
+    def bucket(h):
+        return (h * int(T._K) % full) >> shift
+
+    def word(w):
+        codes = [c + 1 for c in b"<" + w.encode() + b">"]
+        found = [table[bucket(int(words_of([w]).hash[0]))]]
+        for size in T.GRAMS:
+            for i in range(len(codes) - size + 1):
+                h = codes[i]
+                for c in codes[i + 1 : i + size]:
+                    h = (h * int(T._P) + c) % full
+                found.append(table[bucket((h + size) % full)])
+        return np.mean(found)
+
+    import re
+
+    texts = ["One two three", "single", "", "Ärger über straße, idiot!", sentence(3, 50), "a b " * 40]
+    for text, got in zip(texts, T.score_texts(texts, table, 0.25)):
+        values = [word(w) for w in re.findall(r"[a-z0-9\x80-\U0010ffff]+", text.lower())]
+        windows = [np.mean(values[i : i + T.WINDOW]) for i in range(max(1, len(values) - T.WINDOW + 1))] if values else []
+        want = 1 / (1 + np.exp(-(max(windows) + 0.25))) if windows else 0.0
+        assert abs(got - want) < 1e-5

@@ -77,3 +77,32 @@ def test_odd_rows(odd, odd_rows, empty):
         assert s["ids"] == [i for _, p in parts for i in p] and len(s["ids"]) <= 1024
         assert [o for o, _ in parts] == [sum(len(p) for _, p in parts[:k]) for k in range(len(parts))]
     assert pack(empty, tokenizer_path()).count() == 0
+
+
+def test_tokenizers_of_other_kinds_are_refused(tmp_path):
+    import json
+
+    import pytest
+
+    from verdigris.llm import packing
+    from verdigris.llm.queries import tokenizer_path
+
+    whole = json.loads(open(tokenizer_path()).read())
+    changes = ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": None}, {"pre_tokenizer": {**whole["pre_tokenizer"], "add_prefix_space": True}}, {"model": {**whole["model"], "dropout": 0.1}})
+    for i, change in enumerate(changes):
+        path = tmp_path / f"{i}.json"
+        path.write_text(json.dumps({**whole, **change}))
+        with pytest.raises(ValueError, match="no byte-level BPE"):
+            packing.Encoder(str(path))
+
+
+def test_memory_is_bounded_within_a_text(monkeypatch):
+    from verdigris.llm import packing
+    from verdigris.llm.queries import tokenizer_path
+
+    encoder = packing.Encoder(tokenizer_path())
+    text = " ".join(f"w{i}x{i * 7}" for i in range(3000))
+    want = encoder(text)
+    monkeypatch.setattr(packing, "MEMORY", 50)
+    encoder.known.clear()
+    assert encoder(text) == want and len(encoder.known) <= 50

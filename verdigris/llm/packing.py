@@ -10,6 +10,7 @@ work; the driver sees the histogram only.
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import zlib
@@ -47,6 +48,8 @@ class _Known(dict):
         self.alphabet = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in printable)}
 
     def __missing__(self, token: str) -> bytes:
+        if len(self) >= MEMORY:
+            self.clear()
         seen = token.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet)
         found = self[token] = np.array([t.id for t in self.model.tokenize(seen)], "<u4").tobytes()
         return found
@@ -56,7 +59,8 @@ class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, remembering the ids of pre-tokens.
 
     A BPE merges within pre-tokens only, so the ids of a text are those of its pre-tokens. Texts that hold the string
-    of a special token are left to the tokenizer as they are.
+    of a special token are left to the tokenizer as they are. A tokenizer of another kind raises ValueError: only a
+    byte-level BPE with the usual pre-tokens, without a normaliser, dropout or a space before the text, can be cut so.
     """
 
     def __init__(self, path: str):
@@ -64,6 +68,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        pre, model = spec["pre_tokenizer"] or {}, spec["model"]
+        usual = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        whole = not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+        if spec["normalizer"] is not None or not usual or model["type"] != "BPE" or not whole:
+            raise ValueError("the tokenizer is no byte-level BPE whose texts can be cut to pre-tokens")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cut = regex.compile(PRE_TOKEN).findall
         self.known = _Known(self.tokenizer.model)
@@ -71,8 +81,6 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.known) > MEMORY:
-            self.known.clear()
         return b"".join(map(self.known.__getitem__, (_CUT_LATIN if _IS_LATIN(text) else self.cut)(text)))
 
 
