@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import coordinates as K
@@ -13,7 +15,9 @@ from ..operators import regions as G
 from ..operators import reports as T
 from ..operators import river as V
 from ..operators import vectorise as P
+from ..sources import geoparquet
 from ..sources.rasters import tile_ids
+from ..tables import shared_dir
 from .fixtures import fixture
 from .queries import _HIT, _LB, _PAIRS, _RB, _RS, _TEXTURE, ORACLE_SQL, QUERIES, TILE, _BINS, _report_sources, query, r6, zones_of
 
@@ -233,6 +237,18 @@ def collected_columns(spark, sf):
     return C.collected(d, ["zone_id"], ["source_id"])
 
 
+# Files ----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT source_id, name, x0, y0, x1, y1 FROM fx_boxes WHERE x0<=600 AND x1>=300 AND y0<=500 AND y1>=250")
+def geoparquet_window(spark, sf):
+    """Boxes written as GeoParquet and read again within bounds, which reach the scan."""
+    path = f"{shared_dir(spark).rstrip('/')}/geoparquet-{uuid.uuid4().hex}"
+    boxes = fixture(spark, sf, "fx_boxes").select("source_id", "name", shapes.box(*map(F.col, G.BOX)).alias("geometry"), *G.BOX)
+    geoparquet.write_geoparquet(boxes, path, srid=32636)
+    return geoparquet.read_geoparquet(spark, path, (300.0, 250.0, 600.0, 500.0)).drop("geometry")
+
+
 # Texts ----------------------------------------------------------------------------------------------------------
 
 _INFLUENCE = f"""WITH {_RS}, {_RB}, {_LB}, pt AS (SELECT point_id, x-5 x0, y-5 y0, x+5 x1, y+5 y1 FROM fx_points),

@@ -17,21 +17,25 @@ SCHEMA = "path string, tile string, x_min double, y_max double, size_x double, s
 _TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
 
 
-def _tags(data: bytes) -> tuple[str, dict[int, tuple]]:
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
+def _tags(data) -> tuple[str, dict[int, tuple]]:
+    """Byte order and tags of the first page; ``data`` are bytes, or what reads slices of them."""
+    def get(fmt: str, at: int) -> tuple:
+        return struct.unpack(fmt, data[at : at + struct.calcsize(fmt)])
+
+    order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
+    if order is None or get(order + "H", 2)[0] != 42:
         raise ValueError("not a TIFF file")
-    (at,) = struct.unpack_from(order + "I", data, 4)
-    (n,) = struct.unpack_from(order + "H", data, at)
+    (at,) = get(order + "I", 4)
+    (n,) = get(order + "H", at)
     tags = {}
     for i in range(n):
-        tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
+        tag, kind, count = get(order + "HHI", at + 2 + 12 * i)
         code = _TYPES.get(kind)
         if code is None:
             continue
         size = struct.calcsize(code) * count
-        place = at + 10 + 12 * i if size <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * i)[0]
-        tags[tag] = (data[place : place + count].rstrip(b"\0").decode("latin-1"),) if code == "s" else struct.unpack_from(f"{order}{count}{code}", data, place)
+        place = at + 10 + 12 * i if size <= 4 else get(order + "I", at + 10 + 12 * i)[0]
+        tags[tag] = (data[place : place + count].rstrip(b"\0").decode("latin-1"),) if code == "s" else get(f"{order}{count}{code}", place)
     return order, tags
 
 
@@ -71,51 +75,74 @@ def _packbits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def decode(data: bytes, band: int = 0, nodata: float = -9999.0) -> tuple[np.ndarray, dict]:
-    """(values with missing data as NaN, georeference) of the first page.
-
-    The tie point is taken as the centre of its pixel, so the extent is moved by half a pixel. Raises ValueError when
-    the georeferencing tags are missing.
-    """
-    order, t = _tags(data)
-    if 33550 not in t or 33922 not in t:
-        raise ValueError("no ModelPixelScale or ModelTiepoint tag")
-    width, height, samples = t[256][0], t[257][0], t.get(277, (1,))[0]
-    size, kind = t.get(258, (1,))[0] // 8, t.get(339, (1,))[0]
-    dtype = np.dtype(f"{order}{ {1: 'u', 2: 'i', 3: 'f'}[kind]}{size}")
-    separate = t.get(284, (1,))[0] == 2 and samples > 1
-    if 322 in t:
-        block_w, block_h, offsets, counts = t[322][0], t[323][0], t[324], t[325]
-    else:
-        block_w, block_h, offsets, counts = width, min(t.get(278, (height,))[0], height), t[273], t[279]
-    across, down = -(-width // block_w), -(-height // block_h)
-    per = 1 if separate else samples
-    out = np.zeros((down * block_h, across * block_w), float)
-    unpack = {1: bytes, 8: zlib.decompress, 32946: zlib.decompress, 5: _lzw, 32773: _packbits}[t.get(259, (1,))[0]]
-    start = band * across * down if separate else 0
-    for k in range(across * down):
-        raw = unpack(data[offsets[start + k] : offsets[start + k] + counts[start + k]])
-        rows = len(raw) // (block_w * per * size)
-        if t.get(317, (1,))[0] == 3:
-            planes = np.frombuffer(raw, np.uint8).reshape(rows, size, block_w * per)
-            flat = np.cumsum(planes.reshape(rows, -1), axis=1, dtype=np.uint8).reshape(rows, size, -1)
-            block = np.ascontiguousarray(flat.transpose(0, 2, 1)).view(f">{dtype.kind}{size}").reshape(rows, block_w, per)
+class Page:
+    """The first page of a file: its size, blocks and place. The tie point is taken as the centre of its pixel, so the
+    extent is moved by half a pixel. Raises ValueError when the georeferencing tags are missing."""
+
+    def __init__(self, data, band: int = 0, nodata: float = -9999.0):
+        self.data, self.band = data, band
+        order, t = _tags(data)
+        if 33550 not in t or 33922 not in t:
+            raise ValueError("no ModelPixelScale or ModelTiepoint tag")
+        self.width, self.height, samples = t[256][0], t[257][0], t.get(277, (1,))[0]
+        self.size, kind = t.get(258, (1,))[0] // 8, t.get(339, (1,))[0]
+        self.dtype = np.dtype(f"{order}{ {1: 'u', 2: 'i', 3: 'f'}[kind]}{self.size}")
+        separate = t.get(284, (1,))[0] == 2 and samples > 1
+        if 322 in t:
+            self.block_w, self.block_h, self.offsets, self.counts = t[322][0], t[323][0], t[324], t[325]
+        else:
+            self.block_w, self.block_h, self.offsets, self.counts = self.width, min(t.get(278, (self.height,))[0], self.height), t[273], t[279]
+        self.across, self.down = -(-self.width // self.block_w), -(-self.height // self.block_h)
+        self.per = 1 if separate else samples
+        self.sample, self.first = (0, band * self.across * self.down) if separate else (band, 0)
+        self.unpack = {1: bytes, 8: zlib.decompress, 32946: zlib.decompress, 5: _lzw, 32773: _packbits}[t.get(259, (1,))[0]]
+        self.predictor = t.get(317, (1,))[0]
+        try:
+            self.missing = float(t[42113][0]) if 42113 in t else nodata
+        except ValueError:
+            self.missing = nodata
+        (sx, sy), tie = t[33550][:2], t[33922]
+        keys = t.get(34735, ())
+        srid = next((v for k, where, _, v in zip(keys[4::4], keys[5::4], keys[6::4], keys[7::4]) if k in (3072, 2048) and where == 0), 4326)
+        self.place = {"x_min": tie[3] - tie[0] * sx - sx / 2, "y_max": tie[4] + tie[1] * sy + sy / 2, "size_x": sx, "size_y": sy, "srid": srid}
+
+    def block(self, k: int) -> tuple[int, int, np.ndarray]:
+        """(row, column, values) of a block, missing data as NaN; only its bytes are read."""
+        at = self.offsets[self.first + k]
+        raw = self.unpack(self.data[at : at + self.counts[self.first + k]])
+        rows = len(raw) // (self.block_w * self.per * self.size)
+        if self.predictor == 3:
+            planes = np.frombuffer(raw, np.uint8).reshape(rows, self.size, self.block_w * self.per)
+            flat = np.cumsum(planes.reshape(rows, -1), axis=1, dtype=np.uint8).reshape(rows, self.size, -1)
+            values = np.ascontiguousarray(flat.transpose(0, 2, 1)).view(f">{self.dtype.kind}{self.size}").reshape(rows, self.block_w, self.per)
         else:
-            block = np.frombuffer(raw[: rows * block_w * per * size], dtype).reshape(rows, block_w, per)
-            if t.get(317, (1,))[0] == 2:
-                block = np.cumsum(block, axis=1, dtype=block.dtype)
-        r, c = k // across * block_h, k % across * block_w
-        out[r : r + rows, c : c + block_w] = block[:, :, 0 if separate else band]
-    out = out[:height, :width]
-    try:
-        missing = float(t[42113][0]) if 42113 in t else nodata
-    except ValueError:
-        missing = nodata
-    out[out == missing] = np.nan
-    (sx, sy), tie = t[33550][:2], t[33922]
-    keys = t.get(34735, ())
-    srid = next((v for k, where, _, v in zip(keys[4::4], keys[5::4], keys[6::4], keys[7::4]) if k in (3072, 2048) and where == 0), 4326)
-    return out, {"x_min": tie[3] - tie[0] * sx - sx / 2, "y_max": tie[4] + tie[1] * sy + sy / 2, "size_x": sx, "size_y": sy, "srid": srid}
+            values = np.frombuffer(raw[: rows * self.block_w * self.per * self.size], self.dtype).reshape(rows, self.block_w, self.per)
+            if self.predictor == 2:
+                values = np.cumsum(values, axis=1, dtype=values.dtype)
+        r, c = k // self.across * self.block_h, k % self.across * self.block_w
+        found = values[: self.height - r, : self.width - c, self.sample].astype(float)
+        found[found == self.missing] = np.nan
+        return r, c, found
+
+    def blocks_in(self, bounds: tuple[float, float, float, float] | None) -> list[int]:
+        """Blocks with a pixel that shares an area with the bounds (x0, y0, x1, y1)."""
+        if bounds is None:
+            return list(range(self.across * self.down))
+        g = self.place
+        cols = (bounds[0] - g["x_min"]) / g["size_x"], (bounds[2] - g["x_min"]) / g["size_x"]
+        rows = (g["y_max"] - bounds[3]) / g["size_y"], (g["y_max"] - bounds[1]) / g["size_y"]
+        down = [i for i in range(self.down) if i * self.block_h < rows[1] and min((i + 1) * self.block_h, self.height) > rows[0]]
+        return [i * self.across + j for i in down for j in range(self.across) if j * self.block_w < cols[1] and min((j + 1) * self.block_w, self.width) > cols[0]]
+
+
+def decode(data, band: int = 0, nodata: float = -9999.0) -> tuple[np.ndarray, dict]:
+    """(values with missing data as NaN, georeference) of the first page."""
+    page = Page(data, band, nodata)
+    out = np.zeros((page.height, page.width), float)
+    for k in range(page.across * page.down):
+        r, c, values = page.block(k)
+        out[r : r + values.shape[0], c : c + values.shape[1]] = values
+    return out, page.place
 
 
 def encode(values: np.ndarray, x0: float, y0: float, size: float, nodata: float = -9999.0) -> bytes:
