@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import combined_impact, rint
+from ..functions.scalars import combined_impact
 from ..tables import shared_table
 from .spatial import in_cells
 
@@ -100,12 +100,6 @@ def dissolved(frame: DataFrame, keys: list[str]) -> DataFrame:
     return frame.groupBy(*keys).agg(F.sum(area).alias("area"))
 
 
-def union_area(boxes: DataFrame, keys: list[str], tile: float) -> DataFrame:
-    """(keys, area): the area that the boxes of each key cover together."""
-    one = faces(boxes.select(*keys, "x0", "y0", "x1", "y1"), keys, tile).select(*keys, "fx0", "fy0", "fx1", "fy1").distinct()
-    return dissolved(one, keys)
-
-
 def custom_smallest_negative(impact: Column) -> Column:
     """A combiner of one's own: the negative impact of least size, else the largest positive one."""
     return F.coalesce(F.max(F.when(impact < 0, impact)), F.max(impact))
@@ -127,7 +121,3 @@ def rings(sources: DataFrame, layers: str = "layers_count", radius: str = "total
     signs = {"x0": -1, "y0": -1, "x1": 1, "y1": 1}
     out = out.withColumns({f"i{c}": F.when(has_inner, F.col(c) + s * inner) for c, s in signs.items()} | {c: F.col(c) + s * grow for c, s in signs.items()})
     return out.withColumns({"impact": fading(F.col(impact).cast("double"), F.col(layers).cast("double"), F.col("level").cast("double")), "is_source": F.col("level") == 0})
-
-
-def area_weighted_mean(impact: Column, area: Column) -> Column:
-    return rint(F.sum(impact * area) / F.nullif(F.sum(area), F.lit(0.0)), 2)

@@ -120,11 +120,6 @@ def aspect_polygons(tiles: DataFrame, step: float = 90.0, sigma: float = 0.0, me
     return out.withColumn("label", S.aspect_label(F.col("value"), step)) if labels else out
 
 
-def pixel_boxes(pixels: DataFrame, size: float) -> DataFrame:
-    """Pixels (x, y of the upper left corner) as boxes x0 .. y1."""
-    return pixels.withColumns({"x0": F.col("x"), "y0": F.col("y") - size, "x1": F.col("x") + size, "y1": F.col("y")})
-
-
 def flood_classes(pixels: DataFrame, step: float = 0.1) -> DataFrame:
     """Pixels with water, with their depth class; the class has the decimals of the step."""
     digits = max(1, len(f"{step:g}".partition(".")[2]))

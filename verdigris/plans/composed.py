@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import coordinates as K
+from ..functions import scalars as S
 from ..functions import shapes
 from ..functions.sql import register
 from ..geometry.projection import _ALPHA, _N, _R
@@ -238,6 +239,16 @@ def collected_columns(spark, sf):
     return C.collected(d, ["zone_id"], ["source_id"])
 
 
+@query("""SELECT p_partkey, name FROM (SELECT p_partkey, CASE p_partkey%9 WHEN 0 THEN 'Завод '||p_name WHEN 1 THEN p_name||' котельная' WHEN 2 THEN 'Карьерный '||p_name WHEN 3 THEN 'Магазин '||p_name WHEN 4 THEN NULL WHEN 5 THEN 'промышленная '||p_name WHEN 6 THEN p_name||' (ТБО)' ELSE p_name END "name" FROM part)
+    WHERE regexp_matches(upper(name), 'ПОЛИГОН|ЗАВОД|ТБО|ТКО|ЦЕХ|КОТЕЛЬНАЯ|РУДНИК|КАНАЛ|КАРЬЕР|СТАНЦИЯ|ПРОИЗВОД|ПРОМЫШЛЕН')""")
+def dangerous_names(spark, sf):
+    """Names of dangerous objects by their stems, in any case."""
+    part, n = spark.read.parquet(f"{sf}/part.parquet"), F.col("p_name")
+    names = [F.concat(F.lit("Завод "), n), F.concat(n, F.lit(" котельная")), F.concat(F.lit("Карьерный "), n), F.concat(F.lit("Магазин "), n), F.lit(None).cast("string"), F.concat(F.lit("промышленная "), n), F.concat(n, F.lit(" (ТБО)")), n, n]
+    d = part.select("p_partkey", F.get(F.array(*names), (F.col("p_partkey") % 9).cast("int")).alias("name"))
+    return d.filter(S.is_dangerous_name(F.col("name")))
+
+
 # Files ----------------------------------------------------------------------------------------------------------
 
 
