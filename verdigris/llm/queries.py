@@ -83,7 +83,7 @@ def shard_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of operator 1: the shards' bytes and rows, and whether slots have no gaps and sizes differ by little."""
     shards = op1_kd_shards(spark, sf_dir).groupBy("shard").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last"), F.max("size").alias("largest"))
     gapless = F.bool_and((F.col("slots") == F.col("n")) & (F.col("last") == F.col("n") - 1))
-    near = (F.max("bytes") - F.min("bytes")) <= 3 * F.max("largest") + 0.1 * F.avg("bytes")
+    near = (F.max("bytes") - F.min("bytes")) <= F.max("largest") + sharding.UNIT * F.avg("bytes")
     return shards.agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n_rows"), gapless.alias("gapless"), near.alias("near_equal"))
 
 

@@ -257,7 +257,8 @@ def fingerprints_with_neighbours(df: DataFrame, text: str = "text", row_id: str
     Columns: row_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. The edited text
     has its last floor(n_chars / 3) code points replaced by the first as many of the next row's, by descending id;
     the last row's next is the first, and a single row is its own next. Null texts are empty; an empty text has an
-    empty fingerprint. Rows of equal ids follow each other in the order of their texts. Very long texts are read whole.
+    empty fingerprint. Rows of equal ids follow each other in the order of their texts; they are one task's work, so
+    ids should be nearly unique. Very long texts are read whole.
     Other columns are ignored; an empty table gives no rows. ``keep`` is the number of anchors of a fingerprint; one
     above the length of all texts compares all anchors.
     """
@@ -276,7 +277,6 @@ def fingerprints(df: DataFrame, text: str = "text", row_id: str = "doc_id", keep
     """
     import pyarrow as pa
 
-
     bounded_batches(df.sparkSession)
 
     def run(batches):

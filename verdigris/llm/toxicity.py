@@ -4,8 +4,9 @@ A word is the mean of the embeddings of its character n-grams (3 to 5 bytes, wit
 whole word, all hashed to buckets; a window of words is the mean of its words; a linear softmax reads the window.
 Embeddings and softmax are trained jointly. So an unseen spelling shares the vectors of the n-grams it keeps.
 
-A label marks a whole document, while what makes it toxic may be one word of thousands. So a document's score is that
-of its most toxic window, and in training a toxic document counts by the window that the model finds most toxic so
+A label marks a whole document, while what makes it toxic may be one word of thousands: trained on one bag of each whole
+text, the same model finds 26 % of the held-out toxic documents of sf0.1 and flags 4 % of the clean ones, where windows
+find 90 % and flag 1 % (and all that hold a toxic word at all). So a document's score is that of its most toxic window, and in training a toxic document counts by the window that the model finds most toxic so
 far (all its windows at first), a clean one by all its windows. The sample to train on is bounded and taken by a hash
 of the id; scoring covers every whole text. As the model is linear after the lookup, a bucket needs one number then.
 """
