@@ -160,3 +160,26 @@ def test_row_groups_are_skipped_by_bounds(spark, tmp_path):
 
     plan = plan.finalPhysicalPlan() if "Adaptive" in plan.getClass().getSimpleName() else plan
     assert 0 < scanned(plan) <= 2000  # of 20,000 rows
+
+
+def test_geojson_bounds_and_tile_index(spark, tmp_path):
+    import json
+
+    from verdigris.sources import vectors
+
+    def feature(kind, coordinates, **properties):
+        return {"type": "Feature", "properties": properties, "geometry": {"type": kind, "coordinates": coordinates}}
+
+    square = [[[0, 0], [4, 0], [4, 3], [0, 3], [0, 0]]]
+    features = [
+        feature("Polygon", square, file_name="a.tif"), feature("MultiPolygon", [square, [[[10, 10], [11, 10], [11, 12], [10, 10]]]], file_name="b.tif"), feature("Point", [5.5, -1.25], file_name="c.tif"),
+        feature("LineString", [[1, 2, 7], [3, -4, 8]]), feature("Polygon", [], file_name="e.tif"), feature("Polygon", [[[4, 0], [8, 0], [8, 3], [4, 0]]], file_name="a.tif"), {"type": "Feature", "properties": {"file_name": "z"}, "geometry": None},
+    ]
+    (tmp_path / "index.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    found = vectors.geojson_boxes(vectors.read_geojson(spark, str(tmp_path / "index.geojson"))).collect()
+    assert sorted((r["type"], r["n_positions"], r["x0"], r["y0"], r["x1"], r["y1"]) for r in found if r["x0"] is not None) == [
+        ("LineString", 2, 1.0, -4.0, 3.0, 2.0), ("MultiPolygon", 9, 0.0, 0.0, 11.0, 12.0), ("Point", 1, 5.5, -1.25, 5.5, -1.25), ("Polygon", 4, 4.0, 0.0, 8.0, 3.0), ("Polygon", 5, 0.0, 0.0, 4.0, 3.0),
+    ]
+    assert len(found) == 7
+    index = {r["tile_name"]: (r["x0"], r["y0"], r["x1"], r["y1"]) for r in vectors.read_tile_index(spark, str(tmp_path / "index.geojson")).collect()}
+    assert index == {"a.tif": (0, 0, 8, 3), "b.tif": (0, 0, 11, 12), "c.tif": (5.5, -1.25, 5.5, -1.25)}

@@ -170,6 +170,16 @@ def water_graph_nodes(spark, sf):
     return nodes.select("node", r6("x").alias("x"), r6("y").alias("y"), r6("width").alias("width"))
 
 
+@query("""WITH RECURSIVE e AS (SELECT src*1000000+dst id, src, dst, cost remain FROM fx_edges),
+    n AS (SELECT id, remain, unnest([src, dst]) node FROM e), pr AS (SELECT DISTINCT a.id s, b.id t FROM n a JOIN n b ON a.node=b.node AND a.remain=b.remain),
+    cl AS (SELECT s, t FROM pr UNION SELECT cl.s, pr.t FROM cl JOIN pr ON cl.t=pr.s), co AS (SELECT s, min(t) region FROM cl GROUP BY s)
+    SELECT remain, edges, count(*) regions FROM (SELECT remain, region, count(*) edges FROM e JOIN co ON id=s GROUP BY 1, 2) GROUP BY 1, 2""")
+def edge_regions(spark, sf):
+    """Edges of equal value that meet, as regions: how many there are of each size."""
+    e = fixture(spark, sf, "fx_edges").select("src", "dst", F.col("cost").alias("remain"))
+    return V.dissolved_edges(e).groupBy("remain", "edges").agg(F.count(F.lit(1)).alias("regions"))
+
+
 # Coordinates and functions --------------------------------------------------------------------------------------
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.spatial import box_join
@@ -45,3 +45,34 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     schema = "features array<struct<properties: map<string,string>, geometry: struct<type: string, coordinates: string>>>"
     found = spark.read.schema(schema).option("multiLine", True).json(path)
     return found.select(F.explode("features").alias("f")).select("f.properties", "f.geometry.type", "f.geometry.coordinates")
+
+
+#: How deep the positions of each type of geometry lie.
+_DEPTH = {"Point": 0, "MultiPoint": 1, "LineString": 1, "MultiLineString": 2, "Polygon": 2, "MultiPolygon": 3}
+
+
+def positions(kind: Column, coordinates: Column) -> Column:
+    """All positions of a geometry, array<array<double>>, from its type and its coordinates as JSON; null for another."""
+    out = None
+    for name, depth in _DEPTH.items():
+        found = F.from_json(coordinates, "array<" * (depth + 1) + "double" + ">" * (depth + 1))
+        for _ in range(depth - 1):
+            found = F.flatten(found)
+        found = F.array(found) if depth == 0 else found
+        out = F.when(kind == name, found) if out is None else out.when(kind == name, found)
+    return out
+
+
+def geojson_boxes(features: DataFrame) -> DataFrame:
+    """(properties, type, n_positions, x0 .. y1) of ``read_geojson``'s features; geometries without a position, and
+    collections, have no bounds."""
+    known = features.withColumn("_p", F.filter(positions(F.col("type"), F.col("coordinates")), lambda p: p.isNotNull() & (F.size(p) >= 2)))
+    x, y = (F.transform("_p", f) for f in (lambda p: p[0], lambda p: p[1]))
+    return known.select("properties", "type", F.coalesce(F.when(F.col("_p").isNotNull(), F.size("_p")), F.lit(0)).alias("n_positions"), F.array_min(x).alias("x0"), F.array_min(y).alias("y0"), F.array_max(x).alias("x1"), F.array_max(y).alias("y1"))
+
+
+def read_tile_index(spark: SparkSession, path: str, name: str = "file_name") -> DataFrame:
+    """(tile_name, x0 .. y1) of a tile index in GeoJSON; ``name`` is the property with a tile's file. Features without
+    a name or bounds are no tiles; a tile of several features has the bounds of all."""
+    found = geojson_boxes(read_geojson(spark, path)).select(F.col("properties")[name].alias("tile_name"), "x0", "y0", "x1", "y1").dropna()
+    return found.groupBy("tile_name").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
