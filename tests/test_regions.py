@@ -286,3 +286,11 @@ def test_river_of_many_confluences(spark):
         river.propagate(spark.createDataFrame([(1, 2, 0.0), (2, 1, 0.0)], "src long, dst long, cost double"), sources.withColumn("node", F.lit(1).cast("long")))
     round_ = river.propagate(spark.createDataFrame([(1, 2, 3.0), (2, 1, 4.0)], "src long, dst long, cost double"), spark.createDataFrame([(0, 1, 15.0)], "source_id long, node long, pollution double"))
     assert sorted((r["node"], r["remain"]) for r in round_.collect()) == [(1, 1.0), (1, 8.0), (1, 15.0), (2, 5.0), (2, 12.0)]
+
+
+def test_nodes_are_numbered_alike_in_ranges(spark, monkeypatch):
+    rng = random.Random(9)
+    lines = spark.createDataFrame([(i * 3, p, float(rng.randrange(30)), float(rng.randrange(30))) for i in range(60) for p in range(5)], "line_id long, pos int, x double, y double")
+    one = sorted(map(tuple, river.interned(lines).collect()))
+    monkeypatch.setattr(river, "LINES_OF_RANGE", 7)
+    assert sorted(map(tuple, river.interned(lines).collect())) == one and [r[0] for r in one] == list(range(len(one)))

@@ -54,11 +54,15 @@ def interned(lines: DataFrame, line: str = "line_id", pos: str = "pos") -> DataF
     first = lines.groupBy("x", "y").agg(F.min(F.struct(F.col(line).alias("l"), F.col(pos).alias("p"))).alias("f")).select("x", "y", "f.l", "f.p")
     first = shared_table(first, "vertices")
     per_line = first.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
-    ranged = shared_table(per_line.repartitionByRange(max(1, per_line.count() // LINES_OF_RANGE), "l").withColumn("part", F.spark_partition_id()), "lines")
-    parts = ranged.groupBy("part").agg(F.sum("n").alias("n"))
-    before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # one row a range
-    within = F.sum("n").over(Window.partitionBy("part").orderBy("l")) - F.col("n")
-    starts = ranged.withColumn("within", within).join(before, "part").select("l", (F.col("before") + F.col("within")).alias("start"))
+    n_lines = per_line.count()
+    if n_lines <= LINES_OF_RANGE:  # one range
+        starts = per_line.select("l", (F.sum("n").over(Window.orderBy("l")) - F.col("n")).alias("start"))
+    else:
+        ranged = shared_table(per_line.repartitionByRange(n_lines // LINES_OF_RANGE + 1, "l").withColumn("part", F.spark_partition_id()), "lines")
+        parts = ranged.groupBy("part").agg(F.sum("n").alias("n"))
+        before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # one row a range
+        within = F.sum("n").over(Window.partitionBy("part").orderBy("l")) - F.col("n")
+        starts = ranged.withColumn("within", within).join(before, "part").select("l", (F.col("before") + F.col("within")).alias("start"))
     return first.join(starts, "l").select((F.col("start") + F.row_number().over(Window.partitionBy("l").orderBy("p")) - 1).alias("node"), "x", "y")
 
 
