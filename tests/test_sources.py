@@ -183,3 +183,29 @@ def test_geojson_bounds_and_tile_index(spark, tmp_path):
     assert len(found) == 7
     index = {r["tile_name"]: (r["x0"], r["y0"], r["x1"], r["y1"]) for r in vectors.read_tile_index(spark, str(tmp_path / "index.geojson")).collect()}
     assert index == {"a.tif": (0, 0, 8, 3), "b.tif": (0, 0, 11, 12), "c.tif": (5.5, -1.25, 5.5, -1.25)}
+
+
+def test_terrain_of_a_zone(spark, rasters):
+    """A zone's heights, slopes and aspects from files: as those of the whole rasters, cut to it."""
+    from verdigris.operators import vectorise
+
+    folder, _ = rasters
+    y, x = np.mgrid[0:40, 0:60]
+    open(f"{folder}/a.tif", "wb").write(tiled(np.where(x < 30, 10.0 * x, 300.0 + y), 1005.0, 1995.0, 10.0, 16))
+    os.remove(f"{folder}/sub/b.tif")
+    zone = (1105.0, 1700.0, 1455.0, 1903.0)
+    for layer, step in (("height", 50.0), ("slope", 5.0), ("aspect", 90.0)):
+        part = vectorise.zone_terrain(spark, folder, zone, layer, step, (10.0, 10.0)).collect()
+        whole = vectorise.terrain_regions(windows.read_window(spark, folder).withColumnRenamed("path", "tile"), layer, step, (10.0, 10.0)).collect()
+        area = {}
+        for r in whole:
+            wide, high = min(r["x1"], zone[2]) - max(r["x0"], zone[0]), min(r["y1"], zone[3]) - max(r["y0"], zone[1])
+            if wide > 0 and high > 0:
+                area[r["value"], r["label"]] = area.get((r["value"], r["label"]), 0) + wide * high
+        got = {}
+        for r in part:
+            got[r["value"], r["label"]] = got.get((r["value"], r["label"]), 0) + (r["x1"] - r["x0"]) * (r["y1"] - r["y0"])
+        assert got.keys() == area.keys() and all(got[k] == pytest.approx(area[k]) for k in got) and len(got) > 1 - (layer == "aspect")
+        assert all((r["label"] is None) == (layer != "aspect") for r in part)
+    with pytest.raises(ValueError, match="unknown layer"):
+        vectorise.zone_terrain(spark, folder, zone, "depth", 1.0)

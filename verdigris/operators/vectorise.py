@@ -9,13 +9,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..geometry import contours, wkb
 from ..tables import shared_table
-from .raster import smooth_array, smooth_directions
+from .raster import gradient, smooth_array, smooth_directions
 from .regions import pixel_regions, zone_regions
 
 SCHEMA = "tile string, value double, geom binary, error string, elapsed_sec double"
@@ -169,3 +169,47 @@ def flood_polygons(pixels: DataFrame, zones: DataFrame | None = None, step: floa
     by = [*(keys or []), "depth_m"]
     boxes = pixel_regions(flood_classes(pixels, step), by)
     return boxes if zones is None else zone_regions(boxes, zones, cell, by)
+
+
+def terrain_regions(pixels: DataFrame, layer: str, step: float, pixel_metres: tuple[float, float] = (30.0, 30.0), zones: DataFrame | None = None, cell: float = 1000.0) -> DataFrame:
+    """Classes of height, slope or aspect as boxes of whole pixels: (zone_id, tile, value, label, x0 .. y1).
+
+    ``pixels`` (tile, row, col, value, x_min, y_max, size_x, size_y) may be of many tiles; neighbours of a pixel are
+    those of its own tile. A class is the nearest multiple of ``step``: of heights in their unit, of slopes in degrees
+    (from one step up), of aspects in degrees below 360, with the wind's name as label (null for the others). Pixels
+    without a value, or without the neighbours that a slope needs, are left out, and so are flat ones from aspects.
+    """
+    if layer not in ("height", "slope", "aspect"):
+        raise ValueError(f"unknown layer: {layer}")
+    place = ["x_min", "y_max", "size_x", "size_y"]
+    known = pixels.select("tile", "row", "col", "value", *place)
+    label = F.lit(None).cast("string")
+    if layer == "height":
+        classes = known.withColumn("class", S.quantise(F.col("value"), step))
+    else:
+        slopes = gradient(known.drop(*place), *pixel_metres)
+        degrees = (S.slope if layer == "slope" else S.aspect)(F.col("gx"), F.col("gy"))
+        found = slopes.select("tile", "row", "col", S.quantise(degrees, step).alias("class"))
+        classes = known.join(found, ["tile", "row", "col"])
+        if layer == "slope":
+            classes = classes.filter(F.col("class") >= step)
+        else:
+            classes = classes.withColumn("class", F.col("class") % 360.0)
+            label = S.aspect_label(F.col("value"), step)
+    boxes = pixel_regions(classes.drop("value").withColumnRenamed("class", "value").dropna(subset=["value"]), ["tile", "value"], tuple(place))
+    boxes = boxes if zones is None else zone_regions(boxes, zones, cell, ["tile", "value"])
+    return boxes.withColumn("label", label)
+
+
+def zone_terrain(spark: SparkSession, folder: str, zone: tuple[float, float, float, float], layer: str, step: float, pixel_metres: tuple[float, float] = (30.0, 30.0), pattern: str = "*.tif") -> DataFrame:
+    """(tile, value, label, x0 .. y1): a layer of ``terrain_regions`` in a zone, from the rasters below a folder.
+
+    Only the blocks around the zone are read, with two pixels beyond it, which slopes need; the result is cut to it.
+    """
+    from ..sources.windows import read_window
+
+    x0, y0, x1, y1 = map(float, zone)
+    halo = 2 * max(pixel_metres)
+    pixels = read_window(spark, folder, (x0 - halo, y0 - halo, x1 + halo, y1 + halo), pattern).withColumnRenamed("path", "tile")
+    one = spark.range(1).select(F.lit(0).alias("zone_id"), *[F.lit(v).alias(f"b{c}") for v, c in zip((x0, y0, x1, y1), ("x0", "y0", "x1", "y1"))])
+    return terrain_regions(pixels, layer, step, pixel_metres, one, max(x1 - x0, y1 - y0, 1.0)).drop("zone_id")

@@ -21,7 +21,7 @@ from ..sources import geoparquet
 from ..sources.rasters import tile_ids
 from ..tables import shared_dir
 from .fixtures import fixture
-from .queries import _HIT, _LB, _PAIRS, _RB, _RS, _TEXTURE, ORACLE_SQL, QUERIES, TILE, _BINS, _report_sources, query, r6, zones_of
+from .queries import _GRAD, _HIT, _LB, _PAIRS, _RB, _RS, _TEXTURE, ORACLE_SQL, QUERIES, TILE, _BINS, _report_sources, query, r6, zones_of
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -136,6 +136,15 @@ def flood_zone_polygons(spark, sf):
     return _area(d, "zone_id", "tile", "depth_m")
 
 
+@query(f"""WITH {_GRAD}, s AS (SELECT tile, "row" r, "col" c, round_even(degrees(atan(sqrt(gx*gx+gy*gy)))/15, 0)*15.0::DOUBLE value FROM gd JOIN fx_raster USING (tile, "row", "col")),
+    b AS (SELECT tile, value, c*30.0 x0, c*30.0+30 x1, 960.0-r*30-30 y0, 960.0-r*30 y1 FROM s WHERE value>=15)
+    SELECT zone_id, tile, value, $6({_CLIP}) area FROM b JOIN fx_zones z ON {_SHARE} GROUP BY 1, 2, 3""")
+def terrain_zone_slopes(spark, sf):
+    """Classes of slope in each zone, as boxes of pixels."""
+    d = fixture(spark, sf, "fx_raster").withColumns({"x_min": F.lit(0.0), "y_max": F.lit(960.0), "size_x": F.lit(30.0), "size_y": F.lit(30.0)})
+    return _area(P.terrain_regions(d, "slope", 15.0, (30.0, 30.0), zones_of(spark, sf), TILE), "zone_id", "tile", "value")
+
+
 # Rivers ---------------------------------------------------------------------------------------------------------
 
 _NETWORK = f"""{_PAIRS}, sg AS (SELECT line_id, pos, part, x, y, x2, y2, d/n length_, n FROM (SELECT *, CAST(greatest(ceil(d/150.0), 1) AS BIGINT) n, unnest(range(CAST(greatest(ceil(d/150.0), 1) AS BIGINT))) part FROM (SELECT *, sqrt((x2-x)*(x2-x)+(y2-y)*(y2-y)) d FROM pairs))),

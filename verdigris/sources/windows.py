@@ -11,7 +11,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, GreaterThan, Gr
 
 from .geotiff import Page
 
-PIXELS = "path string, row int, col int, value double, x double, y double"
+PIXELS = "path string, row int, col int, value double, x double, y double, x_min double, y_max double, size_x double, size_y double"
 #: A task takes about so many bytes of files, or so many of one.
 TASK_BYTES = 64_000_000
 #: Bytes of a file's head that are read at once.
@@ -85,7 +85,9 @@ class GeoTiffReader(DataSourceReader):
                         keep = (x < b[2]) & (x + sx > b[0]) & (y > b[1]) & (y - sy < b[3])
                     flat = values.ravel()[keep]
                     columns = [pa.array([path] * int(keep.sum()), pa.string()), pa.array(row[keep], pa.int32()), pa.array(col[keep], pa.int32()), pa.array(flat, pa.float64(), mask=np.isnan(flat)), pa.array(x[keep]), pa.array(y[keep])]
-                    yield pa.RecordBatch.from_arrays(columns, names=["path", "row", "col", "value", "x", "y"])
+                    place = ("x_min", "y_max", "size_x", "size_y")
+                    columns += [pa.array(np.full(len(flat), page.place[c], float)) for c in place]
+                    yield pa.RecordBatch.from_arrays(columns, names=["path", "row", "col", "value", "x", "y", *place])
 
 
 class PushedReader(GeoTiffReader):
@@ -125,7 +127,7 @@ class GeoTiffSource(DataSource):
 
 
 def read_window(spark: SparkSession, folder: str, bounds: tuple[float, float, float, float] | None = None, pattern: str = "*.tif", band: int = 0) -> DataFrame:
-    """(path, row, col, value, x, y) of the pixels below a folder that share an area with the bounds (x0, y0, x1, y1).
+    """(path, row, col, value, x, y, x_min, y_max, size_x, size_y) of the pixels below a folder that share an area with the bounds (x0, y0, x1, y1).
 
     Missing data are null. Blocks that the window doesn't touch aren't read, and neither is a file beyond its header
     that lies outside; a file that can't be read raises. An empty folder gives no rows. Where the session pushes filters
