@@ -44,7 +44,7 @@ def test_stages(spark, sf):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(m[1]) for n in QUERIES if (m := re.match(r"op(\d+)_", n))) == list(range(1, 11))
+    assert sorted(int(m[1]) for n in QUERIES if (m := re.match(r"op(\d+)_", n))) == list(range(1, 14))
     assert set(ORACLE_SQL) <= set(QUERIES)
     assert [n for n, _ in P.STAGES] == ["quality", "exact_dedup", "near_dedup", "pii", "packing"]
 
@@ -52,7 +52,7 @@ def test_every_operator_has_a_query():
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got, want = QUERIES[name](spark, sf), con.sql(ORACLE_SQL[name])
     names = sorted(got.columns)
