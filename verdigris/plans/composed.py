@@ -189,6 +189,29 @@ def edge_regions(spark, sf):
     return V.dissolved_edges(e).groupBy("remain", "edges").agg(F.count(F.lit(1)).alias("regions"))
 
 
+@query("""SELECT zone_id, CASE WHEN len(l)=1 THEN l[1] ELSE 'Множество объектов: '||array_to_string([concat('"', x, '"') for x in l], ', ') END "name" FROM (SELECT zone_id, list_sort(list(DISTINCT name)) l FROM fx_boxes WHERE zone_id IS NOT NULL GROUP BY 1)""")
+def display_names(spark, sf):
+    """Names of single objects and of several."""
+    names = fixture(spark, sf, "fx_boxes").filter("zone_id IS NOT NULL").groupBy("zone_id").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    return names.select("zone_id", S.display_name(F.col("names")).alias("name"))
+
+
+_WORKS = "wp AS (SELECT CASE point_id%4 WHEN 0 THEN 'Завод '||point_id WHEN 1 THEN 'Цех '||point_id WHEN 2 THEN 'Кафе '||point_id END pname, CAST(point_id%4+1 AS INT) lv, x, y FROM fx_points)"
+
+
+@query(f"""WITH {_WORKS}, wb AS (SELECT source_id, CASE WHEN source_id%3>0 THEN name END bname, x0, y0, x0+30 x1, y0+30 y1 FROM fx_boxes),
+    j AS (SELECT source_id, pname, lv FROM wb JOIN wp ON x>=x0-10 AND x<=x1+10 AND y>=y0-10 AND y<=y1+10 WHERE pname LIKE 'Завод%' OR pname LIKE 'Цех%'),
+    n AS (SELECT source_id, string_agg(a, ', ' ORDER BY a) "name" FROM (SELECT source_id, pname a FROM j UNION SELECT source_id, bname FROM wb WHERE bname IS NOT NULL) GROUP BY 1)
+    SELECT min(source_id) box_id, arg_min(name, source_id) "name", arg_min(coalesce((SELECT max(lv) FROM j WHERE j.source_id=wb.source_id), 4), source_id) "level", x0, y0, x1, y1, 'industrial' type FROM n JOIN wb USING (source_id) GROUP BY x0, y0, x1, y1""")
+def industrial_preprocessing(spark, sf):
+    """Industrial boxes with the names and danger of what is in them."""
+    n = F.col("point_id") % 4
+    name = F.when(n == 0, F.concat(F.lit("Завод "), F.col("point_id"))).when(n == 1, F.concat(F.lit("Цех "), F.col("point_id"))).when(n == 2, F.concat(F.lit("Кафе "), F.col("point_id")))
+    points = fixture(spark, sf, "fx_points").select(name.alias("name"), (n + 1).cast("int").alias("level"), "x", "y")
+    boxes = fixture(spark, sf, "fx_boxes").select(F.col("source_id").alias("box_id"), F.when(F.col("source_id") % 3 > 0, F.col("name")).alias("name"), "x0", "y0", (F.col("x0") + 30).alias("x1"), (F.col("y0") + 30).alias("y1"))
+    return FR.industrial_sources(points, boxes, 10.0, TILE)
+
+
 # Coordinates and functions --------------------------------------------------------------------------------------
 
 

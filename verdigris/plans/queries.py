@@ -532,7 +532,18 @@ def gaussian_smooth(spark, sf):
     return R.smoothed(fixture(spark, sf, "fx_raster"), 1.0).select("tile", "row", "col", r6("value").alias("value"))
 
 
-@query()
+def _circle_sql() -> str:
+    w = ",".join(f"({d},{x!r}::DOUBLE)" for d, x in zip(range(-4, 5), R.gaussian_kernel(1.0).tolist()))
+    sums = ", ".join(f"sum(k*u.{n}) {n}" for n in "csw")
+    return f"""WITH {_GRAD}, di AS (SELECT tile, "row" r, "col" c_, CASE WHEN sqrt(gx*gx+gy*gy)>=1e-9 THEN radians(fmod(degrees(atan2(-gx, gy))+360.0, 360.0)) END a FROM gd),
+    t AS (SELECT tile, r, c_, coalesce(cos(a), 0) c, coalesce(sin(a), 0) s, CASE WHEN a IS NULL THEN 0.0 ELSE 1.0::DOUBLE END w FROM di), w(d, k) AS (VALUES {w}),
+    e AS (SELECT tile, min(r) lr, max(r) hr, min(c_) lc, max(c_) hc FROM t GROUP BY 1),
+    x AS (SELECT v.tile, v.r, v.c_, {sums} FROM t v JOIN e ON e.tile=v.tile CROSS JOIN w JOIN t u ON u.tile=v.tile AND u.c_=v.c_ AND u.r=greatest(lr, least(hr, v.r+d)) GROUP BY 1, 2, 3),
+    y AS (SELECT v.tile, v.r, v.c_, {sums} FROM x v JOIN e ON e.tile=v.tile CROSS JOIN w JOIN x u ON u.tile=v.tile AND u.r=v.r AND u.c_=greatest(lc, least(hc, v.c_+d)) GROUP BY 1, 2, 3)
+    SELECT tile, CAST(r AS INT) AS "row", CAST(c_ AS INT) AS "col", $6(CASE WHEN w>=1e-12 THEN fmod(degrees(atan2(s, c))+360.0, 360.0) END) value FROM y"""
+
+
+@query(_circle_sql())
 def circular_smooth(spark, sf):
     g = R.gradient(fixture(spark, sf, "fx_raster"), 30.0, 30.0).withColumn("value", S.aspect(F.col("gx"), F.col("gy")))
     return R.smoothed_directions(g, 1.0).select("tile", "row", "col", r6("value").alias("value"))
