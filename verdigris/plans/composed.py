@@ -321,6 +321,21 @@ def influencer_texts(spark, sf):
 
 
 
+_MEANING = " ".join(f"WHEN {k!r} THEN '{v}'" for k, v in T.MEANINGS.items())
+
+
+@query(f"""WITH m AS (SELECT zone_id, [5.0, 4.0, 3.0, 2.5, 2.0, 1.0, 0.0][zone_id%7+1]::DOUBLE score, zone_id%9-4.5::DOUBLE mean_impact, zone_id%4*100.5::DOUBLE area, CASE WHEN zone_id%3>0 THEN 'r'||zone_id ELSE '' END report FROM fx_zones)
+    SELECT zone_id, 'Полная оценка территории:'||chr(10)||'  Абсолютная оценка: '||regexp_replace(CAST(score AS VARCHAR), '[.]0$', '')||chr(10)||'  Описание объектов: '||CASE score {_MEANING} END||chr(10)||chr(10)||'  Относительная оценка: '||mean_impact||chr(10)
+    ||'  Интерпретация оценки: '||report||chr(10)||chr(10)||'  Площадь: '||CASE WHEN area>0 THEN CAST(area AS VARCHAR) ELSE 'Неизвестно' END||chr(10) AS "text" FROM m""")
+def mark_texts(spark, sf):
+    """Marks of zones in words."""
+    z = fixture(spark, sf, "fx_zones").select("zone_id")
+    score = F.get(F.array(*[F.lit(x) for x in (5.0, 4.0, 3.0, 2.5, 2.0, 1.0, 0.0)]), (F.col("zone_id") % 7).cast("int"))
+    marks = z.select("zone_id", score.alias("score"), (F.col("zone_id") % 9 - 4.5).alias("mean_impact"), (F.col("zone_id") % 4 * 100.5).alias("area"))
+    reports = z.filter("zone_id % 3 > 0").select("zone_id", F.concat(F.lit("r"), F.col("zone_id").cast("string")).alias("report"))
+    return T.mark_texts(marks, reports)
+
+
 @query()
 def shortened_names(spark, sf):
     """Long names cut at words; tests hold it against the standard library of Python."""
