@@ -23,3 +23,17 @@ def test_nearest_of_many_copies(spark, bounded):
     nodes = spark.range(MANY).select((F.col("id") + 7).alias("n"), (F.lit(4.0) + 9 * (F.col("id") % 2)).alias("nx"), F.lit(6.0).alias("ny"))
     found = spatial.nearest(points, nodes, "p", "n").groupBy("n", "dist").count().collect()
     assert [tuple(r) for r in found] == [(7, 5.0, MANY)]
+
+
+def _crowd(spark, inside: int):
+    """Copies of a point and of a box beside it in one cell, and boxes that hold the point."""
+    points = spark.range(MANY).select(F.col("id").alias("p"), F.lit(50.0).alias("x"), F.lit(50.0).alias("y"))
+    far = spark.range(MANY).select((F.col("id") + 100).alias("b"), F.lit(60.0).alias("bx0"), F.lit(60.0).alias("by0"), F.lit(90.0).alias("bx1"), F.lit(90.0).alias("by1"))
+    near = spark.range(inside).select(F.col("id").alias("b"), F.lit(40.0).alias("bx0"), F.lit(40.0).alias("by0"), (F.lit(60.0) + F.col("id")).alias("bx1"), F.lit(60.0).alias("by1"))
+    return points, far.union(near)
+
+
+def test_first_cover_of_many_copies(spark, bounded):
+    points, boxes = _crowd(spark, 3)
+    found = spatial.first_cover(points, boxes, 100.0, "p", "b").groupBy("b").count().collect()
+    assert [tuple(r) for r in found] == [(0, MANY)]

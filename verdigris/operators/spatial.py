@@ -58,9 +58,14 @@ def box_join(left: DataFrame, right: DataFrame, cell: float, how: str = "inner",
 
 
 def first_cover(points: DataFrame, boxes: DataFrame, cell: float, point_id: str, box_id: str) -> DataFrame:
-    """(point_id, box_id) of the first box, by id, that covers each point (columns x, y; bx0 .. by1)."""
-    pairs = box_join(points.withColumns({"px0": F.col("x"), "py0": F.col("y"), "px1": F.col("x"), "py1": F.col("y")}), boxes, cell, predicate="within", left_box=("px0", "py0", "px1", "py1"))
-    return pairs.groupBy(point_id).agg(F.min(box_id).alias(box_id))
+    """(point_id, box_id) of the first box, by id, that covers each point (columns x, y; bx0 .. by1).
+
+    Of equal boxes only the first is looked at, and points of one place are looked up once."""
+    first = boxes.groupBy("bx0", "by0", "bx1", "by1").agg(F.min(box_id).alias(box_id))
+    places = points.select("x", "y").distinct().select("x", "y", *[F.col(c).alias(n) for c, n in (("x", "px0"), ("y", "py0"), ("x", "px1"), ("y", "py1"))])
+    pairs = box_join(places, first, cell, predicate="within", left_box=("px0", "py0", "px1", "py1"))
+    found = pairs.groupBy("x", "y").agg(F.min(box_id).alias(box_id))
+    return points.select(point_id, "x", "y").join(found, ["x", "y"]).groupBy(point_id).agg(F.min(box_id).alias(box_id))
 
 
 def nearest(points: DataFrame, nodes: DataFrame, point_id: str, node_id: str, cell: float | None = None) -> DataFrame:
