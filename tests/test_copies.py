@@ -37,3 +37,13 @@ def test_first_cover_of_many_copies(spark, bounded):
     points, boxes = _crowd(spark, 3)
     found = spatial.first_cover(points, boxes, 100.0, "p", "b").groupBy("b").count().collect()
     assert [tuple(r) for r in found] == [(0, MANY)]
+
+
+def test_join_of_many_copies(spark, bounded):
+    points, boxes = _crowd(spark, 3)
+    at = points.select("p", *[F.col(c).alias(n) for c, n in (("x", "x0"), ("y", "y0"), ("x", "x1"), ("y", "y1"))])
+    found = spatial.box_join(at, boxes, 100.0, predicate="within", copies=True)
+    assert found.columns == [*at.columns, *boxes.columns]
+    assert {tuple(r) for r in found.groupBy("b").count().collect()} == {(b, MANY) for b in range(3)}
+    with pytest.raises(ValueError):
+        spatial.box_join(at, boxes, 100.0, refine=F.lit(True), copies=True)

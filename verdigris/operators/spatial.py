@@ -2,6 +2,7 @@
 
 Every box is put into each grid cell that it touches and the join runs on the cell. A pair that meets in several cells
 is kept in one of them only - the cell with the lower left corner of the intersection - so no distinct is needed.
+Places at which many rows lie are searched once, and their rows put back by joins on the place.
 """
 
 from __future__ import annotations
@@ -24,13 +25,21 @@ def in_cells(df: DataFrame, cell: float, box: tuple[str, str, str, str] = BOX, p
     return df.withColumn(f"{prefix}cx", span(x0, x1)).withColumn(f"{prefix}cy", span(y0, y1))
 
 
-def box_join(left: DataFrame, right: DataFrame, cell: float, how: str = "inner", predicate: str = "intersects", left_box=("x0", "y0", "x1", "y1"), right_box=("bx0", "by0", "bx1", "by1"), refine: Column | None = None, left_id: str | None = None) -> DataFrame:
+def box_join(left: DataFrame, right: DataFrame, cell: float, how: str = "inner", predicate: str = "intersects", left_box=("x0", "y0", "x1", "y1"), right_box=("bx0", "by0", "bx1", "by1"), refine: Column | None = None, left_id: str | None = None, copies: bool = False) -> DataFrame:
     """Pairs of boxes; the two sides must have different column names.
 
     ``predicate`` is ``intersects`` (touching counts), ``within`` (left inside right) or ``overlaps`` (a common area).
     ``how``: inner, left_semi, left_anti, or left (which needs ``left_id``, a unique column of the left side).
     ``refine`` is a further exact condition, for shapes that aren't boxes.
+    ``copies``, for inner joins without ``refine``: each different box is compared once, and the rows of equal boxes are
+    put back by joins on the box, so only pairs that belong to the result are made of them.
     """
+    if copies:
+        if how != "inner" or refine is not None:
+            raise ValueError("copies are for inner joins without refine")
+        met = box_join(left.select(*left_box).distinct(), right.select(*right_box).distinct(), cell, how, predicate, left_box, right_box)
+        # Merged on both sides, so the many rows that come of a place are dealt by place, however few its pairs are.
+        return left.join(met.join(right, list(right_box)).hint("merge"), list(left_box)).select(*left.columns, *right.columns)
     ax0, ay0, ax1, ay1 = (F.col(c) for c in left_box)
     bx0, by0, bx1, by1 = (F.col(c) for c in right_box)
     test = {
@@ -78,6 +87,8 @@ def nearest(points: DataFrame, nodes: DataFrame, point_id: str, node_id: str, ce
     only that of least id is looked at.
     """
     at = points.select(point_id, "x", "y").dropna(subset=["x", "y"])
+    kind = nodes.schema[node_id].dataType
+    nodes = shared_table(nodes.groupBy("nx", "ny").agg(F.min(node_id).alias(node_id)), "places")
     bounds = nodes.agg(F.min("nx").alias("a"), F.max("nx").alias("b"), F.min("ny").alias("c"), F.max("ny").alias("d"), F.count(F.lit(1)).alias("n")).first()
     if not bounds["n"]:
         return at.select(point_id, F.lit(None).cast(kind).alias(node_id), F.lit(None).cast("double").alias("dist"))
@@ -92,8 +103,6 @@ def nearest(points: DataFrame, nodes: DataFrame, point_id: str, node_id: str, ce
         cells = left.withColumn("dx", around).withColumn("dy", around)
         cells = cells.withColumns({"cx": F.floor(F.col("x") / cell) + F.col("dx"), "cy": F.floor(F.col("y") / cell) + F.col("dy")}).drop("dx", "dy")
         dealt = nodes.select(F.col(node_id), "nx", "ny", F.floor(F.col("nx") / cell).alias("cx"), F.floor(F.col("ny") / cell).alias("cy"))
-    kind = nodes.schema[node_id].dataType
-    nodes = shared_table(nodes.groupBy("nx", "ny").agg(F.min(node_id).alias(node_id)), "places")
         dist = F.hypot(F.col("x") - F.col("nx"), F.col("y") - F.col("ny"))
         best = cells.join(dealt, ["cx", "cy"]).groupBy("x", "y").agg(F.min(F.struct(dist.alias("dist"), F.col(node_id))).alias("m"))
         best = best.select("x", "y", F.col(f"m.{node_id}").alias(node_id), F.col("m.dist").alias("dist"))
