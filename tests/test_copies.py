@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from verdigris.operators import spatial
+from verdigris.operators import frame, spatial
 
 MANY = 50_000
 SECONDS = 60
@@ -47,3 +47,26 @@ def test_join_of_many_copies(spark, bounded):
     assert {tuple(r) for r in found.groupBy("b").count().collect()} == {(b, MANY) for b in range(3)}
     with pytest.raises(ValueError):
         spatial.box_join(at, boxes, 100.0, refine=F.lit(True), copies=True)
+
+
+def _sources(spark, n: int):
+    """Sources of one place and name beside the point (50, 50), and one over it."""
+    far = spark.range(n).select((F.col("id") + 100).alias("source_id"), F.array(F.lit("far")).alias("names"), F.lit(-4).alias("impact"), F.lit(60.0).alias("x0"), F.lit(90.0).alias("x1"))
+    near = spark.range(1).select(F.col("id").alias("source_id"), F.array(F.lit("near")).alias("names"), F.lit(-8).alias("impact"), F.lit(40.0).alias("x0"), F.lit(52.0).alias("x1"))
+    s = far.union(near).withColumns({"type": F.lit("t"), "y0": F.col("x0"), "y1": F.col("x1"), "total_impact_radius": F.lit(20.0)})
+    buffers = s.select("source_id", *[(F.col(c) + d).alias(c) for c, d in (("x0", -20), ("y0", -20), ("x1", 20), ("y1", 20))])
+    return s, buffers, spark.createDataFrame([("t", "label")], "type string, label string")
+
+
+def test_influencers_of_many_copies(spark, bounded):
+    points, _ = _crowd(spark, 0)
+    s, b, labels = _sources(spark, MANY)
+    found = frame.influencers(s, b, points.withColumnRenamed("p", "point_id"), labels, 100.0)
+    got = {tuple(r) for r in found.groupBy("kind", "sign", "name", "type", "radius").count().collect()}
+    assert got == {("source", "negative", "near", "label", 20.0, MANY), ("effect", "negative", "near", "label", 20.0, MANY), ("effect", "negative", "far", "label", 20.0, MANY)}
+
+
+def test_influencers_of_an_id_at_two_places(spark):
+    s, b, labels = _sources(spark, 2)
+    points = spark.createDataFrame([(1, 50.0, 50.0), (1, 50.5, 50.5), (1, 500.0, 500.0)], "point_id long, x double, y double")
+    assert sorted((r.kind, r.name) for r in frame.influencers(s, b, points, labels, 100.0).collect()) == [("effect", "far"), ("effect", "near"), ("source", "near")]
