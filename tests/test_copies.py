@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from verdigris.operators import frame, spatial
+from verdigris.operators import components, frame, reports, spatial
 
 MANY = 50_000
 SECONDS = 60
@@ -70,3 +70,13 @@ def test_influencers_of_an_id_at_two_places(spark):
     s, b, labels = _sources(spark, 2)
     points = spark.createDataFrame([(1, 50.0, 50.0), (1, 50.5, 50.5), (1, 500.0, 500.0)], "point_id long, x double, y double")
     assert sorted((r.kind, r.name) for r in frame.influencers(s, b, points, labels, 100.0).collect()) == [("effect", "far"), ("effect", "near"), ("source", "near")]
+
+
+def test_texts_of_many_copies(spark, bounded):
+    points, _ = _crowd(spark, 0)
+    points = points.withColumnRenamed("p", "point_id").union(spark.sql("SELECT -1L, 500D, 500D")).union(spark.sql("SELECT -2L, CAST(NULL AS DOUBLE), 500D"))
+    s, b, labels = _sources(spark, MANY)
+    texts = {r.report: r["count"] for r in reports.point_texts(s, b, points, labels, 100.0).groupBy("report").count().collect()}
+    assert texts.pop(reports.NO_INFLUENCE) == 2 and list(texts.values()) == [MANY]
+    few = points.filter("point_id = 0")
+    assert list(texts) == [reports.influencer_texts(frame.influencers(s, b, few, labels, 100.0), few).first().report]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .frame import influencers
+
 # Fixed output: the sentences of both texts.
 SECTIONS = (
     ("source", "positive", "Источники положительного воздействия"),
@@ -48,6 +50,14 @@ def influencer_texts(found: DataFrame, points: DataFrame, point_id: str = "point
     return points.select(point_id).join(whole, point_id, "left").select(point_id, F.coalesce("report", F.lit(NO_INFLUENCE)).alias("report"))
 
 
+def point_texts(sources: DataFrame, buffers: DataFrame, points: DataFrame, labels: DataFrame, cell: float, around: float = 5.0, point_id: str = "point_id") -> DataFrame:
+    """(point_id, report): ``influencer_texts`` of each point. The text of a place is made once for all its points."""
+    at = points.select(point_id, F.struct("x", "y").alias("_place"), "x", "y")
+    places = at.select("_place", "x", "y").distinct()
+    texts = influencer_texts(influencers(sources, buffers, places, labels, cell, around, "_place"), places, "_place")
+    return at.join(texts.hint("merge"), "_place", "left").select(point_id, F.coalesce("report", F.lit(NO_INFLUENCE)).alias("report"))
+
+
 def mark_texts(marks: DataFrame, reports: DataFrame, zone_id: str = "zone_id") -> DataFrame:
     """(zone_id, text): marks (score, mean_impact, area) of zones with their meaning and the objects of
     ``frame.zone_report`` (report). A zone without a mark, of one without data, says that its area is unknown."""

@@ -316,9 +316,7 @@ _INFLUENCE = f"""WITH {_RS}, {_RB}, {_LB}, pt AS (SELECT point_id, x-5 x0, y-5 y
 @query(_INFLUENCE)
 def influencer_texts(spark, sf):
     s, b, labels = _report_sources(spark, sf)
-    points = fixture(spark, sf, "fx_points")
-    return T.influencer_texts(FR.influencers(s, b, points, labels, TILE), points)
-
+    return T.point_texts(s, b, fixture(spark, sf, "fx_points"), labels, TILE)
 
 
 _MEANING = " ".join(f"WHEN {k!r} THEN '{v}'" for k, v in T.MEANINGS.items())
