@@ -80,3 +80,16 @@ def test_texts_of_many_copies(spark, bounded):
     assert texts.pop(reports.NO_INFLUENCE) == 2 and list(texts.values()) == [MANY]
     few = points.filter("point_id = 0")
     assert list(texts) == [reports.influencer_texts(frame.influencers(s, b, few, labels, 100.0), few).first().report]
+
+
+def _works(spark):
+    """Points of two names at one place, boxes of one place around them with and without a name, and one box far off."""
+    points = spark.range(MANY).select(F.concat(F.lit("Завод "), F.col("id") % 2).alias("name"), (F.col("id") % 2 + 1).cast("int").alias("level"), F.lit(50.0).alias("x"), F.lit(50.0).alias("y"))
+    boxes = spark.range(MANY).select(F.col("id").alias("box_id"), F.when(F.col("id") % 2 == 0, F.lit("Завод 00")).alias("name"), F.lit(40.0).alias("x0"), F.lit(40.0).alias("y0"), F.lit(60.0).alias("x1"), F.lit(60.0).alias("y1"))
+    return points, boxes.union(spark.sql("SELECT -1L, 'far', 500D, 500D, 510D, 510D"))
+
+
+def test_points_into_boxes_of_many_copies(spark, bounded):
+    points, boxes = _works(spark)
+    got = {tuple(r) for r in frame.points_into_boxes(points, boxes, 10.0, 100.0).groupBy("name", "level").count().collect()}
+    assert got == {("Завод 0, Завод 00, Завод 1", 2, MANY // 2), ("Завод 0, Завод 1", 2, MANY // 2), ("far", 4, 1)}
