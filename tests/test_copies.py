@@ -93,3 +93,13 @@ def test_points_into_boxes_of_many_copies(spark, bounded):
     points, boxes = _works(spark)
     got = {tuple(r) for r in frame.points_into_boxes(points, boxes, 10.0, 100.0).groupBy("name", "level").count().collect()}
     assert got == {("Завод 0, Завод 00, Завод 1", 2, MANY // 2), ("Завод 0, Завод 1", 2, MANY // 2), ("far", 4, 1)}
+
+
+def test_industrial_sources_look_at_two_boxes_a_place(spark, bounded, monkeypatch):
+    points, boxes = _works(spark)
+    seen, whole = [], frame.points_into_boxes
+    monkeypatch.setattr(frame, "points_into_boxes", lambda p, b, *rest: seen.append(b.count()) or whole(p, b, *rest))
+    bare = spark.sql("SELECT id + 200000 AS box_id, CASE WHEN id = 1 THEN 'own' END name, 900D x0, 900D y0, 910D x1, 910D y1 FROM range(3)")
+    got = {(r.box_id, r.name, r.level) for r in frame.industrial_sources(points, boxes.union(bare), 10.0, 100.0).collect()}
+    assert got == {(0, "Завод 0, Завод 00, Завод 1", 2), (-1, "far", 4), (200001, "own", 4)}
+    assert seen == [5]  # the first of each place and the first with a name
