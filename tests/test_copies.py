@@ -103,3 +103,10 @@ def test_industrial_sources_look_at_two_boxes_a_place(spark, bounded, monkeypatc
     got = {(r.box_id, r.name, r.level) for r in frame.industrial_sources(points, boxes.union(bare), 10.0, 100.0).collect()}
     assert got == {(0, "Завод 0, Завод 00, Завод 1", 2), (-1, "far", 4), (200001, "own", 4)}
     assert seen == [5]  # the first of each place and the first with a name
+
+
+def test_components_of_many_copies(spark, bounded):
+    boxes = spark.range(3 * MANY).select((F.col("id") + 5).alias("source_id"), (F.col("id") % 3 * F.lit(15.0)).alias("x0"), F.lit(0.0).alias("y0"))
+    boxes = boxes.withColumns({"x1": F.col("x0") + 4 + F.when(F.col("x0") == 0, 10.0).otherwise(0.0), "y1": F.lit(4.0)})
+    found = components.buffer_components(boxes, 1.0, 100.0)
+    assert sorted(tuple(r) for r in found.groupBy("component").count().collect()) == [(5, 2 * MANY), (7, MANY)]

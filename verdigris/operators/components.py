@@ -68,14 +68,19 @@ def components(edges: DataFrame) -> DataFrame:
 def buffer_components(boxes: DataFrame, buffer: float, cell: float, keys: list[str] | None = None) -> DataFrame:
     """(source_id, component) of boxes that touch when each is widened by ``buffer``; with equal ``keys`` only."""
     keys = keys or []
-    wide = boxes.select("source_id", *keys, *[(F.col(c) + s * buffer).alias(c) for c, s in (("x0", -1), ("y0", -1), ("x1", 1), ("y1", 1))])
-    other = wide.select(F.col("source_id").alias("b_id"), *[F.col(k).alias(f"b_{k}") for k in keys], *[F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")])
-    same = F.col("source_id") < F.col("b_id")
+    place = [*keys, "x0", "y0", "x1", "y1"]
+    firsts = boxes.groupBy(*place).agg(F.min(F.col("source_id").cast("long")).alias("place"))  # equal boxes always touch
+    firsts = shared_table(firsts, "places")
+    wide = firsts.select("place", *keys, *[(F.col(c) + s * buffer).alias(c) for c, s in (("x0", -1), ("y0", -1), ("x1", 1), ("y1", 1))])
+    other = wide.select(F.col("place").alias("b_id"), *[F.col(k).alias(f"b_{k}") for k in keys], *[F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")])
+    same = F.col("place") < F.col("b_id")
     for k in keys:
         same = same & (F.col(k) == F.col(f"b_{k}"))
-    edges = box_join(wide, other, cell, refine=same).select(F.col("source_id").cast("long").alias("src"), F.col("b_id").cast("long").alias("dst"))
+    edges = box_join(wide, other, cell, refine=same).select(F.col("place").alias("src"), F.col("b_id").alias("dst"))
     found = components(edges)
-    return boxes.select("source_id").join(found, F.col("source_id") == F.col("node"), "left").select("source_id", F.coalesce("component", F.col("source_id").cast("long")).alias("component"))
+    of = firsts.join(found, F.col("place") == F.col("node"), "left").select(*place, F.coalesce("component", "place").alias("component"))
+    own = F.col("source_id").cast("long")
+    return boxes.select("source_id", *place).join(of, place, "left").select("source_id", F.coalesce("component", own).alias("component"))
 
 
 def merged_by_buffer(boxes: DataFrame, buffer: float, cell: float, keys: list[str] | None = None, collapsed: list[str] | None = None) -> DataFrame:
