@@ -110,15 +110,39 @@ def contains_point(g: Column, x: Column, y: Column) -> Column:
     return _each("boolean", lambda a, px, py: bool(plane.covers(wkb.polygons(a), np.array([[px, py]]))[0]))(g, x, y)
 
 
+def _reprojected(column: pd.Series, source: int, target: int) -> pd.Series:
+    """The coordinates of all shapes of a batch are moved together."""
+    def arrays(parts):
+        for p in parts:
+            yield from [p] if isinstance(p, np.ndarray) else arrays(p)
+
+    def moved(parts):
+        return [take(len(p)) if isinstance(p, np.ndarray) else moved(p) for p in parts]
+
+    def take(n: int) -> np.ndarray:
+        nonlocal at
+        at += n
+        return xy[at - n : at]
+
+    read = [None if a is None else wkb.loads(a) for a in column]
+    coordinates = [p for s in read if s is not None for p in arrays(s[1])]
+    if not coordinates:
+        return column
+    xy, at = projection.reproject(np.concatenate(coordinates), source, target), 0
+    return pd.Series([None if s is None else wkb.dumps(s[0], moved(s[1])) for s in read], dtype=object)
+
+
 def reproject(g: Column, source: int, target: int) -> Column:
-    def move(parts):
-        return [projection.reproject(p, source, target) if isinstance(p, np.ndarray) else move(p) for p in parts]
+    return F.pandas_udf(lambda column: _reprojected(column, source, target), "binary", F.PandasUDFType.SCALAR)(g)
 
-    def work(a):
-        kind, parts = wkb.loads(a)
-        return wkb.dumps(kind, move(parts))
 
-    return _each("binary", work)(g)
+#: Parts of a table for each core, where its rows go through functions on shapes.
+PARTS = 4
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly to all cores: a small file of shapes is one task otherwise, however long each takes."""
+    return df.repartition(PARTS * df.sparkSession.sparkContext.defaultParallelism)
 
 
 def box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
