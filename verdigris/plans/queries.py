@@ -625,7 +625,7 @@ def resume_anti_join(spark, sf):
 def polygon_overlay(spark, sf):
     from ..functions import shapes
 
-    pairs = box_join(fixture(spark, sf, "fx_boxes").drop("zone_id"), zones_of(spark, sf), TILE, predicate="overlaps")
+    pairs = shapes.spread(box_join(fixture(spark, sf, "fx_boxes").drop("zone_id"), zones_of(spark, sf), TILE, predicate="overlaps"))
     a, b = (shapes.box(*map(F.col, c)) for c in (("x0", "y0", "x1", "y1"), ("bx0", "by0", "bx1", "by1")))
     pairs = pairs.select("source_id", "zone_id", a.alias("a"), b.alias("b"))
     return pairs.select("source_id", "zone_id", shapes.intersection(F.col("a"), F.col("b")).alias("g")).select("source_id", "zone_id", r6(shapes.area(F.col("g"))).alias("area"))
