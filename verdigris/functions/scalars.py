@@ -78,17 +78,19 @@ def default_name(name: Column, label: Column) -> Column:
     return F.coalesce(name, F.concat(label, F.lit(" без названия")))
 
 
-def combined_impact(impact: Column, most: Column, least: Column) -> Column:
+def combined_impact(impact: Column, most: Column, least: Column, copies: Column | None = None) -> Column:
     """Aggregate: root of the sum of squares of each sign, capped by the largest impact of the sign, to one digit.
 
     One impact alone stays what it is. The closed form equals folding the sorted impacts with a running cap: once the
-    running value reaches the cap it stays there.
+    running value reaches the cap it stays there. A row may stand for a number of ``copies``.
     """
+    copies = F.lit(1) if copies is None else copies
+
     def side(flag: Column, cap: Column) -> Column:
-        return F.least(F.sqrt(F.coalesce(F.sum(F.when(flag, impact * impact)), F.lit(0.0))), F.abs(cap))
+        return F.least(F.sqrt(F.coalesce(F.sum(F.when(flag, copies * impact * impact)), F.lit(0.0))), F.abs(cap))
 
     several = side(impact > 0, most) - side(impact < 0, least)
-    return rint(F.when(F.count(impact) == 1, F.max(impact)).otherwise(several), 1)
+    return rint(F.when(F.sum(F.when(impact.isNotNull(), copies)) == 1, F.max(impact)).otherwise(several), 1)
 
 
 def score(all_positive: Column, all_negative: Column, mean: Column) -> Column:

@@ -57,13 +57,16 @@ def dealt_to_tiles(boxes: DataFrame, keys: list[str], tile: float, most: int | N
         found = cut(found.join(hot, where, "left_semi").drop("cx", "cy", "lvl"), size / 2, level + 1)
 
 
-def faces(boxes: DataFrame, keys: list[str], tile: float, most: int | None = None) -> DataFrame:
+def faces(boxes: DataFrame, keys: list[str], tile: float, most: int | None = None, counted: bool = False) -> DataFrame:
     """Pairs (face, box over it): keys, lvl, cx, cy, fx0, fy0, fx1, fy1 and the columns of the box.
 
-    Boxes with different keys don't see each other. ``most`` is as in ``dealt_to_tiles``.
+    Boxes with different keys don't see each other. ``most`` is as in ``dealt_to_tiles``. If ``counted``, rows that are
+    equal in a tile are one, with their number in ``copies``.
     """
     dealt = dealt_to_tiles(boxes, keys, tile, most)
     where = [*keys, "lvl", "cx", "cy"]
+    if counted:
+        dealt = shared_table(dealt.groupBy(*dealt.columns).agg(F.count(F.lit(1)).alias("copies")), "dealt")
 
     def steps(axis: str) -> DataFrame:
         edges = dealt.select(*where, F.explode(F.array(f"{axis}0", f"{axis}1")).alias(f"f{axis}0")).distinct()
@@ -75,22 +78,26 @@ def faces(boxes: DataFrame, keys: list[str], tile: float, most: int | None = Non
     return across.join(steps("y"), where).filter((F.col("fy0") >= F.col("y0")) & (F.col("fy1") <= F.col("y1")))
 
 
-def overlay(boxes: DataFrame, keys: list[str], tile: float, caps: DataFrame | None = None, combine: Callable[[Column], Column] | None = None, source: str | None = None, most: int | None = None) -> DataFrame:
+def overlay(boxes: DataFrame, keys: list[str], tile: float, caps: DataFrame | None = None, combine: Callable[[Column], Column] | None = None, source: str | None = None, most: int | None = None, once: bool = False) -> DataFrame:
     """Faces with their combined impact: keys, fx0 .. fy1, layer_impact, is_source.
 
     ``boxes`` has x0 .. y1, impact and is_source. ``caps`` is one row (most, least); without it the extremes of
     ``boxes`` are taken. ``combine`` may be an aggregate of its own over the impacts. ``source`` names a column that
     boxes of one object share; over a face, only its box of least ``level`` counts then. ``most`` is as in
-    ``dealt_to_tiles``.
+    ``dealt_to_tiles``. Boxes that are equal in a tile, as all that cover it, are one row there with their number; a
+    ``combine`` of one's own sees each, unless ``once`` says that equal impacts don't change it.
     """
     if caps is None:
         caps = boxes.agg(F.max("impact").alias("most"), F.min("impact").alias("least"))
-    covered = faces(boxes, keys, tile, most).crossJoin(F.broadcast(caps))  # one row
+    kept = ["impact", "is_source", *([source, "level"] if source is not None else [])]
+    counted = source is not None or combine is None or once
+    boxes = boxes.select(*dict.fromkeys([*keys, "x0", "y0", "x1", "y1", *kept]))
+    covered = faces(boxes, keys, tile, most, counted).crossJoin(F.broadcast(caps))  # one row
     face = [*keys, "fx0", "fy0", "fx1", "fy1"]
     if source is not None:
         nearest = F.min_by(F.struct("impact", "is_source", "most", "least"), "level").alias("one")
-        covered = covered.groupBy(*face, source).agg(nearest).select(*face, "one.*")
-    value = combine(F.col("impact")) if combine else combined_impact(F.col("impact"), F.first("most"), F.first("least"))
+        covered = covered.groupBy(*face, source).agg(nearest).select(*face, "one.*", F.lit(1).alias("copies"))
+    value = combine(F.col("impact")) if combine else combined_impact(F.col("impact"), F.first("most"), F.first("least"), F.col("copies"))
     return covered.groupBy(*face).agg(value.alias("layer_impact"), F.bool_or("is_source").alias("is_source"))
 
 

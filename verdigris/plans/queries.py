@@ -152,7 +152,7 @@ def overlay_combine(spark, sf):
     SELECT layer_impact, sum(area) area FROM face GROUP BY 1""")
 def impact_udaf_custom(spark, sf):
     boxes = fixture(spark, sf, "fx_boxes").withColumns({"impact": F.col("impact").cast("double"), "is_source": F.lit(True)})
-    return O.dissolved(O.overlay(boxes, ["zone_id"], FACE_TILE, combine=O.custom_smallest_negative), ["layer_impact"])
+    return O.dissolved(O.overlay(boxes, ["zone_id"], FACE_TILE, combine=O.custom_smallest_negative, once=True), ["layer_impact"])
 
 
 def _box_frame(spark, sf) -> DataFrame:
