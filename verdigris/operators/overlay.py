@@ -8,8 +8,10 @@ have tiles that hold too many different boxes cut to quarters until they don't.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +59,17 @@ def dealt_to_tiles(boxes: DataFrame, keys: list[str], tile: float, most: int | N
         found = cut(found.join(hot, where, "left_semi").drop("cx", "cy", "lvl"), size / 2, level + 1)
 
 
+#: Parts for each core, so that none has many dense tiles.
+PARTS = 4
+
+
+def _by_tile(dealt: DataFrame, where: list[str]) -> DataFrame:
+    """Boxes by tile, in a fixed number of parts: a tile makes far more faces than it has boxes, so parts that adaptive
+    execution joined by their size before would be too large."""
+    spark = dealt.sparkSession
+    return dealt.repartition(max(PARTS * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *where)
+
+
 def faces(boxes: DataFrame, keys: list[str], tile: float, most: int | None = None, counted: bool = False) -> DataFrame:
     """Pairs (face, box over it): keys, lvl, cx, cy, fx0, fy0, fx1, fy1 and the columns of the box.
 
@@ -78,6 +91,61 @@ def faces(boxes: DataFrame, keys: list[str], tile: float, most: int | None = Non
     return across.join(steps("y"), where).filter((F.col("fy0") >= F.col("y0")) & (F.col("fy1") <= F.col("y1")))
 
 
+#: Rows of a batch of faces.
+FACES_OF_BATCH = 500_000
+
+
+def _painted(keys: list[str], source: str) -> Callable:
+    """A function of a tile's boxes: for each face and ``source`` over it, the impact and is_source of its least level.
+
+    The boxes of a source are painted on the tile's grid from the greatest level to the least, so what is seen at last
+    counts, and pairs of faces and boxes are never made.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches)
+        at = {c: rows.column(c).to_numpy() for c in ("x0", "y0", "x1", "y1")}
+        xs, ys = (np.unique(np.concatenate([at[f"{a}0"], at[f"{a}1"]])) for a in "xy")
+        i0, i1, j0, j1 = (np.searchsorted(edges, at[c]) for edges, c in ((xs, "x0"), (xs, "x1"), (ys, "y0"), (ys, "y1")))
+        of = rows.column(source).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        order = np.lexsort((-rows.column("level").to_numpy(), of))
+        firsts = np.flatnonzero(np.r_[True, of[order][1:] != of[order][:-1]])
+        found, n = [], 0
+        for group in np.split(order, firsts[1:]):
+            left, low = i0[group].min(), j0[group].min()
+            seen = np.full((j1[group].max() - low, i1[group].max() - left), -1, np.int64)
+            for r in group:
+                seen[j0[r] - low : j1[r] - low, i0[r] - left : i1[r] - left] = r
+            j, i = np.nonzero(seen >= 0)
+            found.append((seen[j, i], i + left, j + low))
+            n += len(i)
+            if n >= FACES_OF_BATCH:
+                yield placed(rows, xs, ys, found)
+                found, n = [], 0
+        if n:
+            yield placed(rows, xs, ys, found)
+
+    def placed(rows: pa.Table, xs: np.ndarray, ys: np.ndarray, found: list) -> pa.RecordBatch:
+        r, i, j = (np.concatenate(c) for c in zip(*found))
+        kept = rows.select([*keys, "impact", "is_source"]).combine_chunks().take(pa.array(r))
+        face = {"fx0": xs[i], "fy0": ys[j], "fx1": xs[i + 1], "fy1": ys[j + 1]}
+        columns = {**{k: kept.column(k) for k in keys}, **{c: pa.array(v) for c, v in face.items()}, "impact": kept.column("impact"), "is_source": kept.column("is_source")}
+        return pa.Table.from_pydict(columns).combine_chunks().to_batches()[0]
+
+    return run
+
+
+def seen_faces(boxes: DataFrame, keys: list[str], tile: float, source: str, most: int | None = None) -> DataFrame:
+    """(keys, fx0 .. fy1, impact, is_source): a row for each face and ``source`` over it, of its box of least ``level``.
+
+    Copies don't count, so each different box is dealt once."""
+    boxes = boxes.select(*dict.fromkeys([*keys, source, "level", "impact", "is_source"]), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]).distinct()
+    dealt = dealt_to_tiles(boxes, keys, tile, most)
+    kinds = {f.name: f.dataType.simpleString() for f in boxes.schema.fields}
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], *[f"{c} double" for c in ("fx0", "fy0", "fx1", "fy1")], *[f"{c} {kinds[c]}" for c in ("impact", "is_source")]])
+    where = [*keys, "lvl", "cx", "cy"]
+    return _by_tile(dealt, where).groupBy(*where).applyInArrow(_painted(keys, source), schema)
+
+
 def overlay(boxes: DataFrame, keys: list[str], tile: float, caps: DataFrame | None = None, combine: Callable[[Column], Column] | None = None, source: str | None = None, most: int | None = None, once: bool = False) -> DataFrame:
     """Faces with their combined impact: keys, fx0 .. fy1, layer_impact, is_source.
 
@@ -89,14 +157,13 @@ def overlay(boxes: DataFrame, keys: list[str], tile: float, caps: DataFrame | No
     """
     if caps is None:
         caps = boxes.agg(F.max("impact").alias("most"), F.min("impact").alias("least"))
-    kept = ["impact", "is_source", *([source, "level"] if source is not None else [])]
-    counted = source is not None or combine is None or once
-    boxes = boxes.select(*dict.fromkeys([*keys, "x0", "y0", "x1", "y1", *kept]))
-    covered = faces(boxes, keys, tile, most, counted).crossJoin(F.broadcast(caps))  # one row
     face = [*keys, "fx0", "fy0", "fx1", "fy1"]
     if source is not None:
-        nearest = F.min_by(F.struct("impact", "is_source", "most", "least"), "level").alias("one")
-        covered = covered.groupBy(*face, source).agg(nearest).select(*face, "one.*", F.lit(1).alias("copies"))
+        covered = seen_faces(boxes, keys, tile, source, most).withColumn("copies", F.lit(1))
+    else:
+        boxes = boxes.select(*dict.fromkeys([*keys, "x0", "y0", "x1", "y1", "impact", "is_source"]))
+        covered = faces(boxes, keys, tile, most, combine is None or once)
+    covered = covered.crossJoin(F.broadcast(caps))  # one row
     value = combine(F.col("impact")) if combine else combined_impact(F.col("impact"), F.first("most"), F.first("least"), F.col("copies"))
     return covered.groupBy(*face).agg(value.alias("layer_impact"), F.bool_or("is_source").alias("is_source"))
 
