@@ -50,3 +50,8 @@ def test_boxes_of_a_source_are_painted_and_never_paired_with_faces(spark, monkey
                 got[x, y] = r.layer_impact, r.is_source
     want = {p: (-(levels[0] + 1.0) if len(levels) == 1 else -round(sum((v + 1.0) ** 2 for v in levels) ** 0.5, 1), 0 in levels) for p, levels in expected.items()}
     assert got == want
+
+
+def test_dense_tiles_are_dealt_to_many_parts(spark):
+    dealt = overlay.faces(_copies(spark, 8), ["k"], 5.0, counted=True)
+    assert dealt.rdd.getNumPartitions() >= overlay.PARTS * spark.sparkContext.defaultParallelism

@@ -80,6 +80,7 @@ def faces(boxes: DataFrame, keys: list[str], tile: float, most: int | None = Non
     where = [*keys, "lvl", "cx", "cy"]
     if counted:
         dealt = shared_table(dealt.groupBy(*dealt.columns).agg(F.count(F.lit(1)).alias("copies")), "dealt")
+    parted = _by_tile(dealt, where)
 
     def steps(axis: str) -> DataFrame:
         edges = dealt.select(*where, F.explode(F.array(f"{axis}0", f"{axis}1")).alias(f"f{axis}0")).distinct()
@@ -87,7 +88,7 @@ def faces(boxes: DataFrame, keys: list[str], tile: float, most: int | None = Non
         return edges.withColumn(f"f{axis}1", after).dropna(subset=[f"f{axis}1"])
 
     # A box covers a run of steps on each axis; only these are joined, never all steps of a tile with each other.
-    across = dealt.join(steps("x"), where).filter((F.col("fx0") >= F.col("x0")) & (F.col("fx1") <= F.col("x1")))
+    across = parted.join(steps("x"), where).filter((F.col("fx0") >= F.col("x0")) & (F.col("fx1") <= F.col("x1")))
     return across.join(steps("y"), where).filter((F.col("fy0") >= F.col("y0")) & (F.col("fy1") <= F.col("y1")))
 
 
@@ -163,9 +164,10 @@ def overlay(boxes: DataFrame, keys: list[str], tile: float, caps: DataFrame | No
     else:
         boxes = boxes.select(*dict.fromkeys([*keys, "x0", "y0", "x1", "y1", "impact", "is_source"]))
         covered = faces(boxes, keys, tile, most, combine is None or once)
+        face += ["lvl", "cx", "cy"]  # so the faces of a tile are summed where they are made
     covered = covered.crossJoin(F.broadcast(caps))  # one row
     value = combine(F.col("impact")) if combine else combined_impact(F.col("impact"), F.first("most"), F.first("least"), F.col("copies"))
-    return covered.groupBy(*face).agg(value.alias("layer_impact"), F.bool_or("is_source").alias("is_source"))
+    return covered.groupBy(*face).agg(value.alias("layer_impact"), F.bool_or("is_source").alias("is_source")).drop("lvl", "cx", "cy")
 
 
 def dissolved(frame: DataFrame, keys: list[str]) -> DataFrame:
