@@ -88,8 +88,9 @@ def faces(boxes: DataFrame, keys: list[str], tile: float, most: int | None = Non
         return edges.withColumn(f"f{axis}1", after).dropna(subset=[f"f{axis}1"])
 
     # A box covers a run of steps on each axis; only these are joined, never all steps of a tile with each other.
-    across = parted.join(steps("x"), where).filter((F.col("fx0") >= F.col("x0")) & (F.col("fx1") <= F.col("x1")))
-    return across.join(steps("y"), where).filter((F.col("fy0") >= F.col("y0")) & (F.col("fy1") <= F.col("y1")))
+    # Merged, as the parts hold only if no side is broadcast.
+    across = parted.join(steps("x").hint("merge"), where).filter((F.col("fx0") >= F.col("x0")) & (F.col("fx1") <= F.col("x1")))
+    return across.join(steps("y").hint("merge"), where).filter((F.col("fy0") >= F.col("y0")) & (F.col("fy1") <= F.col("y1")))
 
 
 #: Rows of a batch of faces.
