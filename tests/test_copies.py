@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from verdigris.operators import components, frame, reports, spatial
+from verdigris.operators import components, frame, reports, river, spatial
 
 MANY = 50_000
 SECONDS = 60
@@ -110,3 +110,23 @@ def test_components_of_many_copies(spark, bounded):
     boxes = boxes.withColumns({"x1": F.col("x0") + 4 + F.when(F.col("x0") == 0, 10.0).otherwise(0.0), "y1": F.lit(4.0)})
     found = components.buffer_components(boxes, 1.0, 100.0)
     assert sorted(tuple(r) for r in found.groupBy("component").count().collect()) == [(5, 2 * MANY), (7, MANY)]
+
+
+def test_spills_of_many_sources_of_one_node_are_one_portion(spark, monkeypatch):
+    edges = spark.createDataFrame([(0, 1, 2.0), (1, 2, 3.0), (1, 3, 1.0), (2, 4, 1.0), (3, 5, 2.0)], "src long, dst long, cost double")
+    sources = spark.range(MANY).select(F.col("id").alias("source_id"), (F.col("id") % 2).alias("node"), (F.lit(50.0) + F.col("id") % 2).alias("pollution"))
+    few = {r.node: r.remain for r in river.remain_by_node(river.propagate(edges, sources.limit(0).union(sources.filter("source_id < 2")))).collect()}
+    seen, whole = [], river.propagate
+    monkeypatch.setattr(river, "propagate", lambda e, s: seen.append(s.count()) or whole(e, s))
+    got = {r.node: r.remain for r in river.spilled(edges, sources).collect()}
+    assert seen == [2]
+    assert got == pytest.approx({n: v * MANY / 2 for n, v in few.items()})
+
+
+def test_spills_and_their_edges_broadcast_nothing(spark):
+    edges = spark.createDataFrame([(0, 1, 2.0), (1, 2, 3.0), (1, 3, 1.0)], "src long, dst long, cost double")
+    nodes = spark.createDataFrame([(0, 9.0), (1, 7.0), (2, 1.0)], "node long, remain double")
+    for only in (True, False):
+        found = river.edge_remain(edges, nodes, only)
+        assert {(r.src, r.dst): r.remain for r in found.collect()} == {(0, 1): 8.0, (1, 2): 4.0} | ({} if only else {(1, 3): 0.0})
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().toString()

@@ -240,17 +240,17 @@ def paths(edges: DataFrame, deg: DataFrame, heads: DataFrame, most: float) -> Da
     each made of the one before; a path of n nodes takes log4(n) of them.
     """
     single = deg.filter("outs = 1").select(F.col("node").alias("src"))
-    base = edges.join(single, "src").select(F.col("src").alias("node"), F.col("dst").alias("to"), F.col("cost").alias("dist")).filter(F.col("dist") <= most)
+    base = edges.join(single.hint("merge"), "src").select(F.col("src").alias("node"), F.col("dst").alias("to"), F.col("cost").alias("dist")).filter(F.col("dist") <= most)
     found = heads.select("head", F.lit(0).cast("long").alias("step"), F.col("head").alias("node"), F.lit(0.0).alias("cum"))
     n_edges = edges.count()
     for k in range(31):
         four = base.select("node", F.struct("to", "dist").alias("j1"))
         for j in (2, 3, 4):
             after, far = base.select(F.col("node").alias("at"), "to", "dist"), F.col(f"j{j - 1}.dist") + F.col("dist")
-            four = four.join(after, F.col(f"j{j - 1}.to") == F.col("at"), "left").withColumn(f"j{j}", F.when(far <= most, F.struct("to", far.alias("dist")))).drop("at", "to", "dist")
+            four = four.join(after.hint("merge"), F.col(f"j{j - 1}.to") == F.col("at"), "left").withColumn(f"j{j}", F.when(far <= most, F.struct("to", far.alias("dist")))).drop("at", "to", "dist")
         four = shared_table(four, "jumps")
         places = F.array(F.struct("step", "node", "cum"), *[F.when(F.col(f"j{j}").isNotNull(), F.struct((F.col("step") + j * 4**k).alias("step"), F.col(f"j{j}.to").alias("node"), (F.col("cum") + F.col(f"j{j}.dist")).alias("cum"))) for j in (1, 2, 3)])
-        found = found.join(four, "node", "left").select("head", F.explode(F.filter(places, lambda p: p.isNotNull() & (p["cum"] <= most))).alias("p")).select("head", "p.*")
+        found = found.join(four.hint("merge"), "node", "left").select("head", F.explode(F.filter(places, lambda p: p.isNotNull() & (p["cum"] <= most))).alias("p")).select("head", "p.*")
         base = four.filter("j4 IS NOT NULL").select("node", "j4.to", "j4.dist")
         if base.isEmpty():
             return shared_table(found, "paths")
@@ -265,29 +265,32 @@ def propagate(edges: DataFrame, sources: DataFrame) -> DataFrame:
     ``edges`` (src, dst, cost >= 0; loops are dropped, of parallel edges the cheapest stays), ``sources`` (source_id,
     node, pollution). Each round joins the portions to the paths that they enter and divides them at the next splits; a
     source of many paths is many rows, so it is no single task's work. A source outside the graph keeps its own node.
+    With a column ``n``, a row stands for so many sources. Joins on nodes are merged: the small files of a large graph
+    are no small broadcast.
     """
     edges = edges.filter("src <> dst AND cost IS NOT NULL").groupBy("src", "dst").agg(F.min("cost").cast("double").alias("cost"))
     edges = shared_table(edges, "edges")
     deg = shared_table(degrees(edges), "degrees")
-    level = sources.select("source_id", F.col("node").cast("long").alias("head"), F.col("pollution").cast("double").alias("rest"), F.lit(1).cast("long").alias("n"))
+    n = F.col("n") if "n" in sources.columns else F.lit(1)
+    level = sources.select("source_id", F.col("node").cast("long").alias("head"), F.col("pollution").cast("double").alias("rest"), n.cast("long").alias("n"))
     level = shared_table(level, "sources")
     most = level.agg(F.max("rest")).first()[0] or 0.0
-    ends = shared_table(edges.join(deg.filter("outs > 1").select(F.col("node").alias("src")), "src"), "ends").withColumnRenamed("src", "node")
+    ends = shared_table(edges.join(deg.filter("outs > 1").select(F.col("node").alias("src")).hint("merge"), "src"), "ends").withColumnRenamed("src", "node")
     children = ends.select(F.col("dst").alias("head")).distinct()
     ways = paths(edges, deg, children.union(level.select("head")).distinct(), most)
     # The mean distance of a branch counts its nodes up to the first that other branches join.
-    joined = ways.join(children, "head", "left_semi").join(deg.filter("ins > 1").select("node", F.lit(True).alias("joined")), "node", "left")
+    joined = ways.join(children.hint("merge"), "head", "left_semi").join(deg.filter("ins > 1").select("node", F.lit(True).alias("joined")).hint("merge"), "node", "left")
     stop = F.min(F.when(F.col("joined"), F.col("step"))).over(Window.partitionBy("head"))
     reach = shared_table(joined.withColumn("stop", stop).filter("stop IS NULL OR step <= stop").select(F.col("head").alias("dst"), "cum"), "reaches")
     found = []
     for _ in range(MOST_STEPS):
-        hits = level.join(ways, "head").filter("cum <= rest").select("source_id", "node", (F.col("rest") - F.col("cum")).alias("remain"), "n")
+        hits = level.join(ways.hint("merge"), "head").filter("cum <= rest").select("source_id", "node", (F.col("rest") - F.col("cum")).alias("remain"), "n")
         hits = shared_table(hits.groupBy("source_id", "node", "remain").agg(F.sum("n").alias("n")), "portions")
         found.append(hits)
-        branches = hits.join(ends, "node")
+        branches = hits.join(ends.hint("merge"), "node")
         if branches.isEmpty():
             break
-        offers = branches.join(reach, "dst").filter("cum <= remain")
+        offers = branches.join(reach.hint("merge"), "dst").filter("cum <= remain")
         offers = offers.groupBy("source_id", "node", "remain", "n", "dst", "cost").agg(F.avg("cum").alias("mean"))
         total = F.sum("mean").over(Window.partitionBy("source_id", "node", "remain"))
         share = F.col("remain") * F.col("mean") / F.nullif(total, F.lit(0.0))
@@ -308,10 +311,19 @@ def simulate_spill(edges: DataFrame, nodes: DataFrame, sources: DataFrame, least
     """
     spots = nearest(sources, nodes.select("node", F.col("x").alias("nx"), F.col("y").alias("ny")), "source_id", "node", cell)
     at = sources.join(spots.filter(F.col("dist") <= least_distance).select("source_id", "node"), "source_id").select("source_id", "node", "pollution")
-    polluted = shared_table(remain_by_node(propagate(edges, at)), "remain")
+    polluted = shared_table(spilled(edges, at), "remain")
     return edge_remain(edges, polluted, only_polluted)
 
 
+def spilled(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(node, remain): what reaches each node of all sources, as the sum of ``propagate``.
+
+    Who sent a portion is left out, so portions that carry the same at a node are one row with their number, whichever
+    sources they come from."""
+    alike = sources.groupBy("node", "pollution").agg(F.count(F.lit(1)).alias("n")).withColumn("source_id", F.lit(0).cast("long"))
+    return remain_by_node(propagate(edges, alike))
+
+
 def remain_by_node(portions: DataFrame) -> DataFrame:
     return portions.groupBy("node").agg(F.sum("remain").alias("remain"))
 
@@ -320,7 +332,7 @@ def edge_remain(edges: DataFrame, nodes: DataFrame, only_polluted: bool = True)
     """(src, dst, remain): the mean of the ends of edges that are both polluted; of others 0, or no row."""
     u, v = (nodes.select(F.col("node").alias(n), F.col("remain").alias(r)) for n, r in (("src", "ru"), ("dst", "rv")))
     how = "inner" if only_polluted else "left"
-    both = edges.select("src", "dst").distinct().join(u, "src", how).join(v, "dst", how)
+    both = edges.select("src", "dst").distinct().join(u.hint("merge"), "src", how).join(v.hint("merge"), "dst", how)
     return both.select("src", "dst", F.coalesce((F.col("ru") + F.col("rv")) / 2, F.lit(0.0)).alias("remain"))
 
 

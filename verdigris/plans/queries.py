@@ -12,6 +12,7 @@ from ..operators import overlay as O
 from ..operators import raster as R
 from ..operators import river as V
 from ..operators.spatial import box_join, first_cover, nearest
+from ..tables import shared_table
 from .fixtures import fixture, with_views
 
 QUERIES: dict = {}
@@ -418,17 +419,17 @@ _SPILL = f"""{_CHAIN}, kid AS (SELECT e.src, e.dst, e.cost, coalesce(r.cums, [CA
 
 
 def _spill(spark, sf):
-    return V.propagate(fixture(spark, sf, "fx_edges"), fixture(spark, sf, "fx_spill_sources"))
+    return V.spilled(fixture(spark, sf, "fx_edges"), fixture(spark, sf, "fx_spill_sources"))
 
 
 @query(f"WITH RECURSIVE {_SPILL} SELECT node, $6(remain) remain FROM tot")
 def spill_propagation(spark, sf):
-    return V.remain_by_node(_spill(spark, sf)).select("node", r6("remain").alias("remain"))
+    return _spill(spark, sf).select("node", r6("remain").alias("remain"))
 
 
 @query(f"WITH RECURSIVE {_SPILL} SELECT src, dst, $6((a.remain+b.remain)/2) remain FROM fx_edges JOIN tot a ON a.node=src JOIN tot b ON b.node=dst")
 def edge_remain(spark, sf):
-    nodes = V.remain_by_node(_spill(spark, sf))
+    nodes = shared_table(_spill(spark, sf), "remain")
     return V.edge_remain(fixture(spark, sf, "fx_edges"), nodes).select("src", "dst", r6("remain").alias("remain"))
 
 
