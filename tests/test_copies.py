@@ -130,3 +130,18 @@ def test_spills_and_their_edges_broadcast_nothing(spark):
         found = river.edge_remain(edges, nodes, only)
         assert {(r.src, r.dst): r.remain for r in found.collect()} == {(0, 1): 8.0, (1, 2): 4.0} | ({} if only else {(1, 3): 0.0})
         assert "BroadcastHashJoin" not in found._jdf.queryExecution().toString()
+
+
+def test_first_cover_of_many_boxes_over_each_other(spark, bounded):
+    n, side = 20_000, 40
+    spread = spark.range(n).select(F.col("id").alias("b"), *[(F.hash("id", F.lit(k)) % 97 + 100.0 * sign).cast("double").alias(c) for k, (c, sign) in enumerate((("bx0", -1), ("by0", -1), ("bx1", 1), ("by1", 1)))])
+    small = spark.createDataFrame([(-1, 0.25, 0.25, 1.25, 1.25), (-2, 100.0, 0.0, 100.0, 25.0), (-3, 7.5, -50.0, 25.0, 50.0)], "b long, bx0 double, by0 double, bx1 double, by1 double")
+    boxes = spread.union(small)
+    points = spark.range(n).select(F.col("id").alias("p"), (F.col("id") % side * 6.25 - 125.0).alias("x"), (F.col("id") / side).cast("int") * 0.5 - 125.0)
+    points = points.toDF("p", "x", "y")
+    got = {(r.p, r.b) for r in spatial.first_cover(points, boxes, 100.0, "p", "b").collect()}
+    rows = sorted(tuple(r) for r in boxes.collect())
+    want = set()
+    for r in points.filter("p % 37 = 0").collect():
+        want |= {(r.p, b) for b in [next((b for b, x0, y0, x1, y1 in rows if x0 <= r.x <= x1 and y0 <= r.y <= y1), None)] if b is not None}
+    assert {(p, b) for p, b in got if p % 37 == 0} == want

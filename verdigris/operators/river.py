@@ -110,7 +110,7 @@ def section_widths(edges: DataFrame, water: DataFrame, most: float = 50_000.0, b
     boxes = shared_table(in_cells(water.select("water_id", "bx0", "by0", "bx1", "by1"), cell, ("bx0", "by0", "bx1", "by1")), "water")
     half, found = min(cell, most) / 2, None
     while True:
-        across = _across(left, boxes, half, cell).withColumn("half", F.lit(half))
+        across = shared_table(_across(left, boxes, half, cell), "across")  # read for the widths and for what goes on
         last = half >= most / 2
         width = F.col("t1") - F.col("t0")
         done = across if last else across.filter((F.col("t0") > -half) & (F.col("t1") < half))
