@@ -82,6 +82,28 @@ def test_texts_of_many_copies(spark, bounded):
     assert list(texts) == [reports.influencer_texts(frame.influencers(s, b, few, labels, 100.0), few).first().report]
 
 
+def test_texts_of_a_part_begin_with_the_longest(spark):
+    """A writer takes the size of rows from those before, so it would hold all long texts that come after short ones."""
+    at = F.when(F.col("id") % 3 > 0, -500.0 * (F.col("id") % 3)).otherwise(50.0)
+    points = spark.range(6000).select(F.col("id").alias("point_id"), at.alias("x"), at.alias("y"))
+    s, b, labels = _sources(spark, 40)
+    found = reports.point_texts(s, b, points, labels, 100.0).select("point_id", F.length("report").alias("n"), F.monotonically_increasing_id().alias("i")).collect()
+    assert {(r.point_id, r.n > 100) for r in found} == {(i, i % 3 == 0) for i in range(6000)} and len(found) == 6000
+    parts = {}
+    for r in sorted(found, key=lambda r: r.i):
+        parts.setdefault(r.i >> 33, []).append(r.n)
+    assert all(n == sorted(n, reverse=True) for n in parts.values())
+
+
+def test_lists_hold_all_rows_and_few_each(spark):
+    rows = spark.sql("SELECT id % 3 AS k, CASE WHEN id % 5 > 0 THEN id END AS a, CASE WHEN id > 9 THEN 'x' END AS b FROM range(9000)")
+    for rest in (["a"], ["a", "b"], []):
+        lists = spatial.listed(rows.select("k", *rest), ["k"])
+        assert lists.agg(F.max(F.size("_rows"))).first()[0] == spatial.LIST and lists.count() == 9
+        got = spatial.unlisted(lists.drop("_n"), rest) if rest else lists.select(F.explode("_rows"), "k").select("k")
+        assert sorted(map(str, got.select("k", *rest).collect())) == sorted(map(str, rows.select("k", *rest).collect()))
+
+
 def _works(spark):
     """Points of two names at one place, boxes of one place around them with and without a name, and one box far off."""
     points = spark.range(MANY).select(F.concat(F.lit("Завод "), F.col("id") % 2).alias("name"), (F.col("id") % 2 + 1).cast("int").alias("level"), F.lit(50.0).alias("x"), F.lit(50.0).alias("y"))

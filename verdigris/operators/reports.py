@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frame import influencers
+from .spatial import dealt, listed, unlisted
 
 # Fixed output: the sentences of both texts.
 SECTIONS = (
@@ -51,11 +52,17 @@ def influencer_texts(found: DataFrame, points: DataFrame, point_id: str = "point
 
 
 def point_texts(sources: DataFrame, buffers: DataFrame, points: DataFrame, labels: DataFrame, cell: float, around: float = 5.0, point_id: str = "point_id") -> DataFrame:
-    """(point_id, report): ``influencer_texts`` of each point. The text of a place is made once for all its points."""
+    """(point_id, report): ``influencer_texts`` of each point. The text of a place is made once for all its points.
+
+    Parts begin with their longest texts: a writer of Parquet takes the size of rows from those before, so it would hold
+    gigabytes of long texts that come after short ones.
+    """
     at = points.select(point_id, F.struct("x", "y").alias("_place"), "x", "y")
     places = at.select("_place", "x", "y").distinct()
     texts = influencer_texts(influencers(sources, buffers, places, labels, cell, around, "_place"), places, "_place")
-    return at.join(texts.hint("merge"), "_place", "left").select(point_id, F.coalesce("report", F.lit(NO_INFLUENCE)).alias("report"))
+    lists = listed(at.select("_place", point_id), ["_place"]).join(texts.hint("merge"), "_place", "left")
+    told = lists.select("_place", "_n", "_rows", F.coalesce("report", F.lit(NO_INFLUENCE)).alias("report"))
+    return unlisted(dealt(told, "_place", "_n").sortWithinPartitions(F.octet_length("report").desc()).drop("_place", "_n"), [point_id])
 
 
 def mark_texts(marks: DataFrame, reports: DataFrame, zone_id: str = "zone_id") -> DataFrame:

@@ -7,7 +7,7 @@ Places at which many rows lie are searched once, and their rows put back by join
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import shared_table
@@ -25,6 +25,40 @@ def in_cells(df: DataFrame, cell: float, box: tuple[str, str, str, str] = BOX, p
     return df.withColumn(f"{prefix}cx", span(x0, x1)).withColumn(f"{prefix}cy", span(y0, y1))
 
 
+#: Rows in a list; parts for each core.
+LIST, PARTS = 1024, 4
+
+
+def _numbered(rows: DataFrame, key: list[str], name: str) -> DataFrame:
+    """``rows`` with a number, from 0, for each ``LIST`` rows of one key."""
+    rest = [c for c in rows.columns if c not in key]
+    return rows.withColumn(name, F.floor((F.row_number().over(Window.partitionBy(*key).orderBy(*(rest or key))) - 1) / LIST))
+
+
+def listed(rows: DataFrame, key: list[str], name: str = "_rows") -> DataFrame:
+    """Rows of one ``key`` as lists of at most ``LIST``: the key, the number ``_n`` of the list, and ``name``."""
+    rest = [c for c in rows.columns if c not in key]
+    found = F.collect_list(F.struct(*rest) if rest else F.struct(F.lit(0).alias("_")))
+    if len(rest) == 1:
+        found = F.transform(found, lambda row: row[rest[0]])
+    return _numbered(rows, key, "_n").groupBy(*key, "_n").agg(found.alias(name))
+
+
+def unlisted(df: DataFrame, rest: list[str], name: str = "_rows") -> DataFrame:
+    """A row for each of a list of ``listed``, with its columns ``rest`` first."""
+    others = [c for c in df.columns if c != name]
+    if len(rest) == 1:
+        return df.select(F.explode(name).alias(rest[0]), *others)
+    return df.select(F.explode(name).alias(name), *others).select(*[F.col(name)[c].alias(c) for c in rest], *others)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by key, in a fixed number of parts: of such rows far more are made than they are, so parts that adaptive
+    execution joined by their size would be too large."""
+    spark = df.sparkSession
+    return df.repartition(max(PARTS * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def box_join(left: DataFrame, right: DataFrame, cell: float, how: str = "inner", predicate: str = "intersects", left_box=("x0", "y0", "x1", "y1"), right_box=("bx0", "by0", "bx1", "by1"), refine: Column | None = None, left_id: str | None = None, copies: bool = False) -> DataFrame:
     """Pairs of boxes; the two sides must have different column names.
 
