@@ -72,6 +72,17 @@ def test_influencers_of_an_id_at_two_places(spark):
     assert sorted((r.kind, r.name) for r in frame.influencers(s, b, points, labels, 100.0).collect()) == [("effect", "far"), ("effect", "near"), ("source", "near")]
 
 
+def test_influences_of_places_are_small_in_files(spark, tmp_path):
+    points, _ = _crowd(spark, 0)
+    s, b, labels = _sources(spark, 40)
+    s = s.withColumn("names", F.array(F.concat(F.lit("far "), F.col("source_id"))))
+    found = frame.influencers(s, b, points.select((F.col("p") * 7919).alias("point_id"), "x", "y"), labels, 100.0)
+    found.write.parquet(f"file://{tmp_path}/found")
+    written = spark.read.parquet(f"file://{tmp_path}/found")
+    assert written.count() == written.distinct().count() == 42 * MANY
+    assert sum(f.stat().st_size for f in (tmp_path / "found").glob("*.parquet")) < 2_000_000
+
+
 def test_texts_of_many_copies(spark, bounded):
     points, _ = _crowd(spark, 0)
     points = points.withColumnRenamed("p", "point_id").union(spark.sql("SELECT -1L, 500D, 500D")).union(spark.sql("SELECT -2L, CAST(NULL AS DOUBLE), 500D"))
