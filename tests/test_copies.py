@@ -49,6 +49,29 @@ def test_join_of_many_copies(spark, bounded):
         spatial.box_join(at, boxes, 100.0, refine=F.lit(True), copies=True)
 
 
+def test_join_of_rows_of_lists_and_without_others(spark):
+    """More rows of a place, and boxes of one place, than a list holds; rows that lie alone; ids that are null."""
+    points = spark.sql("SELECT CASE WHEN id > 0 THEN id END AS p, CASE WHEN id < 2500 THEN 5D ELSE CAST(id AS DOUBLE) END AS x0, -0D AS y0 FROM range(2600)").withColumns({"x1": F.col("x0"), "y1": F.col("y0")})
+    boxes = spark.sql("SELECT CASE WHEN id > 0 THEN id END AS b, 'n' AS n, 0D AS bx0, 0D AS by0, CASE WHEN id < 1500 THEN 10D ELSE 2510D END AS bx1, 9D AS by1 FROM range(1600)")
+    pairs = spatial.box_join(points, boxes, 100.0, predicate="within", copies=True)
+    box = [c for c in boxes.columns if c.startswith("b") and c != "b"]
+    for kept, other in ((points, boxes), (points, boxes.select(*box)), (points.drop("p"), boxes), (points.drop("p"), boxes.select(*box))):
+        got = spatial.box_join(kept, other, 100.0, predicate="within", copies=True)
+        assert got.columns == [*kept.columns, *other.columns] and got.count() == 2500 * 1600 + 11 * 100
+    got = {tuple(r) for r in pairs.groupBy("p").agg(F.count(F.lit(1)), F.count("b"), F.count_distinct("b"), F.max("n")).collect()}
+    assert got == {(p or None, 1600, 1599, 1599, "n") for p in range(2500)} | {(p, 100, 100, 100, "n") for p in range(2500, 2511)}
+
+
+def test_pairs_of_places_are_small_in_files(spark, tmp_path):
+    points = spark.range(4000).select((F.col("id") * 7919).alias("p"), *[F.lit(50.0).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    boxes = spark.range(1000).select((F.col("id") * 104729).alias("b"), F.lit(40.0).alias("bx0"), F.lit(40.0).alias("by0"), (F.lit(60.0) + F.col("id") % 10).alias("bx1"), F.lit(60.0).alias("by1"))
+    pairs = spatial.box_join(points, boxes, 100.0, predicate="within", copies=True).select("p", "b")
+    pairs.write.parquet(f"file://{tmp_path}/pairs")
+    written = spark.read.parquet(f"file://{tmp_path}/pairs")
+    assert written.count() == written.distinct().count() == 4_000_000
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 1_500_000
+
+
 def _sources(spark, n: int):
     """Sources of one place and name beside the point (50, 50), and one over it."""
     far = spark.range(n).select((F.col("id") + 100).alias("source_id"), F.array(F.lit("far")).alias("names"), F.lit(-4).alias("impact"), F.lit(60.0).alias("x0"), F.lit(90.0).alias("x1"))

@@ -64,19 +64,20 @@ def places(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / LIST).alias("_lists"))
 
 
-def put_back(found: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
+def put_back(found: DataFrame, rows: DataFrame, key: list[str], lists: str | None = None, rest: list[str] | None = None) -> DataFrame:
     """``found`` of ``places``, by the numbers in ``key``, with the rows of each place put back.
 
     A row of ``found`` goes once to each ``LIST`` rows of its place and meets one after the other; they are all that is
     held at once, and a place of many rows is many parts' work. Values of ``found`` come in runs, and the rows in the
-    same order again and again, so files of pairs stay small.
+    same order again and again, so files of pairs stay small. ``lists`` and ``rest`` are a column of lists in ``found``,
+    opened after its rows were dealt, and what is in them.
     """
     # A string, as Spark would deal numbers that aren't whole once more for the join.
     at = F.concat(*[part for c in (*key, "_n") for part in ((F.col(c) + F.lit(0)).cast("string"), F.lit(" "))])
     here = dealt(_numbered(rows, key, "_n").withColumn("_at", at).drop(*key, "_n"), "_at")
     each = found.withColumn("_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lists") - 1)))
     there = dealt(each.withColumn("_at", at).drop("_n", "_lists"), "_at")
-    return there.join(here.hint("merge"), "_at").drop("_at")
+    return (there if lists is None else unlisted(there, rest, lists)).join(here.hint("merge"), "_at").drop("_at")
 
 
 def box_join(left: DataFrame, right: DataFrame, cell: float, how: str = "inner", predicate: str = "intersects", left_box=("x0", "y0", "x1", "y1"), right_box=("bx0", "by0", "bx1", "by1"), refine: Column | None = None, left_id: str | None = None, copies: bool = False) -> DataFrame:
@@ -86,14 +87,16 @@ def box_join(left: DataFrame, right: DataFrame, cell: float, how: str = "inner",
     ``how``: inner, left_semi, left_anti, or left (which needs ``left_id``, a unique column of the left side).
     ``refine`` is a further exact condition, for shapes that aren't boxes.
     ``copies``, for inner joins without ``refine``: each different box is compared once, and the rows of equal boxes are
-    put back by joins on the box, so only pairs that belong to the result are made of them.
+    put back by joins on the box, those of the right side as lists, so only pairs that belong to the result are made of
+    them, and none is shuffled.
     """
     if copies:
         if how != "inner" or refine is not None:
             raise ValueError("copies are for inner joins without refine")
-        met = box_join(left.select(*left_box).distinct(), right.select(*right_box).distinct(), cell, how, predicate, left_box, right_box)
-        # Merged on both sides, so the many rows that come of a place are dealt by place, however few its pairs are.
-        return left.join(met.join(right, list(right_box)).hint("merge"), list(left_box)).select(*left.columns, *right.columns)
+        own = [c for c in right.columns if c not in right_box]
+        met = box_join(places(left, list(left_box)), right.select(*right_box).distinct(), cell, how, predicate, left_box, right_box)
+        found = met.join(listed(right, list(right_box), "_theirs").drop("_n").hint("merge"), list(right_box))
+        return put_back(found, left, list(left_box), "_theirs", own).select(*left.columns, *right.columns)
     ax0, ay0, ax1, ay1 = (F.col(c) for c in left_box)
     bx0, by0, bx1, by1 = (F.col(c) for c in right_box)
     test = {

@@ -220,7 +220,8 @@ def sjoin_intersects_semi(spark, sf):
 @query("SELECT point_id, source_id FROM fx_points p JOIN fx_boxes b ON p.x>=b.x0 AND p.x<=b.x1 AND p.y>=b.y0 AND p.y<=b.y1")
 def sjoin_within(spark, sf):
     p = fixture(spark, sf, "fx_points").select("point_id", *[F.col(c).alias(n) for c, n in (("x", "x0"), ("y", "y0"), ("x", "x1"), ("y", "y1"))])
-    return box_join(p, fixture(spark, sf, "fx_boxes").withColumnsRenamed(B), TILE, predicate="within", copies=True).select("point_id", "source_id")
+    b = fixture(spark, sf, "fx_boxes").withColumnsRenamed(B).select("source_id", *B.values())
+    return box_join(p, b, TILE, predicate="within", copies=True).select("point_id", "source_id")
 
 
 @query("SELECT point_id, min(source_id) source_id FROM fx_points p JOIN fx_boxes b ON p.x>=b.x0 AND p.x<=b.x1 AND p.y>=b.y0 AND p.y<=b.y1 GROUP BY point_id")
